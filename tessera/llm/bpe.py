@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import prepare
 
-#: Pieces of text that a task remembers; the memory is emptied when it is full, which changes no result.
-MEMORY = 300_000
+#: Pieces of text that a task remembers in each of two generations.  When the young one is full, it takes the place of the
+#: old one, out of which only those seen again come back; this changes no result.
+MEMORY = 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -78,6 +79,7 @@ class Bpe:
         self.special_entries = [(i, t) for t, i in self.special.items()]
         #: by piece, and by id for special tokens
         self.memory: dict[str | int, tuple[int, str, str]] = {}
+        self.old_memory: dict[str | int, tuple[int, str, str]] = {}
         self.word_memory: dict[str, tuple[int, str, str]] = {}
 
     @staticmethod
@@ -159,7 +161,11 @@ class Bpe:
         """Fill the memory for pieces of normalized text without white space."""
         known = self.word_memory
         split = {p: self.words_in(p) for p in new_pieces}
-        new = list({w for words in split.values() for w in words if w not in known})
+        new_words = {w for words in split.values() for w in words if w not in known}
+        for w in new_words & self.old_memory.keys():  # a piece of the older generation that is one word
+            if len(self.words_in(w)) == 1:
+                known[w] = self.old_memory[w]
+        new = [w for w in new_words if w not in known]
         tokens = self.tokens
         for w, ids in zip(new, self.merge_words(new)):
             known[w] = (len(ids), " ".join([str(i) for i in ids]), " ".join([tokens[i] for i in ids]))
@@ -169,10 +175,9 @@ class Bpe:
 
     def encode_batch(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
         """For each text its pieces as (number of ids, ids, tokens), the last two joined by spaces."""
-        memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
-            self.word_memory.clear()
+        if len(self.memory) > MEMORY:
+            self.old_memory, self.memory, self.word_memory = self.memory, {}, {}
+        memory, old = self.memory, self.old_memory
         split: list[list[str | int]] = []
         for text in texts:
             if self.split_special is None or not any(t in text for t in self.special):
@@ -184,8 +189,10 @@ class Bpe:
             split.append(parts)
         for i, t in self.special_entries:
             memory[i] = (1, str(i), t)
-        if unknown := {p for parts in split for p in parts if p not in memory}:
-            self.learn(unknown)
+        unknown = {p for parts in split for p in parts if p not in memory}
+        memory |= {p: old[p] for p in unknown if p in old}
+        if new := unknown - memory.keys():
+            self.learn(new)
         return [[memory[p] for p in parts] for parts in split]
 
     def decode(self, ids: list[int]) -> str:

@@ -163,3 +163,8 @@ def mix(
 def take(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: every document as often as it was taken, with the given columns."""
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def long(name: str, alias: str) -> Column:
+    """A column as long under another name."""
+    return F.col(name).cast("long").alias(alias)
