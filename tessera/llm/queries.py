@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing
+from tessera.llm import ann, bpe, mixing, topk
 from tessera.llm.common import table
 
 
@@ -19,4 +20,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op3_bpe)}
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth of the embeddings."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest integer inner products of every hundredth of the embeddings."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op3_bpe, op5_cross_polytope, op9_pivot_topk)}
