@@ -2,6 +2,26 @@
 
 from __future__ import annotations
 
+OP4 = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, u.turn, u.role, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) u(turn, role)
+), f as (
+  select *, case when role = 'assistant' then text else '' end as learned,
+    length(regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\2\\\3', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\2\\\3', 'g'))
+    + length('<s>[INST][/INST]</s>') as chars
+  from t
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(sum(length(learned)) as bigint) as loss_chars,
+  sha256(string_agg(learned, '' order by turn nulls first, role, text)) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars
+from f group by conv_id
+"""
+
 OP9 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
@@ -16,4 +36,4 @@ select query_id, cast(r as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) where r <= 10
 """
 
-ORACLES: dict[str, str] = {"op9_pivot_topk": OP9}
+ORACLES: dict[str, str] = {"op4_chat_format": OP4, "op9_pivot_topk": OP9}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, mixing, topk
+from tessera.llm import ann, bpe, chat, mixing, topk
 from tessera.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one with control strings in its texts, rendered and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.sample_with_controls(spark))
+    return chat.digests(chat.format_log(chat.event_log(turns)))
+
+
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth of the embeddings."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -30,4 +36,4 @@ def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op3_bpe, op5_cross_polytope, op9_pivot_topk)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op3_bpe, op4_chat_format, op5_cross_polytope, op9_pivot_topk)}
