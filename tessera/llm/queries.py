@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, mixing, topk
+from tessera.llm import ann, bpe, chat, mixing, pii, quality, topk
 from tessera.llm.common import table
 
 
@@ -31,9 +31,21 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents: the base patterns' spans and those that boosted trees add."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 largest integer inner products of every hundredth of the embeddings."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op3_bpe, op4_chat_format, op5_cross_polytope, op9_pivot_topk)}
+def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents scored by a ranking learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), at=0.3))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op3_bpe, op4_chat_format, op5_cross_polytope, op8_pii, op9_pivot_topk, op10_bradley_terry)}
