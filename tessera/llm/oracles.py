@@ -22,6 +22,33 @@ select conv_id, count(*) as n_turns,
 from f group by conv_id
 """
 
+OP7 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s
+  from w
+), e as (
+  select doc_id, len(s) as n, unnest(s) as g from s
+), p as (
+  select x.doc_id as a, y.doc_id as b, x.n as n, y.n as m, count(*) as c
+  from e x join e y on x.g = y.g and x.doc_id < y.doc_id and 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  group by all
+), l as (
+  select a, b from p where 100 * c >= 90 * (n + m - c)
+), d as (
+  select a, b from l union select b, a from l
+), r as (
+  select doc_id as node, doc_id as reach from documents
+  union
+  select d.b, r.reach from r join d on d.a = r.node
+)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.reach) as component_id
+from s join r on r.node = s.doc_id group by s.doc_id, len(s.s)
+"""
+
 OP9 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
@@ -36,4 +63,4 @@ select query_id, cast(r as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) where r <= 10
 """
 
-ORACLES: dict[str, str] = {"op4_chat_format": OP4, "op9_pivot_topk": OP9}
+ORACLES: dict[str, str] = {"op4_chat_format": OP4, "op7_partenum_join": OP7, "op9_pivot_topk": OP9}
