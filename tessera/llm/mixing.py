@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
         .withColumn("full", F.coalesce(F.sum(F.lit(max_copies) * F.col("source_size")).over(before), F.lit(0)))
         .withColumn("weight_left", F.sum("weight").over(after))
         .withColumn("open", F.col("weight") * level <= F.lit(max_copies) * F.col("source_size"))
-        .withColumn("level", F.min(F.when(F.col("open"), level)).over(everything))
+        .withColumn("level", F.max(F.when(F.col("open"), level)).over(everything))  # that of the first open source
         .select(
             "source",
             "source_size",
