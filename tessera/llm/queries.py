@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, jaccard, mixing, pii, quality, repeats, topk
+from tessera.llm import ann, bpe, chat, html, jaccard, mixing, pii, quality, repeats, topk
 from tessera.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", mixing.long("mix_size", "size"), "source_size", "target", "taken")
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents encoded and decoded with a public vocabulary."""
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
@@ -58,4 +63,4 @@ def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op3_bpe, op4_chat_format, op5_cross_polytope, op6_bucket_pointer, op7_partenum_join, op8_pii, op9_pivot_topk, op10_bradley_terry)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_wrapper_induction, op3_bpe, op4_chat_format, op5_cross_polytope, op6_bucket_pointer, op7_partenum_join, op8_pii, op9_pivot_topk, op10_bradley_terry)}
