@@ -96,7 +96,7 @@ def filt_or_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).where(seen).select("o_orderkey")
 
 
-ITEMS = """items as (select l_orderkey as id, to_json(list({'q': cast(l_quantity as integer), 'flag': l_returnflag} order by l_linenumber)) as body from lineitem where l_orderkey % 7 <> 0 group by l_orderkey
+ITEMS = """items as (select l_orderkey as id, to_json(list({'q': cast(l_quantity as integer), 'flag': l_returnflag} order by l_linenumber, cast(l_quantity as integer), l_returnflag)) as body from lineitem where l_orderkey % 7 <> 0 group by l_orderkey
 union all select o_orderkey, '{"q": 1}' from orders where o_orderkey % 7 = 0)"""
 
 
