@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import aggregations, filters, joins, scans, sets, sorting, windowed  # noqa: F401
+    from tessera.plans import aggregations, filters, joins, scans, sets, sorting, strings, windowed  # noqa: F401
 
 
 load()
