@@ -30,6 +30,8 @@ from tessera.llm.components import components
 PACK, SORT = 1 << 20, 1 << 21
 #: Characters of text for each packed partition.
 SPREAD = 1 << 24
+#: How many times as many sets of a signature are pivots in each round.
+DEEPER = 16
 
 
 class PartEnum:
@@ -195,6 +197,16 @@ def _links(pairs: DataFrame, docs: DataFrame, holders: DataFrame, words: int, nu
     return pairs.join(a, "a").join(b, "b").where(F.lit(den) * common >= F.lit(num) * (sizes - common)).select("a", "b")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the component of their set so far."""
+    return rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The signatures whose sets are in several components."""
+    return rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
+
+
 def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int | None = None, k2: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
@@ -219,20 +231,15 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int |
     tested = pairs
     links = written(_links(pairs, docs, holders, words, num, den), "links")
     labels = written(components(links), "labels")
-    open_rows, low = None, 0
-    while True:
-        rows = (open_rows if open_rows is not None else members.select("sig", "set_id").distinct()).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-        rows = rows.withColumn("label", F.coalesce("label", "set_id"))
-        mixed = rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-        if open_rows is None:
-            # from here on only signatures whose sets were not all connected through their pivot
-            open_rows = written(rows.join(mixed, "sig", "left_semi").select("sig", "set_id").withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("set_id"))), "open")
-            deepest = open_rows.agg(F.max("r")).first()[0] or 0
-            rows = open_rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        if low >= deepest:
-            break
-        high = max(1, 2 * low)
-        still = rows.join(mixed, "sig", "left_semi")
+    rows = _labelled(members.select("sig", "set_id").distinct(), labels)
+    # from here on only signatures whose sets were not all connected through their pivot, the sets numbered
+    number = F.row_number().over(Window.partitionBy("sig").orderBy("set_id"))
+    opened = written(rows.join(_mixed(rows), "sig", "left_semi").select("sig", "set_id").withColumn("r", number), "open")
+    deepest, low = opened.agg(F.max("r")).first()[0] or 0, 0
+    while low < deepest:
+        high = max(1, DEEPER * low)
+        rows = _labelled(opened, labels)
+        still = rows.join(_mixed(rows), "sig", "left_semi")
         left = still.where((F.col("r") > low) & (F.col("r") <= high)).select("sig", F.col("set_id").alias("a"), F.col("label").alias("x"), F.col("r").alias("q"))
         more = still.join(left, "sig").where("r > q and label <> x").select("a", F.col("set_id").alias("b")).distinct()
         more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -240,8 +247,10 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int |
         if more.isEmpty():
             continue
         tested = tested.unionByName(more)
-        links = links.unionByName(written(_links(more, docs, holders, words, num, den), "links"))
-        labels = written(components(links), "labels")
+        found = written(_links(more, docs, holders, words, num, den), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = written(components(links), "labels")
     least = holders.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     by_label = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = least.join(by_label, "label").select("set_id", "component_id")
