@@ -58,7 +58,7 @@ def debounce(seconds: float, same_kind: bool) -> Fold:
 
     def fold(state: dict | None, t: int, kind: object) -> tuple[dict, bool]:
         last = dict(state or {})
-        k = kind if same_kind else None
+        k = kind if same_kind else ""
         keep = k not in last or not 0 <= t - last[k] < seconds * 1_000_000
         if keep:
             last[k] = t

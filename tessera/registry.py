@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import aggregations, filters, joins, numbers, scans, sets, sorting, strings, times, windowed  # noqa: F401
+    from tessera.plans import aggregations, filters, joins, jsons, matching, numbers, scans, sets, sorting, streams, strings, times, windowed  # noqa: F401
 
 
 load()
