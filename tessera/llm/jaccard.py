@@ -6,10 +6,10 @@ partitions of n2 second-level ones, and each way to leave out k2 of the n2 gives
 fall into the others.  As n1 * (k2 + 1) > k, two similar sets share a signature.  A set has signatures for its own band and
 for the next.
 
-Documents with equal sets are one node from the start.  The sets of one signature are compared with its least one first;
-accepted links make components, and only signatures whose sets are not all connected by then are looked at again, with
-more of their sets as pivots, until every pair of a signature is connected or was compared.  Links are exact: shingle sets
-of both sides are intersected.
+Documents with equal sets are one node from the start.  The sets of one signature are compared first with the one that shares
+most with others, as an original does with its copies; accepted links make components.  Only signatures whose sets are not all
+connected by then are looked at again: tasks hold blocks of their sets as sketches, whose differing bytes are a lower bound of the Hamming
+distance, and let only those unconnected pairs out that may still be similar.  Links are exact: shingle sets of both sides are intersected.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from tessera.llm.components import components
 PACK, SORT = 1 << 20, 1 << 21
 #: Characters of text for each packed partition.
 SPREAD = 1 << 24
-#: How many times as many sets of a signature are pivots in each round.
-DEEPER = 16
+#: Bytes of a sketch, and sketches of one signature that a task compares with as many others.
+CELLS, BLOCK = 256, 2048
 
 
 class PartEnum:
@@ -117,7 +117,7 @@ def _packed(docs: DataFrame, words: int, enum: PartEnum, parts: int) -> DataFram
 
 
 def _met(packs: list[bytes], carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of signatures with several sets as signature, set, least set; one row for each signature)."""
+    """(rows of signatures with several sets as signature, set; one row for each signature)."""
     rows = np.concatenate([carried, *(np.frombuffer(x, np.uint64).reshape(-1, 2) for x in packs)])
     sets = rows[:, 1].view(np.int64) if rows.flags.c_contiguous else rows[:, 1].copy().view(np.int64)
     order = np.lexsort((sets, rows[:, 0]))
@@ -128,32 +128,31 @@ def _met(packs: list[bytes], carried: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
     size = np.diff(np.append(first, len(sig)))
     shared = np.repeat(size > 1, size)
-    least = np.repeat(own[first], size)
-    return np.stack((sig[shared].view(np.int64), own[shared], least[shared]), axis=1), np.stack((sig[first], own[first].view(np.uint64)), axis=1)
+    return np.stack((sig[shared].view(np.int64), own[shared]), axis=1), np.stack((sig[first], own[first].view(np.uint64)), axis=1)
 
 
 def _unpacked(packed: DataFrame) -> DataFrame:
-    """(kind, doc_id, set_id, n, sig, pivot): documents as they are, and the sets of every signature that several have.
+    """(kind, doc_id, set_id, n, sig): documents as they are, and the sets of every signature that several have.
 
     A task sorts a bounded number of signatures at once and carries one row for each signature on, so that a
     frequent one needs no more memory than others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "set_id", "n", "sig", "pivot"]
+        names = ["kind", "doc_id", "set_id", "n", "sig"]
         none = np.zeros((0, 2), np.uint64)
 
         def met(packs: list[bytes], carried: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
             rows, carried = _met(packs, carried)
             m = len(rows)
-            columns = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(rows[:, 1]), pa.array(np.zeros(m, np.int64)), pa.array(rows[:, 0]), pa.array(rows[:, 2])]
+            columns = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(rows[:, 1]), pa.array(np.zeros(m, np.int64)), pa.array(rows[:, 0])]
             return pa.RecordBatch.from_arrays(columns, names=names), carried
 
         packs, count, carried, p = [], 0, none, None
         for b in batches:
             docs = b.filter(b.column(4).is_null())
             zero = pa.array(np.zeros(docs.num_rows, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs.num_rows, np.int32)), docs.column(1), docs.column(2), docs.column(3), zero, zero], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs.num_rows, np.int32)), docs.column(1), docs.column(2), docs.column(3), zero], names=names)
             rest = b.filter(b.column(4).is_valid())
             for q, pack in zip(rest.column(0).to_pylist(), rest.column(4).to_pylist()):
                 if (q != p or count >= SORT) and packs:
@@ -169,11 +168,18 @@ def _unpacked(packed: DataFrame) -> DataFrame:
 
     # packs may be large: few rows to a batch
     rows = packed.repartition("p").sortWithinPartitions("p")
-    return rows.mapInArrow(run, "kind int, doc_id long, set_id long, n long, sig long, pivot long")
+    return rows.mapInArrow(run, "kind int, doc_id long, set_id long, n long, sig long")
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A byte for each cell of the feature domain; a cell whose byte differs between two sets holds a feature of only one of them."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles.mix(s ^ np.uint64(0x632BE59BD9B4E019)))))
+    bounds = np.searchsorted(((s >> np.uint64(32)) * np.uint64(CELLS)) >> np.uint64(32), np.arange(CELLS + 1, dtype=np.uint64))
+    return (shingles.mix(total[bounds[1:]] - total[bounds[:-1]]) & np.uint64(255)).astype(np.uint8)
 
 
 def _sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(set_id, s): the shingles of each text."""
+    """(set_id, s, sketch) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,30 +187,93 @@ def _sets_of(docs: DataFrame, words: int) -> DataFrame:
             ids = pa.array([shingles.set_id(s) for s in found], pa.int64())
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
             values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["set_id", "s"])
+            sketches = pa.array([sketch(s).tobytes() for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), sketches], names=["set_id", "s", "sketch"])
 
-    return docs.select("text").mapInArrow(run, "set_id long, s array<long>")
+    return docs.select("text").mapInArrow(run, "set_id long, s array<long>, sketch binary")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, holders: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar.  holders: (set_id, doc_id), a document for each set."""
-    needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+def _sets(docs: DataFrame, needed: DataFrame, holders: DataFrame, words: int) -> DataFrame:
+    """(set_id, s) of the needed sets, each read from one document that has it.  holders: (set_id, doc_id)."""
     wanted = holders.join(needed, "set_id", "left_semi").select("doc_id").distinct()
     found = _sets_of(docs.join(wanted, "doc_id", "left_semi"), words)
-    sets = written(found.join(needed, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+    return written(found.join(needed, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar."""
     a, b = (sets.select(F.col("set_id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     common, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     return pairs.join(a, "a").join(b, "b").where(F.lit(den) * common >= F.lit(num) * (sizes - common)).select("a", "b")
 
 
+def _ranked(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sig, set_id, n, r): the sets of each signature, numbered from the one that shares most with others.
+
+    A set's weight is the sum of the sizes of its signatures.  sizes: (set_id, n).
+    """
+    crowd = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    weight = members.join(crowd, "sig").groupBy("set_id").agg(F.sum("m").alias("w"))
+    order = Window.partitionBy("sig").orderBy(F.col("w").desc(), "set_id")
+    return members.join(weight.join(sizes, "set_id"), "set_id").withColumn("r", F.row_number().over(order)).select("sig", "set_id", "n", "r")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with the component of their set so far."""
     return rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The signatures whose sets are in several components."""
-    return rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
+    """(sig, m): the signatures whose sets are in several components, with the number of their sets."""
+    return rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("sig", "m")
+
+
+def may_link(n: np.ndarray, label: np.ndarray, sketches: np.ndarray, side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of a block in different components that the sketches do not rule out.
+
+    side says on which side of the block a set stands: 0 and 1 meet, 2 meets all.
+    """
+    at_i, at_j = [], []
+    for i in np.flatnonzero(side != 1):
+        j = np.flatnonzero((label != label[i]) & ((side == 1) | ((side == 2) & (np.arange(len(n)) > i))) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
+        if len(j):
+            apart = (sketches[j] != sketches[i]).sum(1)
+            j = j[apart * (den + num) <= (den - num) * (n[j] + n[i])]
+            at_i.append(np.full(len(j), i))
+            at_j.append(j)
+    return (np.concatenate(at_i), np.concatenate(at_j)) if at_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _near(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of one signature in different components that may be similar.  mixed: (sig, m, set_id, n, label, sketch).
+
+    A signature with more than BLOCK sets is split; each pair of its parts is a block of its own.
+    """
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), parts).cast("int")
+    dealt = mixed.withColumn("c", own).withColumn("d", F.explode(F.sequence(F.lit(0), parts - 1)))
+    side = F.when(F.col("c") == F.col("d"), 2).when(F.col("c") < F.col("d"), 0).otherwise(1)
+    dealt = dealt.select("sig", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "set_id", "n", "label", side.alias("side"), "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            ids, n, label, side = (rows[c].to_numpy() for c in ("set_id", "n", "label", "side"))
+            sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            i, j = may_link(n, label, sketches, side, num, den)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
+
+        held: pa.Table | None = None  # the block that may go on in the next batch
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            keys = np.stack([rows[c].to_numpy() for c in ("sig", "i", "j")], axis=1)
+            starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)) if len(keys) else np.zeros(1, np.int64)
+            for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                yield pairs(rows.slice(x, y - x))
+            held = rows.slice(int(starts[-1]))
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int | None = None, k2: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,33 +293,22 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int |
     parts = max(16, -(-chars // SPREAD))
     table = written(_unpacked(_packed(docs, words, enum, parts)), "signatures")
     own = table.where("kind = 0").select("doc_id", "set_id", "n")
-    members = table.where("kind = 1").select("sig", "set_id", "pivot")
     holders = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-
-    pairs = written(members.where("pivot <> set_id").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct(), "pairs")
-    tested = pairs
-    links = written(_links(pairs, docs, holders, words, num, den), "links")
-    labels = written(components(links), "labels")
-    rows = _labelled(members.select("sig", "set_id").distinct(), labels)
-    # from here on only signatures whose sets were not all connected through their pivot, the sets numbered
-    number = F.row_number().over(Window.partitionBy("sig").orderBy("set_id"))
-    opened = written(rows.join(_mixed(rows), "sig", "left_semi").select("sig", "set_id").withColumn("r", number), "open")
-    deepest, low = opened.agg(F.max("r")).first()[0] or 0, 0
-    while low < deepest:
-        high = max(1, DEEPER * low)
-        rows = _labelled(opened, labels)
-        still = rows.join(_mixed(rows), "sig", "left_semi")
-        left = still.where((F.col("r") > low) & (F.col("r") <= high)).select("sig", F.col("set_id").alias("a"), F.col("label").alias("x"), F.col("r").alias("q"))
-        more = still.join(left, "sig").where("r > q and label <> x").select("a", F.col("set_id").alias("b")).distinct()
-        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        low = high
-        if more.isEmpty():
-            continue
-        tested = tested.unionByName(more)
-        found = written(_links(more, docs, holders, words, num, den), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = written(components(links), "labels")
+    sizes = own.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"))
+    members = table.where("kind = 1").select("sig", "set_id").distinct()
+    opened = written(_ranked(members, sizes), "open")
+    sets = _sets(docs, opened.select("set_id").distinct(), holders, words)
+    pivot = opened.where("r = 1").select("sig", F.col("set_id").alias("a"), F.col("n").alias("na"))
+    fits = F.lit(den) * F.least("n", "na") >= F.lit(num) * F.greatest("n", "na")
+    first = opened.where("r > 1").join(pivot, "sig").where(fits).select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
+    first = written(first, "pairs")
+    labels = written(components(_links(first, sets, num, den)), "labels")
+    rows = _labelled(opened, labels)
+    mixed = rows.join(_mixed(rows), "sig").join(sets.select("set_id", "sketch"), "set_id")
+    more = written(_near(mixed, num, den).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    found = written(_links(more, sets, num, den), "links")
+    if not found.isEmpty():  # components so far are stars, to which the new links are added
+        labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)), "labels")
     least = holders.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     by_label = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = least.join(by_label, "label").select("set_id", "component_id")

@@ -82,13 +82,30 @@ def test_similar_sets_share_a_signature(num, den):
                 assert np.intersect1d(enum.signatures(a), enum.signatures(b)).size
 
 
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(400) < p, rng.integers(0, 1 << 63, 400, dtype=np.uint64), base)) for p in rng.choice([0, 0.02, 0.05, 0.1, 0.3], 60)]
+    n, label = np.array([len(s) for s in sets]), np.arange(60)
+    side = np.where(np.arange(60) < 20, 0, 1)
+    for sides in (np.full(60, 2), side):
+        i, j = jaccard.may_link(n, label, np.stack([jaccard.sketch(s) for s in sets]), sides, 90, 100)
+        out = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
+        for a in range(60):
+            for b in range(a + 1, 60):
+                inter = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * inter >= 90 * (n[a] + n[b] - inter) and (sides[a] == 2 or sides[a] != sides[b]):
+                    assert (a, b) in out
+        assert len(out) < 60 * 59 / 3
+
+
 def test_bounded_pieces_find_every_shared_signature():
     rng = np.random.default_rng(2)
     rows = np.stack((rng.integers(0, 40, 500), rng.integers(0, 30, 500)), axis=1).astype(np.uint64)
     carried, found = np.zeros((0, 2), np.uint64), set()
     for k in range(0, 500, 37):
         got, carried = jaccard._met([rows[k : k + 37].tobytes()], carried)
-        found |= {(int(s), int(x)) for s, x, _ in got}
+        found |= {(int(s), int(x)) for s, x in got}
     by = {}
     for s, x in rows.tolist():
         by.setdefault(s, set()).add(x)
