@@ -2,6 +2,51 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+    (cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), 'null')), 1, 12) as bigint) + cast(0.5 as double)) / cast(281474976710656 as double) as u
+  from documents
+), s as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as k from d group by source
+), w as (
+  select *, [3, 1, 2][(k - 1) % 3 + 1] as weight, cast(sum(source_size) over () as double) as total from s
+), f as (
+  select *, cast(coalesce(sum(2 * source_size) over (order by source_size / weight, k rows between unbounded preceding and 1 preceding), 0) as double) as filled,
+    cast(sum(weight) over (order by source_size / weight, k rows between current row and unbounded following) as double) as weight_left
+  from w
+), l as (
+  select *, (cast(1.5 as double) * total - filled) / weight_left as level from f
+), t as (
+  select source, source_size, least(cast(2 as double) * source_size, coalesce(weight * max(case when weight * level <= 2 * source_size then level end) over (), cast(2 as double) * source_size)) as target from l
+), g as (
+  select *, cast(floor(case when source_size > 0 then target / source_size else 0 end) as bigint) as whole from t
+), r as (
+  select *, target - whole * source_size as rest from g
+), z as (
+  select source, size, count(*) as n from d where size > 0 group by source, size
+), y as (
+  select source, size, coalesce(sum(n * size) over (partition by source order by size desc rows between unbounded preceding and 1 preceding), 0) as before,
+    cast(sum(n * size * size) over (partition by source order by size desc rows between current row and unbounded following) as double) as squares
+  from z
+), c as (
+  select y.source, arg_max((rest - cast(before as double)) / squares, size) as scale, max(size) as open_size
+  from y join r on y.source is not distinct from r.source where (rest - cast(before as double)) / squares * size < 1 group by y.source
+), p as (
+  select d.*, r.source_size, r.target, r.whole, r.rest, case when c.scale is null or d.size > c.open_size then cast(1 as double) else greatest(cast(0 as double), least(cast(1 as double), c.scale * d.size)) end as p
+  from d join r on d.source is not distinct from r.source left join c on d.source is not distinct from c.source
+), o as (
+  select *, u * (1 - p) / (u * (1 - p) + (1 - u) * p) as rank from p where size > 0
+), q as (
+  select *, sum(size) over (partition by source order by rank, doc_id rows between unbounded preceding and current row) as upto from o
+), last as (
+  select source, max(rank) filter (where upto <= rest or (upto - size < rest and abs(upto - rest) < abs(upto - size - rest))) as last_rank, max(upto) >= max(rest) as reached from q group by source
+)
+select p.doc_id, p.size, p.source_size, p.target,
+  cast(case when p.size = 0 then 0 else (p.whole + case when p.rest > 0 and p.whole < 2 and (not last.reached or coalesce(o.rank <= last.last_rank, false)) then 1 else 0 end) * p.size end as bigint) as taken
+from p left join o on o.doc_id = p.doc_id and o.size = p.size and o.source is not distinct from p.source left join last on last.source is not distinct from p.source
+"""
+
 OP4 = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -63,4 +108,4 @@ select query_id, cast(r as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) where r <= 10
 """
 
-ORACLES: dict[str, str] = {"op4_chat_format": OP4, "op7_partenum_join": OP7, "op9_pivot_topk": OP9}
+ORACLES: dict[str, str] = {"op1_pareto_mixing": OP1, "op4_chat_format": OP4, "op7_partenum_join": OP7, "op9_pivot_topk": OP9}
