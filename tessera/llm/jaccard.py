@@ -31,7 +31,7 @@ PACK, SORT = 1 << 20, 1 << 21
 #: Characters of text for each packed partition.
 SPREAD = 1 << 24
 #: Bytes of a sketch, and sketches of one signature that a task compares with as many others.
-CELLS, BLOCK = 256, 2048
+CELLS, BLOCK = 512, 2048
 
 
 class PartEnum:
@@ -194,10 +194,26 @@ def _sets_of(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, holders: DataFrame, words: int) -> DataFrame:
-    """(set_id, s) of the needed sets, each read from one document that has it.  holders: (set_id, doc_id)."""
+    """(set_id, n, s, sketch) of the needed sets, each read from one document that has it.  holders: (set_id, doc_id).
+
+    Repeated ids may bring sets twice or bring others, which only makes pairs come twice.
+    """
     wanted = holders.join(needed, "set_id", "left_semi").select("doc_id").distinct()
-    found = _sets_of(docs.join(wanted, "doc_id", "left_semi"), words)
-    return written(found.join(needed, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+    return written(_sets_of(docs.join(wanted, "doc_id", "left_semi"), words).withColumn("n", F.size("s")), "sets")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the sketches of their sets do not rule out."""
+    a, b = (sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in filter(len, batches):
+            ka, kb = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(rows.num_rows, -1) for c in ("ka", "kb"))
+            sizes = rows.column("na").to_numpy().astype(np.int64) + rows.column("nb").to_numpy()
+            yield rows.select(["a", "b"]).filter(pa.array((ka != kb).sum(1) * (den + num) <= (den - num) * sizes))
+
+    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ka", "kb")
+    return joined.mapInArrow(run, "a long, b long").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -302,7 +318,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int |
     fits = F.lit(den) * F.least("n", "na") >= F.lit(num) * F.greatest("n", "na")
     first = opened.where("r > 1").join(pivot, "sig").where(fits).select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
     first = written(first, "pairs")
-    labels = written(components(_links(first, sets, num, den)), "labels")
+    labels = written(components(_links(written(_possible(first, sets, num, den), "pairs"), sets, num, den)), "labels")
     rows = _labelled(opened, labels)
     mixed = rows.join(_mixed(rows), "sig").join(sets.select("set_id", "sketch"), "set_id")
     more = written(_near(mixed, num, den).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
