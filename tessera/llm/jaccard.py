@@ -30,8 +30,8 @@ from tessera.llm.components import components
 PACK, SORT = 1 << 20, 1 << 21
 #: Characters of text for each packed partition.
 SPREAD = 1 << 24
-#: Bytes of a sketch, and sketches of one signature that a task compares with as many others.
-CELLS, BLOCK = 512, 2048
+#: Sketches of one signature that a task compares with as many others.
+BLOCK = 2048
 
 
 class PartEnum:
@@ -172,14 +172,35 @@ def _unpacked(packed: DataFrame) -> DataFrame:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """A byte for each cell of the feature domain; a cell whose byte differs between two sets holds a feature of only one of them."""
+    """A byte for each cell of the feature domain; a cell whose byte differs between two sets holds a feature of only one of them.
+
+    The number of cells is a power of two, at least 256 and half the size of the set.
+    """
+    cells = 1 << max(8, (len(s) // 2 - 1).bit_length())
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles.mix(s ^ np.uint64(0x632BE59BD9B4E019)))))
-    bounds = np.searchsorted(((s >> np.uint64(32)) * np.uint64(CELLS)) >> np.uint64(32), np.arange(CELLS + 1, dtype=np.uint64))
-    return (shingles.mix(total[bounds[1:]] - total[bounds[:-1]]) & np.uint64(255)).astype(np.uint8)
+    bounds = np.searchsorted(((s >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32), np.arange(cells + 1, dtype=np.uint64))
+    return ((total[bounds[1:]] - total[bounds[:-1]]) & np.uint64(255)).astype(np.uint8)
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of any width as rows of ``width`` bytes: bytes of neighbouring cells add up."""
+    return np.stack([np.frombuffer(x, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.uint8) for x in sketches])
+
+
+def _sketches_of(docs: DataFrame, words: int) -> DataFrame:
+    """(set_id, n, sketch) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [s for s in shingles.sets(b.column(0), words) if len(s)]
+            columns = [pa.array([shingles.set_id(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s).tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "sketch"])
+
+    return docs.select("text").mapInArrow(run, "set_id long, n long, sketch binary")
 
 
 def _sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(set_id, s, sketch) of each text."""
+    """(set_id, s) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,19 +208,18 @@ def _sets_of(docs: DataFrame, words: int) -> DataFrame:
             ids = pa.array([shingles.set_id(s) for s in found], pa.int64())
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
             values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            sketches = pa.array([sketch(s).tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), sketches], names=["set_id", "s", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["set_id", "s"])
 
-    return docs.select("text").mapInArrow(run, "set_id long, s array<long>, sketch binary")
+    return docs.select("text").mapInArrow(run, "set_id long, s array<long>")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, holders: DataFrame, words: int) -> DataFrame:
-    """(set_id, n, s, sketch) of the needed sets, each read from one document that has it.  holders: (set_id, doc_id).
+def _holding(docs: DataFrame, needed: DataFrame, holders: DataFrame) -> DataFrame:
+    """The documents to read the needed sets from, one for each; repeated ids may bring sets twice or bring others, so that pairs come twice.
 
-    Repeated ids may bring sets twice or bring others, which only makes pairs come twice.
+    holders: (set_id, doc_id).  The ids are written, so that Spark knows their size and broadcasts them only where it is small.
     """
-    wanted = holders.join(needed, "set_id", "left_semi").select("doc_id").distinct()
-    return written(_sets_of(docs.join(wanted, "doc_id", "left_semi"), words).withColumn("n", F.size("s")), "sets")
+    wanted = written(holders.join(needed, "set_id", "left_semi").select("doc_id").distinct(), "wanted")
+    return docs.join(wanted, "doc_id", "left_semi")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -208,16 +228,20 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in filter(len, batches):
-            ka, kb = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(rows.num_rows, -1) for c in ("ka", "kb"))
-            sizes = rows.column("na").to_numpy().astype(np.int64) + rows.column("nb").to_numpy()
-            yield rows.select(["a", "b"]).filter(pa.array((ka != kb).sum(1) * (den + num) <= (den - num) * sizes))
+            keep = []
+            for na, nb, ka, kb in zip(*(rows.column(c).to_pylist() for c in ("na", "nb", "ka", "kb"))):
+                x, y = folded([ka, kb], min(len(ka), len(kb)))
+                keep.append(int((x != y).sum()) * (den + num) <= (den - num) * (na + nb))
+            yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ka", "kb")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar."""
+def _links(pairs: DataFrame, docs: DataFrame, holders: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar; only their sets are read."""
+    needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    sets = _sets_of(_holding(docs, needed, holders), words)
     a, b = (sets.select(F.col("set_id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     common, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     return pairs.join(a, "a").join(b, "b").where(F.lit(den) * common >= F.lit(num) * (sizes - common)).select("a", "b")
@@ -274,8 +298,8 @@ def _near(mixed: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> pa.RecordBatch:
             ids, n, label, side = (rows[c].to_numpy() for c in ("set_id", "n", "label", "side"))
-            sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            i, j = may_link(n, label, sketches, side, num, den)
+            sketches = rows["sketch"].to_pylist()
+            i, j = may_link(n, label, folded(sketches, min(map(len, sketches))), side, num, den)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
         held: pa.Table | None = None  # the block that may go on in the next batch
@@ -313,16 +337,17 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int |
     sizes = own.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"))
     members = table.where("kind = 1").select("sig", "set_id").distinct()
     opened = written(_ranked(members, sizes), "open")
-    sets = _sets(docs, opened.select("set_id").distinct(), holders, words)
+    sketches = written(_sketches_of(_holding(docs, opened.select("set_id").distinct(), holders), words), "sketches")
     pivot = opened.where("r = 1").select("sig", F.col("set_id").alias("a"), F.col("n").alias("na"))
     fits = F.lit(den) * F.least("n", "na") >= F.lit(num) * F.greatest("n", "na")
     first = opened.where("r > 1").join(pivot, "sig").where(fits).select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
     first = written(first, "pairs")
-    labels = written(components(_links(written(_possible(first, sets, num, den), "pairs"), sets, num, den)), "labels")
+    possible = written(_possible(first, sketches, num, den), "pairs")
+    labels = written(components(_links(possible, docs, holders, words, num, den)), "labels")
     rows = _labelled(opened, labels)
-    mixed = rows.join(_mixed(rows), "sig").join(sets.select("set_id", "sketch"), "set_id")
+    mixed = rows.join(_mixed(rows), "sig").join(sketches.select("set_id", "sketch"), "set_id")
     more = written(_near(mixed, num, den).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    found = written(_links(more, sets, num, den), "links")
+    found = written(_links(more, docs, holders, words, num, den), "links")
     if not found.isEmpty():  # components so far are stars, to which the new links are added
         labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)), "labels")
     least = holders.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
