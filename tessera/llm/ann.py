@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table turns vectors by fast Hadamard pseudo-rotations (random signs, then a Hadamard transform, three times) and assigns each to
-the nearest signed axis: the largest component by absolute value, with its sign.  A key joins the axes of as many rotations as
-keep buckets small for the number of rows.  Queries probe the buckets whose axes lie nearest in every table; the
-candidates found are reranked by their exact inner products.
+the nearest signed axis: the largest component by absolute value, with its sign.  Queries probe the buckets whose axes lie
+nearest in every table; the candidates found are reranked by their exact inner products.  The share of pairs
+searched is the same for any number of rows, so recall does not fall as tables grow.
 
 Buckets with more than ``CHUNK`` rows are split by a hash of the id, and their queries go to every part, so a frequent vector
 does not gather in one task.
@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import prepare
 from tessera.llm.topk import finite, ranked
 
-#: Rows that a task holds of one bucket.
-CHUNK = 8192
-#: Mean rows of a bucket from which on keys get another axis.
-CROWDED = 8192
+#: Rows that a task holds of one bucket, and queries that it scores at once against them.
+CHUNK, QUERY_BLOCK = 8192, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -48,21 +46,14 @@ def rotated(x: np.ndarray, table: int, turn: int) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, table: int, axes: int, probes: int) -> np.ndarray:
-    """The ``probes`` best keys of each row, best first: sums of components over one signed axis in each rotation."""
-    keys, sums = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
-    for turn in range(axes):
-        r = rotated(x, table, turn)
-        both = np.concatenate((r, -r), axis=1)
-        m = min(probes, both.shape[1])
-        near = np.argpartition(-both, m - 1, axis=1)[:, :m]
-        near = np.sort(near, axis=1)
-        value = np.take_along_axis(both, near, 1)
-        sums = (sums[:, :, None] + value[:, None, :]).reshape(len(x), -1)
-        keys = (keys[:, :, None] * both.shape[1] + near[:, None, :]).reshape(len(x), -1)
-        order = np.argsort(-sums, axis=1, kind="stable")[:, :probes]
-        keys, sums = np.take_along_axis(keys, order, 1), np.take_along_axis(sums, order, 1)
-    return keys
+def buckets(x: np.ndarray, table: int, probes: int) -> np.ndarray:
+    """The ``probes`` best keys of each row, best first: the signed axes with the largest components."""
+    r = rotated(x, table, 0)
+    both = np.concatenate((r, -r), axis=1)
+    m = min(probes, both.shape[1])
+    near = np.sort(np.argpartition(-both, m - 1, axis=1)[:, :m], axis=1)
+    order = np.argsort(-np.take_along_axis(both, near, 1), axis=1, kind="stable")
+    return np.take_along_axis(near, order, 1)
 
 
 def _units(column: pa.Array, longest: float | None) -> np.ndarray:
@@ -73,7 +64,7 @@ def _units(column: pa.Array, longest: float | None) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _hashed(rows: DataFrame, tables: int, axes: int, probes: int, longest: float | None, flat: bool) -> DataFrame:
+def _hashed(rows: DataFrame, tables: int, probes: int, longest: float | None, flat: bool) -> DataFrame:
     """(t, b, dim, id, v): a row for each table and probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +77,7 @@ def _hashed(rows: DataFrame, tables: int, axes: int, probes: int, longest: float
                 else:
                     u = _units(part.column(1), longest)
                 for t in range(tables):
-                    keys = buckets(u, t, axes, probes)
+                    keys = buckets(u, t, probes)
                     at = pa.array(np.repeat(np.arange(len(u)), keys.shape[1]))
                     columns = [pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.ravel()), part.column(2).take(at), part.column(0).take(at), part.column(1).take(at)]
                     yield pa.RecordBatch.from_arrays(columns, names=["t", "b", "dim", "id", "v"])
@@ -101,8 +92,11 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def rerank(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, ids, scores) of the k best of one bucket for each query, ties to smaller ids."""
-    rough, out = q @ x.T, []
-    for i, scores in enumerate(rough):
+    out = []
+    for i in range(len(q)):
+        if i % QUERY_BLOCK == 0:
+            rough = q[i : i + QUERY_BLOCK] @ x.T
+        scores = rough[i % QUERY_BLOCK]
         scores[x_ids == q_ids[i]] = -np.inf
         if len(scores) > k:
             kth = np.partition(scores, -k)[-k]
@@ -131,16 +125,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, p
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = vectors.where(finite(v) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.withColumn("length", length).where("length > 0 and length < double('infinity')")
-    n, shortest, longest, dim = rows.agg(F.count(F.lit(1)), F.min("length"), F.max("length"), F.max("dim")).first()
+    n, shortest, longest = rows.agg(F.count(F.lit(1)), F.min("length"), F.max("length")).first()
     uneven = longest if n and longest > 1.001 * shortest else None
-    wide = 2 << max(1, ((dim or 1) + (uneven is not None) - 1).bit_length())
-    axes = 1
-    while n > CROWDED * wide**axes:
-        axes += 1
-    cands = _hashed(rows.select("id", "v", "dim"), tables, axes, 1, uneven, False)
+    cands = _hashed(rows.select("id", "v", "dim"), tables, 1, uneven, False)
     once = rows.where("asks").groupBy("id", "dim").agg(F.min("v").alias("v")).select("id", "v", "dim")
-    asks = _hashed(once, tables, axes, probes, uneven, True)
-    parts = rows_in_buckets(rows, tables, axes, uneven)
+    asks = _hashed(once, tables, probes, uneven, True)
+    parts = rows_in_buckets(rows, tables, uneven)
     spread = F.coalesce(F.col("parts"), F.lit(1))
     cands = cands.join(parts, ["t", "b", "dim"], "left").withColumn("c", F.pmod(F.xxhash64("id"), spread).cast("int")).drop("parts")
     asks = asks.join(parts, ["t", "b", "dim"], "left").withColumn("c", F.explode(F.sequence(F.lit(0), (spread - 1).cast("int")))).drop("parts")
@@ -159,7 +149,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, p
     return ranked(pairs.select("query_id", F.array("id").alias("ids"), F.array("score").alias("scores")), k, "double")
 
 
-def rows_in_buckets(rows: DataFrame, tables: int, axes: int, longest: float | None) -> DataFrame:
+def rows_in_buckets(rows: DataFrame, tables: int, longest: float | None) -> DataFrame:
     """(t, b, dim, parts) of the buckets with more than CHUNK rows."""
-    keys = _hashed(rows.select("id", "v", "dim"), tables, axes, 1, longest, False)
+    keys = _hashed(rows.select("id", "v", "dim"), tables, 1, longest, False)
     return keys.groupBy("t", "b", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("t", "b", "dim", F.ceil(F.col("n") / CHUNK).alias("parts"))

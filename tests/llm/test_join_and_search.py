@@ -270,6 +270,31 @@ def test_approximate_search(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_recall_does_not_fall_with_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CROWDED", 1, raising=False)  # crowded buckets once gave keys more axes
+    monkeypatch.setattr(ann, "CHUNK", 16)
+    rows, df = vectors(spark, 1500)
+    v = np.array([r[1] for r in rows])
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, len(rows), 20):
+        s = v @ v[i]
+        s[i] = -9
+        hits += len(set(np.lexsort((np.arange(len(s)), -s))[:20]) & got.get(i, set()))
+    assert hits / (75 * 20) >= 0.9
+
+
+def test_blocks_of_queries_score_alike(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((90, 8)), rng.standard_normal((37, 8))
+    whole = ann.rerank(q, np.arange(37), x, np.arange(90), 5)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
+    for a, b in zip(whole, ann.rerank(q, np.arange(37), x, np.arange(90), 5), strict=True):
+        assert a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all()
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(1).standard_normal((5, 48))
     assert np.allclose(np.linalg.norm(ann.rotated(x, 1, 0), axis=1), np.linalg.norm(x, axis=1))
