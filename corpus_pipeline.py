@@ -23,11 +23,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group linked by 5-word shingles at a similarity of 0.8 or more."""
-    docs = pick(docs, *COLUMNS)
-    groups = jaccard.join(docs, words=5, num=80, den=100)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return pick(docs.join(kept, "doc_id", "left_semi"), *COLUMNS)
+    """One row, that of the least doc_id, nulls last, of each group linked by 5-word shingles at a similarity of 0.8 or more."""
+    return pick(jaccard.survivors(pick(docs, *COLUMNS), words=5, num=80, den=100), *COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

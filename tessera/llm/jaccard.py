@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
@@ -72,13 +72,13 @@ class PartEnum:
 
 
 def _packed(docs: DataFrame, words: int, enum: PartEnum, parts: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, set_id, n) for each document, and packs of (signature, set_id) for each partition p."""
+    """Rows of two kinds: (doc_id, key, set_id, n) for each document, and packs of (signature, set_id) for each partition p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["p", "doc_id", "set_id", "n", "pack"]
+        names = ["p", "doc_id", "key", "set_id", "n", "pack"]
 
-        def out(p: np.ndarray, ids: pa.Array, sets: np.ndarray, n: np.ndarray, packs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), ids, pa.array(sets, pa.int64()), pa.array(n, pa.int64()), pa.array(packs, pa.binary())], names=names)
+        def out(p: np.ndarray, ids: pa.Array, keys: pa.Array, sets: np.ndarray, n: np.ndarray, packs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), ids, keys, pa.array(sets, pa.int64()), pa.array(n, pa.int64()), pa.array(packs, pa.binary())], names=names)
 
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
             sig = np.concatenate([h[0] for h in held])
@@ -89,8 +89,8 @@ def _packed(docs: DataFrame, words: int, enum: PartEnum, parts: int) -> DataFram
             at = np.flatnonzero(np.diff(p, prepend=np.uint64(parts)))
             both = np.stack((sig, own.view(np.uint64)), axis=1)
             packs = [both[a:b].tobytes() for a, b in zip(at, [*at[1:], len(p)])]
-            nothing = np.zeros(len(at), np.int64)
-            return out(p[at].astype(np.int32), pa.nulls(len(at), pa.int64()), nothing, nothing, packs)
+            nothing, nulls = np.zeros(len(at), np.int64), pa.nulls(len(at), pa.int64())
+            return out(p[at].astype(np.int32), nulls, nulls, nothing, nothing, packs)
 
         held, count, seen = [], 0, set()
         for b in batches:
@@ -109,11 +109,11 @@ def _packed(docs: DataFrame, words: int, enum: PartEnum, parts: int) -> DataFram
                     if len(seen) > PACK:
                         seen = set()
             sets = np.array(ids, np.int64)
-            yield out((sets.view(np.uint64) % np.uint64(parts)).astype(np.int32), b.column(0), sets, np.array(sizes, np.int64), [None] * len(ids))
+            yield out((sets.view(np.uint64) % np.uint64(parts)).astype(np.int32), b.column(0), b.column(2), sets, np.array(sizes, np.int64), [None] * len(ids))
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "p int, doc_id long, set_id long, n long, pack binary")
+    return docs.select("doc_id", "text", "key").mapInArrow(run, "p int, doc_id long, key long, set_id long, n long, pack binary")
 
 
 def _met(packs: list[bytes], carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,29 +132,29 @@ def _met(packs: list[bytes], carried: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _unpacked(packed: DataFrame) -> DataFrame:
-    """(kind, doc_id, set_id, n, sig): documents as they are, and the sets of every signature that several have.
+    """(kind, doc_id, key, set_id, n, sig): documents as they are, and the sets of every signature that several have.
 
     A task sorts a bounded number of signatures at once and carries one row for each signature on, so that a
     frequent one needs no more memory than others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "set_id", "n", "sig"]
+        names = ["kind", "doc_id", "key", "set_id", "n", "sig"]
         none = np.zeros((0, 2), np.uint64)
 
         def met(packs: list[bytes], carried: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
             rows, carried = _met(packs, carried)
             m = len(rows)
-            columns = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(rows[:, 1]), pa.array(np.zeros(m, np.int64)), pa.array(rows[:, 0])]
+            columns = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(rows[:, 1]), pa.array(np.zeros(m, np.int64)), pa.array(rows[:, 0])]
             return pa.RecordBatch.from_arrays(columns, names=names), carried
 
         packs, count, carried, p = [], 0, none, None
         for b in batches:
-            docs = b.filter(b.column(4).is_null())
+            docs = b.filter(b.column(5).is_null())
             zero = pa.array(np.zeros(docs.num_rows, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs.num_rows, np.int32)), docs.column(1), docs.column(2), docs.column(3), zero], names=names)
-            rest = b.filter(b.column(4).is_valid())
-            for q, pack in zip(rest.column(0).to_pylist(), rest.column(4).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs.num_rows, np.int32)), docs.column(1), docs.column(2), docs.column(3), docs.column(4), zero], names=names)
+            rest = b.filter(b.column(5).is_valid())
+            for q, pack in zip(rest.column(0).to_pylist(), rest.column(5).to_pylist()):
                 if (q != p or count >= SORT) and packs:
                     got, carried = met(packs, carried)
                     yield got
@@ -168,7 +168,7 @@ def _unpacked(packed: DataFrame) -> DataFrame:
 
     # packs may be large: few rows to a batch
     rows = packed.repartition("p").sortWithinPartitions("p")
-    return rows.mapInArrow(run, "kind int, doc_id long, set_id long, n long, sig long")
+    return rows.mapInArrow(run, "kind int, doc_id long, key long, set_id long, n long, sig long")
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -213,13 +213,28 @@ def _sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set_id long, s array<long>")
 
 
-def _holding(docs: DataFrame, needed: DataFrame, holders: DataFrame) -> DataFrame:
-    """The documents to read the needed sets from, one for each; repeated ids may bring sets twice or bring others, so that pairs come twice.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents with a key for each row, a hash of id and text, which null ids have as well; only rows that repeat both share it."""
+    return docs.withColumn("key", F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")))
+
 
-    holders: (set_id, doc_id).  The ids are written, so that Spark knows their size and broadcasts them only where it is small.
+def _one_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents with the keys of ``wanted`` (key, many); of those with ``many`` one row a key, the least.
+
+    The keys are written, so that Spark knows their size and broadcasts them only where it is small.
     """
-    wanted = written(holders.join(needed, "set_id", "left_semi").select("doc_id").distinct(), "wanted")
-    return docs.join(wanted, "doc_id", "left_semi")
+    wanted = written(wanted, "wanted")
+    if wanted.where("many").isEmpty():
+        return docs.join(wanted, "key", "left_semi")
+    rest = [c for c in docs.columns if c != "key"]
+    single = docs.join(wanted.where("not many"), "key", "left_semi")
+    least = docs.join(wanted.where("many"), "key", "left_semi").groupBy("key").agg(F.min(F.struct(*rest)).alias("least"))
+    return single.select("key", *rest).unionByName(least.select("key", "least.*"))
+
+
+def _holding(docs: DataFrame, needed: DataFrame, holders: DataFrame) -> DataFrame:
+    """The documents to read the needed sets from, one row for each.  holders: (set_id, doc_id, key, many)."""
+    return _one_each(docs, holders.join(needed, "set_id", "left_semi").select("key", "many"))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -316,24 +331,21 @@ def _near(mixed: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int | None = None, k2: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``.
+def _grouped(docs: DataFrame, words: int, num: int, den: int, n2: int | None, k2: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, set_id, n) of each row of docs (doc_id, text, key); (set_id, doc_id, key, many, label) of each set.
 
-    Two documents link when their sets of ``words``-word shingles have a Jaccard similarity of at least num / den; component_id is the
-    least doc_id reachable by links, the own one included.  Null and empty texts have no shingles and no links; a text with fewer words is
-    one shingle; repeated rows and ids give a row each.  A null doc_id links by its text; where a component has no other, component_id is null.
-    An empty table gives no rows.
+    A set's row is that of the least doc_id, nulls last, then the least key; many says whether rows repeat it.
     """
-    spark = docs.sparkSession
-    prepare(spark, 512)
+    prepare(docs.sparkSession, 512)
     n2 = n2 or (2 if num / den > 0.85 else 3)
     enum = PartEnum(num, den, n2, k2)
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, -(-chars // SPREAD))
     table = written(_unpacked(_packed(docs, words, enum, parts)), "signatures")
-    own = table.where("kind = 0").select("doc_id", "set_id", "n")
-    holders = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    own = table.where("kind = 0").select("doc_id", "key", "set_id", "n")
+    kept = own.where("n > 0").groupBy("set_id", "doc_id", "key").agg(F.count(F.lit(1)).alias("m"))
+    kept = kept.groupBy("set_id").agg(_first_row(F.col("m") > 1).alias("x"))
+    holders = written(kept.select("set_id", "x.doc_id", "x.key", "x.many"), "holders")
     sizes = own.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"))
     members = table.where("kind = 1").select("sig", "set_id").distinct()
     opened = written(_ranked(members, sizes), "open")
@@ -351,7 +363,37 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int |
     if not found.isEmpty():  # components so far are stars, to which the new links are added
         labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)), "labels")
     least = holders.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    return own, least
+
+
+def _first_row(many: Column) -> Column:
+    """Of rows with doc_id and key, the one with the least doc_id, nulls last, then the least key, and its ``many``."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", many.alias("many")))
+
+
+def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int | None = None, k2: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``.
+
+    Two documents link when their sets of ``words``-word shingles have a Jaccard similarity of at least num / den; component_id is the
+    least doc_id reachable by links, the own one included.  Null and empty texts have no shingles and no links; a text with fewer words is
+    one shingle; repeated rows and ids give a row each.  A null doc_id links by its text; where a component has no other, component_id is null.
+    An empty table gives no rows.
+    """
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    own, least = _grouped(_keyed(docs, "doc_id", "text"), words, num, den, n2, k2)
     by_label = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = least.join(by_label, "label").select("set_id", "component_id")
     full = own.where("n > 0").join(by_set, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def survivors(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int | None = None, k2: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of ``join``: that of the least doc_id, nulls last, then the least hash of id and text.
+
+    Of rows that repeat id and text the least stays.  Rows without shingles have no links, so all of them stay.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    own, least = _grouped(keyed.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), "key"), words, num, den, n2, k2)
+    first = least.groupBy("label").agg(_first_row(F.col("many")).alias("x")).select("x.key", "x.many")
+    empty = own.where("n = 0").select("key", F.lit(False).alias("many")).distinct()
+    return _one_each(keyed, first.unionByName(empty)).select(*(F.col(f"`{c}`") for c in docs.columns))

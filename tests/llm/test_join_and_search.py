@@ -68,6 +68,53 @@ def test_join_of_nothing(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(two).collect()) == [(3, 0, 3), (3, 0, 3), (4, 1, 4), (4, 1, 4)]
 
 
+def null_and_repeated(seed, n=160):
+    """(doc_id, text) with null ids for a third of the texts, repeated rows, and ids that several texts have."""
+    given, rng = near_copies(seed, n), random.Random(seed)
+    rows = [(None if rng.random() < 0.35 else i, t) for i, t in enumerate(given)]
+    return rows + [rows[k] for k in range(0, n, 3) for _ in range(rng.choice((1, 1, 5)))] + [(rows[k][0], given[k + 1]) for k in range(0, n - 1, 11)]
+
+
+def test_join_links_null_ids_by_their_texts(spark):
+    rows = null_and_repeated(5)
+    groups = brute_components([t for _, t in rows], 5, 80, 100)
+    least = {}
+    for i, (_, c) in groups.items():
+        if rows[i][0] is not None:
+            least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, 5, 80, 100).collect())
+    assert got == Counter((rows[i][0], size, least.get(c)) for i, (size, c) in groups.items())
+
+
+def test_one_row_of_each_group_survives(spark):
+    import corpus_pipeline as p
+
+    rows = null_and_repeated(6)
+    groups = brute_components([t for _, t in rows], 5, 80, 100)
+    members, texts = {}, {}
+    for i, (_, c) in groups.items():
+        members.setdefault(c, []).append(rows[i][0])
+        texts.setdefault(rows[i][1], c)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    after = p.drop_near_duplicates(spark, df, "").collect()
+    assert tuple(after[0].asDict()) == p.COLUMNS
+    full = [r for r in after if (r.text or "").strip()]
+    assert Counter(texts[r.text] for r in full) == Counter({texts[t] for _, t in rows if (t or "").strip()})
+    for r in full:
+        ids = members[texts[r.text]]
+        assert r.doc_id == min((i for i in ids if i is not None), default=None) and (r.doc_id, r.text) in rows
+    assert Counter((r.doc_id, r.text) for r in after if not (r.text or "").strip()) == Counter(x for x in rows if not (x[1] or "").strip())
+
+
+def test_null_id_links_two_texts(spark):
+    """A chain that passes through a text without id holds together."""
+    words = [f"w{i}" for i in range(100)]
+    a, b, c = words, [*words[:95], *(f"x{i}" for i in range(5))], [*(f"y{i}" for i in range(5)), *words[5:95], *(f"x{i}" for i in range(5))]
+    df = spark.createDataFrame([(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c))], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.component_id) for r in jaccard.join(df, 3, 85, 100).collect()) == [("1", 1), ("2", 1), ("None", 1)]
+
+
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
 def test_similar_sets_share_a_signature(num, den):
     rng = np.random.default_rng(1)
