@@ -32,6 +32,30 @@ def test_chinese_integers():
     assert [numbers.chinese_integer(s) for s in ("一", "十", "十二", "二十", "九十九", "百", "x")] == [1, 10, 12, 20, 99, None, None]
 
 
+@pytest.mark.parametrize(("raw", "parsed"), [("380V 50Hz 三相", ("380V", "50Hz", "三相")), ("220伏 1 相", ("220V", None, "单相")), ("60赫兹", (None, "60Hz", None)), ("none", (None, None, None)), (None, (None, None, None)), ("1.5 v", ("1.5V", None, None))])
+def test_voltages(raw, parsed):
+    assert numbers.parse_voltage(raw) == parsed
+
+
+@pytest.mark.parametrize(
+    ("raw", "parsed"),
+    [
+        ("Ra0.4-0.8um", (None, "um", 0.4, 0.8, None, None)), ("≤0.6 μm", (None, "μm", None, None, "<=", 0.6)), ("A级 Ra 1.6", ("A", None, None, None, None, 1.6)), ("不小于 2", (None, None, None, None, ">=", 2.0)),
+        ("光滑", (None,) * 6), ("低于Ra 3", (None, None, None, None, "<", 3.0)), ("xB级", (None,) * 6), ("1至2", (None, None, 1.0, 2.0, None, None)), (None, (None,) * 6),
+    ],
+)
+def test_roughness(raw, parsed):
+    assert numbers.parse_roughness(raw) == parsed
+
+
+@pytest.mark.parametrize(
+    ("raw", "parsed"),
+    [("温区12", ("温区", 12)), ("温区３", ("温区", 3)), ("模头二十一", ("模头", 21)), ("模头 十", ("模头", 10)), ("plain", (None, None)), ("zone012", ("zone0", 12)), ("zone10", ("zone", 10)), ("12", ("1", 2)), ("x0", (None, None)), ("一百", (None, None)), ("", (None, None)), (None, (None, None))],
+)
+def test_numbers_at_the_end_of_names(raw, parsed):
+    assert numbers.parse_index(raw) == parsed
+
+
 def test_leave_users_per_day(spark):
     rows = [("u1", "2026-06-15 08:00", "2026-06-16 18:00"), ("u1", "2026-06-16 09:00", "2026-06-16 17:00"), ("u2", "2026-06-16 09:00", "2026-06-16 17:00")]
     df = spark.createDataFrame(rows, "user string, a string, b string").select("user", F.to_timestamp("a").alias("a"), F.to_timestamp("b").alias("b"))
