@@ -90,9 +90,9 @@ def join_latest_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey).select("c_custkey", "o_orderkey")
 
 
-@query("select doc_id, w.i as place, w.word from documents, lateral (select unnest(generate_series(1, len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as word) w where doc_id < 100")
+@query("select doc_id, w.i as place, w.word from documents, lateral (select unnest(generate_series(1, len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as word) w")
 def join_lateral_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id < 100")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "word")).select("doc_id", (F.col("i") + 1).cast("long").alias("place"), "word")
 
 
@@ -113,7 +113,7 @@ def join_polymorphic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_on_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "A").when(F.col("o_orderpriority") == "3-MEDIUM", "B").otherwise("C")
     levels = spark.createDataFrame([("A", 3), ("B", 2), ("C", 1)], "code string, level int")
-    return table(spark, sf_dir, "orders").withColumn("code", code).join(F.broadcast(levels), "code").select("o_orderkey", "level")
+    return table(spark, sf_dir, "orders").withColumn("code", code).join(levels, "code").select("o_orderkey", "level")
 
 
 @query("select o_orderstatus, count(*) as n, (select count(*) from orders) as total from orders group by o_orderstatus")
