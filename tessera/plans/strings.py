@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import documents, text
-from tessera.operators.latest import top_per
 from tessera.registry import query
 from tessera.tables import table
 
-SAMPLES = [
+#: Pieces of text that exercise the functions; each part's names get one of them.
+PIECES = [
     "  Ab-C_d (x)　1×2 ", "■ Model：A, B；C", "□未选 ☑已选", "Ａ１２ 毫米/每小时", "100 kg/hour", "KG/每小时", "kg以下/每小时", "KW以内", "°", "°C", "转可调/每分钟", "m³／h", "米", "", "Zhang--San__Li", "a/b|c,d;e  f", "cm² * 3—4",
-    "x\x01y", "x\x01y\x02z", "plain", "3:4:3", "20:30:50", "a||b", "reply ```json\n{\"a\": {\"b\": 1}}\n``` end", "{\"id\": 12345678901234567890, \"n\": 5}", "☑PE □PP [✓] ABS", "hello world & co", "A B  C A b",
+    "x\x01y", "x\x01y\x02z", "plain", "a||b", "reply ```json\n{\"a\": {\"b\": 1}}\n``` end", "{\"id\": 12345678901234567890, \"n\": 5}", "☑PE □PP [✓] ABS", "hello world & co", "A B  C A b",
 ]
 
 
@@ -23,12 +23,17 @@ def _quoted(s: str) -> str:
     return f"('{out}')"
 
 
-S = "s as (select i, t from (select row_number() over () as i, t from (values " + ", ".join(map(_quoted, SAMPLES)) + ") v(t)))"
+_PIECE = f"[{', '.join(map(_quoted, PIECES))}][p_partkey % {len(PIECES)} + 1]"
+S = f"s as (select doc_id as i, text as t from documents union all select -1 - p_partkey, case when p_partkey % 3 = 0 then {_PIECE} else p_name || {_PIECE} || p_type end from part)"
 SQL_SPACE = "[\\s\\x{FEFF}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
-def samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, t) for i, t in enumerate(SAMPLES, 1)], "i bigint, t string")
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, t): the texts of documents, and the names of parts around a piece, or the piece alone."""
+    piece = F.element_at(F.array(*map(F.lit, PIECES)), (F.col("p_partkey") % len(PIECES) + 1).cast("int"))
+    names = F.when(F.col("p_partkey") % 3 == 0, piece).otherwise(F.concat("p_name", piece, "p_type"))
+    parts = table(spark, sf_dir, "part").select((F.lit(-1) - F.col("p_partkey")).cast("long").alias("i"), names.alias("t"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).unionByName(parts)
 
 
 def _chain(start: str, *pairs: tuple[str, str]) -> str:
@@ -44,17 +49,17 @@ NORMAL = _chain(f"lower({TRIMMED})", ("×", "x"), ("[■□☑✔✓]", ""), (f"
 
 @query(f"with {S} select i, {NORMAL} as v from s")
 def str_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.normalize(F.col("t")).alias("v"))
+    return samples(spark, sf_dir).select("i", text.normalize(F.col("t")).alias("v"))
 
 
 @query(f"with {S} select i, lower({_chain('trim(t)', ('[■□☑✔✓]', ''), (chr(92) + 's+', ''), ('[()（）' + chr(92) + '[' + chr(92) + ']【】_-]', ''))}) as v from s")
 def str_normalize_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.normalize_narrow(F.col("t")).alias("v"))
+    return samples(spark, sf_dir).select("i", text.normalize_narrow(F.col("t")).alias("v"))
 
 
 @query(f"with {S} select i, {_chain(f'lower({TRIMMED})', (f'{SQL_SPACE}+', ''), ('[._' + chr(92) + '-/' + chr(92) * 2 + '|,;:()' + chr(92) + '[' + chr(92) + ']{}<>]', ''))} as v from s")
 def str_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.model_key(F.col("t")).alias("v"))
+    return samples(spark, sf_dir).select("i", text.model_key(F.col("t")).alias("v"))
 
 
 _ATTR = _chain(f"translate(lower({TRIMMED}), '０１２３４５６７８９', '0123456789')", *text.ATTRIBUTE_SPELLINGS, (f"{SQL_SPACE}+", ""), ("[()（）\\[\\]{}<>]", ""))
@@ -62,7 +67,7 @@ _ATTR = _chain(f"translate(lower({TRIMMED}), '０１２３４５６７８９', '
 
 @query(f"with {S} select i, {_ATTR} as v from s")
 def str_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.attribute_key(F.col("t")).alias("v"))
+    return samples(spark, sf_dir).select("i", text.attribute_key(F.col("t")).alias("v"))
 
 
 _UNIT = f"lower({_chain(TRIMMED, *text.UNIT_SPELLINGS, (f'{SQL_SPACE}+', ''))})"
@@ -70,7 +75,7 @@ _UNIT = f"lower({_chain(TRIMMED, *text.UNIT_SPELLINGS, (f'{SQL_SPACE}+', ''))})"
 
 @query(f"with {S}, u as (select i, {_UNIT} as u from s) select i, case when u = '米' then 'm' when u in ('°', '°c') then '℃' else u end as v from u")
 def str_unit_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.unit_key(F.col("t")).alias("v"))
+    return samples(spark, sf_dir).select("i", text.unit_key(F.col("t")).alias("v"))
 
 
 @query("select p_partkey, case when length(p_name) > 0 and length(p_type) > 0 then cast(greatest(length(p_name), length(p_type)) - levenshtein(p_name, p_type) as double) / greatest(length(p_name), length(p_type)) else 0.0 end as v from part")
@@ -80,7 +85,7 @@ def str_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {S} select i, coalesce(nullif({_chain(f'lower({TRIMMED})', ('[^a-z0-9]+', '_'), ('^_+', ''), ('_+$', ''))}, ''), 'custom') as v from s")
 def str_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.slug(F.col("t"), "custom").alias("v"))
+    return samples(spark, sf_dir).select("i", text.slug(F.col("t"), "custom").alias("v"))
 
 
 _PART_NORMAL = NORMAL.replace("(t,", "(p,")
@@ -89,7 +94,7 @@ _PART_NORMAL = NORMAL.replace("(t,", "(p,")
 @query(f"""with {S}, p as (select i, k, {NORMAL.replace('(t,', '(p,')} as v from (select i, unnest(regexp_split_to_array({_chain(TRIMMED, ('[,，、;；/|+' + chr(92) + 'n]', ' '))}, '{SQL_SPACE}+')) as p, unnest(range(0, len(regexp_split_to_array({_chain(TRIMMED, ('[,，、;；/|+' + chr(92) + 'n]', ' '))}, '{SQL_SPACE}+')))) as k from s)),
 f as (select i, v, min(k) as k from p where v <> '' group by i, v) select i, string_agg(v, ' ' order by k) as v from f group by i""")
 def str_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", F.array_join(text.tokens(F.col("t")), " ").alias("v")).where("v <> ''")
+    return samples(spark, sf_dir).select("i", F.array_join(text.tokens(F.col("t")), " ").alias("v")).where("v <> ''")
 
 
 @query("select p_partkey, case when starts_with(p_name, 'part#1') and p_partkey % 1 = 0 then case when starts_with(p_name, 'part#10') then 'part#10' else 'part#1' end when starts_with(p_name, 'part#') then 'part#' when starts_with(p_name, 'part') then 'part' end as alias from part")
@@ -101,11 +106,11 @@ def str_prefix_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 h as (select p_partkey, kind, value, row_number() over (partition by p_partkey, kind order by length(alias) desc, alias) as r from part join a on contains(p_type, alias))
 select p_partkey, kind, value from h where r = 1""")
 def str_qualifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position, area and layer by the longest alias in a text; the alias list is small and broadcast."""
+    """Position, area and layer by the longest alias in a text: a short list is part of the expression, so nothing is joined."""
     rows = [("area", "STEEL", "S"), ("area", "PLATED", "P"), ("position", "SMALL", "top"), ("position", "LARGE", "low"), ("layer", "BRASS", "b")]
-    aliases = spark.createDataFrame(rows, "kind string, alias string, value string")
-    hits = table(spark, sf_dir, "part", "p_partkey", "p_type").join(F.broadcast(aliases), F.contains("p_type", "alias"))
-    return top_per(hits, ["p_partkey", "kind"], [F.length("alias").desc(), F.col("alias")]).select("p_partkey", "kind", "value")
+    kinds = {kind: {alias: value for k, alias, value in rows if k == kind} for kind, *_ in rows}
+    found = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, v in ((k, text.longest_inside(F.col("p_type"), a)) for k, a in kinds.items())]))
+    return table(spark, sf_dir, "part", "p_partkey", "p_type").select("p_partkey", F.explode(found).alias("f")).select("p_partkey", "f.kind", "f.value")
 
 
 _UNSAFE = "[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
@@ -113,24 +118,30 @@ _UNSAFE = "[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
 
 @query(f"with {S} select i, case when len(regexp_extract_all(t, '{_UNSAFE}')) >= 2 then '' else regexp_replace(t, '{_UNSAFE}', '', 'g') end as v from s")
 def str_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.sanitize(F.col("t")).alias("v"))
+    return samples(spark, sf_dir).select("i", text.sanitize(F.col("t")).alias("v"))
 
 
-@query("select * from (values (3, false, '未选'), (3, true, '已选'), (26, true, 'PE'), (26, false, 'PP'), (26, true, 'ABS'), (2, true, 'Model：A, B；C')) t(i, selected, label)")
+_MARKED = _chain("t", (f"[\\[(（]\\s*[{text.SELECTED}]\\s*[\\])）]", "[SEL]"), (f"[\\[(（]\\s*[{text.UNSELECTED}]\\s*[\\])）]", "[ ]"), (f"[{text.SELECTED}]", "[SEL]"), (f"[{text.UNSELECTED}]", "[ ]"))
+_LABEL = _chain("substr(o, case when starts_with(o, '[SEL]') then 6 else 4 end)", (f"^{SQL_SPACE}+", ""), (f"{SQL_SPACE}+$", ""))
+
+
+@query(f"with {S}, o as (select i, unnest(regexp_extract_all({_MARKED}, '\\[(?:SEL| )\\][^\\[]*')) as o from s) select i, starts_with(o, '[SEL]') as selected, {_LABEL} as label from o where {_LABEL} <> ''")
 def str_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = samples(spark).select(F.col("i").cast("int").alias("i"), F.explode(text.options(F.col("t"))).alias("o"))
-    return found.select("i", "o.selected", "o.label")
+    return samples(spark, sf_dir).select("i", F.explode(text.options(F.col("t"))).alias("o")).select("i", "o.selected", "o.label")
 
 
 @query(f"with {S} select i, coalesce(nullif(regexp_extract(coalesce(nullif(regexp_extract(t, '(?is)```(?:json)?\\s*(.*?)```', 1), ''), {TRIMMED}), '(?s)(\\{{.*\\}})', 1), ''), coalesce(nullif(regexp_extract(t, '(?is)```(?:json)?\\s*(.*?)```', 1), ''), {TRIMMED})) as v from s")
 def str_json_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.fenced_json(F.col("t")).alias("v"))
+    return samples(spark, sf_dir).select("i", text.fenced_json(F.col("t")).alias("v"))
 
 
-@query("select * from (values (21, '30,40,30'), (22, '20,30,50')) t(i, v)")
+@query("""with p as (select p_partkey, p_size as a, p_partkey % 17 as b, case when p_partkey % 3 = 0 then greatest(0, 100 - p_size - p_partkey % 17) else p_partkey % 5 + 1 end as c from part), q as (select *, a + b + c as total from p)
+select p_partkey, case when total = 100 then a || ',' || b || ',' || c else array_to_string([cast(floor(x::double / total * 100 + 0.5) as integer) for x in [a, b, c]], ',') end as v from q""")
 def str_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples(spark).where(F.col("t").rlike("^[0-9]+(:[0-9]+)+$"))
-    return rows.select(F.col("i").cast("int").alias("i"), F.array_join(text.ratio(F.col("t")).cast("array<string>"), ",").alias("v"))
+    a, b = F.col("p_size"), F.col("p_partkey") % 17
+    c = F.when(F.col("p_partkey") % 3 == 0, F.greatest(F.lit(0), 100 - a - b)).otherwise(F.col("p_partkey") % 5 + 1)
+    ratios = F.concat_ws(" : ", a.cast("string"), b.cast("string"), c.cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.ratio(ratios).cast("array<string>"), ",").alias("v"))
 
 
 @query("select p_partkey, replace(url_encode(p_name), '+', '%20') || ':' || replace(url_encode(p_type), '+', '%20') || ':' as v from part")
@@ -140,12 +151,12 @@ def str_cluster_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {S} select i, replace(t, '||', '|') || '||' || 'dictionary' || '||' as v from s")
 def str_pattern_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.pattern_key(F.col("t"), F.lit("dictionary"), F.lit(None)).alias("v"))
+    return samples(spark, sf_dir).select("i", text.pattern_key(F.col("t"), F.lit("dictionary"), F.lit(None)).alias("v"))
 
 
 @query(f"with {S} select i, regexp_replace(t, '(:\\s*)([0-9]{{16,}})(\\s*[,}}])', '\\1\"\\2\"\\3', 'g') as v from s")
 def str_big_int_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("i", text.quoted_big_integers(F.col("t")).alias("v"))
+    return samples(spark, sf_dir).select("i", text.quoted_big_integers(F.col("t")).alias("v"))
 
 
 @query("select n_nationkey, concat_ws('/', nullif(r_name, 'ASIA'), nullif(n_name, '')) as v from nation join region on n_regionkey = r_regionkey")

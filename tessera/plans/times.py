@@ -43,10 +43,10 @@ def dt_half_day_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", times.next_half(t).cast("timestamp_ntz").alias("next_start"), times.previous_half_end(t).cast("timestamp_ntz").alias("previous_end"))
 
 
-@query("select o_orderkey, cast(unnest(generate_series(date_trunc('day', o_orderdate), date_trunc('day', o_orderdate) + interval 3 day, interval 1 day)) as date) as day from orders where o_orderkey < 200")
+@query("select o_orderkey, cast(unnest(generate_series(date_trunc('day', o_orderdate), date_trunc('day', o_orderdate) + interval 3 day, interval 1 day)) as date) as day from orders")
 def dt_days_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = F.explode(F.sequence(F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 3)))
-    return table(spark, sf_dir, "orders").where("o_orderkey < 200").select("o_orderkey", days.alias("day"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", days.alias("day"))
 
 
 @query("""with r as (select o_orderkey, cast(epoch(o_orderdate) as bigint) as a, cast(epoch(o_orderdate) as bigint) + (o_orderkey % 100) * 86400 as b from orders),
@@ -127,9 +127,15 @@ def dt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"))
 
 
-@query("""select * from (values (1, 10, 20), (2, 14, 20), (3, 10, 12), (4, null, null), (5, 13, 17)) t(id, start, "end")""")
+_CUT = """select id, case when ca <= a and cb > a then least(cb, b) else a end as a, case when ca < b and cb >= b and not (ca <= a and cb > a) then greatest(ca, a) else b end as b"""
+
+
+@query(f"""with o as (select o_orderkey as id, o_orderkey % 20 as a, o_orderkey % 20 + 10 as b, o_orderkey % 31 as x, o_custkey % 37 as y from orders),
+c as (select *, x < y or (x = y) as x_first from o), one as ({_CUT}, x, y, x_first from (select *, case when x_first then x else y end as ca, case when x_first then x + 3 else y + 5 end as cb from c)),
+two as ({_CUT} from (select *, case when x_first then y else x end as ca, case when x_first then y + 5 else x + 3 end as cb from one)) select id, case when a < b then a end as start, case when a < b then b end as "end" from two""")
 def dt_slot_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interval cut by conflicts in order of their start."""
-    rows = [(1, 10, 20, []), (2, 10, 20, [(8, 12), (12, 14)]), (3, 10, 20, [(12, 25)]), (4, 10, 20, [(5, 15), (14, 30)]), (5, 10, 20, [(17, 20), (9, 13)])]
-    df = spark.createDataFrame(rows, "id int, a int, b int, conflicts array<struct<start:int,end:int>>")
-    return df.select("id", times.free_slot(F.col("a"), F.col("b"), F.col("conflicts")).alias("s")).select("id", "s.start", "s.end")
+    k = F.col("o_orderkey")
+    conflict = lambda c, n: F.struct(c.alias("start"), (c + n).alias("end"))
+    slot = times.free_slot(k % 20, k % 20 + 10, F.array(conflict(k % 31, 3), conflict(F.col("o_custkey") % 37, 5)))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), slot.alias("s")).select("id", "s.start", "s.end")
