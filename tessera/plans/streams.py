@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,57 +18,66 @@ from tessera.tables import table
 MINI = "event_id, user_id, event_type, ts"
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in files of increasing time, written one after the other, one to a micro-batch."""
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """Events as a stream, and the steps that bring them: three ranges of time, those without a time in the first; each makes a micro-batch."""
     path = f"{shared_folder(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events", *MINI.split(", "))
-    for part in ("ts < '2024-01-11'", "ts >= '2024-01-11' and ts < '2024-01-21'", "ts >= '2024-01-21'"):
-        e.where(part).coalesce(1).write.mode("append").parquet(path)
-    return twins.source(spark, path)
+    e.limit(0).write.parquet(path)
+    ranges = ("ts is null or ts < '2024-01-11'", "ts >= '2024-01-11' and ts < '2024-01-21'", "ts >= '2024-01-21'")
+    return twins.source(spark, path, e.schema), [lambda part=part: e.where(part).write.mode("append").parquet(path) for part in ranges]
 
 
 @query(f"select {MINI} from events where event_type = 'purchase'")
 def st_microbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twins.run(_stream(spark, sf_dir).where("event_type = 'purchase'"))
+    stream, feed = _stream(spark, sf_dir)
+    return twins.run(stream.where("event_type = 'purchase'"), feed)
 
 
 @query("select distinct user_id, event_type, cast(ts as date) as day from events")
 def st_dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _stream(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    return twins.run(twins.deduplicated(days, ["user_id", "event_type", "day"], "ts", "60 days").select("user_id", "event_type", "day"))
+    stream, feed = _stream(spark, sf_dir)
+    days = stream.withColumn("day", F.to_date("ts"))
+    return twins.run(twins.deduplicated(days, ["user_id", "event_type", "day"], "ts", "60 days").select("user_id", "event_type", "day"), feed)
 
 
 @query(DEBOUNCED.format(kind="0", us=43_200_000_000))
 def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = twins.folded(_stream(spark, sf_dir), "user_id", "ts", "event_type", ["event_id"], sessions.debounce(43_200, False), "keep")
-    return twins.run(kept).where("keep").select("event_id")
+    stream, feed = _stream(spark, sf_dir)
+    kept = twins.folded(stream, "user_id", "ts", "event_type", ["event_id"], sessions.debounce(43_200, False), "keep")
+    return twins.run(kept, feed).where("keep").select("event_id")
 
 
 @query("""with e as (select event_id, user_id, event_type, epoch_us(ts) as t, lag(event_type) over w as before, lag(epoch_us(ts)) over w as since from events where event_type in ('click', 'view') window w as (partition by user_id order by ts, event_id))
 select event_id, (t - since) as stay from e where event_type = 'view' and before = 'click'""")
 def st_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _stream(spark, sf_dir).where("event_type in ('click', 'view')")
-    pairs = twins.run(twins.folded(stream, "user_id", "ts", "event_type", ["event_id"], sessions.paired("click", "view"), "entered"))
+    stream, feed = _stream(spark, sf_dir)
+    stream = stream.where("event_type in ('click', 'view')")
+    pairs = twins.run(twins.folded(stream, "user_id", "ts", "event_type", ["event_id"], sessions.paired("click", "view"), "entered"), feed)
     return pairs.where("entered is not null").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("entered")).alias("stay"))
 
 
-@query("""with m as (select unnest([15, 25, 30]) as minutes), x as (select user_id, ts, min(case when event_type = 'click' then ts end) over (partition by user_id order by ts rows between 1 following and unbounded following) as back, event_type from events)
-select user_id, ts as "left", cast(minutes as integer) as minutes from x, m where event_type = 'view' and (back is null or back > ts + to_minutes(minutes))""")
+@query("""with m as (select unnest([15, 25, 30]) as minutes), x as (select user_id, ts, min(case when event_type = 'click' then ts end) over (partition by user_id order by ts range between interval 1 microsecond following and unbounded following) as back, event_type from events),
+w as (select date_trunc('millisecond', max(ts)) - interval 1 day as closed from events where event_type in ('click', 'view'))
+select user_id, cast(ts as timestamp) as "left", cast(minutes as integer) as minutes from x, m, w where event_type = 'view' and (back > ts + to_minutes(minutes) or (back is null and ts + to_minutes(minutes) < closed))""")
 def st_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alarms for exits without a return: the batch form of what timers do in a stream."""
-    return twins.overdue(table(spark, sf_dir, "events", *MINI.split(", ")), "user_id", "ts", "event_type", "view", "click", (15, 25, 30))
+    """Alarms for exits without a return, raised by timers once the watermark of one day has passed them."""
+    stream, feed = _stream(spark, sf_dir)
+    alarms = twins.overdue(stream.where("event_type in ('click', 'view')"), "user_id", "ts", "event_type", "view", "click", (15, 25, 30), "1 day")
+    return twins.run(alarms, feed).withColumn("left", F.col("left").cast("timestamp_ntz"))
 
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n from events where ts < (select date_trunc('day', max(ts) - interval 1 day) from events) group by 1, 2")
 def st_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the days that the watermark of one day has closed."""
-    counts = twins.counted(_stream(spark, sf_dir), ["event_type"], "ts", "1 day", "1 day")
-    return twins.run(counts).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    stream, feed = _stream(spark, sf_dir)
+    counts = twins.counted(stream, ["event_type"], "ts", "1 day", "1 day")
+    return twins.run(counts, feed).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("select count(*) as n, count(distinct event_id) as ids from events")
 def st_skip_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of one query follow each other: every event is handled once."""
     path = f"{shared_folder(spark).rstrip('/')}/handled-{uuid.uuid4().hex}"
-    twins.in_batches(_stream(spark, sf_dir), lambda df, _: df.write.mode("append").parquet(path))
+    stream, feed = _stream(spark, sf_dir)
+    twins.in_batches(stream, lambda df, _: df.write.mode("append").parquet(path), feed)
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))

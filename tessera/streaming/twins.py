@@ -8,29 +8,31 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType, TimestampType
 
 from tessera.operators.sessions import Fold
 from tessera.session import shared_folder
 
 
-def source(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream; the schema is that of the files now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A folder of Parquet files as a stream: what has come into it makes the next micro-batch."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that a stream of finite input gives, by way of a table in the shared folder."""
+def run(stream: DataFrame, feed: Sequence[Callable[[], None]] = (), mode: str = "append") -> DataFrame:
+    """All rows that a stream gives, by way of a table in the shared folder; after each step of ``feed``, which brings new input, it goes on where it was."""
     spark = stream.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    for step in feed or (lambda: None,):
+        step()
+        writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -47,7 +49,8 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str, delay: str) -> D
 def folded(stream: DataFrame, key: str, time: str, kind: str, order: list[str], fold: Fold, name: str) -> DataFrame:
     """What a fold gives each event of its user; a user's state goes on from batch to batch.
 
-    Events of one batch are folded in order of time; an event that comes later than a batch with younger ones is folded as late as it comes.
+    Events of one batch are folded in order of time; an event that comes later than a batch with younger ones is folded as late as it comes.  A task
+    holds one user's events of a micro-batch, which the source's limits bound.
     """
     rows = stream.withColumn("__micros", F.unix_micros(F.col(time).cast("timestamp")))
     long = not isinstance(fold(None, 0, "")[1], bool)
@@ -73,19 +76,50 @@ def counted(stream: DataFrame, keys: list[str], time: str, width: str, delay: st
     return counts.select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def overdue(events: DataFrame, key: str, time: str, kind: str, leave: str, enter: str, minutes: tuple[int, ...]) -> DataFrame:
-    """(key, left, minutes) of alarms for exits without an entry within so many minutes: the batch form, by the next entry."""
-    from pyspark.sql import Window
+def overdue(stream: DataFrame, key: str, time: str, kind: str, leave: str, enter: str, minutes: tuple[int, ...], delay: str) -> DataFrame:
+    """(key, left, minutes) of alarms for exits without an entry within so many minutes, by timers in event time.
 
-    w = Window.partitionBy(key).orderBy(time)
-    back = F.min(F.when(F.col(kind) == enter, F.col(time))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    exits = events.withColumn("__back", back).where(F.col(kind) == leave)
-    alarms = exits.withColumn("minutes", F.explode(F.array(*map(F.lit, minutes))))
-    due = F.col(time) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes"), F.lit(0))
-    return alarms.where(F.col("__back").isNull() | (F.col("__back") > due)).select(key, F.col(time).alias("left"), "minutes")
-
-
-def in_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None]) -> None:
+    A user's open exits are its state.  An entry ends them, with the alarms that were due before it; where none comes, a timer raises each alarm once
+    the watermark has passed its time.
+    """
+    spans = sorted(m * 60_000_000 for m in minutes)
+    rows = timed(stream, time, delay).select(key, time, kind, F.unix_micros(time).alias("__micros"))
+    schema = StructType([stream.schema[key], StructField("left", TimestampType()), StructField("minutes", IntegerType())])
+
+    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() * 1000
+        exits: list[list[int]] = json.loads(state.get[0]) if state.exists else []  # [time, alarms raised]
+        alarms: list[tuple[int, int]] = []
+
+        def raise_before(t: int) -> None:
+            for x in exits:
+                while x[1] < len(spans) and x[0] + spans[x[1]] < t:
+                    alarms.append((x[0], spans[x[1]] // 60_000_000))
+                    x[1] += 1
+
+        if not state.hasTimedOut:
+            for t, k in pd.concat([b[["__micros", kind]] for b in batches]).sort_values("__micros", kind="stable").itertuples(index=False):
+                if k == enter:
+                    raise_before(int(t))
+                    exits = [x for x in exits if x[0] >= t]
+                elif k == leave:
+                    exits.append([int(t), 0])
+        raise_before(now)
+        exits = [x for x in exits if x[1] < len(spans)]
+        if exits:
+            state.update((json.dumps(exits),))
+            state.setTimeoutTimestamp(max(min(x[0] + spans[x[1]] for x in exits) // 1000, now // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({key: [keys[0]] * len(alarms), "left": pd.to_datetime([t for t, _ in alarms], unit="us"), "minutes": [m for _, m in alarms]})
+
+    return rows.groupBy(key).applyInPandasWithState(update, schema, "exits string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def in_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], feed: Sequence[Callable[[], None]] = ()) -> None:
     """Hands each micro-batch to a function, one after the other; a batch never overlaps the next."""
     folder = f"{shared_folder(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", folder).trigger(availableNow=True)
+    for step in feed or (lambda: None,):
+        step()
+        writer.start().awaitTermination()
