@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import dictionary, predicates, rules, scoring
+from tessera.operators import concepts, dictionary, normalize, predicates, rules, scoring
 from tessera.operators.latest import top_per
 from tessera.plans.joins import DEPTS, departments
 from tessera.registry import query
@@ -38,11 +38,11 @@ def dict_alias_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FIELDS = """f as (select l_orderkey * 10 + l_linenumber as field_id, p.p_brand as term_type, case l_linenumber % 4 when 0 then 'number' else 'enum' end as value_kind,
-case l_linenumber % 3 when 0 then upper(p.p_name) when 1 then p.p_type || ' ' else 'other ' || l_suppkey end as value, l_partkey, l_suppkey from lineitem join part p on l_partkey = p_partkey where l_orderkey < 2000)"""
+case l_linenumber % 3 when 0 then upper(p.p_name) when 1 then p.p_type || ' ' else 'other ' || l_suppkey end as value, l_partkey, l_suppkey from lineitem join part p on l_partkey = p_partkey)"""
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, p = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000"), table(spark, sf_dir, "part")
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     k = F.col("l_linenumber")
     value = F.when(k % 3 == 0, F.upper("p_name")).when(k % 3 == 1, F.concat("p_type", F.lit(" "))).otherwise(F.concat(F.lit("other "), F.col("l_suppkey").cast("string")))
     joined = li.join(p, li.l_partkey == p.p_partkey)
@@ -54,7 +54,7 @@ def match_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.match_values(fields(spark, sf_dir), aliases(spark, sf_dir)).select("field_id", "l_partkey", "l_suppkey", "term_id", "how")
 
 
-@query("""with n as (select distinct lower(p_type) as alias, p_brand as term_type, p_size % 3 as g from part), f as (select p_partkey as field_id, lower(p_type) as alias, p_size % 3 as g from part where p_partkey % 2 = 0),
+@query("""with n as (select distinct lower(p_type) as alias, p_brand as term_type, p_size % 3 as g from part), f as (select p_partkey as field_id, lower(p_type) as alias, p_size % 3 as g from part),
 h as (select field_id, term_type, n.g = f.g as applies from f join n on regexp_replace(n.alias, '[\\s()_-]+', '', 'g') = regexp_replace(f.alias, '[\\s()_-]+', '', 'g')), s as (select field_id, bool_or(applies) as any_fits from h group by field_id)
 select h.field_id, term_type, applies from h join s on h.field_id = s.field_id where applies or not any_fits""")
 def match_term_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def match_term_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = table(spark, sf_dir, "part")
     names = p.select(normalize(F.col("p_type")).alias("alias"), F.col("p_brand").alias("term_type"), (F.col("p_size") % 3).alias("g")).distinct()
-    f = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("field_id"), F.col("p_type").alias("name"), (F.col("p_size") % 3).alias("own"))
+    f = p.select(F.col("p_partkey").alias("field_id"), F.col("p_type").alias("name"), (F.col("p_size") % 3).alias("own"))
     return dictionary.match_term_types(f, names, F.col("g") == F.col("own"))
 
 
@@ -88,22 +88,47 @@ def match_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("field_id", F.array_join(F.col("matched").cast("array<string>"), ",").alias("matched"), F.array_join("unmatched", ",").alias("unmatched"))
 
 
-@query("""with c as (select p_partkey as id, p_name as name, p_type as type, p_brand as brand from part where p_partkey % 10 = 0),
-t as (select c.id, t.p_partkey as target, 0.98 as score from c join part t on t.p_brand || t.p_name = c.brand || c.name union all select c.id, t.p_partkey, 0.95 from c join part t on t.p_name = c.name union all select c.id, t.p_partkey, 0.78 from c join part t on t.p_type = c.type and t.p_brand = c.brand)
-select id, target, cast(max(score) as double) as score from t where target <> id group by id, target""")
-def match_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate targets of several tiers, each with its score; a target counts with its best."""
+DICTIONARY_SQL = """ta as (select distinct lower(p_type) as alias, p_brand as term_type from part), va as (select p_brand as term_type, lower(p_type) as alias, max(p_partkey) as term_id, max(p_size) / 100.0::double as confidence, max(p_size) as usage from part group by 1, 2),
+tm as (select p_brand as term_type, replace(p_name, ' ', '') as canonical, min(p_partkey) as term_id from part group by 1, 2 union all select p_brand, lower(p_type), max(p_partkey) from part group by 1, 2)"""
+
+
+def dictionary_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Types of parts as names of brands, and as aliases of the last part of their brand; names and types of parts as canonical texts."""
     p = table(spark, sf_dir, "part")
-    c = p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_brand")
-    t = p.select(F.col("p_partkey").alias("target"), "p_name", "p_type", "p_brand")
-    tiers = [(["p_brand", "p_name"], 0.98), (["p_name"], 0.95), (["p_type", "p_brand"], 0.78)]
-    hits = [c.select("id", *k).join(t.select("target", *k), k).select("id", "target", F.lit(s).alias("score")) for k, s in tiers]
-    return hits[0].unionByName(hits[1]).unionByName(hits[2]).where("id <> target").groupBy("id", "target").agg(F.max("score").alias("score"))
+    by_type = p.groupBy(F.col("p_brand").alias("term_type"), F.col("p_type").alias("alias")).agg(F.max("p_partkey").alias("term_id"), (F.max("p_size") / F.lit(100.0)).alias("confidence"), F.max("p_size").alias("usage"))
+    by_name = p.groupBy(F.col("p_brand").alias("term_type"), F.col("p_name").alias("canonical")).agg(F.min("p_partkey").alias("term_id"))
+    return {
+        "term_aliases": p.select(F.col("p_type").alias("alias"), F.col("p_brand").alias("term_type")).distinct(),
+        "term_types": p.select(F.lower("p_brand").alias("term_type")).distinct(),
+        "value_aliases": by_type,
+        "terms": by_name.unionByName(by_type.select("term_type", F.col("alias").alias("canonical"), "term_id")),
+    }
+
+
+@query(f"""with {DICTIONARY_SQL}, c as (select p_partkey as id, case when p_partkey % 6 < 2 then 'term_type' else 'value' end as kind, p_brand as term_type, case p_partkey % 6 when 0 then lower(p_type) when 1 then lower(p_brand) when 2 then lower(p_type) when 3 then replace(p_name, ' ', '') else lower(p_type) || 'kit' end as key from part),
+h as (select id, va.term_id, confidence from c join va on kind = 'value' and c.term_type = va.term_type and key = alias), n as (select c.* from c where kind = 'value' and id not in (select id from h)),
+k as (select id, va.term_id, row_number() over (partition by id order by length(alias) desc, usage desc, va.term_id) as r from n join va on n.term_type = va.term_type and contains(key, alias) and key <> alias and length(alias) >= 2)
+select id, 'term_type' as target_type, ta.term_type as target, 'exact_alias' as relation, 0.95::double as score from c join ta on kind = 'term_type' and key = ta.alias
+union all select id, 'term_type', key, 'exact_alias', 0.98::double from c where kind = 'term_type' and id % 6 = 1
+union all select id, 'term', cast(term_id as varchar), 'exact_alias', confidence from h
+union all select c.id, 'term', cast(tm.term_id as varchar), 'exact_alias', 0.98::double from c join tm on kind = 'value' and c.term_type = tm.term_type and key = canonical
+union all select id, 'term', cast(term_id as varchar), 'split_component', 0.78::double from k where r <= 5""")
+def match_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate targets of several tiers, each with its score."""
+    k = F.col("p_partkey") % 6
+    value = F.when(k == 0, F.col("p_type")).when(k == 1, F.lower("p_brand")).when(k == 2, F.upper("p_type")).when(k == 3, F.col("p_name")).otherwise(F.concat("p_type", F.lit(" kit")))
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(k < 2, "term_type").otherwise("value").alias("kind"), F.col("p_brand").alias("term_type"), value.alias("value"))
+    return concepts.targets(c, **dictionary_tables(spark, sf_dir))
 
 
-@query("select p_name as value, array_to_string(list_sort(list(distinct p_brand)), ',') as types from part group by p_name")
+@query(f"""with {DICTIONARY_SQL}, o as (select alias as key, term_type from va union select canonical, term_type from tm), g as (select key, array_to_string(list_sort(list(distinct term_type)), ',') as types from o group by key)
+select l_orderkey, l_linenumber, l_partkey, types from lineitem join part on l_partkey = p_partkey left join g on key = case l_linenumber % 3 when 0 then lower(p_type) when 1 then replace(p_name, ' ', '') else p_name || '?' end""")
 def match_known_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("value")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("types"))
+    """All term types that a value exists under, as an alias or as a canonical text."""
+    d, k = dictionary_tables(spark, sf_dir), F.col("l_linenumber") % 3
+    li, p = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey"), table(spark, sf_dir, "part")
+    c = li.join(p, li.l_partkey == p.p_partkey).withColumn("value", F.when(k == 0, F.upper("p_type")).when(k == 1, F.col("p_name")).otherwise(F.concat("p_name", F.lit("?"))))
+    return concepts.known_types(c, d["value_aliases"], d["terms"]).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("known_types", ",").alias("types"))
 
 
 TYPES = [("steel", "metal"), ("polished steel", "fine"), ("brass", "alloy"), ("tin", "soft")]
@@ -138,19 +163,28 @@ def group_layer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.unionByName(single)
 
 
-@query("""select * from (values (1, 'SJ65', '100kg/h', 'PE'), (2, null, '50kg/h', 'PP'), (4, 'SJ90', null, 'ABS')) t(id, model, output, material)""")
+@query("""select p_partkey, case p_partkey % 5 when 0 then '型号=SJ' || p_size || '；产量=' || (p_partkey % 90 + 10) || 'kg/h；原料=' || p_type when 1 then '产量=' || (p_partkey % 90 + 10) || '.5 公斤/小时以内；原料=' || p_type || '/PE' end as parts from part""")
 def split_layer_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model, output and material of one text; kept with at least two of them."""
-    df = spark.createDataFrame([(1, "A层 SJ65 100kg/h PE"), (2, "50kg/h 用PP料"), (3, "SJ45"), (4, "SJ90/ABS"), (5, "")], "id int, t string")
-    found = lambda p: F.nullif(F.regexp_extract("t", p, 1), F.lit(""))
-    out = df.select("id", found(r"(SJ[0-9]+)").alias("model"), found(r"(?i)([0-9]+\s*kg/h)").alias("output"), found(r"(PE|PP|ABS|PVC)").alias("material"))
-    return out.where(F.size(F.array_compact(F.array("model", "output", "material"))) >= 2)
+    """Model, output and material of one text about a layer; kept with at least two of them."""
+    size, amount = F.col("p_size").cast("string"), (F.col("p_partkey") % 90 + 10).cast("string")
+    said = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    made = [said("A层 SJ", size, "挤出机 产量 ", amount, "kg/h 原料:", F.col("p_type")), said("第2层 产能", amount, ".5 公斤/小时以内，材料：", F.col("p_type"), "/PE"), said("SJ", size, "挤出机 ", amount, "kg/h"), said("B 层 ", amount, "kg/h"), F.lit("")]
+    given = F.element_at(F.array(*made), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", concepts.layer_parts(given).alias("parts"))
+
 
+RESIDUES = [
+    ("connector_type", "与换网器配套 的连接器", "suppress"), ("connector_type", "快速连接器", "candidate"), ("deckle_type", "单边挡 30 mm", "suppress"), ("deckle_type", "内堵边", "candidate"), ("flow_channel_type", "其他（特殊支管式）", "suppress"),
+    ("flow_channel_type", "衣架式", "candidate"), ("application", "用于PE 模头", "suppress"), ("application", "steel 板材", "reroute"), ("application", "板材", "candidate"), ("color", "  ", "suppress"), ("color", "红", "candidate"), (None, "红", "candidate"),
+]
 
-@query("select p_partkey, case when regexp_matches(p_type, 'BRASS|TIN') then 'suppress' when regexp_matches(p_type, '^SMALL|^MEDIUM') then 'reroute' else 'keep' end as fate from part")
+
+@query(f"select p_partkey, [{', '.join(repr(r[2]) for r in RESIDUES)}][p_partkey % {len(RESIDUES)} + 1] as fate from part")
 def classify_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fate = F.when(F.col("p_type").rlike("BRASS|TIN"), "suppress").when(F.col("p_type").rlike("^SMALL|^MEDIUM"), "reroute").otherwise("keep")
-    return table(spark, sf_dir, "part").select("p_partkey", fate.alias("fate"))
+    """What becomes of a piece of a value that matched nothing, by the type of its term."""
+    rows = F.array(*[F.struct(F.lit(t).cast("string").alias("t"), F.lit(v).alias("v")) for t, v, _ in RESIDUES])
+    r = F.element_at(rows, (F.col("p_partkey") % len(RESIDUES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", concepts.residual(r["t"], r["v"], prefixes=("steel", "pe")).alias("fate"))
 
 
 @query("select p_brand, chunk, count(*) as n, min(p_partkey) as first_id from (select p_brand, p_partkey, (row_number() over (partition by p_brand order by p_partkey) - 1) // 6 as chunk from part) group by p_brand, chunk")
@@ -160,12 +194,12 @@ def batch_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(table(spark, sf_dir, "part", "p_brand", "p_partkey"), ["p_brand"], [F.col("p_partkey")], 6).groupBy("p_brand", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_id"))
 
 
-@query("""select l_orderkey, 'zone' as base, array_to_string(list_sort(list(distinct l_linenumber)), ',') as indexes from lineitem where l_orderkey < 500 group by l_orderkey""")
+@query("""select l_orderkey, 'zone' || l_returnflag as base, array_to_string(list_sort(list(distinct l_linenumber)), ',') as indexes from lineitem group by all""")
 def instance_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with a number at their end, grouped by base within an item."""
     from tessera.functions.numbers import index_suffix
 
-    named = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select("l_orderkey", index_suffix(F.concat(F.lit("zone "), F.col("l_linenumber").cast("string"))).alias("p"))
+    named = table(spark, sf_dir, "lineitem").select("l_orderkey", index_suffix(F.concat_ws(" ", F.lit("zone"), "l_returnflag", F.col("l_linenumber").cast("string"))).alias("p"))
     return named.groupBy("l_orderkey", F.col("p.base").alias("base")).agg(F.array_join(F.array_sort(F.collect_set("p.number")).cast("array<string>"), ",").alias("indexes"))
 
 
@@ -226,24 +260,41 @@ def split_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per(hits, ["o_orderkey"], [F.col("i")]).select("o_orderkey", F.col("value").alias("split"))
 
 
-@query("""with d as (select p_partkey, unnest([case when p_size > 40 then {'c': 0.86, 'd': 'value_as_type'} end, case when p_type like '%STEEL%' then {'c': 0.82, 'd': 'qualifier_variant'} end, case when p_size < 5 then {'c': 0.88, 'd': 'placeholder'} end, case when contains(p_name, '1') then {'c': 0.78, 'd': 'composite_value'} end]) as x from part)
-select p_partkey, string_agg(x.d, ',' order by x.c desc) as issues from d where x is not null group by p_partkey""")
+FIELD_NAMES = ("模唇厚度", "合同号", "备注", "上限温度", "第2套模头", "接单人", "A层", "螺杆")
+FIELD_VALUES = ("PE/PP", "未选", "100kg/h", "12 mm", "a_b", "N/A", "3号", "钢", "推、拉", "客户提供", "x和y")
+
+
+@query(f"""with p as (select p_partkey as id, p_partkey % 3 <> 0 as is_value, p_partkey % {len(FIELD_NAMES)} as f, case when p_partkey % 17 <> 0 then p_partkey // 8 % {len(FIELD_VALUES)} end as v, case when p_partkey % 5 = 0 then 'lip_adjustment_method' else p_brand end as term_type,
+ p_partkey % 7 = 0 as is_document, p_partkey % 13 = 0 as indexed, p_partkey % 19 = 0 as structured from part),
+k as (select distinct p_size % {len(FIELD_VALUES)} as v, p_brand as term_type from part), kf as (select distinct p_size % {len(FIELD_NAMES)} as f, p_brand as term_type from part where p_type = 'SMALL'),
+d as (select id, 0.86 as c, 0 as i, 'ValueAsType' as n from p where not is_value and f in (select f from kf)
+union all select id, case when structured then 0.68 else 0.82 end, 1, 'QualifierVariant' from p where structured or f in (3, 4, 6)
+union all select id, 0.88, 2, 'PlaceholderValueNoise' from p where is_value and v in (1, 5)
+union all select id, 0.78, 3, 'CompositeValue' from p where is_value and (v in (0, 2, 5, 10) or (v = 8 and term_type <> 'lip_adjustment_method'))
+union all select id, 0.82, 4, 'ScopeContamination' from p where not is_document and (f in (1, 5) or v = 9)
+union all select id, 0.83, 5, 'CrossTermTypeValue' from p where is_value and exists (select 1 from k where k.v = p.v and k.term_type <> p.term_type)
+union all select id, case when indexed then 0.9 else 0.76 end, 6, 'MultiItemSignal' from p where indexed or f = 4 or v = 6
+union all select id, 0.8, 7, 'NonConfigNoise' from p where f = 2 or (f in (6, 7) and v is null))
+select id as p_partkey, string_agg(n, ',' order by c desc, i) as issues from d group by id""")
 def issue_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.detected(
-        [
-            ("value_as_type", "0.86", "medium", F.col("p_size") > 40),
-            ("qualifier_variant", "0.82", "medium", F.contains("p_type", F.lit("STEEL"))),
-            ("placeholder", "0.88", "low", F.col("p_size") < 5),
-            ("composite_value", "0.78", "medium", F.contains("p_name", F.lit("1"))),
-        ]
-    )
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda x: x["detector"]), ",").alias("issues")).where("issues <> ''")
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    of = lambda words, i: F.element_at(F.array(*map(F.lit, words)), (i + 1).cast("int"))
+    value = F.when(k % 17 != 0, of(FIELD_VALUES, F.floor(k / 8) % len(FIELD_VALUES)))
+    c = p.select(
+        k.alias("id"), F.when(k % 3 == 0, "term_type").otherwise("value").alias("kind"), of(FIELD_NAMES, k % len(FIELD_NAMES)).alias("field"), value.alias("value"), F.when(k % 5 == 0, "lip_adjustment_method").otherwise(F.col("p_brand")).alias("term_type"),
+        F.when(k % 7 == 0, "document").alias("scope"), (k % 13 == 0).alias("indexed"), (k % 19 == 0).alias("has_qualifier"), F.lit(None).cast("string").alias("source_value"), F.lit(None).cast("string").alias("split_from"),
+    )
+    known = p.select(F.col("p_brand").alias("term_type"), of(FIELD_VALUES, F.col("p_size") % len(FIELD_VALUES)).alias("alias")).distinct()
+    names = p.where("p_type = 'SMALL'").select(F.col("p_brand").alias("term_type"), of(FIELD_NAMES, F.col("p_size") % len(FIELD_NAMES)).alias("canonical")).distinct()
+    c = concepts.known_types(c.withColumn("looked_up", F.when(F.col("kind") == "value", F.col("value")).otherwise(F.col("field"))), known, names, value="looked_up")
+    said = F.array_join(F.transform(concepts.issues(), lambda x: x["detector"]), ",")
+    return c.select(F.col("id").alias("p_partkey"), said.alias("issues")).where("issues <> ''")
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with evidence, made of the lines of orders."""
     c = F.col
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    li = table(spark, sf_dir, "lineitem")
     k, q = c("l_partkey"), c("l_quantity").cast("int")
     relation = F.when(k % 5 == 0, "exact_alias").when(k % 5 == 1, "synonym_alias").when(k % 5 == 2, "split_component").when(k % 5 == 3, "qualifier_variant").otherwise("extraction_error")
     issues = F.when(q % 4 == 0, F.array(F.struct(F.when(q % 3 == 0, "high").otherwise("low").alias("risk"), (q % 3 == 0).alias("blocks")))).otherwise(F.array().cast("array<struct<risk:string,blocks:boolean>>"))
@@ -257,7 +308,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CONTEXT_SQL = """c as (select l_orderkey, l_linenumber, l_partkey, l_partkey as k, cast(l_quantity as integer) as q, cast(l_discount as decimal(18,6)) as disc from lineitem where l_orderkey < 3000),
+CONTEXT_SQL = """c as (select l_orderkey, l_linenumber, l_partkey, l_partkey as k, cast(l_quantity as integer) as q, cast(l_discount as decimal(18,6)) as disc from lineitem),
 v as (select *, 0.9 - disc as base, case q % 4 when 0 then 0.08 when 1 then -0.02 when 2 then -0.16 else -0.32 end as prior,
  case when k % 5 in (2, 3) then 1 else 0 end + case when q % 9 = 0 then 1 else 0 end + case when q % 17 = 0 then 1 else 0 end + case when q % 19 = 0 then 1 else 0 end + case when q % 23 = 0 then 1 else 0 end + case when q % 12 = 0 then 1 else 0 end as blocks from c),
 s as (select *, least(1, greatest(0, base + prior + case when k % 2 = 0 then 0.05 else 0 end + case when q / 50.0 >= 0.8 then 0.03 else 0 end + least(0.06, (q % 5) * 0.02))) as trust,
@@ -320,45 +371,75 @@ def feat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(counts, p.p_partkey == counts.l_partkey, "left").select("p_partkey", zero("together"), zero("used"), zero("reviewed"))
 
 
-@query("""with g as (select l_partkey, count(distinct l_returnflag) as kinds, count(distinct l_linestatus) as statuses, count(*) filter (where l_returnflag = 'R') as rejected, count(*) filter (where l_discount > 0.08) as high, count(*) as n from lineitem group by 1),
-d as (select l_partkey, case when kinds > 1 then 7 else 0 end as a, case when statuses > 1 then 3 else 0 end as b, least(10, rejected * 0.5) as c, least(10, round(10.0 * high / n, 2)) as e, rejected from g)
-select l_partkey, cast(cast(least(100, a + b + c + e) as decimal(18,2)) as double) as risk, case when b > 0 and rejected > 9 then 'clean_alias_collision' when a > 0 then 'fix_value_kind' when a + b + c + e >= 40 then 'review_dictionary_target' else 'keep_observing' end as action from d""")
+@query("""with b as (select p_brand as t, count(*) as n, cast(regexp_extract(p_brand, '[0-9]+') as bigint) as k, count(distinct p_type) as types from part group by 1),
+t as (select *, case when k % 3 = 0 then 'number_unit' else 'enum' end as kind, case when k % 2 = 0 then 'document' else 'product' end as scope, case k % 4 when 0 then t || ' 合同' when 1 then t || ' 左侧' else t end as display, case when k % 5 = 0 then 'common' else 'O' end as product from b),
+o as (select p_brand as t, case when l_returnflag = 'R' then 'enum' when p_size % 2 = 0 then 'enum' else 'number_unit' end as kind, l_linestatus as product, case when cast(regexp_extract(p_brand, '[0-9]+') as bigint) % 4 = 3 then 4 else l_linenumber % 5 end as v, l_suppkey from lineitem join part on l_partkey = p_partkey),
+g as (select t, count(*) as affected, count(distinct kind) as kinds, min(kind) as one_kind, bool_or(product = 'F') as strange, count(*) filter (where v in (0, 3)) as measured, count(distinct case v when 0 then 'kg' when 3 then 'kg/h' end) as units, count(*) filter (where v = 2) as impure, count(*) filter (where v in (0, 1)) as several from o group by t),
+c as (select p_brand as t, count(*) as clashes from part where p_type in (select p_type from part group by 1 having count(distinct p_brand) > 1) group by 1), u as (select p_brand as t, count(*) filter (where p_size > 49) as pending, count(*) filter (where p_size = 1 and p_type = 'SMALL') as high from part group by 1),
+s as (select t.t, coalesce(affected, 0) as affected, t.k % 7 <> 0 as active, case when kinds > 1 or one_kind <> t.kind then 7 else 0 end as d1, case when coalesce(measured, 0) = 0 then 0 when t.kind = 'number_unit' then least(10, (units - 1) * 3) else least(10, 5 + units) end as d2, case when t.kind = 'enum' then least(10, coalesce(impure, 0) * 2) else 0 end as d3,
+ least(10, coalesce(clashes, 0) * 3) as d4, case when scope <> 'document' and t.k % 4 = 0 then 8 else 0 end as d5, case when high > 0 then 6 else 0 end as d6, case when t.k % 4 = 1 then 5 else 0 end as d7, coalesce((several * 2000 + affected) // (2 * affected), 0) as d8, least(10, pending * 2) as d9, case when strange and t.product <> 'common' then 2 else 0 end as d10
+ from t left join g using (t) left join c using (t) left join u using (t))
+select t as term_type, least(10000, 100 * (d1 + d2 + d3 + d4 + d5 + d6 + d7 + d9 + d10) + d8) / 100.0::double as risk, concat_ws(',', case when d1 > 0 then 'value_kind_consistency' end, case when d2 > 0 then 'unit_consistency' end, case when d3 > 0 then 'enum_purity' end, case when d4 > 0 then 'alias_purity' end, case when d5 > 0 then 'scope_consistency' end,
+ case when d6 > 0 then 'co_occurrence_conflict' end, case when d7 > 0 then 'qualifier_risk' end, case when d8 > 0 then 'composite_value_rate' end, case when d9 > 0 then 'candidate_mapping_pressure' end, case when d10 > 0 then 'product_type_spread' end) as labels,
+ case when not active and affected > 0 then 'review_inactive_target_usage' when d4 > 0 then 'clean_alias_collision' when d1 > 0 then 'fix_value_kind' when d8 > 0 then 'split_composite_value' when d5 > 0 then 'move_scope' when d10 > 0 then 'limit_product_types' when d1 + d2 + d3 + d6 + d7 + d9 >= 40 then 'review_dictionary_target' else 'keep_observing' end as action, affected from s""")
 def audit_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_returnflag").alias("kinds"), F.count_distinct("l_linestatus").alias("statuses"), F.count_if(F.col("l_returnflag") == "R").alias("rejected"), F.count_if(F.col("l_discount") > 0.08).alias("high"), F.count(F.lit(1)).alias("n"))
-    a, b = F.when(F.col("kinds") > 1, 7).otherwise(0), F.when(F.col("statuses") > 1, 3).otherwise(0)
-    share = F.col("high").cast("decimal(18,6)") * 10 / F.col("n").cast("decimal(18,6)")
-    scored = g.withColumn("risk", scoring.risk_total([a, b, F.col("rejected").cast("decimal(18,6)") * F.lit("0.5").cast("decimal(2,1)"), share]))
-    action = scoring.first_action([((b > 0) & (F.col("rejected") > 9), "clean_alias_collision"), (a > 0, "fix_value_kind"), (F.col("risk") >= 40, "review_dictionary_target")], F.lit("keep_observing"))
-    return scored.select("l_partkey", F.col("risk").cast("double").alias("risk"), action.alias("action"))
-
-
-@query("select p_name, p_brand, count(distinct p_brand) over (partition by p_name) > 1 as elsewhere from (select distinct p_name, p_brand from part where p_name <> 'generic')".replace("count(distinct p_brand) over (partition by p_name)", "count(*) over (partition by p_name)"))
+    """Brands as term types, lines of orders as fields that were observed."""
+    p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("long")
+    k = number(F.col("term_type"))
+    display = F.when(k % 4 == 0, F.concat("term_type", F.lit(" 合同"))).when(k % 4 == 1, F.concat("term_type", F.lit(" 左侧"))).otherwise(F.col("term_type"))
+    types = p.select(F.col("p_brand").alias("term_type")).distinct().select(
+        "term_type", display.alias("display"), F.when(k % 3 == 0, "number_unit").otherwise("enum").alias("value_kind"), F.when(k % 2 == 0, "document").otherwise("product").alias("scope"), (k % 7 != 0).alias("active"), F.array(F.when(k % 5 == 0, "common").otherwise("O")).alias("products")
+    )
+    v = F.when(number(F.col("p_brand")) % 4 == 3, 4).otherwise(F.col("l_linenumber") % 5)
+    value = F.when(v == 0, F.concat(F.col("l_suppkey").cast("string"), F.lit(" kg"))).when(v == 1, "a/b").when(v == 2, "是").when(v == 3, "10 kg/h").otherwise("plain")
+    kind = F.when((F.col("l_returnflag") == "R") | (F.col("p_size") % 2 == 0), "enum").otherwise("number_unit")
+    observed = li.join(p, li.l_partkey == p.p_partkey).select(F.col("p_brand").alias("term_type"), kind.alias("value_kind"), value.alias("value"), F.col("l_linestatus").alias("product"))
+    aliases = p.select(F.col("p_brand").alias("term_type"), F.col("p_type").alias("alias"))
+    pressure = p.groupBy(F.col("p_brand").alias("term_type")).agg(F.count_if(F.col("p_size") > 49).alias("pending"), F.count_if((F.col("p_size") == 1) & (F.col("p_type") == "SMALL")).alias("high_risk"))
+    h = concepts.health(types, observed, aliases, pressure)
+    return h.select("term_type", F.col("risk").cast("double").alias("risk"), F.array_join("labels", ",").alias("labels"), "action", "affected")
+
+
+@query("""with k as (select distinct p_brand, replace(p_name, ' ', '') as key from part where p_name <> 'red bolt'), s as (select key, list_sort(list(p_brand)) as brands from k group by key having count(*) > 1)
+select 'cross_term' as finding, p_brand as term_type, k.key, array_to_string(list_filter(brands, lambda x: x <> p_brand), ',') as detail from k join s on s.key = k.key
+union all select 'missing_metadata', p_brand, cast(p_partkey as varchar), concat_ws(',', case when p_size % 5 = 0 then 'scope' end, case when p_size % 7 = 0 then 'concept_role' end, case when p_type = 'SMALL' then 'risk_level' end) from part where p_size % 5 = 0 or p_size % 7 = 0 or p_type = 'SMALL'""")
 def audit_cross_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that stand under other term types too, generic ones aside."""
-    from pyspark.sql import Window
-
-    p = table(spark, sf_dir, "part", "p_name", "p_brand").where("p_name <> 'generic'").distinct()
-    return p.withColumn("elsewhere", F.count(F.lit(1)).over(Window.partitionBy("p_name")) > 1)
+    """Values that stand under other term types too, generic ones aside, and entries that lack what a decision needs."""
+    p = table(spark, sf_dir, "part")
+    across = concepts.cross_terms(p.select(F.col("p_brand").alias("term_type"), F.col("p_name").alias("value")), ["redbolt"])
+    entries = p.select("p_partkey", "p_brand", F.when(F.col("p_size") % 5 != 0, "product").alias("scope"), F.when(F.col("p_size") % 7 == 0, " ").otherwise("value").alias("concept_role"), F.when(F.col("p_type") != "SMALL", "low").alias("risk_level"))
+    lacking = concepts.missing_metadata(entries, ["scope", "concept_role", "risk_level"])
+    found = across.select(F.lit("cross_term").alias("finding"), "term_type", "key", F.array_join("others", ",").alias("detail"))
+    return found.unionByName(lacking.select(F.lit("missing_metadata").alias("finding"), F.col("p_brand").alias("term_type"), F.col("p_partkey").cast("string").alias("key"), F.array_join("missing", ",").alias("detail")))
 
 
-DUPS = """d as (select doc_id, lang || '/' || source || '/' || (doc_id % 40) as name, case when doc_id % 97 = 0 then null else sha256(substr(text, 1, 3)) end as h, cast(case when n_chars > 2000 then 0 when n_chars > 500 then 1 else 3 end as integer) as rank from documents),
+DUPS = """d as (select doc_id, lang || '/' || source || '/' || (doc_id % 40) as name, sha256(text) as h, cast(case when n_chars > 2000 then 0 when n_chars > 500 then 1 else 3 end as integer) as rank from documents),
 bh as (select name, h, count(*) as n, arg_min(doc_id, rank * 10000000 + doc_id) as canonical from d group by name, h), bn as (select name, sum(n) as n, count(h) as contents, bool_or(h is null) as missing from bh group by name having sum(n) > 1)"""
 
 
 @query(f"""with {DUPS} select name, 'missing_blocks' as classification, null as content_hash, cast(null as bigint) as canonical, cast(n as bigint) as documents from bn where missing
 union all select name, 'different_content', null, null, cast(n as bigint) from bn where not missing and contents > 1 union all select bh.name, 'same_content', h, canonical, cast(bh.n as bigint) from bh join bn on bn.name = bh.name and not missing where bh.n > 1""")
 def dup_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one name by their contents (here the first letters, so that some are equal)."""
+    """Documents of one name (a language, a source and a number) by their whole contents."""
     d = table(spark, sf_dir, "documents")
     name = F.concat_ws("/", "lang", "source", (F.col("doc_id") % 40).cast("string"))
     rank = F.when(F.col("n_chars") > 2000, 0).when(F.col("n_chars") > 500, 1).otherwise(3)
-    return dictionary.classify_duplicates(d.select("doc_id", name.alias("name"), F.when(F.col("doc_id") % 97 != 0, F.substring("text", 1, 3)).alias("content"), rank.alias("rank")))
+    return dictionary.classify_duplicates(d.select("doc_id", name.alias("name"), F.col("text").alias("content"), rank.alias("rank")))
 
 
-@query("select sha256(trim(text)) as h, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+@query("""with d as (select doc_id, lang || '/' || source || '/' || (doc_id % 40) as name, sha256(text) as h from documents), n as (select name from d group by name having count(distinct h) > 1),
+x as (select o_custkey as doc_id, o_orderkey, row_number() over (partition by o_custkey order by case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end, o_orderdate desc, o_orderkey desc) as r from orders)
+select d.doc_id, d.name, d.h, l.quality as blocks, x.o_orderkey as latest from d join n on n.name = d.name left join labels l on l.doc_id = d.doc_id left join x on x.doc_id = d.doc_id and r = 1""")
 def dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.trim("text"), 256).alias("h"))
-    return d.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    """Documents whose name has several contents, with their blocks (here labels) and their latest extraction (here orders), finished ones first."""
+    name = F.concat_ws("/", "lang", "source", (F.col("doc_id") % 40).cast("string"))
+    d = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.sha2("text", 256).alias("h"))
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "doc_id")
+    done = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    latest = top_per(o, ["doc_id"], [done, F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("doc_id", F.col("o_orderkey").alias("latest"))
+    blocks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("blocks"))
+    return dictionary.duplicate_names(d).join(blocks, "doc_id", "left").join(latest, "doc_id", "left").select("doc_id", "name", "h", "blocks", "latest")
 
 
 @query("""with l as (select o_custkey, max(o_orderkey) as k from orders group by 1) select distinct o.o_custkey from l join orders o on o.o_orderkey = l.k where o.o_orderstatus <> 'P' and not exists (select 1 from lineitem where l_orderkey = o.o_orderkey and l_quantity > 45)""")
@@ -410,9 +491,9 @@ def trigger_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.triggered(table(spark, sf_dir, "orders"), triggers, "o_orderkey")
 
 
-@query(f"with {DEPTS} select a.id, coalesce(c.name, b.name, a.name) as l1, case when c.name is not null then b.name when b.name is not null then a.name end as l2, case when c.name is not null then a.name end as l3 from d a left join d b on a.parent = b.id left join d c on b.parent = c.id where a.id < 64")
+@query(f"with {DEPTS} select a.id, coalesce(c.name, b.name, a.name) as l1, case when c.name is not null then b.name when b.name is not null then a.name end as l2, case when c.name is not null then a.name end as l3 from d a left join d b on a.parent = b.id left join d c on b.parent = c.id")
 def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.hierarchy(departments(spark, sf_dir).where("id < 64"), 3)
+    return dictionary.hierarchy(departments(spark, sf_dir), 3)
 
 
 @query(f"with {DEPTS} select a.id, case when a.id % 5 = 0 then 'own' when b.id is not null and b.id % 2 = 1 then b.name when b.id is not null then coalesce(c.name, 'none') else 'none' end as leader from d a left join d b on a.parent = b.id left join d c on b.parent = c.id")
@@ -425,12 +506,27 @@ def leader_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", leader.alias("leader"))
 
 
-@query(f"""with {ALIASES}, {FIELDS}, m as (select f.*, al.term_id from f left join al on al.term_type = f.term_type and al.alias = {NORM.format('f.value')}), o as (select field_id // 10 as doc, term_type, value_kind = 'number' as free, term_id, value from m)
-select doc, count(*) as fields, count(*) filter (where free) as free_values, count(*) filter (where not free and term_id is not null) as matched, count(distinct {NORM.format('value')}) filter (where not free and term_id is null) as candidates from o group by doc""")
-def normalize_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields through the dictionary and back to their documents: explode, normalize, match, gather."""
-    from tessera.functions.text import normalize
+PRODUCTS = [("small", "s"), ("economy", "e"), ("medium polished", "m"), ("um", "u")]
 
-    m = dictionary.match_values(fields(spark, sf_dir), aliases(spark, sf_dir)).withColumn("doc", F.expr("field_id div 10"))
-    missing = F.when(F.col("how") == "none", normalize(F.col("value")))
-    return m.groupBy("doc").agg(F.count(F.lit(1)).alias("fields"), F.count_if(F.col("how") == "kind").alias("free_values"), F.count_if(F.col("how") == "alias").alias("matched"), F.count_distinct(missing).alias("candidates"))
+
+@query("""with f as (select l_orderkey as doc, l_linenumber as item, lower(p_type) as material, l_suppkey, case l_linenumber % 3 when 2 then null else replace(p_name, ' ', '') end as model from lineitem join part on l_partkey = p_partkey),
+r as (select doc, item, min(case when contains(material, 'economy') then 'e' when contains(material, 'small') then 's' when contains(material, 'um') then 'u' else 'unknown' end) as product_type from f group by doc, item),
+g as (select doc, count(*) as items, array_to_string(list_sort(list(distinct product_type)), ',') as product_types from r group by doc)
+select g.doc, items, items * 3 as fields, count(distinct (item, model)) filter (where model is not null) + count(distinct (item, material)) as terms, count(distinct (item, l_suppkey)) as numbers, count(distinct l_suppkey) filter (where model is null) as value_candidates,
+count(distinct l_suppkey % 7) as name_candidates, cast(g.doc as varchar) as info, product_types from g join f on f.doc = g.doc group by g.doc, items, product_types""")
+def normalize_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as items with five fields each: a numbered one, a measure, options, one of the document and an unknown one."""
+    p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    lines = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("item"), "p_name", "p_type", "l_suppkey")
+    supplier, k = F.col("l_suppkey").cast("string"), F.col("item") % 3
+    model = F.when(k == 0, F.upper("p_name")).when(k == 1, F.col("p_name")).otherwise(F.concat(F.lit("other"), supplier))
+    given = [
+        (F.concat(F.lit("模头"), F.col("item").cast("string")), model), (F.lit("电压"), F.concat((F.col("l_suppkey") * 10).cast("string"), F.lit("V"))), (F.lit(" 材料 "), F.concat(F.lit("☑"), "p_type", F.lit(" □PP"))),
+        (F.lit("合同号"), F.col("doc").cast("string")), (F.concat(F.lit("x"), (F.col("l_suppkey") % 7).cast("string"), F.lit("?")), F.lit("?")),
+    ]
+    fields = lines.select("doc", "item", F.explode(F.array(*[F.struct(n.alias("name"), v.alias("value")) for n, v in given])).alias("f")).select("doc", "item", "f.*")
+    items = lines.select("doc", "item", F.lit(None).cast("string").alias("hint"), F.col("p_type").alias("name"))
+    names = spark.createDataFrame([("模头", "model", "enum"), ("电压", "voltage", "number"), ("材料", "material", "enum")], "alias string, term_type string, value_kind string")
+    aliases = p.select(F.lit("model").alias("term_type"), F.col("p_name").alias("alias"), F.col("p_partkey").alias("term_id")).unionByName(p.select(F.lit("material").alias("term_type"), F.col("p_type").alias("alias"), F.col("p_partkey").alias("term_id")))
+    out = normalize.normalized(fields, items, spark.createDataFrame(PRODUCTS, "alias string, product_type string"), names, aliases, ("合同号",))
+    return out.select("doc", "items", "fields", "terms", "numbers", "value_candidates", "name_candidates", "info", F.array_join("product_types", ",").alias("product_types"))
