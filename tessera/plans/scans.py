@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import dml, sheets
+from tessera.operators import dml
 from tessera.operators.scans import by_keys, cursor_pages, since
 from tessera.registry import query
+from tessera.sources import sheets
 from tessera.tables import table
 
 
@@ -27,29 +28,33 @@ def scan_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_keys(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", keys)
 
 
-@query("""select cast(r.id as bigint) as id, r.name, n.n_regionkey from (select unnest([{'id': 1, 'name': 'one'}, {'id': 7, 'name': null}, {'id': 3, 'name': 'three'}]) as r)
+@query("""select c_custkey, cast(r.id as bigint) as id, r.name, n.n_regionkey from (select c_custkey, unnest([{'id': c_nationkey, 'name': c_name}, {'id': c_custkey % 40, 'name': null}, {'id': 3, 'name': c_mktsegment}]) as r from customer)
 left join nation n on n.n_nationkey = r.id""")
 def scan_recordset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = spark.createDataFrame([('[{"id":1,"name":"one"},{"id":7},{"id":3,"name":"three"}]',)], "payload string")
-    rows = payload.select(F.explode(F.from_json("payload", "array<struct<id:bigint,name:string>>")).alias("r")).select("r.*")
-    return rows.join(table(spark, sf_dir, "nation"), F.col("id") == F.col("n_nationkey"), "left").select("id", "name", "n_regionkey")
+    """JSON payloads of records, one a customer, as typed rows that join others."""
+    records = F.format_string('[{"id": %d, "name": "%s"}, {"id": %d}, {"id": 3, "name": "%s"}]', "c_nationkey", "c_name", F.col("c_custkey") % 40, "c_mktsegment")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.from_json(records, "array<struct<id:bigint,name:string>>")).alias("r")).select("c_custkey", "r.*")
+    return rows.join(table(spark, sf_dir, "nation"), F.col("id") == F.col("n_nationkey"), "left").select("c_custkey", "id", "name", "n_regionkey")
 
 
-@query("select unnest(['a', 'b', 'c']) as name, cast(unnest([10, 20, 30]) as bigint) as id")
+@query("select p_partkey, unnest(string_split(p_name, ' ')) as name, unnest([p_size, p_size + 1]) as id from part where len(string_split(p_name, ' ')) = 2 union all select p_partkey, unnest(string_split(p_name, ' ')), null from part where len(string_split(p_name, ' ')) <> 2")
 def scan_unnest_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrays = spark.createDataFrame([(["a", "b", "c"], [10, 20, 30])], "name array<string>, id array<bigint>")
-    return arrays.select(F.inline(F.arrays_zip("name", "id")))
+    """Arrays side by side as rows."""
+    words = F.split("p_name", " ")
+    sizes = F.when(F.size(words) == 2, F.array("p_size", F.col("p_size") + 1))
+    zipped = F.transform(words, lambda w, i: F.struct(w.alias("name"), F.get(sizes, i).alias("id")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(zipped))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as cells: a sheet for each region, a row for each nation, three columns."""
-    n = table(spark, sf_dir, "nation")
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("text")) for i, c in enumerate(("n_name", "n_nationkey", "n_regionkey"), 1)]))
-    return n.select(F.concat(F.lit("sheet"), F.col("n_regionkey")).alias("sheet"), F.col("n_nationkey").alias("row"), cells.alias("c")).select("sheet", "row", "c.col", "c.text")
+    """Customers as cells: a workbook for each segment, five sheets in each, a row for each customer, three columns."""
+    n = table(spark, sf_dir, "customer")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("text")) for i, c in enumerate(("c_name", "c_custkey", "c_nationkey"), 1)]))
+    return n.select(F.col("c_mktsegment").alias("workbook"), F.concat(F.lit("sheet"), (F.col("c_nationkey") % 5).cast("string")).alias("sheet"), F.col("c_custkey").cast("int").alias("row"), cells.alias("c")).select("workbook", "sheet", "row", "c.col", "c.text")
 
 
-CELLS = """cells as (select 'sheet' || n_regionkey as sheet, n_nationkey as row, c.col, c.text
-from nation, unnest([{'col': 1, 'text': n_name}, {'col': 2, 'text': cast(n_nationkey as varchar)}, {'col': 3, 'text': cast(n_regionkey as varchar)}]) u(c))"""
+CELLS = """cells as (select c_mktsegment as workbook, 'sheet' || (c_nationkey % 5) as sheet, cast(c_custkey as integer) as row, c.col, c.text
+from customer, unnest([{'col': 1, 'text': c_name}, {'col': 2, 'text': cast(c_custkey as varchar)}, {'col': 3, 'text': cast(c_nationkey as varchar)}]) u(c))"""
 
 
 @query(f"with {CELLS} select sheet, row, string_agg(text, ' | ' order by col) as text, count(*) as cells from cells group by sheet, row")
@@ -85,16 +90,15 @@ def scan_render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.render(sheets.row_blocks(_cells(spark, sf_dir)))
 
 
-@query(f"with {CELLS} select sheet, row, col, text from cells where sheet in ('sheet1', 'sheet2')")
+@query(f"with {CELLS} select workbook, sheet, row, col, text from cells")
 def scan_excel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells written as a workbook and read back from the shared folder."""
-    wanted = _cells(spark, sf_dir).where("sheet in ('sheet1', 'sheet2')")
-    return sheets.read_cells(spark, sheets.write_workbooks(wanted.withColumn("workbook", F.lit("nations")), "workbook")).select("sheet", "row", "col", "text")
+    """Cells written as workbooks and read back from the shared folder."""
+    return sheets.read_cells(spark, sheets.write_workbooks(_cells(spark, sf_dir), "workbook"))
 
 
-@query(f"with {CELLS} select 'nations' as workbook, sheet, count(*) as cells, max(row) as last_row from cells group by sheet")
+@query(f"with {CELLS} select workbook, sheet, count(*) as cells, max(row) as last_row from cells group by workbook, sheet")
 def sink_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = sheets.read_cells(spark, sheets.write_workbooks(_cells(spark, sf_dir).withColumn("workbook", F.lit("nations")), "workbook"))
+    back = sheets.read_cells(spark, sheets.write_workbooks(_cells(spark, sf_dir), "workbook"))
     return back.groupBy("workbook", "sheet").agg(F.count(F.lit(1)).alias("cells"), F.max("row").alias("last_row"))
 
 
@@ -161,7 +165,7 @@ def sink_update_from(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select c_custkey, case c_custkey when 1 then 'A' when 5 then 'B' when 9 then 'C' else c_mktsegment end as c_mktsegment from customer")
 def sink_case_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = spark.createDataFrame([(1, "A"), (5, "B"), (9, "C")], "c_custkey bigint, c_mktsegment string")
-    return dml.update_from(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.broadcast(mapping), ["c_custkey"], ["c_mktsegment"])
+    return dml.update_from(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), mapping, ["c_custkey"], ["c_mktsegment"])
 
 
 @query("select p_partkey, p_size + (select count(*) from lineitem where l_partkey = p_partkey) as usage_count from part")
@@ -176,8 +180,12 @@ def sink_delete_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.delete_stale(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"), keep, ["l_orderkey"])
 
 
-@query("select shape, row, col, paragraphs from (values ('note', 2, 1, 'first' || chr(10) || 'second'), ('label', 5, 3, 'only')) t(shape, row, col, paragraphs)")
+@query("select 'books' || s_suppkey % 7 as workbook, s_name as shape, cast(s_suppkey + 1 as integer) as row, cast(s_nationkey + 1 as integer) as col, case when s_suppkey % 3 = 0 then s_name else s_name || chr(10) || 'of ' || s_nationkey end as paragraphs from supplier")
 def scan_textbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = [("note", 2, 1, ["first", "second"]), ("label", 5, 3, ["only"])]
-    path = sheets.write_workbooks(_cells(spark, sf_dir).where("sheet = 'sheet1'").withColumn("workbook", F.lit("boxes")), "workbook", shapes)
-    return sheets.read_textboxes(spark, path).select("shape", "row", "col", "paragraphs")
+    """Suppliers as shapes of workbooks, written and read back."""
+    s = table(spark, sf_dir, "supplier")
+    lines = F.when(F.col("s_suppkey") % 3 == 0, F.array("s_name", F.lit(" "))).otherwise(F.array(F.col("s_name"), F.concat(F.lit("of "), F.col("s_nationkey").cast("string"))))
+    book = F.concat(F.lit("books"), (F.col("s_suppkey") % 7).cast("string")).alias("workbook")
+    shapes = s.select(book, F.col("s_name").alias("shape"), (F.col("s_suppkey") + 1).cast("int").alias("row"), (F.col("s_nationkey") + 1).cast("int").alias("col"), lines.alias("lines"))
+    cells = s.select(book, F.lit("all").alias("sheet"), (F.col("s_suppkey") + 1).cast("int").alias("row"), F.lit(1).alias("col"), F.col("s_name").alias("text"))
+    return sheets.read_textboxes(spark, sheets.write_workbooks(cells, "workbook", shapes)).select("workbook", "shape", "row", "col", "paragraphs")

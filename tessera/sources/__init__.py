@@ -1 +1 @@
-"""See the modules of this package."""
+"""Sources and sinks that Spark has no format for."""

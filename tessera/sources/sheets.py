@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,24 +121,38 @@ def workbook(cells: list[tuple[str, int, int, str]], shapes: list[tuple[str, int
     return out.getvalue()
 
 
-def write_workbooks(cells: DataFrame, name: str, shapes: list = ()) -> str:
-    """Writes (sheet, row, col, text) as one xlsx file for each value of ``name`` into a new folder and returns it.
+#: Rows of a workbook; more go to further files.
+ROWS = 100_000
 
-    Each file's content is built in a task (a workbook fits in one); Hadoop's file system writes it, so any store works.
-    """
-    spark = cells.sparkSession
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sheet", "row", "col"])
-        return pd.DataFrame({"name": [rows[name].iloc[0]], "content": [workbook(list(rows[["sheet", "row", "col", "text"]].itertuples(index=False, name=None)), shapes)]})
+def write_workbooks(cells: DataFrame, name: str, shapes: DataFrame | None = None) -> str:
+    """Writes (sheet, row, col, text) as xlsx files into a new folder of the shared one and returns it: one for each value of ``name`` and each ROWS rows.
 
+    shapes: (``name``, shape, row, col, lines), put on the first sheet of their workbook's file of these rows.  Tasks build the files and write them
+    by Arrow's file systems, so that no content passes the driver; files beyond the first of a workbook have a number in their name.
+    """
+    spark = cells.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/books-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    for book in cells.groupBy(name).applyInPandas(build, "name string, content binary").toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{book['name']}.xlsx")
-        stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-        stream.write(bytearray(book["content"]))
-        stream.close()
+    target = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    part = F.floor(F.col("row") / ROWS).cast("int").alias("part")
+    by = cells.select(F.col(name).cast("string").alias("name"), part, "sheet", "row", "col", "text")
+    if shapes is None:
+        shapes = spark.createDataFrame([], f"{name} string, shape string, row int, col int, lines array<string>")
+    drawn = shapes.select(F.col(name).cast("string").alias("name"), part, "shape", "row", "col", "lines")
+
+    def build(key: tuple, rows: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["sheet", "row", "col"])
+        content = workbook(list(rows[["sheet", "row", "col", "text"]].itertuples(index=False, name=None)), list(boxes[["shape", "row", "col", "lines"]].itertuples(index=False, name=None)))
+        fs, base = pafs.FileSystem.from_uri(target)
+        fs.create_dir(base, recursive=True)
+        path = f"{base}/{key[0]}{f'-{key[1]}' if key[1] else ''}.xlsx"
+        draft = f"{path}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(draft) as out:
+            out.write(content)
+        fs.move(draft, path)  # whole files only, also where a task runs twice
+        return pd.DataFrame({"path": [path]})
+
+    by.groupBy("name", "part").cogroup(drawn.groupBy("name", "part")).applyInPandas(build, "path string").write.format("noop").mode("overwrite").save()
     return folder
 
 
