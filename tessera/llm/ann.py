@@ -2,11 +2,12 @@
 
 A table turns vectors by fast Hadamard pseudo-rotations (random signs, then a Hadamard transform, three times) and assigns each to
 the nearest signed axis: the largest component by absolute value, with its sign.  Queries probe the buckets whose axes lie
-nearest in every table; the candidates found are reranked by their exact inner products.  The share of pairs
+nearest in every table; the candidates that any table collects are reranked by their exact inner products.  The share of pairs
 searched is the same for any number of rows, so recall does not fall as tables grow.
 
-Buckets with more than ``CHUNK`` rows are split by a hash of the id, and their queries go to every part, so a frequent vector
-does not gather in one task.
+Every row is hashed once.  Rows are dealt into blocks of bounded size, each with the keys of its rows in all tables, and queries go with
+their probes to every block: a candidate is shuffled once and met once, however many tables it shares with a query, and a frequent vector or
+bucket does not gather in one task.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import prepare
 from tessera.llm.topk import finite, ranked
 
-#: Rows that a task holds of one bucket, and queries that it scores at once against them.
-CHUNK, QUERY_BLOCK = 8192, 512
+#: Rows of a candidate block and of a query block, and queries scored at once.
+CHUNK, QUERY_CHUNK, QUERY_BLOCK = 8192, 4096, 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -65,24 +66,22 @@ def _units(column: pa.Array, longest: float | None) -> np.ndarray:
 
 
 def _hashed(rows: DataFrame, tables: int, probes: int, longest: float | None, flat: bool) -> DataFrame:
-    """(t, b, dim, id, v): a row for each table and probe."""
+    """``rows`` (id, v, dim) with keys: the ``probes`` best in each table, one table after the other, as 32-bit numbers."""
+    kind = rows.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim in set(batch.column(2).to_pylist()):
+            for dim in sorted(set(batch.column(2).to_pylist())):
                 part = batch.filter(pc.equal(batch.column(2), dim))
                 if flat and longest is not None:
                     u = _units(part.column(1), None)
                     u = np.concatenate((u, np.zeros((len(u), 1))), axis=1)
                 else:
                     u = _units(part.column(1), longest)
-                for t in range(tables):
-                    keys = buckets(u, t, probes)
-                    at = pa.array(np.repeat(np.arange(len(u)), keys.shape[1]))
-                    columns = [pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.ravel()), part.column(2).take(at), part.column(0).take(at), part.column(1).take(at)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["t", "b", "dim", "id", "v"])
+                keys = np.concatenate([buckets(u, t, probes) for t in range(tables)], axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k.tobytes() for k in keys], pa.binary())], names=["id", "v", "dim", "keys"])
 
-    return rows.mapInArrow(run, "t int, b long, dim int, id long, v array<double>")
+    return rows.mapInArrow(run, f"id long, v {kind}, dim int, keys binary")
 
 
 def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -90,66 +89,71 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(x * q, axis=1)[:, -1]
 
 
-def rerank(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of the k best of one bucket for each query, ties to smaller ids."""
+def collected(keys: np.ndarray, probed: np.ndarray, tables: int) -> np.ndarray:
+    """Which rows (by keys, one a table) the tables collect for which queries (by probes, several a table)."""
+    out = np.zeros((len(probed), len(keys)), bool)
+    several = probed.shape[1] // tables
+    for t in range(tables):
+        mine = probed[:, t * several : (t + 1) * several]
+        hit = np.zeros((len(probed), int(max(mine.max(initial=0), keys[:, t].max(initial=0))) + 1), bool)
+        np.put_along_axis(hit, mine, True, axis=1)
+        out |= hit[:, keys[:, t]]
+    return out
+
+
+def rerank(q: np.ndarray, q_ids: np.ndarray, probed: np.ndarray, x: np.ndarray, x_ids: np.ndarray, keys: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, ids, scores) of the k best that the tables collect of one block for each query, ties to smaller ids."""
     out = []
-    for i in range(len(q)):
-        if i % QUERY_BLOCK == 0:
-            rough = q[i : i + QUERY_BLOCK] @ x.T
-        scores = rough[i % QUERY_BLOCK]
-        scores[x_ids == q_ids[i]] = -np.inf
-        if len(scores) > k:
-            kth = np.partition(scores, -k)[-k]
-            near = np.flatnonzero(scores >= kth - 1e-9 * max(1.0, abs(kth)))
-        else:
-            near = np.arange(len(scores))
-        near = near[scores[near] > -np.inf]
-        exact = exact_scores(x[near], q[i])
-        keep = np.lexsort((x_ids[near], -exact))[:k]
-        out.append((int(q_ids[i]), x_ids[near][keep], exact[keep]))
+    for a in range(0, len(q), QUERY_BLOCK):
+        rough = q[a : a + QUERY_BLOCK] @ x.T
+        rough[~collected(keys, probed[a : a + QUERY_BLOCK], keys.shape[1])] = -np.inf
+        for i, scores in enumerate(rough, a):
+            own = np.flatnonzero(x_ids == q_ids[i])
+            scores[own[(x[own] == q[i]).all(axis=1)]] = -np.inf
+            near = np.flatnonzero(scores > -np.inf)
+            if len(near) > k:
+                kth = np.partition(scores, -k)[-k]
+                near = np.flatnonzero(scores >= kth - 1e-9 * max(1.0, abs(kth)))
+            exact = exact_scores(x[near], q[i])
+            keep = np.lexsort((x_ids[near], -exact))[:k]
+            out.append((int(q_ids[i]), x_ids[near][keep], exact[keep]))
     return out
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probes: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows found with the largest inner product, in double precision, for each query row.
 
-    Rows whose vector is null, empty, zero or holds a null or non-finite component take no part, nor do rows without id.  A row is no
-    candidate of a query with its own id; of several query rows with one id the one with the smallest vector asks, while
-    candidates with one id count by their best score.  Vectors of another length than the query's are no candidates.  Ties go to the smaller id.
+    Rows whose vector is null, empty, zero or holds a null or non-finite component take no part, nor do rows without id.  A query's own row, and rows
+    that repeat its id and vector, are no candidates; all other rows are, also where ids repeat; of several query rows with one id the one with the
+    smallest vector asks.  Vectors of another length than the query's are no candidates.  Ties go to the smaller id.
     Empty tables give no rows.  Every row is indexed; recall depends on ``tables`` and ``probes``.
     Where lengths differ by more than a thousandth, hashing sees vectors extended to equal length, which keeps the order of inner products.
     """
     spark = vectors.sparkSession
-    prepare(spark, 1024)
+    prepare(spark)
     v = F.col(f"`{vector_col}`")
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = vectors.where(finite(v) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.where(finite(v) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast(kind).alias("v"), F.size(v).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.withColumn("length", length).where("length > 0 and length < double('infinity')")
-    n, shortest, longest = rows.agg(F.count(F.lit(1)), F.min("length"), F.max("length")).first()
+    n, n_queries, shortest, longest = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.min("length"), F.max("length")).first()
     uneven = longest if n and longest > 1.001 * shortest else None
-    cands = _hashed(rows.select("id", "v", "dim"), tables, 1, uneven, False)
-    once = rows.where("asks").groupBy("id", "dim").agg(F.min("v").alias("v")).select("id", "v", "dim")
-    asks = _hashed(once, tables, probes, uneven, True)
-    parts = rows_in_buckets(rows, tables, uneven)
-    spread = F.coalesce(F.col("parts"), F.lit(1))
-    cands = cands.join(parts, ["t", "b", "dim"], "left").withColumn("c", F.pmod(F.xxhash64("id"), spread).cast("int")).drop("parts")
-    asks = asks.join(parts, ["t", "b", "dim"], "left").withColumn("c", F.explode(F.sequence(F.lit(0), (spread - 1).cast("int")))).drop("parts")
-
-    def bucket(x: pa.Table, q: pa.Table) -> pa.Table:
+    blocks, q_blocks = max(1, -(-n // CHUNK)), max(1, -(-n_queries // QUERY_CHUNK))
+    deal = lambda m, *salt: F.pmod(F.xxhash64("id", *salt), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    once = rows.where("asks").groupBy("id").agg(F.min(F.struct("v", "dim")).alias("x")).select(F.col("id").alias("id"), "x.v", "x.dim")
+    cands = _hashed(rows.select("id", "v", "dim"), tables, 1, uneven, False).select("*", deal(blocks, "v", F.spark_partition_id()).alias("c"), every(q_blocks).alias("b"))
+    asks = _hashed(once, tables, probes, uneven, True).select("*", deal(q_blocks).alias("b"), every(blocks).alias("c"))
+
+    def block(x: pa.Table, q: pa.Table) -> pa.Table:
         found = []
         if x.num_rows and q.num_rows:
-            xm, qm = (m["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(m.num_rows, -1) for m in (x, q))
-            found = rerank(qm, q["id"].to_numpy(), xm, x["id"].to_numpy(), k)
+            xm, qm = (m["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(m.num_rows, -1).astype(float) for m in (x, q))
+            keys, probed = (np.frombuffer(b"".join(m["keys"].to_pylist()), np.int32).reshape(m.num_rows, -1) for m in (x, q))
+            found = rerank(qm, q["id"].to_numpy(), probed, xm, x["id"].to_numpy(), keys, k)
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
         return pa.table([pa.array([f[i] if i == 0 else f[i].tolist() for f in found], t) for i, t in enumerate(kinds)], names=["query_id", "ids", "scores"])
 
-    keys = ["t", "b", "dim", "c"]
-    found = cands.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(bucket, "query_id long, ids array<long>, scores array<double>")
-    pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).groupBy("query_id", F.col("x.ids").alias("id")).agg(F.max("x.scores").alias("score"))
-    return ranked(pairs.select("query_id", F.array("id").alias("ids"), F.array("score").alias("scores")), k, "double")
-
-
-def rows_in_buckets(rows: DataFrame, tables: int, longest: float | None) -> DataFrame:
-    """(t, b, dim, parts) of the buckets with more than CHUNK rows."""
-    keys = _hashed(rows.select("id", "v", "dim"), tables, 1, longest, False)
-    return keys.groupBy("t", "b", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("t", "b", "dim", F.ceil(F.col("n") / CHUNK).alias("parts"))
+    keys = ["c", "b", "dim"]
+    found = cands.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(block, "query_id long, ids array<long>, scores array<double>")
+    return ranked(found, k, "double")
