@@ -1,21 +1,24 @@
 """Personal data by boosted trees over candidate spans.
 
 Generators with high recall propose spans, which may overlap: the base patterns, and looser ones (written-out addresses,
-digits with unusual separators, numbers without a prefix).  Boosted trees score each candidate by its format and its
-context; a calibrated threshold selects what is redacted.  Spans of the base patterns always stay, others are added where
-they overlap none.
-
-The trees are trained on examples that a seeded rule generates, so that training needs no look at the corpus and is the same
-everywhere; every text is searched whole in its own task, in time linear in its length.
+digits with unusual separators, numbers without a prefix).  Boosted trees score every candidate, those of the base patterns too, by its
+format and its context; thresholds by kind, calibrated on held-out candidates, select what is redacted.  Spans of the base patterns
+always stay, others are added in the order of their scores where they overlap none.
+
+The trees learn from a bounded number of windows of the given texts: spans of the base patterns in them count as personal data, and seeded
+rules write personal data in other formats, and numbers that are none, between their words.  Every text is searched whole in its
+own task, in n log n time for n spans.  Looser generators stop at 64 characters for a name or a host label and at 8 groups of 6 digits;
+this bounds added spans only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +88,7 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def candidates(text: str) -> list[Span]:
+def loose_spans(text: str) -> list[Span]:
     """Spans that the looser generators propose."""
     found: list[Span] = []
     low = text.lower() if ("(" in text or "[" in text or "{" in text) else ""
@@ -131,8 +134,8 @@ class Trees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         mean = y.mean().clip(0.01, 0.99)
         self.start = float(np.log(mean / (1 - mean)))
-        cuts = [np.unique(np.quantile(c, np.linspace(0.05, 0.95, 19))) for c in x.T]
-        below = [[c <= t for t in ts] for c, ts in zip(x.T, cuts)]
+        splits = [(f, float(t)) for f, c in enumerate(x.T) for t in np.unique(np.quantile(c, np.linspace(0.05, 0.95, 19)))]
+        below = np.stack([x[:, f] <= t for f, t in splits], axis=1).astype(float)
         z = np.full(len(y), self.start)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-z))
@@ -142,18 +145,15 @@ class Trees:
             for node in range(2 ** (self.depth + 1) - 1):
                 rows = where[node]
                 gs, hs = g[rows].sum(), h[rows].sum()
-                best = (1e-3, -1, 0.0, None)
+                split, left = (-1, 0.0), np.zeros(len(y), bool)
                 if node < 2**self.depth - 1 and rows.sum() > 10:
-                    for f, ts in enumerate(cuts):
-                        for t, left in zip(ts, below[f]):
-                            a = left & rows
-                            ga, ha = g[a].sum(), h[a].sum()
-                            gain = ga * ga / (ha + 1) + (gs - ga) ** 2 / (hs - ha + 1) - gs * gs / (hs + 1)
-                            if gain > best[0]:
-                                best = (gain, f, float(t), left)
-                left = best[3] if best[3] is not None else np.zeros(len(y), bool)
-                where += [rows & left, rows & ~left] if best[1] >= 0 else [np.zeros(len(y), bool)] * 2
-                tree.append((best[1], best[2], float(self.rate * gs / (hs + 1))))
+                    ga, ha = (g * rows) @ below, (h * rows) @ below
+                    gain = ga * ga / (ha + 1) + (gs - ga) ** 2 / (hs - ha + 1) - gs * gs / (hs + 1)
+                    best = int(np.argmax(np.round(gain, 9)))
+                    if gain[best] > 1e-3:
+                        split, left = splits[best], below[:, best] > 0
+                where += [rows & left, rows & ~left] if split[0] >= 0 else [np.zeros(len(y), bool)] * 2
+                tree.append((*split, float(self.rate * gs / (hs + 1))))
             self.trees.append(tree)
             z = z + self._walk(tree, x)
         return self
@@ -186,75 +186,134 @@ def _word(rng: random.Random) -> str:
     return "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9)))
 
 
-def examples(n: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of generated candidates: personal data in unusual formats, and numbers that are none."""
+def written_out(rng: random.Random) -> tuple[str, int, str]:
+    """(cue, kind, span) of personal data in a format that the base patterns do not have."""
+    kind, sep = rng.randrange(4), rng.choice((" ", ".", "‑", "–", "/", "_"))
+    if kind == 0:
+        o, c = rng.choice(("[]", "()", "{}"))
+        return "", kind, f"{_word(rng)} {o}at{c} {_word(rng)} {rng.choice(('.', f'{o}dot{c}'))} com"
+    if kind == 1:
+        return "", kind, rng.choice(("[.]", "(.)")).join(str(rng.randint(1, 254)) for _ in range(4))
+    if kind == 2:
+        d = _card(rng)
+        return rng.choice(("", "card ", "visa: ")), kind, sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
+    s = rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}{sep}{b}{sep}{c}"))
+    return rng.choice(("", "tel ")) if s.startswith("(") else rng.choice(("tel ", "phone: ", "call ", "mobile ")), kind, s
+
+
+def harmless(rng: random.Random) -> tuple[str, str]:
+    """(cue, text) of what looks like personal data and is none."""
+    kind, sep = rng.randrange(4), rng.choice((" ", ".", "‑", "–", "/", "_"))
+    if kind == 0:
+        return "", f"{_word(rng)} (at {_word(rng)}). {_word(rng)}" if rng.random() < 0.2 else _digits(rng, rng.randint(9, 19))
+    if kind == 1:
+        return rng.choice(("", "version ")), ".".join(_digits(rng, rng.choice((1, 2, 3, 4))) for _ in range(rng.choice((2, 3, 5, 6))))
+    if kind == 2:
+        s = rng.choice((_digits(rng, rng.randint(9, 19)), sep.join(_digits(rng, rng.choice((1, 2, 3, 4, 5))) for _ in range(rng.randint(2, 6)))))
+        return rng.choice(("", "", "order ", "invoice no ", "id ", "total ")), s
+    year, month, day = rng.randint(1900, 2100), rng.randint(1, 12), rng.randint(1, 28)
+    s = (f"{year}-{month:02}-{day:02}", f"{day:02}/{month:02}/{year}", f"{_digits(rng, 3)} {_digits(rng, 3)} {_digits(rng, 3)}", f"{_digits(rng, 4)}-{_digits(rng, 4)}", _digits(rng, rng.randint(9, 15)), f"{_digits(rng, 3)}-{_digits(rng, 3)}-{_digits(rng, 4)}")
+    return rng.choice(("", "", "order ", "isbn ", "date ", "serial ")), rng.choice(s)
+
+
+def examples(windows: list[str], n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of candidates: those of the base patterns in ``windows``, and ``n`` that rules write between words of windows."""
     rng = random.Random(seed)
     x, y = [], []
-    for k in range(n):
-        good, kind = k % 2, rng.randrange(4)
-        sep = rng.choice((" ", ".", "‑", "–", "/", "_"))
-        cue = ""
-        if good and kind == 0:
-            o, c = rng.choice(("[]", "()", "{}"))
-            s = f"{_word(rng)} {o}at{c} {_word(rng)} {rng.choice(('.', f'{o}dot{c}'))} com"
-        elif good and kind == 1:
-            dot = rng.choice(("[.]", "(.)"))
-            s = dot.join(str(rng.randint(1, 254)) for _ in range(4))
-        elif good and kind == 2:
-            d = _card(rng)
-            s = sep.join(d[i : i + 4] for i in range(0, len(d), 4))
-            cue = rng.choice(("", "card ", "visa: "))
-        elif good:
-            a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-            s = rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}{sep}{b}{sep}{c}"))
-            cue = rng.choice(("tel ", "phone: ", "call ", "mobile ")) if not s.startswith("(") else rng.choice(("", "tel "))
-        elif kind == 0:
-            s = f"{_word(rng)} (at {_word(rng)}). {_word(rng)}" if rng.random() < 0.2 else _digits(rng, rng.randint(9, 19))
-        elif kind == 1:
-            s = ".".join(_digits(rng, rng.choice((1, 2, 3, 4))) for _ in range(rng.choice((2, 3, 5, 6))))
-            cue = rng.choice(("", "version "))
-        elif kind == 2:
-            s = rng.choice((_digits(rng, rng.randint(9, 19)), sep.join(_digits(rng, rng.choice((1, 2, 3, 4, 5))) for _ in range(rng.randint(2, 6)))))
-            cue = rng.choice(("", "", "order ", "invoice no ", "id ", "total "))
+
+    def add(text: str, span: Span, good: bool) -> None:
+        x.append(features(text, span))
+        y.append(float(good))
+
+    for text in windows:
+        for span in base_spans(text):
+            add(text, span, True)
+    for i in range(n):
+        good = i % 2 == 1
+        if good:
+            cue, kind, s = written_out(rng)
         else:
-            s = rng.choice((f"{rng.randint(1900, 2100)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{_digits(rng, 2)}/{_digits(rng, 2)}/{_digits(rng, 4)}", f"{_digits(rng, 3)} {_digits(rng, 3)} {_digits(rng, 3)}", f"{_digits(rng, 4)}-{_digits(rng, 4)}", _digits(rng, rng.randint(9, 15)), f"{_digits(rng, 3)}-{_digits(rng, 3)}-{_digits(rng, 4)}"))
-            cue = rng.choice(("", "", "order ", "isbn ", "date ", "serial "))
-        text = f"{_word(rng)} {_word(rng)} {cue}{s}{rng.choice((' ', '. ', ', '))}{_word(rng)}"
-        for span in candidates(text):
-            x.append(features(text, span))
-            y.append(float(bool(good) and span[1] == kind and text[span[0] : span[2]] in s))
+            (cue, s), kind = harmless(rng), -1
+        words = (rng.choice(windows) if windows else "").split()[:40] or [_word(rng), _word(rng)]
+        at = rng.randint(0, len(words))
+        before = "".join(f"{w} " for w in words[:at]) + cue
+        text = f"{before}{s}{rng.choice((' ', '. ', ', '))}{' '.join(words[at:])}"
+        for span in loose_spans(text):
+            if span[0] < len(before) + len(s) and span[2] > len(before):  # what else the window has is not known
+                add(text, span, good and span[1] == kind and span[0] >= len(before) and span[2] <= len(before) + len(s))
     return np.array(x), np.array(y)
 
 
-@lru_cache(maxsize=2)
-def model(precision: float = 0.995, n: int = 1200) -> tuple[Trees, float]:
-    """Trees, and the log odds from which on generated candidates that training has not seen are right with ``precision``."""
-    trees = Trees().fit(*examples(n))
-    x, y = examples(n, seed=6)
-    z = trees.score(x)
-    order = np.argsort(-z)
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    enough = np.flatnonzero(right >= precision)
-    return trees, float(max(z[order[enough[-1]]], 1.0)) if len(enough) else np.inf
+class Model:
+    """Trees, and for each kind the log odds from which on a candidate is taken."""
+
+    def __init__(self, windows: list[str], precision: float = 0.99, n: int = 1500):
+        rng = random.Random(7)
+        windows = windows + [" ".join(_word(rng) for _ in range(20)) for _ in range(200 - len(windows))]  # few texts teach little about context
+        self.trees = Trees().fit(*examples(windows[::2], n, 5))
+        x, y = examples(windows[1::2], n, 6)  # held out
+        z = self.trees.score(x)
+        self.least = []
+        for kind in range(len(KINDS)):
+            of = x[:, 0] == kind
+            order = np.argsort(-z[of], kind="stable")
+            right = np.cumsum(y[of][order]) / np.arange(1, of.sum() + 1)
+            enough = np.flatnonzero(right >= precision)
+            self.least.append(max(float(z[of][order][enough[-1]]), 0.0) if len(enough) else math.inf)
+
+
+def windows(docs: DataFrame, n: int = 800, width: int = 400, text_col: str = "text") -> list[str]:
+    """At most ``n`` windows of ``width`` characters, at places given by hashes, of the texts with the least hashes."""
+    text = F.col(f"`{text_col}`")
+    place = F.pmod(F.xxhash64(text, F.lit(1)), F.greatest(F.lit(1), F.length(text) - width)).cast("int") + 1
+    rows = docs.where(F.length(text) > 0).select(F.xxhash64(text).alias("h"), F.substring(text, place, F.lit(width)).alias("w"))
+    least = rows.select("h").distinct().orderBy("h").limit(n)  # copies count once; at most n rows, so they may be broadcast
+    chosen = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min("w").alias("w"))
+    return [r.w for r in chosen.orderBy("h").collect()]
+
 
+class Taken:
+    """Spans that do not overlap, by place."""
 
-def find(texts: list[str], trees: Trees, threshold: float) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, added spans) of each text."""
+    def __init__(self, spans: list[Span]):
+        self.ends: list[tuple[int, int]] = []  # (end, start), ascending
+        for s, _, e in sorted(spans):
+            if self.ends and s < self.ends[-1][0]:
+                self.ends[-1] = (max(e, self.ends[-1][0]), self.ends[-1][1])
+            else:
+                self.ends.append((e, s))
+
+    def meets(self, span: Span) -> bool:
+        i = bisect_right(self.ends, (span[0], math.inf))
+        return i < len(self.ends) and self.ends[i][1] < span[2]
+
+    def add(self, span: Span) -> None:
+        insort(self.ends, (span[2], span[0]))
+
+
+def find(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span], int, int]]:
+    """(base spans, added spans, candidates, base spans that score below their threshold) of each text."""
     base = [base_spans(t) for t in texts]
-    proposed = []
-    for k, t in enumerate(texts):
-        taken = base[k]
-        for c in candidates(t):
-            if not any(c[0] < e and s < c[2] for s, _, e in taken):
-                proposed.append((k, c))
+    loose = [loose_spans(t) for t in texts]
+    every = [(k, c) for k, spans in enumerate(base) for c in spans] + [(k, c) for k, spans in enumerate(loose) for c in spans]
+    n_base = sum(map(len, base))
+    z = model.trees.score(np.array([features(texts[k], c) for k, c in every])) if every else np.zeros(0)
+    least = np.array(model.least)[[c[1] for _, c in every]] if every else np.zeros(0)
+    doubted = [0] * len(texts)
+    for k, _ in (every[i] for i in np.flatnonzero(z[:n_base] < least[:n_base])):
+        doubted[k] += 1
     added: list[list[Span]] = [[] for _ in texts]
-    if proposed:
-        z = trees.score(np.array([features(texts[k], c) for k, c in proposed]))
-        for i in np.argsort(-z, kind="stable"):
-            k, c = proposed[i]
-            if z[i] >= threshold and not any(c[0] < e and s < c[2] for s, _, e in added[k]):
+    taken = {}
+    for i in np.argsort(-z, kind="stable"):
+        k, c = every[i]
+        if i >= n_base and z[i] >= least[i]:
+            if k not in taken:
+                taken[k] = Taken(base[k])
+            if not taken[k].meets(c):
+                taken[k].add(c)
                 added[k].append(c)
-    return [(b, sorted(a)) for b, a in zip(base, added)]
+    return [(b, sorted(a), len(b) + len(c), d) for b, a, c, d in zip(base, added, loose, doubted)]
 
 
 def listed(spans: list[Span]) -> str:
@@ -272,39 +331,48 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[done:]
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row its id, n_email, n_ip, n_card, n_phone and base_sha256 (base spans), spans (all) and n_added.
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """A model from windows of at most 800 texts, half of them for calibration; it also works without any."""
+    return Model(windows(docs, text_col=text_col))
+
+
+def detect(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row its id, n_email, n_ip, n_card, n_phone and base_sha256 (base spans), spans (all), n_added, n_candidates and n_doubted.
 
-    Positions are code points, ends exclusive.  Null and empty texts have no spans; equal texts have equal spans; an empty table gives no rows.
+    n_candidates counts the spans that were scored, n_doubted the base spans among them that the trees alone would not take.  Positions are
+    code points, ends exclusive.  Null and empty texts have no spans; equal texts have equal spans; an empty table gives no rows.
     """
-    prepare(docs.sparkSession, 512)
-    trees, threshold = model()
+    prepare(docs.sparkSession)
+    model = model or train(docs, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+    more = ("n_added", "n_candidates", "n_doubted")
+    names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = find([t or "" for t in b.column(1).to_pylist()], trees, threshold)
-            counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
-            sums = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], pa.string())
-            spans = pa.array([listed(base + more) for base, more in found], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, sums, spans, pa.array([len(more) for _, more in found], pa.int64())], names=names)
+            found = find([t or "" for t in b.column(1).to_pylist()], model)
+            counts = [pa.array([sum(s[1] == k for s in base) for base, *_ in found], pa.int64()) for k in range(len(KINDS))]
+            sums = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, *_ in found], pa.string())
+            spans = pa.array([listed(base + added) for base, added, *_ in found], pa.string())
+            counted = [pa.array(c, pa.int64()) for c in ([len(f[1]) for f in found], [f[2] for f in found], [f[3] for f in found])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, sums, spans, *counted], names=names)
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    counted = ", ".join(f"{n} long" for n in more)
+    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, {counted}")
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind; null texts stay null."""
-    prepare(docs.sparkSession, 512)
-    trees, threshold = model()
+    prepare(docs.sparkSession)
+    model = model or train(docs, text_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            found = find([t or "" for t in texts], trees, threshold)
-            new = [t if t is None else redacted(t, base + more) for t, (base, more) in zip(texts, found)]
+            found = find([t or "" for t in texts], model)
+            new = [t if t is None else redacted(t, base + added) for t, (base, added, *_) in zip(texts, found)]
             columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 

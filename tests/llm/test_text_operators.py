@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, pii, quality
@@ -36,6 +39,17 @@ def test_bpe_matches_the_library(spark):
     assert bpe.encode(df.where("false"), VOCABULARY).count() == 0
 
 
+def test_memory_of_pieces_is_bounded_and_changes_nothing(monkeypatch):
+    given = texts(300, "abcde f", 80) + ["x" * 5000, "ab" * 4000 + " c", *texts(300, "abcdeé f", 80, 2)]
+    plain = [[(p[0], p[1]) for p in parts] for parts in bpe.Bpe(VOCABULARY).encode_batch(given)]
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    monkeypatch.setattr(bpe, "MEMORY_CHARS", 3000)
+    small = bpe.Bpe(VOCABULARY)
+    for k, t in enumerate(given):
+        assert [(p[0], p[1]) for p in small.encode_batch([t])[0]] == plain[k]
+        assert len(small.memory) <= 50 + 200 and small.chars < 3000 + 60_000
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -78,10 +92,57 @@ def test_redaction():
     assert pii.redacted("a joe@example.com b +1 (268) 555-6289", base) == "a [EMAIL] b [PHONE]"
 
 
-def test_search_is_linear():
-    trees, at = pii.model()
+@pytest.fixture(scope="module")
+def planted(tables):
+    """A model, and windows of documents with one written-out or harmless text each, that it has not seen."""
+    windows = pii.windows(tables[0])
+    rng = random.Random(99)
+    out = []
+    for k in range(600):
+        words = windows[k % len(windows)].split()
+        at = rng.randint(0, len(words))
+        if k % 2:
+            cue, kind, s = pii.written_out(rng)
+        else:
+            (cue, s), kind = pii.harmless(rng), -1
+        before = "".join(f"{w} " for w in words[:at]) + cue
+        out.append((f"{before}{s} {' '.join(words[at:])}", kind, len(before), len(before) + len(s)))
+    return pii.Model(windows), out
+
+
+def test_planted_data_is_added_and_numbers_are_not(planted):
+    model, given = planted
+    found = pii.find([g[0] for g in given], model)
+    caught = [any(s < g[3] and g[2] < e for s, _, e in added + base) for g, (base, added, *_) in zip(given, found)]
+    good = [c for c, g in zip(caught, given) if g[1] >= 0]
+    bad = [any(s < g[3] and g[2] < e for s, _, e in f[1]) for g, f in zip(given, found) if g[1] < 0]
+    assert sum(good) / len(good) > 0.6 and sum(bad) / len(bad) < 0.03
+
+
+def test_taken_spans_match_brute_force(planted):
+    model, _ = planted
+    rng = random.Random(4)
+    for _ in range(200):
+        text = " ".join(rng.choice((pii.written_out(rng)[2], pii.harmless(rng)[1], "+1 (268) 555-6289", "joe@example.com", "word")) for _ in range(12))
+        base, added, scored, doubted = pii.find([text], model)[0]
+        loose = pii.loose_spans(text)
+        z = model.trees.score(np.array([pii.features(text, c) for c in loose])) if loose else np.zeros(0)
+        kept = []
+        for i in np.argsort(-z, kind="stable"):
+            c = loose[i]
+            if z[i] >= model.least[c[1]] and not any(c[0] < e and s < c[2] for s, _, e in base + kept):
+                kept.append(c)
+        assert base == plain_spans(text) and added == sorted(kept) and scored == len(base) + len(loose) and 0 <= doubted <= len(base)
+
+
+def test_search_is_linear(planted):
+    model, _ = planted
     for piece in ("a", "@", "1", "1.", "+1 ", "1-", "a@", "[at]"):
-        pii.find([piece * 30000], trees, at)
+        pii.find([piece * 30000], model)
+    text = "call (503) 555-8963, joe [at] example [dot] com or +1 (268) 555-6289 and joe@example.com; " * 11000
+    began = time.time()
+    base, added, *_ = pii.find([text], model)[0]
+    assert len(base) == 22000 and len(added) >= 11000 and time.time() - began < 60
 
 
 @pytest.fixture(scope="module")
@@ -112,3 +173,33 @@ def test_without_labels_all_scores_are_one_half(spark, tables):
     docs, labels = tables
     model = quality.train(docs, labels.where("false"))
     assert {r.quality_score for r in quality.score(docs.limit(5), model).collect()} == {0.5}
+
+
+def test_repeated_ids_teach_once_and_ties_score_alike(spark, tables):
+    docs, labels = tables
+    many = docs.unionByName(docs.where("doc_id < 40").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("n"))
+    a, b = quality.train(docs, labels), quality.train(many, labels.unionByName(labels))
+    assert np.array_equal(a.weights, b.weights) and a.cut == b.cut
+    scores = {}
+    for r in quality.score(many.where("doc_id < 40"), a).collect():
+        scores.setdefault(r.text, set()).add(r.quality_score)
+    assert all(len(s) == 1 for s in scores.values())
+
+
+def test_pairs_are_ranked_as_brute_force_ranks_them():
+    """Weights against plain gradient descent on the same preference pairs, and the cut against a sorted list."""
+    rng = np.random.default_rng(1)
+    x, true = rng.standard_normal((300, 4)), np.array([2.0, -1.0, 0.5, 0.0])
+    y = (x @ true + 0.3 * rng.standard_normal(300) > 0.4).astype(int)
+    model = quality.fit(x, y, pairs=3000)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    pick = np.random.default_rng(3)
+    d = z[pick.choice(good, 3000)] - z[pick.choice(bad, 3000)]
+    w = np.zeros(4)
+    for _ in range(30000):
+        w -= 0.01 / 30 * (w - d.T @ (1 / (1 + np.exp(d @ w))))
+    assert np.abs(w - model.weights).max() < 0.02
+    raw = np.sort(z @ model.weights)
+    assert model.cut == pytest.approx(np.interp(len(bad) / 300 * 299, np.arange(300), raw))
+    assert ((model.score(x) >= 0.3) == (model.raw(x) >= model.cut - 1e-9)).all()
