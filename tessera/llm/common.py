@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 
+#: Bytes of an Arrow batch that goes to a Python worker; a longer row makes a batch of its own.
+BATCH_BYTES = 1 << 20
+
 #: What counts as a word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,13 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession, batch_rows: int = 1024) -> None:
-    """Bound Arrow batches by rows (texts may be long) and make this package importable on executors.
+def prepare(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes (texts and packs may be long), alike for all operators, and make this package importable on executors.
 
     Where the repository is neither the working folder nor on PYTHONPATH, the package is zipped and
     handed to Spark, which serves it to every executor, also to those that join later.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if os.path.realpath(os.getcwd()) == str(ROOT) or str(ROOT) in known or os.path.exists("tessera/llm/common.py"):
         return
@@ -44,20 +49,54 @@ def prepare(spark: SparkSession, batch_rows: int = 1024) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder for intermediate tables, spark.checkpoint.dir: only what driver and executors share can hold them."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and spark.sparkContext.master.startswith("local["):  # one machine: its folders are shared
         folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Actions inside give their shuffle files back as soon as they end: for frames that no later action runs again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Scratch:
+    """Intermediate tables of one computation: compressed, in the shared folder, each deleted when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, shared_folder(spark), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut the lineage with a table, which outlives any executor."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        with freeing_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        self.free(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self, *names: str) -> None:
+        """Delete tables by name; a later table of the same name has replaced the earlier one."""
+        for name in names:
+            if path := self.paths.pop(name, None):
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a compressed table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cut the lineage with a table in the shared folder that stays, as what is returned reads it."""
+    return Scratch(df.sparkSession).write(df, name)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

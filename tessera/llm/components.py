@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import Scratch, freeing_shuffles
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,17 +23,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("a") > F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the least node that it is connected with.
 
-    Loops and repeated edges do not matter; nulls must be absent.  Every round ends in a table in the shared folder.
+    Loops and repeated edges do not matter; nulls must be absent.  Every round ends in a table in the shared folder, which replaces the last round's.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark or not new[0]:
-            break
-        mark = tuple(new)
-        now = written(_stars(_stars(now, True), False), "stars")
+    scratch = scratch or Scratch(edges.sparkSession)
+    now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    while not _done(now):
+        now = scratch.write(_stars(_stars(now, True), False), "stars")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+
+
+def _done(edges: DataFrame) -> bool:
+    """Whether edges (a, b) are stars: every a has one b, which is no a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    with freeing_shuffles(edges.sparkSession):
+        sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return sums.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()

@@ -6,10 +6,11 @@ partitions of n2 second-level ones, and each way to leave out k2 of the n2 gives
 fall into the others.  As n1 * (k2 + 1) > k, two similar sets share a signature.  A set has signatures for its own band and
 for the next.
 
-Documents with equal sets are one node from the start.  The sets of one signature are compared first with the one that shares
-most with others, as an original does with its copies; accepted links make components.  Only signatures whose sets are not all
-connected by then are looked at again: tasks hold blocks of their sets as sketches, whose differing bytes are a lower bound of the Hamming
-distance, and let only those unconnected pairs out that may still be similar.  Links are exact: shingle sets of both sides are intersected.
+Documents with equal sets are one node from the start.  A set travels as its sketch, some bits whose differences are a lower bound of
+the Hamming distance; only sets of pairs that sketches leave are read.  The sets of one signature are compared first with its pivot, the
+one that shares most with others, as an original does with its copies.  Each set tries the pivot that looks nearest, which makes components; then come the
+other pairs that are not connected yet: with pivots, and, for signatures whose sets are not all connected by then, those that tasks let out that
+hold blocks of their sketches and drop what cannot be similar.  Links are exact: shingle sets of both sides are intersected.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import prepare, written
+from tessera.llm.common import Scratch, prepare
 from tessera.llm.components import components
 
 #: Signatures that a task packs before it hands them on, and that it sorts at once.
-PACK, SORT = 1 << 20, 1 << 21
+PACK, SORT = 1 << 19, 1 << 20
 #: Characters of text for each packed partition.
 SPREAD = 1 << 24
 #: Sketches of one signature that a task compares with as many others.
@@ -72,13 +74,16 @@ class PartEnum:
 
 
 def _packed(docs: DataFrame, words: int, enum: PartEnum, parts: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, key, set_id, n) for each document, and packs of (signature, set_id) for each partition p."""
+    """Rows of two kinds: (doc_id, key, set_id, n, sketch) for each document, and packs of (signature, set_id) for each partition p.
+
+    A task gives the sketch of a set once, and again only where it saw too many sets to remember.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["p", "doc_id", "key", "set_id", "n", "pack"]
+        names = ["p", "doc_id", "key", "set_id", "n", "sketch", "pack"]
 
-        def out(p: np.ndarray, ids: pa.Array, keys: pa.Array, sets: np.ndarray, n: np.ndarray, packs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), ids, keys, pa.array(sets, pa.int64()), pa.array(n, pa.int64()), pa.array(packs, pa.binary())], names=names)
+        def out(p: np.ndarray, ids: pa.Array, keys: pa.Array, sets: np.ndarray, n: np.ndarray, sketches: list, packs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), ids, keys, pa.array(sets, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(packs, pa.binary())], names=names)
 
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
             sig = np.concatenate([h[0] for h in held])
@@ -90,30 +95,32 @@ def _packed(docs: DataFrame, words: int, enum: PartEnum, parts: int) -> DataFram
             both = np.stack((sig, own.view(np.uint64)), axis=1)
             packs = [both[a:b].tobytes() for a, b in zip(at, [*at[1:], len(p)])]
             nothing, nulls = np.zeros(len(at), np.int64), pa.nulls(len(at), pa.int64())
-            return out(p[at].astype(np.int32), nulls, nulls, nothing, nothing, packs)
+            return out(p[at].astype(np.int32), nulls, nulls, nothing, nothing, [None] * len(at), packs)
 
         held, count, seen = [], 0, set()
         for b in batches:
-            ids, sizes = [], []
+            ids, sizes, sketches = [], [], []
             for s in shingles.sets(b.column(1), words):
                 sizes.append(len(s))
                 ids.append(shingles.set_id(s) if len(s) else 0)
+                sketches.append(None)
                 if len(s) and ids[-1] not in seen:  # a copy adds nothing
                     seen.add(ids[-1])
+                    sketches[-1] = sketch(s).tobytes()
                     sig = enum.signatures(s)
                     held.append((sig, np.full(len(sig), ids[-1], np.int64)))
                     count += len(sig)
                 if count >= PACK:
                     yield flush(held)
                     held, count = [], 0
-                    if len(seen) > PACK:
+                    if len(seen) > PACK // 8:
                         seen = set()
             sets = np.array(ids, np.int64)
-            yield out((sets.view(np.uint64) % np.uint64(parts)).astype(np.int32), b.column(0), b.column(2), sets, np.array(sizes, np.int64), [None] * len(ids))
+            yield out((sets.view(np.uint64) % np.uint64(parts)).astype(np.int32), b.column(0), b.column(2), sets, np.array(sizes, np.int64), sketches, [None] * len(ids))
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "text", "key").mapInArrow(run, "p int, doc_id long, key long, set_id long, n long, pack binary")
+    return docs.select("doc_id", "text", "key").mapInArrow(run, "p int, doc_id long, key long, set_id long, n long, sketch binary, pack binary")
 
 
 def _met(packs: list[bytes], carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,29 +139,29 @@ def _met(packs: list[bytes], carried: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _unpacked(packed: DataFrame) -> DataFrame:
-    """(kind, doc_id, key, set_id, n, sig): documents as they are, and the sets of every signature that several have.
+    """(kind, doc_id, key, set_id, n, sketch, sig): documents as they are, and the sets of every signature that several have.
 
     A task sorts a bounded number of signatures at once and carries one row for each signature on, so that a
     frequent one needs no more memory than others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "key", "set_id", "n", "sig"]
+        names = ["kind", "doc_id", "key", "set_id", "n", "sketch", "sig"]
         none = np.zeros((0, 2), np.uint64)
 
         def met(packs: list[bytes], carried: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
             rows, carried = _met(packs, carried)
             m = len(rows)
-            columns = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(rows[:, 1]), pa.array(np.zeros(m, np.int64)), pa.array(rows[:, 0])]
+            columns = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(rows[:, 1]), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.binary()), pa.array(rows[:, 0])]
             return pa.RecordBatch.from_arrays(columns, names=names), carried
 
         packs, count, carried, p = [], 0, none, None
         for b in batches:
-            docs = b.filter(b.column(5).is_null())
+            docs = b.filter(b.column(6).is_null())
             zero = pa.array(np.zeros(docs.num_rows, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs.num_rows, np.int32)), docs.column(1), docs.column(2), docs.column(3), docs.column(4), zero], names=names)
-            rest = b.filter(b.column(5).is_valid())
-            for q, pack in zip(rest.column(0).to_pylist(), rest.column(5).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs.num_rows, np.int32)), docs.column(1), docs.column(2), docs.column(3), docs.column(4), docs.column(5), zero], names=names)
+            rest = b.filter(b.column(6).is_valid())
+            for q, pack in zip(rest.column(0).to_pylist(), rest.column(6).to_pylist()):
                 if (q != p or count >= SORT) and packs:
                     got, carried = met(packs, carried)
                     yield got
@@ -166,37 +173,35 @@ def _unpacked(packed: DataFrame) -> DataFrame:
         if packs:
             yield met(packs, carried)[0]
 
-    # packs may be large: few rows to a batch
     rows = packed.repartition("p").sortWithinPartitions("p")
-    return rows.mapInArrow(run, "kind int, doc_id long, key long, set_id long, n long, sig long")
+    return rows.mapInArrow(run, "kind int, doc_id long, key long, set_id long, n long, sketch binary, sig long")
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """A byte for each cell of the feature domain; a cell whose byte differs between two sets holds a feature of only one of them.
+    """Bits of a set as bytes: whether the number of its features in each cell of the feature domain is odd.
 
-    The number of cells is a power of two, at least 256 and half the size of the set.
+    Each bit that differs between two sets takes a feature that only one of them has.  The number of cells is a power of two, at
+    least 64 and the size of the set.
     """
-    cells = 1 << max(8, (len(s) // 2 - 1).bit_length())
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles.mix(s ^ np.uint64(0x632BE59BD9B4E019)))))
-    bounds = np.searchsorted(((s >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32), np.arange(cells + 1, dtype=np.uint64))
-    return ((total[bounds[1:]] - total[bounds[:-1]]) & np.uint64(255)).astype(np.uint8)
+    cells = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1)
 
 
-def folded(sketches: list[bytes], width: int) -> np.ndarray:
-    """Sketches of any width as rows of ``width`` bytes: bytes of neighbouring cells add up."""
-    return np.stack([np.frombuffer(x, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.uint8) for x in sketches])
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Rows of sketches as rows of ``width`` bytes: what fewer cells give."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, width), axis=1)
 
 
-def _sketches_of(docs: DataFrame, words: int) -> DataFrame:
-    """(set_id, n, sketch) of each text."""
+def matrix(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [s for s in shingles.sets(b.column(0), words) if len(s)]
-            columns = [pa.array([shingles.set_id(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s).tobytes() for s in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "sketch"])
 
-    return docs.select("text").mapInArrow(run, "set_id long, n long, sketch binary")
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits differ between rows of bytes."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
 def _sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -218,12 +223,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("key", F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")))
 
 
-def _one_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _one_each(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The documents with the keys of ``wanted`` (key, many); of those with ``many`` one row a key, the least.
 
     The keys are written, so that Spark knows their size and broadcasts them only where it is small.
     """
-    wanted = written(wanted, "wanted")
+    wanted = scratch.write(wanted, name)
     if wanted.where("many").isEmpty():
         return docs.join(wanted, "key", "left_semi")
     rest = [c for c in docs.columns if c != "key"]
@@ -232,45 +237,61 @@ def _one_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return single.select("key", *rest).unionByName(least.select("key", "least.*"))
 
 
-def _holding(docs: DataFrame, needed: DataFrame, holders: DataFrame) -> DataFrame:
-    """The documents to read the needed sets from, one row for each.  holders: (set_id, doc_id, key, many)."""
-    return _one_each(docs, holders.join(needed, "set_id", "left_semi").select("key", "many"))
-
-
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that the sketches of their sets do not rule out."""
+    """(a, b, gap): those of ``pairs`` (a, b) that the sketches of their sets do not rule out, and the share of both that differs at least."""
     a, b = (sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in filter(len, batches):
-            keep = []
-            for na, nb, ka, kb in zip(*(rows.column(c).to_pylist() for c in ("na", "nb", "ka", "kb"))):
-                x, y = folded([ka, kb], min(len(ka), len(kb)))
-                keep.append(int((x != y).sum()) * (den + num) <= (den - num) * (na + nb))
-            yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            both = rows.column(2).to_numpy() + rows.column(3).to_numpy()
+            least = np.zeros(len(both), np.int64)
+            wide = [pc.binary_length(rows.column(i)).to_numpy() for i in (4, 5)]
+            for x, y in np.unique(np.stack(wide, axis=1), axis=0).tolist():
+                at = np.flatnonzero((wide[0] == x) & (wide[1] == y))
+                ka, kb = (folded(matrix(rows.column(i).take(pa.array(at))), min(x, y)) for i in (4, 5))
+                least[at] = apart(ka, kb)
+            kept = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(least / both)], names=["a", "b", "gap"])
+            yield kept.filter(pa.array(least * (den + num) <= (den - num) * both))
 
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ka", "kb")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(run, "a long, b long, gap double")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, holders: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar; only their sets are read."""
+def _links(pairs: DataFrame, docs: DataFrame, holders: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar; only their sets are read, each from one row.  holders: (set_id, doc_id, key, many)."""
     needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    sets = _sets_of(_holding(docs, needed, holders), words)
+    sets = _sets_of(_one_each(docs, holders.join(needed, "set_id", "left_semi").select("key", "many"), scratch, "wanted"), words)
     a, b = (sets.select(F.col("set_id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     common, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    return pairs.join(a, "a").join(b, "b").where(F.lit(den) * common >= F.lit(num) * (sizes - common)).select("a", "b")
+    return scratch.write(pairs.join(a, "a").join(b, "b").where(F.lit(den) * common >= F.lit(num) * (sizes - common)).select("a", "b"), "links")
 
 
-def _ranked(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(sig, set_id, n, r): the sets of each signature, numbered from the one that shares most with others.
-
-    A set's weight is the sum of the sizes of its signatures.  sizes: (set_id, n).
-    """
+def _weighed(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, set_id, n, w): the members of each signature with their weights, the sums of the sizes of their signatures.  sets: (set_id, n, ...)."""
     crowd = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
     weight = members.join(crowd, "sig").groupBy("set_id").agg(F.sum("m").alias("w"))
-    order = Window.partitionBy("sig").orderBy(F.col("w").desc(), "set_id")
-    return members.join(weight.join(sizes, "set_id"), "set_id").withColumn("r", F.row_number().over(order)).select("sig", "set_id", "n", "r")
+    return members.join(weight.join(sets.select("set_id", "n"), "set_id"), "set_id").select("sig", "set_id", "n", "w")
+
+
+def _with_pivots(opened: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): each set of a signature with its heaviest one, where their sizes allow a link."""
+    pivot = opened.groupBy("sig").agg(F.min(F.struct((-F.col("w")).alias("w"), "set_id", "n")).alias("p")).select("sig", F.col("p.set_id").alias("a"), F.col("p.n").alias("na"))
+    fits = F.lit(den) * F.least("n", "na") >= F.lit(num) * F.greatest("n", "na")
+    return opened.join(pivot, "sig").where(fits & (F.col("set_id") != F.col("a"))).select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each set that stands in pairs (a, b, gap) the one with the least gap."""
+    ends = pairs.select(F.col("a").alias("end"), "a", "b", "gap").unionByName(pairs.select(F.col("b").alias("end"), "a", "b", "gap"))
+    return ends.groupBy("end").agg(F.min(F.struct("gap", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+
+
+def _apart_still(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are not connected yet."""
+    out = pairs.select("a", "b")
+    for x in "ab":
+        out = out.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
+    return out.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,8 +313,7 @@ def may_link(n: np.ndarray, label: np.ndarray, sketches: np.ndarray, side: np.nd
     for i in np.flatnonzero(side != 1):
         j = np.flatnonzero((label != label[i]) & ((side == 1) | ((side == 2) & (np.arange(len(n)) > i))) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
         if len(j):
-            apart = (sketches[j] != sketches[i]).sum(1)
-            j = j[apart * (den + num) <= (den - num) * (n[j] + n[i])]
+            j = j[apart(sketches[j], sketches[i]) * (den + num) <= (den - num) * (n[j] + n[i])]
             at_i.append(np.full(len(j), i))
             at_j.append(j)
     return (np.concatenate(at_i), np.concatenate(at_j)) if at_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -313,8 +333,13 @@ def _near(mixed: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> pa.RecordBatch:
             ids, n, label, side = (rows[c].to_numpy() for c in ("set_id", "n", "label", "side"))
-            sketches = rows["sketch"].to_pylist()
-            i, j = may_link(n, label, folded(sketches, min(map(len, sketches))), side, num, den)
+            column = rows["sketch"].combine_chunks()
+            wide = pc.binary_length(column).to_numpy()
+            sketches = np.zeros((len(wide), wide.min()), np.uint8)
+            for x in np.unique(wide).tolist():
+                at = np.flatnonzero(wide == x)
+                sketches[at] = folded(matrix(column.take(pa.array(at))), sketches.shape[1])
+            i, j = may_link(n, label, sketches, side, num, den)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
         held: pa.Table | None = None  # the block that may go on in the next batch
@@ -331,39 +356,48 @@ def _near(mixed: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _grouped(docs: DataFrame, words: int, num: int, den: int, n2: int | None, k2: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, set_id, n) of each row of docs (doc_id, text, key); (set_id, doc_id, key, many, label) of each set.
+def _grouped(docs: DataFrame, words: int, num: int, den: int, n2: int | None, k2: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """(doc_id, key, set_id, n) of each row of docs (doc_id, text, key); (set_id, doc_id, key, many, label) of each set; the tables these read.
 
     A set's row is that of the least doc_id, nulls last, then the least key; many says whether rows repeat it.
     """
-    prepare(docs.sparkSession, 512)
+    prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     n2 = n2 or (2 if num / den > 0.85 else 3)
     enum = PartEnum(num, den, n2, k2)
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, -(-chars // SPREAD))
-    table = written(_unpacked(_packed(docs, words, enum, parts)), "signatures")
-    own = table.where("kind = 0").select("doc_id", "key", "set_id", "n")
+    table = scratch.write(_unpacked(_packed(docs, words, enum, parts)), "signatures")
+    own = scratch.write(table.where("kind = 0").select("doc_id", "key", "set_id", "n"), "own")
     kept = own.where("n > 0").groupBy("set_id", "doc_id", "key").agg(F.count(F.lit(1)).alias("m"))
     kept = kept.groupBy("set_id").agg(_first_row(F.col("m") > 1).alias("x"))
-    holders = written(kept.select("set_id", "x.doc_id", "x.key", "x.many"), "holders")
-    sizes = own.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"))
-    members = table.where("kind = 1").select("sig", "set_id").distinct()
-    opened = written(_ranked(members, sizes), "open")
-    sketches = written(_sketches_of(_holding(docs, opened.select("set_id").distinct(), holders), words), "sketches")
-    pivot = opened.where("r = 1").select("sig", F.col("set_id").alias("a"), F.col("n").alias("na"))
-    fits = F.lit(den) * F.least("n", "na") >= F.lit(num) * F.greatest("n", "na")
-    first = opened.where("r > 1").join(pivot, "sig").where(fits).select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
-    first = written(first, "pairs")
-    possible = written(_possible(first, sketches, num, den), "pairs")
-    labels = written(components(_links(possible, docs, holders, words, num, den)), "labels")
-    rows = _labelled(opened, labels)
-    mixed = rows.join(_mixed(rows), "sig").join(sketches.select("set_id", "sketch"), "set_id")
-    more = written(_near(mixed, num, den).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    found = written(_links(more, docs, holders, words, num, den), "links")
-    if not found.isEmpty():  # components so far are stars, to which the new links are added
-        labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)), "labels")
+    holders = scratch.write(kept.select("set_id", "x.doc_id", "x.key", "x.many"), "holders")
+    members = scratch.write(table.where("kind = 1").select("sig", "set_id").distinct(), "members")
+    shared = table.where("kind = 0 and sketch is not null").join(members.select("set_id").distinct(), "set_id", "left_semi")
+    sets = scratch.write(shared.groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    scratch.free("signatures")
+    opened = scratch.write(_weighed(members, sets), "open")
+    scratch.free("members")
+    first = scratch.write(_with_pivots(opened, num, den), "first")
+    possible = scratch.write(_possible(first, sets, num, den), "possible")
+
+    def connected(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(node, label) with the links among ``pairs``; what is connected already is stars, to which they are added."""
+        links = _links(pairs, docs, holders, words, num, den, scratch)
+        if known is not None:
+            links = links.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return scratch.write(components(links, scratch), "labels")
+
+    labels = connected(_nearest(possible), None)
+    rows = _labelled(opened.select("sig", "set_id"), labels)
+    mixed = rows.join(_mixed(rows), "sig").join(sets, "set_id")
+    near = _near(mixed, num, den).distinct().join(first, ["a", "b"], "left_anti")
+    rest = scratch.write(near.unionByName(_apart_still(possible, labels)), "rest")
+    if not rest.isEmpty():
+        labels = connected(rest, labels)
+    scratch.free("sets", "open", "first", "possible", "rest", "links", "wanted", "stars")
     least = holders.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    return own, least
+    return own, least, scratch
 
 
 def _first_row(many: Column) -> Column:
@@ -380,7 +414,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2: int |
     An empty table gives no rows.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    own, least = _grouped(_keyed(docs, "doc_id", "text"), words, num, den, n2, k2)
+    own, least, _ = _grouped(_keyed(docs, "doc_id", "text"), words, num, den, n2, k2)
     by_label = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = least.join(by_label, "label").select("set_id", "component_id")
     full = own.where("n > 0").join(by_set, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -393,7 +427,9 @@ def survivors(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, n2:
     Of rows that repeat id and text the least stays.  Rows without shingles have no links, so all of them stay.
     """
     keyed = _keyed(docs, id_col, text_col)
-    own, least = _grouped(keyed.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), "key"), words, num, den, n2, k2)
+    own, least, scratch = _grouped(keyed.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), "key"), words, num, den, n2, k2)
     first = least.groupBy("label").agg(_first_row(F.col("many")).alias("x")).select("x.key", "x.many")
     empty = own.where("n = 0").select("key", F.lit(False).alias("many")).distinct()
-    return _one_each(keyed, first.unionByName(empty)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = _one_each(keyed, first.unionByName(empty), scratch, "survivors")
+    scratch.free("own", "holders", "labels")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

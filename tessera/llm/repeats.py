@@ -247,7 +247,7 @@ def remove(docs: DataFrame, length: int = 200, q: int = 32, digest: bool = False
     input.  Texts are UTF-8; null texts are empty; rows with one id and text repeat each other; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    prepare(spark, 256)
+    prepare(spark)
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     docs = docs.withColumn("k", F.xxhash64("doc_id", "text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

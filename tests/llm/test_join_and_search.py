@@ -294,9 +294,38 @@ def test_exact_search(spark, monkeypatch):
 
 def test_pivots_eliminate():
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((4000, 4)) * 100
-    found = topk.search_block(x[:5], np.arange(5), x, np.arange(4000), 10)
-    assert all(f[3] < 4000 for f in found)
+    x = np.floor(rng.standard_normal((4000, 4)) * 100)
+    p = topk.farthest_first(x[:500], 16)
+    assert len(np.unique(p, axis=0)) == 16
+    table = topk.distances(x, p)
+    found = topk.search_block(x[:5], np.arange(5), table[:5], x, np.arange(4000), table, 10)
+    for i, (_, ids, scores, seen) in enumerate(found):
+        s = x @ x[i]
+        s[i] = -np.inf
+        order = np.lexsort((np.arange(4000), -s))[:10]
+        assert (ids == order).all() and (scores == s[order]).all() and seen < 4000
+
+
+def test_pivots_eliminate_most_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 32))
+    v = centres[rng.integers(0, 40, 3000)] + 0.05 * rng.standard_normal((3000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(3000)], "vec_id long, embedding array<double>").repartition(3)
+    seen, held = topk.evaluated(df, F.col("vec_id") % 100 == 0).first()
+    assert held == 30 * 3000 and seen < 0.2 * held
+    q = np.floor(1024 * v).astype(np.int64)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 100 == 0).collect()}
+    for i in range(0, 3000, 100):
+        s = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(3000), -s)) if j != i][:10]
+        assert [got[i, n + 1] for n in range(10)] == [(j, s[j]) for j in order]
+
+
+def test_rows_that_share_an_id_are_candidates_each(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (1, [0.25, 0.5]), (2, [1.0])], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 1, 512 * 1024), (2, 1, 512 * 1024), (3, 1, 256 * 1024)]
 
 
 def test_approximate_search(spark):
@@ -317,9 +346,9 @@ def test_approximate_search(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
-def test_recall_does_not_fall_with_crowded_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CROWDED", 1, raising=False)  # crowded buckets once gave keys more axes
+def test_recall_does_not_fall_with_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "CHUNK", 16)
+    monkeypatch.setattr(ann, "QUERY_CHUNK", 20)
     rows, df = vectors(spark, 1500)
     v = np.array([r[1] for r in rows])
     got = {}
@@ -336,12 +365,25 @@ def test_recall_does_not_fall_with_crowded_buckets(spark, monkeypatch):
 def test_blocks_of_queries_score_alike(monkeypatch):
     rng = np.random.default_rng(4)
     x, q = rng.standard_normal((90, 8)), rng.standard_normal((37, 8))
-    whole = ann.rerank(q, np.arange(37), x, np.arange(90), 5)
+    keys, probed = (np.concatenate([ann.buckets(m, t, p) for t in range(4)], axis=1) for m, p in ((x, 1), (q, 3)))
+    seen = ann.collected(keys, probed, 4)
+    assert (seen == np.array([[any(keys[j, t] in probed[i, 3 * t : 3 * t + 3] for t in range(4)) for j in range(90)] for i in range(37)])).all()
+    whole = ann.rerank(q, np.arange(100, 137), probed, x, np.arange(90), keys, 5)
+    for i, (_, ids, scores) in enumerate(whole):
+        best = [j for j in np.lexsort((np.arange(90), -(x @ q[i]))) if seen[i, j]][:5]
+        assert ids.tolist() == best and np.allclose(scores, x[best] @ q[i])
     monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
-    for a, b in zip(whole, ann.rerank(q, np.arange(37), x, np.arange(90), 5), strict=True):
+    for a, b in zip(whole, ann.rerank(q, np.arange(100, 137), probed, x, np.arange(90), keys, 5), strict=True):
         assert a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all()
 
 
+def test_rows_of_one_id_are_found_each(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.8, 0.0]), (1, [0.8, 0.0]), (1, [0.5, 0.5]), (0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") == 0, tables=8, probes=4).collect())
+    # of the two query rows the smaller vector asks: [0.9, 0.1]; both others of its id are candidates
+    assert [(rank, i) for rank, i, _ in got] == [(1, 0), (2, 0), (3, 1), (4, 1), (5, 1)] and [round(s, 9) for *_, s in got] == [0.9, 0.9, 0.72, 0.72, 0.5]
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(1).standard_normal((5, 48))
     assert np.allclose(np.linalg.norm(ann.rotated(x, 1, 0), axis=1), np.linalg.norm(x, axis=1))
@@ -362,6 +404,26 @@ def test_events_fold_into_messages(spark):
     assert chat.format_log(df.where("false")).count() == 0
 
 
+def test_logs_lead_back_to_their_messages(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(("</s>", "[INST]", "a", "é", "\n", "[/INST]x"))
+    rows = [(c, t, rng.choice(("user", "assistant", None, "tool")), "".join(word() for _ in range(rng.choice((0, 1, 5, 900))))) for c in (None, 1, 2) for t in (None, *range(40))]
+    rows += [(2, 7, "assistant", "again"), (2, 7, "assistant", "again"), (2, 7, "assistant", None), (3, None, None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string").repartition(3)
+    log = chat.event_log(df, piece=7)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["message"] == len(rows) and kinds["edit"] > 3 and kinds["regenerate"] > 3 and kinds["delta"] > len(rows)
+    got = {r.conv_id: r for r in chat.digests(chat.format_log(log).withColumn("conv", F.lit(1))).collect()}
+    assert set(got) == {None, 1, 2, 3}
+    for conv, r in got.items():
+        mine = sorted(((-1 if t is None else t, role or "", text or "") for c, t, role, text in rows if c == conv))
+        learned = "".join(text for _, role, text in mine if role == "assistant")
+        assert r.n_turns == len(mine) and r.loss_chars == len(learned) and r.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in mine).encode()).hexdigest()
+        assert r.formatted_chars == sum(len(chat.render(role, text)) for _, role, text in mine)
+    assert chat.digests(chat.format_log(chat.event_log(df.where("false")))).count() == 0
+
+
 def test_escapes_are_reversible():
     rng = random.Random(1)
     for _ in range(3000):
@@ -371,24 +433,79 @@ def test_escapes_are_reversible():
         assert list(chat.read(chat.render("user", t) + chat.render("assistant", t))) == [("user", t, ""), ("assistant", t, t)]
 
 
+def brute_mixture(sizes, targets):
+    """How many copies a mixture takes of documents (id, source, size), by sorting each source's documents whole."""
+    out = {}
+    for source, target in targets.items():
+        mine = [(i, n) for i, s, n in sizes if s == source and n]
+        whole = int(target // sum(n for _, n in mine))
+        rest, c = target - whole * sum(n for _, n in mine), None
+        by_size = sorted({n for _, n in mine}, reverse=True)
+        for n in by_size:  # the largest size that is not certain
+            above, squares = sum(m for _, m in mine if m > n), sum(m * m for _, m in mine if m <= n)
+            if (rest - above) / squares * n < 1:
+                c, open_size = (rest - above) / squares, n
+                break
+        ranked = []
+        for i, n in mine:
+            u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            p = 1.0 if c is None or n > open_size else min(1.0, max(0.0, c * n))
+            ranked.append((u * (1 - p) / (u * (1 - p) + (1 - u) * p), i, n))
+        upto = 0
+        for _, i, n in sorted(ranked):
+            more = upto + n <= rest or (upto < rest and abs(upto + n - rest) < abs(upto - rest))
+            upto += n
+            out[i] = whole + more
+    return out
+
+
 def test_pipeline_stages(spark):
+    """Every stage on what the one before kept, with odd rows among the documents, against brute force."""
     import corpus_pipeline as p
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    from tessera.llm import mixing, quality
+    from tessera.llm.common import pick, table
+    from tests.llm.test_mixing import plain_targets
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = docs.where(F.length("text") > 300).orderBy("doc_id").first()
+    odd = [(None, text.text, "en", None, 1), (90001, None, "en", "a", 0), (90002, "", None, "a", 0), (90003, text.text, "en", "a", 1), (90003, text.text, "en", "a", 1), (90004, "word " * 60_000, "en", "a", 300_000)]
+    docs = docs.select(*p.COLUMNS).unionByName(spark.createDataFrame(odd, docs.select(*p.COLUMNS).schema)).withColumn("mix_place", F.lit(1)).withColumn("key", F.lit("k"))
     rows = {}
     for name, stage in p.STAGES:
-        before, docs = docs, written(stage(spark, docs, "/root/testdata/sf0.001"), name)
+        before, docs = docs, written(stage(spark, docs, sf), name)
         rows[name] = (before.collect(), docs.collect())
         if name != "tokens":
             assert tuple(docs.columns) == p.COLUMNS
-    kept = {r.doc_id for r in rows["quality"][1]}
-    assert kept < {r.doc_id for r in rows["quality"][0]}
+    before, after = rows["quality"]
+    model = quality.train(pick(spark.createDataFrame(before), *p.COLUMNS), table(spark, sf, "labels"), at=0.3)
+    good = [r for r, s in zip(before, model.score(quality.features([r.text or "" for r in before]))) if s >= 0.3]
+    assert Counter((r.doc_id, r.text) for r in after) == Counter((r.doc_id, r.text) for r in good) and len(good) < len(before)
     before, after = rows["near_duplicates"]
     ids = [r.doc_id for r in before]
     groups = brute_components([r.text for r in before], 5, 80, 100)
     least = {}
-    for i, (_, c) in groups.items():
-        least[c] = min(least.get(c, ids[i]), ids[i])
-    assert {r.doc_id for r in after} == set(least.values())
-    assert not any("@mail" in r.text for r in rows["personal_data"][1])
+    for i, (n, c) in groups.items():
+        place = (ids[i] is None, ids[i]) if n else (2, i)
+        least[c] = min(least.get(c, place), place)
+    assert Counter(r.doc_id for r in after if r.text and r.text.strip()) == Counter(i for last, i in least.values() if last != 2)
+    before, after = rows["personal_data"]
+    assert not any("@mail" in (r.text or "") for r in after) and Counter(r.doc_id for r in before) == Counter(r.doc_id for r in after)
+    assert all(r.n_chars == len(r.text) for r in after if r.text is not None)
+    before, after = rows["mixture"]
+    sizes = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in before]
+    by_source = {}
+    for _, s, n in sizes:
+        by_source[s] = by_source.get(s, 0) + n
+    copies = brute_mixture(sizes, {s: t for s, t in plain_targets(by_source).items() if by_source[s]})
+    assert Counter(r.doc_id for r in after) == Counter({i: n for i, n in copies.items() if n})
     assert Counter(r.doc_id for r in rows["tokens"][1]) == Counter(r.doc_id for r in rows["mixture"][1])
+
+
+def test_pipeline_of_nothing(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false")
+    for name, stage in p.STAGES:
+        docs = written(stage(spark, docs, "/root/testdata/sf0.001"), name)
+        assert docs.count() == 0
