@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import prepare
 
 #: Pieces of text that a task remembers in each of two generations.  When the young one is full, it takes the place of the
-#: old one, out of which only those seen again come back; this changes no result.
-MEMORY = 250_000
+#: Pieces of text that a worker remembers in each of two generations, and characters of them, their ids and tokens.  When the young one is full, it
+#: takes the place of the old one, out of which only those seen again come back; this changes no result.
+MEMORY, MEMORY_CHARS = 100_000, 8_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -81,6 +82,7 @@ class Bpe:
         self.memory: dict[str | int, tuple[int, str, str]] = {}
         self.old_memory: dict[str | int, tuple[int, str, str]] = {}
         self.word_memory: dict[str, tuple[int, str, str]] = {}
+        self.chars = 0
 
     @staticmethod
     def normalize(text: str) -> str:
@@ -172,11 +174,13 @@ class Bpe:
         for p, words in split.items():
             got = [known[w] for w in words]
             self.memory[p] = got[0] if len(got) == 1 else (sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
+            self.chars += len(p) + len(self.memory[p][1]) + len(self.memory[p][2])
 
     def encode_batch(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
         """For each text its pieces as (number of ids, ids, tokens), the last two joined by spaces."""
-        if len(self.memory) > MEMORY:
-            self.old_memory, self.memory, self.word_memory = self.memory, {}, {}
+        if len(self.memory) > MEMORY or self.chars > MEMORY_CHARS:
+            keep = self.chars <= MEMORY_CHARS  # a generation of very long pieces is not kept
+            self.old_memory, self.memory, self.word_memory, self.chars = self.memory if keep else {}, {}, {}, 0
         memory, old = self.memory, self.old_memory
         split: list[list[str | int]] = []
         for text in texts:
@@ -216,7 +220,7 @@ def encode(docs: DataFrame, vocabulary: str, digest: bool = False, id_col: str =
     ``vocabulary`` is a path that every executor can open.  Null and empty texts have no tokens.  No shuffle: each
     task keeps nothing but its memory of words, and whole texts of any length pass through in batches of bounded rows.
     """
-    prepare(docs.sparkSession, 512)
+    prepare(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids array<int>, decoded string"
     kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.int64(), pa.list_(pa.int32()), pa.string()]

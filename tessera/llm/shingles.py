@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; longer texts are cut at white space.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 _rng = np.random.default_rng(20)
 _ODD = np.uint64(int(_rng.integers(1 << 62)) * 2 + 1)
