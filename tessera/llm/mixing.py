@@ -4,10 +4,11 @@ Every source gets a target in words.  A source whose target is r times its size
 of each document, which is certain, and the rest of the target as a Pareto sample: document i has the
 inclusion probability p_i = min(1, c * size_i), with c such that the expected words are the rest; it draws a
 uniform number u_i from a hash of its id; documents are ranked by odds(u_i) / odds(p_i) and taken in
-that order until the rest is reached (the last one only if that comes nearer).
+that order until the rest is reached (the last one only if that comes nearer).  Rows that repeat an id draw a number each.
 
-All steps are joins and windows over (source) and (source, rank bin): no window ever holds the documents of a source.
-Ranks are cut in two steps, bins first and then the documents of the one bin in which the target falls.
+The draw is made on small rows (id, source, size, times), written once.  All steps are joins and windows over (source) and (source, rank
+bin): no window ever holds the documents of a source.  Ranks are cut in two steps, bins first and then the documents of the one bin in
+which the target falls.  A source's one row meets its documents under SALT keys, so that a source with a third of all rows is no one task's.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, Scratch, written
 
 #: Rank bins for each source; the documents of one bin are ranked together.
 BINS = 65536
+#: Keys under which a source's row meets its documents.
+SALT = 32
 
 
 def word_count(text: Column) -> Column:
@@ -56,9 +59,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     )
 
 
-def _scales(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, source_size, target, whole, rest, certain, scale): from which size on a document is certain, and c."""
-    by_size = sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+def _scales(groups: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, source_size, target, whole, rest, open_size, scale): the rest to sample, from which size on a document is certain, and c.
+
+    groups: (mix_source, mix_size, times).
+    """
+    by_size = groups.where("mix_size > 0").groupBy(F.col("mix_source").alias("source"), F.col("mix_size").alias("size")).agg(F.sum("times").alias("n"))
     largest_first = Window.partitionBy("source").orderBy(F.col("size").desc())
     before = largest_first.rowsBetween(Window.unboundedPreceding, -1)
     after = largest_first.rowsBetween(0, Window.unboundedFollowing)
@@ -84,26 +90,31 @@ def uniform(key: Column, seed: str) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def _ranked(rows: DataFrame, scales: DataFrame, seed: str) -> DataFrame:
-    """``rows`` (doc_id, source, size, ...) with the columns of ``scales`` and their rank in [0, 1] and bin."""
-    s = scales.withColumnRenamed("source", "of_source")
+def _met(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    """``rows`` (mix_id, mix_source, ...) with the columns of ``by_source`` (source, ...), one row a source, under SALT keys."""
+    salted = by_source.withColumnRenamed("source", "of_source").withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salt = F.pmod(F.xxhash64("mix_id", "mix_size"), F.lit(SALT)).cast("int")
+    return rows.withColumn("mix_salt", salt).join(salted, F.col("mix_source").eqNullSafe(F.col("of_source")) & (F.col("mix_salt") == F.col("of_salt"))).drop("of_source", "of_salt", "mix_salt")
+
+
+def _ranked(rows: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (mix_id, mix_size, mix_place, scale, open_size, ...) with their rank in [0, 1] and bin; certain ones have a bin of their own, -1."""
     size, u = F.col("mix_size"), F.col("mix_u")
     p = F.when(F.col("scale").isNull() | (size > F.col("open_size")), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("scale") * size)))
     # odds(u) / odds(p) as x / (1 + x), which has the same order
     below, above = u * (1 - F.col("mix_p")), (1 - u) * F.col("mix_p")
+    key = F.coalesce(F.col("mix_id").cast("string"), F.lit("null"))
     return (
-        rows.join(s, rows["mix_source"].eqNullSafe(s["of_source"]))
-        .drop("of_source")
-        .withColumn("mix_u", uniform(F.col("mix_id"), seed))
+        rows.withColumn("mix_u", uniform(F.when(F.col("mix_place") == 0, key).otherwise(F.concat(key, F.lit("#"), F.col("mix_place").cast("string"))), seed))
         .withColumn("mix_p", p)
         .withColumn("mix_rank", F.when(size == 0, 1.0).otherwise(below / (below + above)))
-        .withColumn("mix_bin", F.least(F.floor(F.col("mix_rank") * BINS), F.lit(BINS - 1)).cast("int"))
+        .withColumn("mix_bin", F.when(F.col("mix_p") >= 1, -1).otherwise(F.least(F.floor(F.col("mix_rank") * BINS), F.lit(BINS - 1))).cast("int"))
+        .drop("mix_u", "mix_p")
     )
 
 
-def _cuts(small: DataFrame, scales: DataFrame, seed: str) -> DataFrame:
-    """``scales`` with the bin in which each source's rest is reached, and the last rank taken in it."""
-    ranked = _ranked(small.where("mix_size > 0"), scales, seed)
+def _cuts(ranked: DataFrame, scales: DataFrame) -> DataFrame:
+    """``scales`` with the bin in which each source's rest is reached, and the last rank and tie taken in it."""
     bins = ranked.groupBy("mix_source", "mix_bin").agg(F.sum("mix_size").alias("words"), F.first("rest").alias("rest"))
     upto = F.sum("words").over(Window.partitionBy("mix_source").orderBy("mix_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = (
@@ -111,21 +122,29 @@ def _cuts(small: DataFrame, scales: DataFrame, seed: str) -> DataFrame:
         .where(F.col("upto") >= F.col("rest"))
         .groupBy("mix_source")
         .agg(F.min(F.struct("mix_bin", (F.col("upto") - F.col("words")).alias("so_far"))).alias("m"))
-        .select(F.col("mix_source").alias("cut_source"), F.col("m.mix_bin").alias("cut_bin"), F.col("m.so_far").alias("so_far"))
+        .select(F.col("mix_source").alias("source"), F.col("m.mix_bin").alias("cut_bin"), F.col("m.so_far").alias("so_far"))
     )
-    edge = ranked.join(cut, ranked["mix_source"].eqNullSafe(cut["cut_source"]) & (ranked["mix_bin"] == cut["cut_bin"]))
-    in_order = Window.partitionBy("mix_source").orderBy("mix_rank", "mix_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto_it = F.col("so_far") + F.sum("mix_size").over(in_order)
+    edge = _met(ranked, cut).where("mix_bin = cut_bin")
+    in_order = Window.partitionBy("mix_source").orderBy("mix_rank", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = edge.withColumn("tie", _tie()).withColumn("upto_it", F.col("so_far") + F.sum("mix_size").over(in_order))
     nearer = (F.col("upto_it") - F.col("mix_size") < F.col("rest")) & (F.abs(F.col("upto_it") - F.col("rest")) < F.abs(F.col("upto_it") - F.col("mix_size") - F.col("rest")))
-    last = (
-        edge.withColumn("upto_it", upto_it)
-        .where((F.col("upto_it") <= F.col("rest")) | nearer)
-        .groupBy("mix_source")
-        .agg(F.max("mix_rank").alias("last_rank"))
-        .withColumnRenamed("mix_source", "last_source")
-    )
+    last = edge.where((F.col("upto_it") <= F.col("rest")) | nearer).groupBy("mix_source").agg(F.max(F.struct("mix_rank", "tie")).alias("m"))
+    last = last.select(F.col("mix_source").alias("last_source"), F.col("m.mix_rank").alias("last_rank"), F.col("m.tie").alias("last_tie"))
+    cut = cut.withColumnRenamed("source", "cut_source").drop("so_far")
     out = scales.join(cut, scales["source"].eqNullSafe(cut["cut_source"]), "left")
-    return out.join(last, out["source"].eqNullSafe(last["last_source"]), "left").drop("cut_source", "last_source", "so_far")
+    return out.join(last, out["source"].eqNullSafe(last["last_source"]), "left").drop("cut_source", "last_source")
+
+
+def _tie() -> Column:
+    """What orders documents of one rank."""
+    return F.concat_ws("#", F.coalesce(F.col("mix_id").cast("string"), F.lit("")), F.lpad(F.col("mix_place").cast("string"), 19, "0"), F.col("mix_size").cast("string"))
+
+
+def _sampled() -> Column:
+    """Whether a ranked document is among those taken once more."""
+    at, rank = F.col("mix_bin") == F.col("cut_bin"), F.col("mix_rank")
+    taken = F.col("cut_bin").isNull() | (F.col("mix_bin") < F.col("cut_bin")) | (at & ((rank < F.col("last_rank")) | ((rank == F.col("last_rank")) & (_tie() <= F.col("last_tie")))))
+    return (F.col("rest") > 0) & F.coalesce(taken, F.lit(False))
 
 
 def mix(
@@ -141,23 +160,55 @@ def mix(
     """All rows and columns of ``docs`` with mix_size, source_size, target, copies (0 to ``max_copies``) and taken.
 
     taken = copies * size.  Null and empty texts have size 0 and 0 copies.  A null source is a source of its own.  Rows
-    with the same id and size draw the same number, so that both are taken or neither is.  An empty table gives no rows.  Columns
-    that the result adds replace columns of ``docs`` with the same name.  Texts are never shuffled: what decides a copy is
-    one small row a source, joined to the documents where they are.
+    that repeat id, source and size draw a number each, so that as many of them are taken as the sample has; which of them is left open.  An empty
+    table gives no rows.  Columns that the result adds replace columns of ``docs`` with the same name.  Texts are not shuffled, those of
+    such repeated rows aside: what decides a copy is one small row a source, joined to the documents where they are.
     """
-    own = ["mix_id", "mix_source", "mix_size", "mix_u", "mix_p", "mix_rank", "mix_bin", "source_size", "target", "whole", "rest", "open_size", "scale", "cut_bin", "last_rank", "copies", "taken", "of_source"]
-    sized = docs.drop(*[c for c in own if c in docs.columns])
+    scratch = Scratch(docs.sparkSession)
+    added = ["mix_size", "source_size", "target", "copies", "taken"]
+    inner = ["mix_id", "mix_source", "mix_place", "mix_rank", "mix_bin", "mix_u", "mix_p", "mix_salt", "of_source", "of_salt", "whole", "rest", "open_size", "scale", "cut_bin", "last_rank", "last_tie"]
+    sized = docs.drop(*[c for c in added + inner if c in docs.columns])
     kept = [F.col(f"`{c}`") for c in sized.columns]
     sized = sized.select(*kept, F.col(f"`{id_col}`").alias("mix_id"), F.col(f"`{source_col}`").alias("mix_source"), word_count(F.col(f"`{text_col}`")).alias("mix_size"))
-    small = sized.select("mix_id", "mix_source", "mix_size").persist()  # several passes over small rows; a lost block is counted again
-    per_source = small.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"))
-    per_size = small.select(F.col("mix_source").alias("source"), F.col("mix_size").alias("size"))
-    cuts = _cuts(small, _scales(per_size, source_targets(per_source, weights, share, max_copies)), seed)
-    rows = _ranked(sized, cuts, seed)
-    sampled = F.col("cut_bin").isNull() | (F.col("mix_bin") < F.col("cut_bin")) | ((F.col("mix_bin") == F.col("cut_bin")) & (F.col("mix_rank") <= F.col("last_rank")))
-    extra = F.when((F.col("rest") > 0) & (F.col("whole") < max_copies) & F.coalesce(sampled, F.lit(False)), 1).otherwise(0).cast("long")
-    copies = F.when(F.col("mix_size") == 0, F.lit(0).cast("long")).otherwise(F.col("whole") + extra)
-    return rows.withColumn("copies", copies).select(*kept, "mix_size", "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).alias("taken"))
+    key = ["mix_id", "mix_source", "mix_size"]
+    groups = scratch.write(sized.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("times")), "groups")
+    per_source = groups.groupBy(F.col("mix_source").alias("source")).agg(F.sum(F.col("mix_size") * F.col("times")).alias("source_size"))
+    scales = scratch.write(_scales(groups, source_targets(per_source, weights, share, max_copies)), "scales")
+    units = groups.where("mix_size > 0").withColumn("mix_place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).drop("times")
+    ranked = scratch.write(_ranked(_met(units, scales.select("source", "rest", "open_size", "scale")), seed), "ranked")
+    cuts = written(_cuts(ranked, scales), "cuts")
+    repeated = groups.where("times > 1 and mix_size > 0").select(*key)
+    extra = F.when(_sampled() & (F.col("whole") < max_copies), 1).otherwise(0)
+    plain = sized
+    parts = []
+    if not repeated.isEmpty():
+        repeated = scratch.write(repeated, "repeats")
+        same = lambda a, b: a["mix_id"].eqNullSafe(b["mix_id"]) & a["mix_source"].eqNullSafe(b["mix_source"]) & (a["mix_size"] == b["mix_size"])
+        plain = sized.join(repeated, same(sized, repeated), "left_anti")
+        again = sized.withColumn("mix_part", F.spark_partition_id()).join(repeated, same(sized, repeated), "left_semi")
+        again = Scratch(docs.sparkSession).write(again, "again")
+        parts.append(_numbered(again, key))
+    parts.append(plain.withColumn("mix_place", F.lit(0).cast("long")))
+    out = []
+    for part in parts:
+        rows = _ranked(_met(part, cuts), seed)
+        copies = F.when(F.col("mix_size") == 0, F.lit(0)).otherwise(F.col("whole") + extra).cast("long")
+        out.append(rows.withColumn("copies", copies).select(*kept, "mix_size", "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).alias("taken")))
+    scratch.free("groups", "scales", "ranked")
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` (..., mix_part) with mix_place from 0 on among those of one key; numbered in each part, after the counts of the parts before."""
+    counts = rows.groupBy(*key, "mix_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(k).alias(f"{k}_of") for k in key], F.col("mix_part").alias("part_of"), before.alias("start"))
+    within = F.row_number().over(Window.partitionBy(*key, "mix_part").orderBy(F.lit(1))) - 1
+    same = F.col("mix_part") == F.col("part_of")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_of"))
+    numbered = rows.withColumn("mix_place", within.cast("long")).join(starts, same)
+    return numbered.withColumn("mix_place", F.col("mix_place") + F.col("start")).drop("mix_part", "part_of", "start", *[f"{k}_of" for k in key])
 
 
 def take(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 OP1 = r"""
 with d as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-    (cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), 'null')), 1, 12) as bigint) + cast(0.5 as double)) / cast(281474976710656 as double) as u
-  from documents
+  select doc_id, source, size, place, (cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), 'null') || case when place > 0 then '#' || place else '' end), 1, 12) as bigint) + cast(0.5 as double)) / cast(281474976710656 as double) as u
+  from (select *, row_number() over (partition by doc_id, source, size) - 1 as place
+    from (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents))
 ), s as (
   select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as k from d group by source
 ), w as (
@@ -38,13 +38,13 @@ with d as (
 ), o as (
   select *, u * (1 - p) / (u * (1 - p) + (1 - u) * p) as rank from p where size > 0
 ), q as (
-  select *, sum(size) over (partition by source order by rank, doc_id rows between unbounded preceding and current row) as upto from o
+  select *, sum(size) over (partition by source order by rank, doc_id, place, size rows between unbounded preceding and current row) as upto from o
 ), last as (
-  select source, max(rank) filter (where upto <= rest or (upto - size < rest and abs(upto - rest) < abs(upto - size - rest))) as last_rank, max(upto) >= max(rest) as reached from q group by source
+  select source, max(upto) filter (where upto <= rest or (upto - size < rest and abs(upto - rest) < abs(upto - size - rest))) as last_upto, max(upto) >= max(rest) as reached from q group by source
 )
 select p.doc_id, p.size, p.source_size, p.target,
-  cast(case when p.size = 0 then 0 else (p.whole + case when p.rest > 0 and p.whole < 2 and (not last.reached or coalesce(o.rank <= last.last_rank, false)) then 1 else 0 end) * p.size end as bigint) as taken
-from p left join o on o.doc_id = p.doc_id and o.size = p.size and o.source is not distinct from p.source left join last on last.source is not distinct from p.source
+  cast(case when p.size = 0 then 0 else (p.whole + case when p.rest > 0 and p.whole < 2 and (not last.reached or coalesce(q.upto <= last.last_upto, false)) then 1 else 0 end) * p.size end as bigint) as taken
+from p left join q on q.doc_id is not distinct from p.doc_id and q.size = p.size and q.place = p.place and q.source is not distinct from p.source left join last on last.source is not distinct from p.source
 """
 
 OP4 = r"""

@@ -71,3 +71,23 @@ def test_empty_table(spark):
 def test_only_empty_texts(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.copies, r.target) for r in mixing.mix(df).collect()] == [(0, 0.0), (0, 0.0)]
+
+
+@pytest.mark.parametrize("ids", [[7], [None], [1, 2, None]])
+def test_repeated_ids_come_near_their_target(spark, ids):
+    """Ties: rows that repeat an id draw a number each, so that a hot id neither overshoots nor stays out whole."""
+    rows = [(ids[k % len(ids)], " ".join(["w"] * 8), "a") for k in range(400)] + [(1000 + k, " ".join(["w"] * (k % 9)), "b") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(df).collect()
+    assert len(got) == 700
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 8
+    counts = lambda rows: sorted((r.doc_id or -1, r.mix_size, r.taken) for r in rows)
+    assert counts(got) == counts(mixing.mix(df.repartition(5)).collect())
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "w " * 300_000, "a", 5, 1), (2, "w", "b", 5, 1), (3, "w", "b", 5, 1)], "doc_id long, text string, source string, mix_place int, of_source int")
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    assert got[1].mix_size == 300_000 and got[1].taken <= 600_000 and len(got) == 3
