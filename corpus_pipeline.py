@@ -1,7 +1,11 @@
 """A corpus from documents in five stages: quality, near duplicates, personal data, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; run() writes each as Parquet in the shared folder and reads it again
-for the next.  All but the last return the columns of documents.
+for the next.  All but the last return the columns of documents; other columns of their input are left out, whatever their names.
+
+Null and empty texts: quality scores them as empty texts (and rejects them where the ranking says so), near_duplicates keeps one row each of those that
+share an id, the mixture takes none of them.  A null doc_id is an id like others, but the last choice of a group of copies; repeated
+rows are one group of copies.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, mixing, pii, quality
-from tessera.llm.common import pick, table, written
+from tessera.llm.common import Scratch, pick, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,8 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over documents; a stage's table goes when the next one is written."""
+    scratch = Scratch(spark)
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            scratch.free(before)
+        before = f"stage-{name}"
     return docs
