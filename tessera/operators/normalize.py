@@ -74,10 +74,17 @@ def normalized(fields: DataFrame, items: DataFrame, types: DataFrame, names: Dat
     """
     belongs = F.coalesce(text.trim(F.col("name")).isin(*document_names), F.lit(False))
     info = fields.where(belongs).groupBy("doc").agg(F.min("value").alias("info"))
-    said = matched(rewritten(fields.where(~belongs), names), names, aliases).distinct()
+    own = fields.where(~belongs)
+    # names with their values repeat over documents: each pair is read once, under itself in place of a document and item
+    pairs = own.select("name", "value").distinct().select(F.col("name").alias("doc"), F.col("value").alias("item"), "name", "value")
+    read = matched(rewritten(pairs, names), names, aliases).withColumnsRenamed({"doc": "__name", "item": "__value"}).distinct()
+    said = own.select("doc", "item", "name", "value").join(read, (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__value")))
+    said = said.select("doc", "item", "term_type", "index", "kind", "text").distinct()
     of = lambda kind: F.count_if(F.col("kind") == kind)
-    merged = said.groupBy("doc", "item", "term_type", "index").agg(of("term").alias("terms"), of("number").alias("numbers"), F.collect_set(F.when(F.col("kind") == "value_candidate", F.col("text"))).alias("v"), F.collect_set(F.when(F.col("kind") == "name_candidate", F.col("text"))).alias("n"))
-    whole = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("long")
-    gathered = merged.groupBy("doc").agg(F.count_if(F.col("term_type").isNotNull()).alias("fields"), F.sum("terms").alias("terms"), F.sum("numbers").alias("numbers"), whole("v").alias("value_candidates"), whole("n").alias("name_candidates"))
+    merged = said.groupBy("doc", "item", "term_type", "index").agg(of("term").alias("terms"), of("number").alias("numbers"))
+    gathered = merged.groupBy("doc").agg(F.count_if(F.col("term_type").isNotNull()).alias("fields"), F.sum("terms").alias("terms"), F.sum("numbers").alias("numbers"))
+    for kind in ("value_candidate", "name_candidate"):
+        new = said.where(F.col("kind") == kind).select("doc", "text").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+        gathered = gathered.join(new.withColumnRenamed("n", f"{kind}s"), "doc", "left").withColumn(f"{kind}s", F.coalesce(f"{kind}s", F.lit(0)).cast("long"))
     route = routed(items, types).groupBy("doc").agg(F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set("product_type")).alias("product_types"))
     return route.join(gathered, "doc", "left").join(info, "doc", "left")
