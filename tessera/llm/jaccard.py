@@ -8,9 +8,9 @@ for the next.
 
 Documents with equal sets are one node from the start.  A set travels as its sketch, some bits whose differences are a lower bound of
 the Hamming distance; only sets of pairs that sketches leave are read.  The sets of one signature are compared first with its pivot, the
-one that shares most with others, as an original does with its copies.  Each set tries the pivot that looks nearest, which makes components; then come the
-other pairs that are not connected yet: with pivots, and, for signatures whose sets are not all connected by then, those that tasks let out that
-hold blocks of their sketches and drop what cannot be similar.  Links are exact: shingle sets of both sides are intersected.
+one that shares most with others, as an original does with its copies.  Each set tries the pivot that looks nearest, which makes components, then the others that
+it is not connected with yet.  Only signatures whose sets are not all connected by then are looked at again: tasks hold blocks of
+their sketches and let for each component the nearest pair out that may be similar, then all that are still unconnected.  Links are exact: shingle sets of both sides are intersected.
 """
 
 from __future__ import annotations
@@ -181,9 +181,9 @@ def sketch(s: np.ndarray) -> np.ndarray:
     """Bits of a set as bytes: whether the number of its features in each cell of the feature domain is odd.
 
     Each bit that differs between two sets takes a feature that only one of them has.  The number of cells is a power of two, at
-    least 64 and the size of the set.
+    least 64 and twice the size of the set.
     """
-    cells = 1 << max(6, (len(s) - 1).bit_length())
+    cells = 1 << max(6, (2 * len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1)
 
 
@@ -319,10 +319,31 @@ def may_link(n: np.ndarray, label: np.ndarray, sketches: np.ndarray, side: np.nd
     return (np.concatenate(at_i), np.concatenate(at_j)) if at_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _near(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of one signature in different components that may be similar.  mixed: (sig, m, set_id, n, label, sketch).
+def nearest_links(n: np.ndarray, label: np.ndarray, sketches: np.ndarray, side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of ``may_link`` for each component the one whose sketches differ least for their sizes: no more pairs than components."""
+    _, code = np.unique(label, return_inverse=True)
+    best, at_i, at_j = np.full(code.max(initial=-1) + 1, np.inf), np.zeros(code.max(initial=-1) + 1, np.int64), np.zeros(code.max(initial=-1) + 1, np.int64)
+    for i in np.flatnonzero(side != 1):
+        j = np.flatnonzero((label != label[i]) & ((side == 1) | ((side == 2) & (np.arange(len(n)) > i))) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
+        gap = apart(sketches[j], sketches[i]) / (n[j] + n[i])
+        near = gap * (den + num) <= (den - num) * (1 + 1e-12)
+        j, gap = j[near], gap[near]
+        if len(j):
+            order = np.argsort(-gap, kind="stable")  # of several the least is written last
+            j, gap = j[order], gap[order]
+            if gap[-1] < best[code[i]]:
+                best[code[i]], at_i[code[i]], at_j[code[i]] = gap[-1], i, j[-1]
+            less = gap < best[code[j]]
+            to = code[j[less]]
+            best[to], at_i[to], at_j[to] = gap[less], i, j[less]
+    found = np.unique(np.stack((at_i, at_j), axis=1)[best < np.inf], axis=0)
+    return found[:, 0], found[:, 1]
+
+
+def _near(mixed: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """(a, b): pairs of one signature in different components that may be similar, or for each component of it only the nearest.
 
-    A signature with more than BLOCK sets is split; each pair of its parts is a block of its own.
+    mixed: (sig, m, set_id, n, label, sketch).  A signature with more than BLOCK sets is split; each pair of its parts is a block of its own.
     """
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), parts).cast("int")
@@ -339,7 +360,7 @@ def _near(mixed: DataFrame, num: int, den: int) -> DataFrame:
             for x in np.unique(wide).tolist():
                 at = np.flatnonzero(wide == x)
                 sketches[at] = folded(matrix(column.take(pa.array(at))), sketches.shape[1])
-            i, j = may_link(n, label, sketches, side, num, den)
+            i, j = (nearest_links if nearest else may_link)(n, label, sketches, side, num, den)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
         held: pa.Table | None = None  # the block that may go on in the next batch
@@ -389,12 +410,15 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, n2: int | None, k2
         return scratch.write(components(links, scratch), "labels")
 
     labels = connected(_nearest(possible), None)
-    rows = _labelled(opened.select("sig", "set_id"), labels)
-    mixed = rows.join(_mixed(rows), "sig").join(sets, "set_id")
-    near = _near(mixed, num, den).distinct().join(first, ["a", "b"], "left_anti")
-    rest = scratch.write(near.unionByName(_apart_still(possible, labels)), "rest")
+    rest = scratch.write(_apart_still(possible, labels), "rest")
     if not rest.isEmpty():
         labels = connected(rest, labels)
+    for nearest in (True, False):  # the nearest first: what they connect makes no more pairs
+        rows = _labelled(opened.select("sig", "set_id"), labels)
+        mixed = rows.join(_mixed(rows), "sig").join(sets, "set_id")
+        rest = scratch.write(_near(mixed, num, den, nearest).distinct().join(first, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            labels = connected(rest, labels)
     scratch.free("sets", "open", "first", "possible", "rest", "links", "wanted", "stars")
     least = holders.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     return own, least, scratch

@@ -144,6 +144,13 @@ def test_sketches_rule_out_no_link():
                 if 100 * inter >= 90 * (n[a] + n[b] - inter) and (sides[a] == 2 or sides[a] != sides[b]):
                     assert (a, b) in out
         assert len(out) < 60 * 59 / 3
+        x, y = jaccard.nearest_links(n, label, np.stack([jaccard.sketch(s) for s in sets]), sides, 90, 100)
+        near = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+        ends = {v for p in out for v in p}
+        gap = lambda p: np.bitwise_count(jaccard.sketch(sets[p[0]]) ^ jaccard.sketch(sets[p[1]])).sum() / (n[p[0]] + n[p[1]]) if len(jaccard.sketch(sets[p[0]])) == len(jaccard.sketch(sets[p[1]])) else None
+        assert near <= out and len(near) <= 60 and {v for p in near for v in p} == ends
+        for v in ends:
+            assert min(gap(p) for p in near if v in p) == min(gap(p) for p in out if v in p)
 
 
 def test_bounded_pieces_find_every_shared_signature():
