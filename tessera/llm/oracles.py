@@ -96,13 +96,17 @@ from s join r on r.node = s.doc_id group by s.doc_id, len(s.s)
 
 OP9 = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
-  from embeddings
-  where embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+  select *, row_number() over (order by vec_id, v) as r from (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+  )
+), q as (
+  select vec_id, v, r from v where vec_id % 100 = 0 qualify row_number() over (partition by vec_id order by r) = 1
 ), s as (
   select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
-  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  from q join v c on q.r <> c.r and len(q.v) = len(c.v)
 )
 select query_id, cast(r as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) where r <= 10

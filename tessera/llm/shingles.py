@@ -30,7 +30,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse."""
-    if len(_POWERS.get("up", ())) < n:
+    if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, SLICE // 4)
         inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
         for name, x in (("up", _ODD), ("down", inverse)):

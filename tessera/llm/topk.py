@@ -79,7 +79,8 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, q_table: np.ndarray, x: np.nd
         for j in range(table.shape[1]):
             np.maximum(gap, np.abs(table[:, j] - q_table[i, j]), out=gap)
         bound = (q_sq[i] + x_sq - gap * gap) / 2 + SLACK * (q_sq[i] + most) + 1e-6
-        bound[x_ids == q_ids[i]] = -np.inf
+        own = np.flatnonzero(x_ids == q_ids[i])
+        bound[own[(x[own] == q[i]).all(1)][:1]] = -np.inf
         ids, scores, seen, step = np.empty(0, np.int64), np.empty(0, x.dtype), 0, STEP
         left = np.flatnonzero(bound > -np.inf)
         while len(left):
@@ -161,8 +162,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     """(query_id, rank, vec_id, score): the k rows with the largest integer inner product for each query row.
 
     Components become floor(scale * x).  Rows whose vector is null, empty or holds a null or non-finite component take no part, nor
-    do rows without id.  A query is no candidate of its own; other rows with its id are not either, and of several
-    query rows with one id the one with the smallest vector asks; other rows that share an id are candidates each.  Vectors of
+    do rows without id.  A query's own row is no candidate; all other rows are, also those with its id (they meet it in
+    one block, where the first that equals it is its own). Of several query rows with one id the one with the smallest vector asks.  Vectors of
     another length than the query's are no candidates.  Ties go to the smaller id; with fewer than k candidates all are returned.  Empty
     tables give no rows.  Sums that no long can hold raise an error.
     """

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, chat, jaccard, repeats, shingles, topk, windows
-from tessera.llm.common import written
+from tessera.llm.common import ROOT, written
 from tessera.llm.components import components
 
 
@@ -75,6 +77,15 @@ def null_and_repeated(seed, n=160):
     return rows + [rows[k] for k in range(0, n, 3) for _ in range(rng.choice((1, 1, 5)))] + [(rows[k][0], given[k + 1]) for k in range(0, n - 1, 11)]
 
 
+def test_batches_of_empty_texts_in_fresh_workers(spark):
+    """A worker whose first batch holds no word at all."""
+    code = "from tessera.llm import shingles; import pyarrow as pa; print([len(s) for s in shingles.sets(pa.array([None, '', ' ']), 3)])"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "[0, 0, 0]", out.stderr
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "a b c d"), (4, " ")], "doc_id long, text string").repartitionByRange(4, "doc_id")
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, 3, 90, 100).collect()} == {(1, 0, 1), (2, 0, 2), (3, 2, 3), (4, 0, 4)}
+
+
 def test_join_links_null_ids_by_their_texts(spark):
     rows = null_and_repeated(5)
     groups = brute_components([t for _, t in rows], 5, 80, 100)
@@ -335,6 +346,12 @@ def test_rows_that_share_an_id_are_candidates_each(spark):
     assert got == [(1, 1, 512 * 1024), (2, 1, 512 * 1024), (3, 1, 256 * 1024)]
 
 
+def test_only_the_querys_own_row_is_left_out(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.5, 0.0]), (0, [1.0, 0.0]), (1, [0.25, 0.0])], "vec_id long, embedding array<double>").repartition(3)
+    got = [(r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 0, 512 * 1024), (2, 0, 512 * 1024), (3, 1, 512 * 256)]  # [0.5, 0.0] asks, as the smallest vector of its id
+
+
 def test_approximate_search(spark):
     rows, df = vectors(spark, 1500)
     v = np.array([r[1] for r in rows])
