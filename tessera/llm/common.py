@@ -79,12 +79,20 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Cut the lineage with a table, which outlives any executor."""
-        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        path = self.fresh(name)
         with freeing_shuffles(self.spark):
             df.write.option("compression", "zstd").parquet(path)
+        self.keep(name, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def fresh(self, name: str) -> str:
+        """A path in the shared folder that nothing has used."""
+        return f"{self.folder}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, path: str) -> None:
+        """What was written at ``path`` goes by ``name`` from now on; an earlier holder of the name is deleted."""
         self.free(name)
         self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *names: str) -> None:
         """Delete tables by name; a later table of the same name has replaced the earlier one."""

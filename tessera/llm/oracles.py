@@ -112,4 +112,57 @@ select query_id, cast(r as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) where r <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_pareto_mixing": OP1, "op4_chat_format": OP4, "op7_partenum_join": OP7, "op9_pivot_topk": OP9}
+OP11 = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages
+), d as (
+  select page_id, payload_bytes, translate(concat(
+      lpad(to_base(cast('0x' || substr(h, 1, 10) as bigint), 32), 8, '0'), lpad(to_base(cast('0x' || substr(h, 11, 10) as bigint), 32), 8, '0'),
+      lpad(to_base(cast('0x' || substr(h, 21, 10) as bigint), 32), 8, '0'), lpad(to_base(cast('0x' || substr(h, 31, 10) as bigint), 32), 8, '0')),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest
+  from p
+), r as (
+  select *, row_number() over (partition by payload_digest order by page_id nulls last) as k, first_value(page_id) over (partition by payload_digest order by page_id nulls last) as original from d
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest, case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then original end as refers_to
+from r
+"""
+
+OP12 = r"""
+with d as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+), o as (
+  select id, lang, source, unnest(terms) as term from d
+), k as (
+  select lang, term, count(*) as c from o group by lang, term having count(distinct id) >= 30
+), l as (
+  select lang, cast(count(*) as hugeint) as v, cast(sum(c) as hugeint) as n from k group by lang
+), q as (
+  select lang, term, 1 + (1000000000 * (cast(c as hugeint) + 5)) // (n + 5 * v) as q from k join l using (lang)
+), s as (
+  select distinct lang, source from d
+), c as (
+  select o.lang, o.source, o.term, count(*) as c from o join k on o.lang = k.lang and o.term = k.term group by all
+), n as (
+  select lang, source, cast(sum(c) as hugeint) as n from c group by all
+), p as (
+  select s.lang, s.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000 * (cast(coalesce(c.c, 0) as hugeint) + 5)) // (coalesce(n.n, 0) + 5 * l.v) as p
+  from s join k on s.lang = k.lang join l on l.lang = s.lang
+    left join n on n.lang = s.lang and n.source = s.source left join c on c.lang = s.lang and c.source = s.source and c.term = k.term
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(sum(abs(x.p - y.p)), 0) as bigint) as value
+  from s a join s b on a.lang = b.lang and a.source <> b.source
+    left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by all
+), terms as (
+  select p.lang, p.source, 'term' as part, p.term as item, cast(p.p - q.q as bigint) as value
+  from p join q on p.lang = q.lang and p.term = q.term where p.c > 0 and p.p > q.q
+)
+select lang, source, part, item, value, cast(r as integer) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as r from (select * from pairs union all select * from terms))
+where part = 'pair' or r <= 50
+"""
+
+ORACLES: dict[str, str] = {"op1_pareto_mixing": OP1, "op4_chat_format": OP4, "op7_partenum_join": OP7, "op9_pivot_topk": OP9, "op11_warc_revisits": OP11, "op12_source_divergence": OP12}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, html, jaccard, mixing, pii, quality, repeats, topk
+from tessera.llm import ann, bpe, chat, divergence, html, jaccard, mixing, pii, quality, repeats, topk, warc, whitening
 from tessera.llm.common import table
 
 
@@ -63,4 +63,20 @@ def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_wrapper_induction, op3_bpe, op4_chat_format, op5_cross_polytope, op6_bucket_pointer, op7_partenum_join, op8_pii, op9_pivot_topk, op10_bradley_terry)}
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as an archive, deduplicated by payload and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart the sources of each language are in all documents, and the terms that set each apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, ranks=50)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their 8 leading components at unit variance; a deviation that no long can hold is null."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_wrapper_induction, op3_bpe, op4_chat_format, op5_cross_polytope, op6_bucket_pointer, op7_partenum_join, op8_pii, op9_pivot_topk, op10_bradley_terry, op11_warc_revisits, op12_source_divergence, op13_whitening)}
