@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 #: White space as JavaScript sees it: the Unicode property, and the byte order mark.
 SPACE = r"[\s\x{FEFF}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+#: The same, character by character.
+SPACES = " \t\n\x0b\f\r\ufeff\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
 # Fixed values of the normal form: marks and punctuation that do not count.
 MARKS = "■□☑✔✓"
-PUNCTUATION = r"[()（）\[\]【】\-_：:;；,，、\"“”']"
-NARROW_PUNCTUATION = r"[()（）\[\]【】_-]"
+PUNCTUATION = "()（）[]【】-_：:;；,，、\"“”'"
+NARROW_PUNCTUATION = "()（）[]【】_-"
+MODEL_PUNCTUATION = "._-/\\|,;:()[]{}<>"
 
 
 def trim(c: Column) -> Column:
@@ -23,7 +27,7 @@ def trim(c: Column) -> Column:
 
 
 def no_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+", "")
+    return F.translate(c, SPACES, "")
 
 
 def replaced(c: Column, *pairs: tuple[str, str]) -> Column:
@@ -32,18 +36,29 @@ def replaced(c: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """The normal form that dictionary texts are compared in; null becomes empty."""
-    return replaced(no_space(replaced(F.lower(trim(F.coalesce(c.cast("string"), F.lit("")))), ("×", "x"), (f"[{MARKS}]", ""))), (PUNCTUATION, ""))
+    """The normal form that dictionary texts are compared in; null becomes empty.
+
+    Whatever it does but lowering is to replace or drop single characters, wherever they stand, so one pass over the text does it.
+    """
+    return F.translate(F.lower(F.coalesce(c.cast("string"), F.lit(""))), "×" + MARKS + SPACES + PUNCTUATION, "x")
+
+
+def normal_form(s: str | None) -> str:
+    """normalize() of one text, for helpers that already hold it."""
+    return (s or "").lower().translate(_NORMAL)
+
+
+_NORMAL = str.maketrans("×", "x", MARKS + SPACES + PUNCTUATION)
 
 
 def normalize_narrow(c: Column) -> Column:
     """The narrower form of stored aliases: keeps × and most punctuation."""
-    return F.lower(replaced(F.regexp_replace(F.trim(c), f"[{MARKS}]", ""), (r"\s+", ""), (NARROW_PUNCTUATION, "")))
+    return F.lower(F.translate(c, MARKS + " \t\n\x0b\f\r" + NARROW_PUNCTUATION, ""))
 
 
 def model_key(c: Column) -> Column:
     """Model names without case, spaces and separators."""
-    return replaced(no_space(F.lower(trim(F.coalesce(c, F.lit(""))))), (r"[._\-/\\|,;:()\[\]{}<>]", ""))
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), SPACES + MODEL_PUNCTUATION, "")
 
 
 # Spellings of attributes, in the order in which they apply.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
-from tessera.operators import concepts, dictionary
+from tessera.operators import dictionary, residues
 
 
 def routed(items: DataFrame, types: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def matched(fields: DataFrame, names: DataFrame, aliases: DataFrame, prefixes: S
     left = hit.join(whole, same, "left").select(*columns, "alias", "term_id", "__whole", "__done").where("__done is null or alias = __whole")
     several = F.size(text.tokens(F.col("__whole"))) > 1
     kept = left.where(F.col("__done").isNotNull() | (F.col("alias") != F.col("__whole")) | ~several)
-    fate = concepts.residual(F.col("term_type"), F.col("alias"), prefixes)
+    fate = residues.fate(F.col("term_type"), F.col("alias"), prefixes)
     value = kept.where(F.col("term_id").isNotNull() | (fate == "candidate")).select(*columns, F.when(F.col("term_id").isNotNull(), "term").otherwise("value_candidate").alias("kind"), F.coalesce(F.col("term_id").cast("string"), "alias").alias("text"))
     return unknown.unionByName(number).unionByName(free).unionByName(value)
 

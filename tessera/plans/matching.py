@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import concepts, dictionary, normalize, predicates, rules, scoring
+from tessera.operators import concepts, dictionary, normalize, predicates, residues, rules, scoring
 from tessera.operators.latest import top_per
 from tessera.plans.joins import DEPTS, departments
 from tessera.registry import query
@@ -179,12 +179,23 @@ RESIDUES = [
 ]
 
 
-@query(f"select p_partkey, [{', '.join(repr(r[2]) for r in RESIDUES)}][p_partkey % {len(RESIDUES)} + 1] as fate from part")
+MATERIAL_CODES, MATERIAL_BODIES, MATERIAL_NOTES = ("PP", "ABS", "", "x1"), ("板材", "改性", "滑石粉", "流延膜"), ("", "（兼顾x）", "温度")
+
+
+@query(f"""with p as (select p_partkey, {list(MATERIAL_CODES)}[p_partkey % 4 + 1] as code, {list(MATERIAL_BODIES)}[p_partkey // 4 % 4 + 1] as body, {list(MATERIAL_NOTES)}[p_partkey // 16 % 3 + 1] as note, {[r[2] for r in RESIDUES]}[p_partkey % {len(RESIDUES)} + 1] as fate from part),
+m as (select *, body in ('板材', '流延膜') as product, case when code in ('PP', 'ABS') then body else code || body end as application from p)
+select p_partkey, fate, case when product then 'reroute' when note = '温度' or (body = '滑石粉' and note = '') then 'suppress' else 'candidate' end as material_fate,
+ case when not product then '' when note = '' and code <> '' then 'plastic_material=' || code || ',application=' || body when note = '' then 'application=' || body else 'application=' || application end as targets from m""")
 def classify_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of a piece of a value that matched nothing, by the type of its term."""
+    """What becomes of a piece of a value that matched nothing, by the type of its term, and where materials and applications go."""
+    k = F.col("p_partkey")
     rows = F.array(*[F.struct(F.lit(t).cast("string").alias("t"), F.lit(v).alias("v")) for t, v, _ in RESIDUES])
-    r = F.element_at(rows, (F.col("p_partkey") % len(RESIDUES) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", concepts.residual(r["t"], r["v"], prefixes=("steel", "pe")).alias("fate"))
+    r = F.element_at(rows, (k % len(RESIDUES) + 1).cast("int"))
+    of = lambda given, i: F.element_at(F.array(*map(F.lit, given)), (i + 1).cast("int"))
+    piece = F.concat(of(MATERIAL_CODES, k % 4), of(MATERIAL_BODIES, F.floor(k / 4) % 4), of(MATERIAL_NOTES, F.floor(k / 16) % 3))
+    found = table(spark, sf_dir, "part").select("p_partkey", residues.fate(r["t"], r["v"], prefixes=("steel", "pe")).alias("fate"), residues.fates(F.lit("plastic_material"), piece).alias("m"))
+    targets = F.array_join(F.transform("m.targets", lambda x: F.concat_ws("=", x["term_type"], x["value"])), ",")
+    return found.select("p_partkey", "fate", F.col("m.action").alias("material_fate"), targets.alias("targets"))
 
 
 @query("select p_brand, chunk, count(*) as n, min(p_partkey) as first_id from (select p_brand, p_partkey, (row_number() over (partition by p_brand order by p_partkey) - 1) // 6 as chunk from part) group by p_brand, chunk")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import concepts, dictionary, normalize, ranges
+from tessera.operators import concepts, dictionary, normalize, ranges, residues
 
 
 def test_contained_aliases_match_brute_force(spark):
@@ -39,7 +39,7 @@ def test_votes_match_brute_force(spark):
 def test_residues(spark):
     rows = [("application", "PE 板", "reroute"), ("application", "PE", "candidate"), ("deckle_type", "挡块30", "suppress"), (None, None, "suppress"), ("color", "红", "candidate")]
     df = spark.createDataFrame([(i, t, v) for i, (t, v, _) in enumerate(rows)], "i int, t string, v string")
-    got = [r[0] for r in df.orderBy("i").select(concepts.residual(F.col("t"), F.col("v"), ("pe",))).collect()]
+    got = [r[0] for r in df.orderBy("i").select(residues.fate(F.col("t"), F.col("v"), ("pe",))).collect()]
     assert got == [r[2] for r in rows]
 
 
