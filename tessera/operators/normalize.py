@@ -1,4 +1,4 @@
-"""Extracted fields of documents through the dictionary and back: route, rewrite, match, merge, gather.
+"""Extracted fields of documents through the dictionary and back: route, redirect, rewrite, match by product type, merge, gather.
 
 Every stage is a DataFrame with a row for each field or value; nothing is looked up row by row.  A field's items are told by (doc, item).
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
@@ -21,39 +21,83 @@ def routed(items: DataFrame, types: DataFrame) -> DataFrame:
     return dictionary.route_by_hint(keyed, types).select("item_id.doc", "item_id.item", "product_type").groupBy("doc", "item").agg(F.min("product_type").alias("product_type"))
 
 
+#: Product types that say nothing: of a row that applies to all, and of an item that any row applies to.
+COMMON, UNKNOWN = "common", "unknown"
+
+
+def _held(df: DataFrame, name: str, default: Column) -> DataFrame:
+    return df if name in df.columns else df.withColumn(name, default)
+
+
+def preferred(hits: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of hits with the same ``by``, those whose `products` hold their `product_type`; all of them where none does.
+
+    A row without products or with the common one applies to all types, and all rows apply to an unknown type.
+    """
+    none = F.array().cast("array<string>")
+    products, own = F.coalesce("products", none), F.col("product_type")
+    applies = (F.size(products) == 0) | F.array_contains(products, COMMON) | own.isNull() | (own == UNKNOWN) | F.coalesce(F.array_contains(products, own), F.lit(False))
+    judged = hits.withColumn("__applies", applies)
+    return judged.withColumn("__some", F.max("__applies").over(Window.partitionBy(*by))).where("__applies or not __some").drop("__applies", "__some")
+
+
+def redirected(fields: DataFrame, route: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Fields (doc, item, name, value) of routed items with product_type, where names that point to another type have moved.
+
+    A name points to the type of the longest of the ``redirects`` (word, product_type) in it.  If that is not its item's type and the document has items of
+    it, the field belongs to the first of these; else it stays.  Each different name is searched once.
+    """
+    names = fields.select("name").where("name is not null").distinct()
+    hints = dictionary.containing(names, redirects.select("word", "product_type"), "name", "word").groupBy("name").agg(F.max_by("product_type", F.struct(F.length("word"), "word")).alias("__hint"))
+    targets = route.groupBy("doc", F.col("product_type").alias("__hint")).agg(F.min("item").alias("__item"))
+    typed = fields.join(route, ["doc", "item"], "left").join(hints, "name", "left").join(targets, ["doc", "__hint"], "left")
+    moves = F.col("__item").isNotNull() & ~F.col("__hint").eqNullSafe(F.col("product_type"))
+    return typed.select("doc", F.when(moves, F.col("__item")).otherwise(F.col("item")).alias("item"), "name", "value", F.coalesce(F.when(moves, F.col("__hint")).otherwise(F.col("product_type")), F.lit(UNKNOWN)).alias("product_type"))
+
+
 def rewritten(fields: DataFrame, names: DataFrame) -> DataFrame:
-    """Fields (doc, item, name, value) with index and one row for each selected option.
+    """Fields (doc, item, name, value, perhaps product_type) with index and one row for each selected option.
 
     A number at the end of a name becomes its index where the rest is a known name and the whole is none; of a value with option marks only what
     is selected stays.  names: (alias, ...).
     """
+    fields = _held(fields, "product_type", F.lit(UNKNOWN))
     known = names.select(text.normalize(F.col("alias")).alias("__key")).distinct()
     split = fields.withColumn("__p", numbers.index_suffix(F.col("name")))
     split = split.withColumn("__whole", text.normalize(F.col("name"))).withColumn("__base", text.normalize(F.col("__p.base")))
     split = split.join(known.select(F.col("__key").alias("__whole"), F.lit(True).alias("__is_whole")), "__whole", "left").join(known.select(F.col("__key").alias("__base"), F.lit(True).alias("__is_base")), "__base", "left")
     indexed = F.col("__is_whole").isNull() & F.col("__is_base")
-    named = split.select("doc", "item", F.when(indexed, F.col("__p.base")).otherwise(F.col("name")).alias("name"), F.when(indexed, F.col("__p.number")).alias("index"), "value")
+    named = split.select("doc", "item", "product_type", F.when(indexed, F.col("__p.base")).otherwise(F.col("name")).alias("name"), F.when(indexed, F.col("__p.number")).alias("index"), "value")
     options = text.options(F.col("value"))
     chosen = F.transform(F.filter(options, lambda o: o["selected"]), lambda o: o["label"])
-    return named.select("doc", "item", "name", "index", F.explode(F.when(F.size(options) > 0, chosen).otherwise(F.array("value"))).alias("value"))
+    return named.select("doc", "item", "product_type", "name", "index", F.explode(F.when(F.size(options) > 0, chosen).otherwise(F.array("value"))).alias("value"))
 
 
 def matched(fields: DataFrame, names: DataFrame, aliases: DataFrame, prefixes: Sequence[str] = ()) -> DataFrame:
-    """(doc, item, term_type, index, kind, result, text): what each field says.
+    """(doc, item, product_type, term_type, index, kind, result, text): what each field says.
 
     kind: 'number' (text is the number with its unit), 'term' (text is the term's id), 'value_candidate', 'name_candidate', 'text'.  Lists of values are
-    taken apart; pieces that only wrap something are dropped.  names: (alias, term_type, value_kind); aliases: (term_type, alias, term_id).
+    taken apart; pieces that only wrap something are dropped, and what a piece says about another term type is a candidate of that type.
+    names: (alias, term_type, value_kind, perhaps products); aliases: (term_type, alias, term_id, perhaps products).  A name or alias with several
+    rows is read by those that apply to the field's product type, if any does, else by all.
     """
-    known = names.select(text.normalize(F.col("alias")).alias("__key"), "term_type", "value_kind").distinct()
-    keyed = fields.withColumn("__key", text.normalize(F.col("name"))).join(known, "__key", "left")
-    columns = ["doc", "item", "term_type", "index"]
+    fields = _held(fields, "product_type", F.lit(UNKNOWN))
+    some = F.array().cast("array<string>")
+    known = _held(names, "products", some).select(text.normalize(F.col("alias")).alias("__key"), "term_type", "value_kind", "products").distinct()
+    keyed = fields.withColumn("__key", text.normalize(F.col("name")))
+    asked = keyed.select("__key", "product_type").distinct().join(known, "__key")
+    read = preferred(asked, ["__key", "product_type"]).select("__key", "product_type", "term_type", "value_kind").distinct()
+    keyed = keyed.join(read, ["__key", "product_type"], "left")
+    columns = ["doc", "item", "product_type", "term_type", "index"]
     unknown = keyed.where("term_type is null").select(*columns, F.lit("name_candidate").alias("kind"), F.col("__key").alias("text"))
     of_number = keyed.where("value_kind = 'number'").withColumn("p", numbers.number_unit(F.coalesce("value", F.lit("")), ()))
     number = of_number.select(*columns, F.when(F.col("p.kind") == "none", "text").otherwise("number").alias("kind"), F.when(F.col("p.kind") == "none", F.col("value")).otherwise(F.concat_ws(" ", F.concat_ws("-", "p.first", "p.second"), "p.unit")).alias("text"))
     free = keyed.where("value_kind not in ('number', 'enum')").select(*columns, F.lit("text").alias("kind"), F.col("value").alias("text"))
     parts = keyed.where("value_kind = 'enum'").select(*columns, F.explode(F.array_distinct(F.concat(F.array(text.normalize(F.col("value"))), text.tokens(F.col("value"))))).alias("alias"), text.normalize(F.col("value")).alias("__whole"))
-    terms = aliases.select("term_type", text.normalize(F.col("alias")).alias("alias"), "term_id").groupBy("term_type", "alias").agg(F.min("term_id").alias("term_id"))
-    hit = parts.join(terms, ["term_type", "alias"], "left")
+    terms = _held(aliases, "products", some).select("term_type", text.normalize(F.col("alias")).alias("alias"), "term_id", "products").distinct()
+    meant = parts.select("term_type", "alias", "product_type").distinct().join(terms, ["term_type", "alias"])
+    terms = preferred(meant, ["term_type", "alias", "product_type"]).groupBy("term_type", "alias", "product_type").agg(F.min("term_id").alias("term_id"))
+    hit = parts.join(terms, ["term_type", "alias", "product_type"], "left")
     # the whole value, where it is a term, speaks for its parts
     keys = [*columns, "__whole"]
     whole = hit.where("alias = __whole and term_id is not null").select(*[F.col(c).alias(f"of_{c}") for c in keys], F.lit(True).alias("__done")).distinct()
@@ -61,31 +105,38 @@ def matched(fields: DataFrame, names: DataFrame, aliases: DataFrame, prefixes: S
     left = hit.join(whole, same, "left").select(*columns, "alias", "term_id", "__whole", "__done").where("__done is null or alias = __whole")
     several = F.size(text.tokens(F.col("__whole"))) > 1
     kept = left.where(F.col("__done").isNotNull() | (F.col("alias") != F.col("__whole")) | ~several)
-    fate = residues.fate(F.col("term_type"), F.col("alias"), prefixes)
-    value = kept.where(F.col("term_id").isNotNull() | (fate == "candidate")).select(*columns, F.when(F.col("term_id").isNotNull(), "term").otherwise("value_candidate").alias("kind"), F.coalesce(F.col("term_id").cast("string"), "alias").alias("text"))
-    return unknown.unionByName(number).unionByName(free).unionByName(value)
+    judged = kept.withColumn("__fate", residues.fates(F.col("term_type"), F.col("alias"), prefixes))
+    new = F.col("term_id").isNull()
+    value = judged.where(~new | (F.col("__fate.action") == "candidate")).select(*columns, F.when(new, "value_candidate").otherwise("term").alias("kind"), F.coalesce(F.col("term_id").cast("string"), "alias").alias("text"))
+    moved = judged.where(new & (F.col("__fate.action") == "reroute")).select(*columns, F.explode("__fate.targets").alias("t"))
+    moved = moved.select("doc", "item", "product_type", F.col("t.term_type").alias("term_type"), "index", F.lit("value_candidate").alias("kind"), text.normalize(F.col("t.value")).alias("text"))
+    return unknown.unionByName(number).unionByName(free).unionByName(value).unionByName(moved)
 
 
-def normalized(fields: DataFrame, items: DataFrame, types: DataFrame, names: DataFrame, aliases: DataFrame, document_names: Sequence[str]) -> DataFrame:
+def normalized(fields: DataFrame, items: DataFrame, types: DataFrame, names: DataFrame, aliases: DataFrame, document_names: Sequence[str], redirects: DataFrame | None = None) -> DataFrame:
     """(doc, items, fields, terms, numbers, value_candidates, name_candidates, info, product_types) for each document.
 
-    Fields named as in ``document_names`` belong to the document, not to an item.  Fields of one item, term type and index are one; equal values of it
+    Fields named as in ``document_names`` belong to the document, not to an item; others first go to the item that their name points to (``redirects``:
+    word, product_type).  Names and values are read by the type of their item.  Fields of one item, term type and index are one; equal values of it
     count once.
     """
     # the cheap test first: most names hold none of these
     belongs = F.coalesce(reduce(lambda x, y: x | y, [F.contains("name", F.lit(d)) & (text.trim(F.col("name")) == d) for d in document_names], F.lit(False)), F.lit(False))
     info = fields.where(belongs).groupBy("doc").agg(F.min("value").alias("info"))
+    route = routed(items, types)
     own = fields.where(~belongs)
-    # names with their values repeat over documents: each pair is read once, under itself in place of a document and item
-    pairs = own.select("name", "value").distinct().select(F.col("name").alias("doc"), F.col("value").alias("item"), "name", "value")
-    read = matched(rewritten(pairs, names), names, aliases).withColumnsRenamed({"doc": "__name", "item": "__value"}).distinct()
-    said = own.select("doc", "item", "name", "value").join(read, (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__value")))
-    said = said.select("doc", "item", "term_type", "index", "kind", "text").distinct()
-    of = lambda kind: F.count_if(F.col("kind") == kind)
-    merged = said.groupBy("doc", "item", "term_type", "index").agg(of("term").alias("terms"), of("number").alias("numbers"))
-    gathered = merged.groupBy("doc").agg(F.count_if(F.col("term_type").isNotNull()).alias("fields"), F.sum("terms").alias("terms"), F.sum("numbers").alias("numbers"))
-    for kind in ("value_candidate", "name_candidate"):
-        new = said.where(F.col("kind") == kind).select("doc", "text").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-        gathered = gathered.join(new.withColumnRenamed("n", f"{kind}s"), "doc", "left").withColumn(f"{kind}s", F.coalesce(f"{kind}s", F.lit(0)).cast("long"))
-    route = routed(items, types).groupBy("doc").agg(F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set("product_type")).alias("product_types"))
-    return route.join(gathered, "doc", "left").join(info, "doc", "left")
+    own = own.join(route, ["doc", "item"], "left").withColumn("product_type", F.coalesce("product_type", F.lit(UNKNOWN))) if redirects is None else redirected(own, route, redirects)
+    # names with their values repeat over documents: each combination is read once, under itself in place of a document and item
+    pairs = own.select("name", "value", "product_type").distinct().select(F.col("name").alias("doc"), F.col("value").alias("item"), "name", "value", "product_type")
+    read = matched(rewritten(pairs, names), names, aliases).withColumnsRenamed({"doc": "__name", "item": "__value", "product_type": "__type"}).distinct()
+    same = (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__value")) & (F.col("product_type") == F.col("__type"))
+    said = own.select("doc", "item", "name", "value", "product_type").join(read, same).select("doc", "item", "term_type", "index", "kind", "text").distinct()
+    of = lambda kind: F.col("kind") == kind
+    different = lambda when, *c: F.count_distinct(F.when(when, F.struct(*c)))
+    gathered = said.groupBy("doc").agg(
+        different(F.col("term_type").isNotNull(), "item", "term_type", "index").alias("fields"), F.count_if(of("term")).alias("terms"), F.count_if(of("number")).alias("numbers"),
+        different(of("value_candidate"), "text").alias("value_candidates"), different(of("name_candidate"), "text").alias("name_candidates"),
+    )
+    zero = {k: F.coalesce(k, F.lit(0)).cast("long") for k in ("value_candidates", "name_candidates")}
+    by_doc = route.groupBy("doc").agg(F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set("product_type")).alias("product_types"))
+    return by_doc.join(gathered, "doc", "left").join(info, "doc", "left").withColumns(zero)

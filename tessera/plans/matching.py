@@ -520,24 +520,36 @@ def leader_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRODUCTS = [("small", "s"), ("economy", "e"), ("medium polished", "m"), ("um", "u")]
 
 
-@query("""with f as (select l_orderkey as doc, l_linenumber as item, lower(p_type) as material, l_suppkey, case l_linenumber % 3 when 2 then null else replace(p_name, ' ', '') end as model from lineitem join part on l_partkey = p_partkey),
+@query("""with f as (select l_orderkey as doc, l_linenumber as item, lower(p_type) as material, l_suppkey, p_size, case l_linenumber % 3 when 2 then null else replace(p_name, ' ', '') end as model from lineitem join part on l_partkey = p_partkey),
 r as (select doc, item, min(case when contains(material, 'economy') then 'e' when contains(material, 'small') then 's' when contains(material, 'um') then 'u' else 'unknown' end) as product_type from f group by doc, item),
-g as (select doc, count(*) as items, array_to_string(list_sort(list(distinct product_type)), ',') as product_types from r group by doc)
-select g.doc, items, items * 3 as fields, count(distinct (item, model)) filter (where model is not null) + count(distinct (item, material)) as terms, count(distinct (item, l_suppkey)) as numbers, count(distinct l_suppkey) filter (where model is null) as value_candidates,
-count(distinct l_suppkey % 7) as name_candidates, cast(g.doc as varchar) as info, product_types from g join f on f.doc = g.doc group by g.doc, items, product_types""")
+s as (select doc, min(item) as s_item from r where product_type = 's' group by doc),
+g as (select doc, count(*) as items, array_to_string(list_sort(list(distinct product_type)), ',') as product_types from r group by doc),
+w as (select f.*, product_type, product_type in ('e', 's') as by_number, product_type in ('u', 'unknown') as by_finish, case when product_type <> 's' and s_item is not null then s_item else f.item end as pump_item from f join r on r.doc = f.doc and r.item = f.item left join s on s.doc = f.doc)
+select g.doc, items, items * 3 + count(distinct pump_item) + count(distinct case when by_number or product_type = 'unknown' then item end) + count(distinct case when by_finish then item end) as fields,
+ count(distinct (item, model)) filter (where model is not null) + count(distinct (item, material)) + count(distinct (item, p_size)) filter (where by_finish and p_size % 2 = 0) as terms,
+ count(distinct (item, l_suppkey)) + count(distinct (pump_item, l_suppkey)) + count(distinct (item, p_size)) filter (where by_number or product_type = 'unknown') as numbers,
+ count(distinct l_suppkey) filter (where model is null) + count(distinct p_size) filter (where by_finish and p_size % 2 = 1) as value_candidates,
+count(distinct l_suppkey % 7) as name_candidates, cast(g.doc as varchar) as info, product_types from g join w on w.doc = g.doc group by g.doc, items, product_types""")
 def normalize_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders as items with five fields each: a numbered one, a measure, options, one of the document and an unknown one."""
+    """Lines of orders as items with seven fields each.
+
+    A numbered one, a measure, options, one of the document, an unknown one, one whose name two product types read differently, and one whose name
+    points to another product type.
+    """
     p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    lines = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("item"), "p_name", "p_type", "l_suppkey")
+    lines = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("item"), "p_name", "p_type", F.col("p_size").cast("string").alias("size"), "l_suppkey")
     supplier, k = F.col("l_suppkey").cast("string"), F.col("item") % 3
     model = F.when(k == 0, F.upper("p_name")).when(k == 1, F.col("p_name")).otherwise(F.concat(F.lit("other"), supplier))
     given = [
         (F.concat(F.lit("模头"), F.col("item").cast("string")), model), (F.lit("电压"), F.concat((F.col("l_suppkey") * 10).cast("string"), F.lit("V"))), (F.lit(" 材料 "), F.concat(F.lit("☑"), "p_type", F.lit(" □PP"))),
         (F.lit("合同号"), F.col("doc").cast("string")), (F.concat(F.lit("x"), (F.col("l_suppkey") % 7).cast("string"), F.lit("?")), F.lit("?")),
+        (F.lit("规格"), F.concat("size", F.lit("mm"))), (F.lit("液压泵"), F.concat(supplier, F.lit("kW"))),
     ]
     fields = lines.select("doc", "item", F.explode(F.array(*[F.struct(n.alias("name"), v.alias("value")) for n, v in given])).alias("f")).select("doc", "item", "f.*")
     items = lines.select("doc", "item", F.lit(None).cast("string").alias("hint"), F.col("p_type").alias("name"))
-    names = spark.createDataFrame([("模头", "model", "enum"), ("电压", "voltage", "number"), ("材料", "material", "enum")], "alias string, term_type string, value_kind string")
-    aliases = p.select(F.lit("model").alias("term_type"), F.col("p_name").alias("alias"), F.col("p_partkey").alias("term_id")).unionByName(p.select(F.lit("material").alias("term_type"), F.col("p_type").alias("alias"), F.col("p_partkey").alias("term_id")))
-    out = normalize.normalized(fields, items, spark.createDataFrame(PRODUCTS, "alias string, product_type string"), names, aliases, ("合同号",))
+    known = [("模头", "model", "enum", []), ("电压", "voltage", "number", []), ("材料", "material", "enum", ["common"]), ("规格", "width", "number", ["e", "s"]), ("规格", "finish", "enum", ["u"]), ("液压泵", "pump", "number", ["s"])]
+    names = spark.createDataFrame(known, "alias string, term_type string, value_kind string, products array<string>")
+    of = lambda term_type, alias: p.select(F.lit(term_type).alias("term_type"), alias.alias("alias"), F.col("p_partkey").alias("term_id"))
+    aliases = of("model", F.col("p_name")).unionByName(of("material", F.col("p_type"))).unionByName(of("finish", F.concat(F.col("p_size").cast("string"), F.lit("MM"))).where("p_size % 2 = 0"))
+    out = normalize.normalized(fields, items, spark.createDataFrame(PRODUCTS, "alias string, product_type string"), names, aliases, ("合同号",), spark.createDataFrame([("液压", "s")], "word string, product_type string"))
     return out.select("doc", "items", "fields", "terms", "numbers", "value_candidates", "name_candidates", "info", F.array_join("product_types", ",").alias("product_types"))

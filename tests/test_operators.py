@@ -61,6 +61,28 @@ def test_lists_wholes_and_unknown_names(spark):
     assert (out[2].items, out[2].fields, out[2].info, out[2].product_types) == (1, None, "C7", ["unknown"])
 
 
+def test_product_types_decide_how_a_field_is_read(spark):
+    """The same name and value mean another term for another type; what points to another product moves there first."""
+    fields = [(1, 1, "规格", "5"), (1, 2, "规格", "5"), (1, 3, "规格", "5"), (1, 1, "液压泵规格", "7"), (2, 1, "液压泵规格", "7"), (1, 2, "只给泵", "9"), (3, 9, "规格", "5")]
+    f = spark.createDataFrame(fields, "doc int, item int, name string, value string")
+    items = spark.createDataFrame([(1, 1, "die", "n"), (1, 2, "pump", "n"), (1, 3, "x", "n"), (2, 1, "die", "n")], "doc int, item int, hint string, name string")
+    types = spark.createDataFrame([("die", "D"), ("pump", "P")], "alias string, product_type string")
+    names = spark.createDataFrame([("规格", "width", "number", ["D"]), ("规格", "size", "enum", ["P", "Q"]), ("液压泵规格", "flow", "number", None), ("只给泵", "only", "number", ["D"])], "alias string, term_type string, value_kind string, products array<string>")
+    aliases = spark.createDataFrame([("size", "5", 1, ["Q"]), ("size", "5", 2, ["P"]), ("size", "5", 3, ["P"])], "term_type string, alias string, term_id int, products array<string>")
+    redirects = spark.createDataFrame([("液压泵", "P"), ("泵", "D")], "word string, product_type string")
+    route = normalize.routed(items, types)
+    moved = normalize.redirected(f, route, redirects)
+    at = {(r.doc, r.name, r.value, r.item): r.product_type for r in moved.collect()}
+    assert at == {(1, "规格", "5", 1): "D", (1, "规格", "5", 2): "P", (1, "规格", "5", 3): "unknown", (1, "液压泵规格", "7", 2): "P", (2, "液压泵规格", "7", 1): "D", (1, "只给泵", "9", 1): "D", (3, "规格", "5", 9): "unknown"}
+    said = sorted((r.doc, r.item, r.term_type, r.kind, r.text) for r in normalize.matched(normalize.rewritten(moved, names), names, aliases).collect())
+    assert said == [
+        (1, 1, "only", "number", "9"), (1, 1, "width", "number", "5"), (1, 2, "flow", "number", "7"), (1, 2, "size", "term", "2"), (1, 3, "size", "term", "1"), (1, 3, "width", "number", "5"),
+        (2, 1, "flow", "number", "7"), (3, 9, "size", "term", "1"), (3, 9, "width", "number", "5"),
+    ]
+    alone = normalize.matched(normalize.rewritten(moved.where("name = '只给泵'").withColumn("product_type", F.lit("P")), names), names, aliases).collect()
+    assert [r.term_type for r in alone] == ["only"]  # nothing applies: all rows do
+
+
 def test_empty_tables(spark):
     t = spark.createDataFrame([], "id int, kind string, t string")
     a = spark.createDataFrame([], "kind string, alias string, n int")
