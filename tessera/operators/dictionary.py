@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators.latest import top_per
+from tessera.session import checkpoint_folder
 
 
 def aliases_by_precedence(explicit: DataFrame, terms: DataFrame) -> DataFrame:
@@ -86,13 +87,31 @@ def upsert_candidates(pending: DataFrame, new: DataFrame, keys: Sequence[str], r
     return joined.select(*keys, F.greatest("a.confidence", "b.confidence").alias("confidence"), n.alias("n"), source.alias("source"))
 
 
-def hierarchy(nodes: DataFrame, depth: int) -> DataFrame:
-    """(id, l1, l2, ...): names from the root down, for trees of at most ``depth`` levels; cycles end there too."""
-    out = nodes.select("id", F.col("parent").alias("up"), F.array("name").alias("path"))
-    parents = nodes.select(F.col("id").alias("up"), F.col("parent").alias("next"), F.col("name").alias("pname"))
-    for _ in range(depth - 1):
-        out = out.join(parents, "up", "left").select("id", F.col("next").alias("up"), F.when(F.col("pname").isNotNull(), F.concat(F.array("pname"), "path")).otherwise(F.col("path")).alias("path"))
-    return out.select("id", *[F.get("path", i).alias(f"l{i + 1}") for i in range(depth)])
+def hierarchy(nodes: DataFrame) -> DataFrame:
+    """(id, levels array<string>, level, cyclic): names from the root down to each of nodes (id, parent, name), for trees of any depth.
+
+    Every round doubles how far up a node has looked, so a chain of n takes about log2(n) rounds; each ends in a checkpoint in the shared folder.
+    What is in a cycle or hangs below one never sees a root: it is cyclic, without levels.  A parent that is no node makes a root.
+    """
+    checkpoint_folder(nodes.sparkSession)
+    ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("__node"))
+    start = nodes.join(ids, "parent", "left").select("id", F.when(F.col("__node"), F.col("parent")).alias("up"), "name").checkpoint()
+    count = start.count()
+    # first without names, which grow: who reaches a root at all
+    seen, reach = start.select("id", "up"), 1
+    while reach <= 2 * count and not seen.where("up is not null").isEmpty():
+        seen, reach = _doubled(seen).checkpoint(), reach * 2
+    cyclic = seen.where("up is not null").select("id")
+    paths = start.join(cyclic, "id", "left_anti").select("id", "up", F.array("name").alias("levels"))
+    while not paths.where("up is not null").isEmpty():
+        paths = _doubled(paths, levels=F.concat(F.coalesce("__levels", F.array().cast("array<string>")), "levels")).checkpoint()
+    return paths.select("id", "levels", F.size("levels").alias("level"), F.lit(False).alias("cyclic")).unionByName(cyclic.select("id", F.lit(None).cast("array<string>").alias("levels"), F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic")))
+
+
+def _doubled(df: DataFrame, **joined: Column) -> DataFrame:
+    """Rows (id, up, ...) with the ``up`` of their ``up``, and columns made of both rows (the upper one's as __name)."""
+    above = df.select(F.col("id").alias("up"), F.col("up").alias("__up"), *[F.col(c).alias(f"__{c}") for c in joined])
+    return df.join(above, "up", "left").select("id", F.col("__up").alias("up"), *[c.alias(n) for n, c in joined.items()])
 
 
 def duplicate_names(docs: DataFrame) -> DataFrame:

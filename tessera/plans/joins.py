@@ -205,7 +205,7 @@ r as (select *, row_number() over (partition by a order by score desc, b) as r f
 def join_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size")
     a, b, block = p.withColumnRenamed("p_partkey", "a"), p.withColumnRenamed("p_partkey", "b"), F.struct("p_brand", "p_size")
-    return ranges.fuzzy(a, b, "a", "b", ("p_name", "p_name"), (block, block), 0.5, but=F.col("a") != F.col("b"))
+    return ranges.fuzzy(a, b, "a", "b", ("p_name", "p_name"), (block, block), 0.5, apart=True)
 
 
 @query("""with i as (select p_partkey as item, p_brand as brand, p_type as type, cast(p_size as varchar) as size from part where p_partkey % 2 = 0),

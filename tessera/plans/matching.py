@@ -502,9 +502,14 @@ def trigger_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.triggered(table(spark, sf_dir, "orders"), triggers, "o_orderkey")
 
 
-@query(f"with {DEPTS} select a.id, coalesce(c.name, b.name, a.name) as l1, case when c.name is not null then b.name when b.name is not null then a.name end as l2, case when c.name is not null then a.name end as l3 from d a left join d b on a.parent = b.id left join d c on b.parent = c.id")
+@query(f"""with recursive {DEPTS}, e as (select id, case when id = 4 then 19 else parent end as parent, name from d),
+r as (select id, [name] as levels from e where parent is null union all select e.id, list_append(r.levels, e.name) from e join r on e.parent = r.id)
+select e.id, levels[1] as l1, levels[2] as l2, levels[3] as l3, array_to_string(levels, '/') as path, cast(len(levels) as integer) as level, r.id is null as cyclic from e left join r on r.id = e.id""")
 def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.hierarchy(departments(spark, sf_dir), 3)
+    """Names from the root down; one department hangs below its own grandchild, with all that hangs below it."""
+    d = departments(spark, sf_dir).withColumn("parent", F.when(F.col("id") == 4, F.lit(19)).otherwise(F.col("parent")))
+    found = dictionary.hierarchy(d)
+    return found.select("id", *[F.get("levels", i).alias(f"l{i + 1}") for i in range(3)], F.array_join("levels", "/").alias("path"), "level", "cyclic")
 
 
 @query(f"with {DEPTS} select a.id, case when a.id % 5 = 0 then 'own' when b.id is not null and b.id % 2 = 1 then b.name when b.id is not null then coalesce(c.name, 'none') else 'none' end as leader from d a left join d b on a.parent = b.id left join d c on b.parent = c.id")

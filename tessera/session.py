@@ -18,6 +18,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Let checkpoint() write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
+
+
 def session(name: str = "tessera", **settings: str) -> SparkSession:
     """A session with UTC and adaptive execution."""
     conf = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"} | settings
