@@ -29,11 +29,11 @@ from tessera.llm.common import Scratch, prepare
 from tessera.llm.components import components
 
 #: Signatures that a task packs before it hands them on, and that it sorts at once.
-PACK, SORT = 1 << 19, 1 << 20
+PACK, SORT = 1 << 19, 1 << 19
 #: Characters of text for each packed partition.
-SPREAD = 1 << 24
-#: Sketches of one signature that a task compares with as many others.
-BLOCK = 2048
+SPREAD = 1 << 23
+#: Sketches of one signature that a task compares with as many others, and bytes of them that it compares with one at a time.
+BLOCK, PIECE = 2048, 1 << 20
 
 
 class PartEnum:
@@ -119,6 +119,8 @@ def _packed(docs: DataFrame, words: int, enum: PartEnum, parts: int) -> DataFram
             yield out((sets.view(np.uint64) % np.uint64(parts)).astype(np.int32), b.column(0), b.column(2), sets, np.array(sizes, np.int64), sketches, [None] * len(ids))
         if held:
             yield flush(held)
+        del held, seen
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text", "key").mapInArrow(run, "p int, doc_id long, key long, set_id long, n long, sketch binary, pack binary")
 
@@ -172,6 +174,8 @@ def _unpacked(packed: DataFrame) -> DataFrame:
                 count += len(pack) // 16
         if packs:
             yield met(packs, carried)[0]
+        del packs, carried
+        pa.default_memory_pool().release_unused()
 
     rows = packed.repartition("p").sortWithinPartitions("p")
     return rows.mapInArrow(run, "kind int, doc_id long, key long, set_id long, n long, sketch binary, sig long")
@@ -200,8 +204,30 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bits differ between rows of bytes."""
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+    """How many bits differ between rows of bytes, each of whole words of 64 bits."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(-1, dtype=np.int64)
+
+
+def apart_from(sketches: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """How many bits differ between sketch i and each of the sketches j, a few of which are held at a time."""
+    step = max(1, PIECE // sketches.shape[1])
+    out = np.empty(len(j), np.int64)
+    for at in range(0, len(j), step):
+        out[at : at + step] = apart(sketches[j[at : at + step]], sketches[i])
+    return out
+
+
+def gathered(column: pa.ChunkedArray) -> np.ndarray:
+    """Sketches of several widths as rows of the least of these, a chunk at a time."""
+    wide = [pc.binary_length(c).to_numpy() for c in column.chunks]
+    out = np.zeros((len(column), min(int(w.min()) for w in wide if len(w))), np.uint8)
+    start = 0
+    for chunk, w in zip(column.chunks, wide):
+        for x in np.unique(w).tolist():
+            at = np.flatnonzero(w == x)
+            out[start + at] = folded(matrix(chunk.take(pa.array(at))), out.shape[1])
+        start += len(chunk)
+    return out
 
 
 def _sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -313,7 +339,7 @@ def may_link(n: np.ndarray, label: np.ndarray, sketches: np.ndarray, side: np.nd
     for i in np.flatnonzero(side != 1):
         j = np.flatnonzero((label != label[i]) & ((side == 1) | ((side == 2) & (np.arange(len(n)) > i))) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
         if len(j):
-            j = j[apart(sketches[j], sketches[i]) * (den + num) <= (den - num) * (n[j] + n[i])]
+            j = j[apart_from(sketches, i, j) * (den + num) <= (den - num) * (n[j] + n[i])]
             at_i.append(np.full(len(j), i))
             at_j.append(j)
     return (np.concatenate(at_i), np.concatenate(at_j)) if at_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -325,7 +351,7 @@ def nearest_links(n: np.ndarray, label: np.ndarray, sketches: np.ndarray, side:
     best, at_i, at_j = np.full(code.max(initial=-1) + 1, np.inf), np.zeros(code.max(initial=-1) + 1, np.int64), np.zeros(code.max(initial=-1) + 1, np.int64)
     for i in np.flatnonzero(side != 1):
         j = np.flatnonzero((label != label[i]) & ((side == 1) | ((side == 2) & (np.arange(len(n)) > i))) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
-        gap = apart(sketches[j], sketches[i]) / (n[j] + n[i])
+        gap = apart_from(sketches, i, j) / (n[j] + n[i])
         near = gap * (den + num) <= (den - num) * (1 + 1e-12)
         j, gap = j[near], gap[near]
         if len(j):
@@ -354,13 +380,7 @@ def _near(mixed: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> pa.RecordBatch:
             ids, n, label, side = (rows[c].to_numpy() for c in ("set_id", "n", "label", "side"))
-            column = rows["sketch"].combine_chunks()
-            wide = pc.binary_length(column).to_numpy()
-            sketches = np.zeros((len(wide), wide.min()), np.uint8)
-            for x in np.unique(wide).tolist():
-                at = np.flatnonzero(wide == x)
-                sketches[at] = folded(matrix(column.take(pa.array(at))), sketches.shape[1])
-            i, j = (nearest_links if nearest else may_link)(n, label, sketches, side, num, den)
+            i, j = (nearest_links if nearest else may_link)(n, label, gathered(rows["sketch"]), side, num, den)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
         held: pa.Table | None = None  # the block that may go on in the next batch
@@ -373,6 +393,8 @@ def _near(mixed: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
             held = rows.slice(int(starts[-1]))
         if held is not None and held.num_rows:
             yield pairs(held)
+        del held
+        pa.default_memory_pool().release_unused()  # workers live on, and their memory counts
 
     return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
 
