@@ -190,12 +190,6 @@ def levels(*parts: Column) -> Column:
     return F.concat_ws("/", *[F.nullif(p, F.lit("")) for p in parts])
 
 
-def longest_prefix(c: Column, aliases: Sequence[str]) -> Column:
-    """The longest of some aliases that a text starts with."""
-    ordered = sorted(set(aliases), key=lambda a: (-len(a), a))
-    return F.coalesce(*[F.when(c.startswith(a), F.lit(a)) for a in ordered], F.lit(None))
-
-
 def longest_inside(c: Column, values: dict[str, str]) -> Column:
     """What the longest of some aliases in a text stands for; null without one."""
     ordered = sorted(values, key=lambda a: (-len(a), a))

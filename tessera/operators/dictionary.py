@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators.aliases import containing
 from tessera.operators.latest import top_per
 from tessera.session import checkpoint_folder
 
@@ -49,22 +50,6 @@ def match_parts(fields: DataFrame, aliases: DataFrame) -> DataFrame:
     return hit.groupBy("field_id").agg(ordered(F.col("term_id").isNotNull(), "term_id").alias("matched"), ordered(F.col("term_id").isNull(), "alias").alias("unmatched"))
 
 
-def containing(texts: DataFrame, aliases: DataFrame, text_col: str, alias_col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``texts`` with the rows of ``aliases`` that they contain, equal in the columns ``by``.
-
-    Both sides meet by equality: an alias by the rarest of its pieces of three characters (all of it, if shorter), a text by all its different
-    pieces, so that neither side need be small and frequent pieces are not met.  An empty alias is in no text.
-    """
-    by = list(by)
-    pieces = lambda c, q: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(q)))
-    c, a = F.col(text_col), F.col(alias_col)
-    keys = aliases.where(F.length(a) > 0).select(*by, alias_col).distinct().withColumn("__piece", F.explode(F.array_distinct(pieces(a, 3))))
-    often = keys.groupBy(*by, "__piece").agg(F.count(F.lit(1)).alias("__n"))
-    rarest = keys.join(often, [*by, "__piece"]).groupBy(*by, alias_col).agg(F.min(F.struct("__n", "__piece")).alias("__x")).select(*by, alias_col, F.col("__x.__piece").alias("__piece"))
-    every = texts.withColumn("__piece", F.explode(F.array_distinct(F.concat(pieces(c, 1), pieces(c, 2), pieces(c, 3)))))
-    return every.join(rarest, [*by, "__piece"]).where(F.contains(c, a)).drop("__piece").join(aliases, [*by, alias_col])
-
-
 def route_by_hint(items: DataFrame, types: DataFrame) -> DataFrame:
     """Items (item_id, hint, name) with their product type: the hint if known, else the longest type alias in the name, else unknown.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
 from tessera.operators import dictionary, residues
+from tessera.operators.aliases import containing
 
 
 def routed(items: DataFrame, types: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def redirected(fields: DataFrame, route: DataFrame, redirects: DataFrame) -> Dat
     it, the field belongs to the first of these; else it stays.  Each different name is searched once.
     """
     names = fields.select("name").where("name is not null").distinct()
-    hints = dictionary.containing(names, redirects.select("word", "product_type"), "name", "word").groupBy("name").agg(F.max_by("product_type", F.struct(F.length("word"), "word")).alias("__hint"))
+    hints = containing(names, redirects.select("word", "product_type"), "name", "word").groupBy("name").agg(F.max_by("product_type", F.struct(F.length("word"), "word")).alias("__hint"))
     targets = route.groupBy("doc", F.col("product_type").alias("__hint")).agg(F.min("item").alias("__item"))
     typed = fields.join(route, ["doc", "item"], "left").join(hints, "name", "left").join(targets, ["doc", "__hint"], "left")
     moves = F.col("__item").isNotNull() & ~F.col("__hint").eqNullSafe(F.col("product_type"))

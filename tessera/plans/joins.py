@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import aliases as alias_operators
 from tessera.operators import ranges
 from tessera.operators.latest import top_per
 from tessera.registry import query
@@ -239,7 +240,7 @@ def join_contains_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = n.select(F.col("n_regionkey").cast("long").alias("k"), F.expr("substr(n_name, 1, 3 + n_nationkey % 4)").alias("alias"), F.col("n_nationkey").alias("usage"))
     t, u = n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("a")), n.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
     texts = table(spark, sf_dir, "customer").join(t, F.col("i") == F.col("c_nationkey")).join(u, F.col("j") == (F.col("c_nationkey") + 1) % 25).select("c_custkey", (F.col("c_custkey") % 5).alias("k"), F.concat_ws(" ", "a", "b").alias("text"))
-    return ranges.contained_aliases(texts, aliases, "c_custkey", "text", "k", "alias", [F.col("usage").desc()], 5).select("c_custkey", "alias", "rank")
+    return alias_operators.first_contained(texts, aliases, "c_custkey", "text", "k", "alias", [F.col("usage").desc()], 5).select("c_custkey", "alias", "rank")
 
 
 @query("""select event_id, coalesce(c.c_name, s.s_name) as report from events left join customer c on event_type <> 'error' and c.c_custkey = user_id left join supplier s on event_type = 'error' and s.s_suppkey = user_id % 10""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import documents, text
+from tessera.operators import aliases
 from tessera.registry import query
 from tessera.tables import table
 
@@ -97,9 +98,16 @@ def str_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select("i", F.array_join(text.tokens(F.col("t")), " ").alias("v")).where("v <> ''")
 
 
-@query("select p_partkey, case when starts_with(p_name, 'part#1') and p_partkey % 1 = 0 then case when starts_with(p_name, 'part#10') then 'part#10' else 'part#1' end when starts_with(p_name, 'part#') then 'part#' when starts_with(p_name, 'part') then 'part' end as alias from part")
+@query("""with a as (select distinct split_part(p_name, ' ', 1) as alias from part where p_size % 3 <> 0 and length(split_part(p_name, ' ', 1)) <> 4 union select distinct substr(p_name, 1, 2) from part),
+v as (select p_partkey, case when p_partkey % 5 = 0 then substr(p_name, 1, 2) || '板' when p_partkey % 7 = 0 then split_part(p_name, ' ', 1) else replace(p_name, ' ', '') end as v from part),
+l as (select p_partkey, v, max(length(alias)) as n from v left join a on starts_with(v, alias) group by all), s as (select p_partkey, v, case when n = length(v) or n >= 3 or contains(substr(v, n + 1), '板') then n end as n from l)
+select p_partkey, substr(v, 1, n) as alias, nullif(substr(v, n + 1), '') as suffix, case when n is null then null when n = length(v) then 1.0::double else 0.9::double end as confidence from s""")
 def str_prefix_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", text.longest_prefix(F.col("p_name"), ["part", "part#", "part#1", "part#10"]).alias("alias"))
+    """The longest alias that a value begins with, and the rest; short ones only before a rest with Chinese characters."""
+    p, first, two = table(spark, sf_dir, "part"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.substring("p_name", 1, 2)
+    known = p.where((F.col("p_size") % 3 != 0) & (F.length(first) != 4)).select(first.alias("a")).union(p.select(two.alias("a"))).distinct()
+    value = F.when(F.col("p_partkey") % 5 == 0, F.concat(two, F.lit("板"))).when(F.col("p_partkey") % 7 == 0, first).otherwise(F.translate("p_name", " ", ""))
+    return aliases.longest_prefixes(p.select("p_partkey", value.alias("v")), known, "v", "a").select("p_partkey", "alias", "suffix", "confidence")
 
 
 @query("""with a(kind, alias, value) as (values ('area', 'STEEL', 'S'), ('area', 'PLATED', 'P'), ('position', 'SMALL', 'top'), ('position', 'LARGE', 'low'), ('layer', 'BRASS', 'b')),

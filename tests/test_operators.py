@@ -2,22 +2,58 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import concepts, dictionary, normalize, ranges, residues
+from tessera.operators import aliases as alias_operators
+from tessera.operators import normalize, ranges, residues
 
 
-def test_contained_aliases_match_brute_force(spark):
+@pytest.mark.parametrize("shipped", [0, alias_operators.SHIPPED])
+def test_contained_aliases_match_brute_force(spark, shipped):
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("abc") for _ in range(rng.randint(0, n)))
     texts = [(i, rng.choice("xy"), word(12)) for i in range(120)] + [(120, "x", None)]
     aliases = [(rng.choice("xy"), word(4), k) for k in range(60)]
     t = spark.createDataFrame(texts, "id int, kind string, t string")
     a = spark.createDataFrame(aliases, "kind string, alias string, n int")
-    got = sorted((r.id, r.n) for r in dictionary.containing(t, a, "t", "alias", by=["kind"]).collect())
+    got = sorted((r.id, r.n) for r in alias_operators.containing(t, a, "t", "alias", ["kind"], shipped).collect())
     assert got == sorted((i, n) for i, kind, x in texts for k, alias, n in aliases if kind == k and alias and x and alias in x)
 
 
+def test_ten_thousand_aliases_in_whole_documents(spark):
+    """Aliases of which some lie inside others, all found in one pass and again without shipping them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    given = {r.doc_id: r.text or "" for r in docs.collect()}
+    rng = random.Random(3)
+    texts = [t for t in given.values() if len(t) > 20]
+    known = set()
+    while len(known) < 10_000:
+        t = rng.choice(texts)
+        at = rng.randrange(len(t) - 12)
+        known.add(t[at : at + rng.randint(3, 12)])
+    a = spark.createDataFrame([(x,) for x in sorted(known)], "alias string")
+    met = alias_operators.containing(docs, a, "text", "alias")
+    assert "Exchange hashpartitioning(text" not in met._jdf.queryExecution().toString()
+    counted = {r.doc_id: (r.n, r.longest) for r in met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("alias")).alias("longest")).collect()}
+    for i in sorted(given)[::10]:
+        inside = [x for x in known if x in given[i]]
+        assert counted.get(i, (0, None)) == (len(inside), max(map(len, inside), default=None))
+
+
+def test_longest_prefixes_match_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab板") for _ in range(rng.randint(0, n)))
+    values, known = [(i, word(8)) for i in range(200)] + [(200, None)], {word(5) for _ in range(25)}
+    v, a = spark.createDataFrame(values, "id int, v string"), spark.createDataFrame([(x,) for x in known], "a string")
+    got = {r.id: (r.alias, r.suffix, r.confidence) for r in alias_operators.longest_prefixes(v, a, "v", "a").collect()}
+    for i, x in values:
+        best = max((k for k in known if k and x and x.startswith(k)), key=len, default=None)
+        rest = x[len(best) :] if best else ""
+        stands = best and (not rest or len(best) >= 3 or "板" in rest)
+        assert got[i] == ((best, rest or None, 0.9 if rest else 1.0) if stands else (None, None, None))
+
+
 def test_votes_match_brute_force(spark):
     rng = random.Random(2)
     value = lambda: rng.choice(("a", "b", "", None))
@@ -86,5 +122,7 @@ def test_product_types_decide_how_a_field_is_read(spark):
 def test_empty_tables(spark):
     t = spark.createDataFrame([], "id int, kind string, t string")
     a = spark.createDataFrame([], "kind string, alias string, n int")
-    assert dictionary.containing(t, a, "t", "alias").count() == 0
+    assert alias_operators.containing(t, a, "t", "alias").count() == alias_operators.containing(t, a, "t", "alias", shipped=-1).count() == 0
+    assert alias_operators.containing(t, spark.createDataFrame([("k", "")], "kind string, alias string"), "t", "alias", ["kind"]).count() == 0
+    assert alias_operators.longest_prefixes(t, a, "t", "alias").count() == 0
     assert ranges.attribute_vote(spark.createDataFrame([], "item int, p string, q string"), spark.createDataFrame([], "m int, p string, q string"), "item", "m", ["p", "q"]).count() == 0
