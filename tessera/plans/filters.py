@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import jsons
 from tessera.operators import predicates
 from tessera.registry import query
 from tessera.tables import table
@@ -118,8 +119,7 @@ ELEMENTS = "from_json(body, '[{\"q\":\"INTEGER\",\"flag\":\"VARCHAR\"}]')"
 
 @query(f"with {ITEMS} select id from items where json_type(body) = 'ARRAY' and len(list_filter({ELEMENTS}, lambda x: x.flag = 'R')) > 0")
 def filt_json_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.from_json("body", "array<struct<q:int,flag:string>>")
-    return items(spark, sf_dir).where(F.col("body").startswith("[")).where(F.exists(rows, lambda x: x["flag"] == "R")).select("id")
+    return items(spark, sf_dir).where(jsons.contains(F.col("body"), '[{"flag": "R"}]')).select("id")
 
 
 @query(f"with {ITEMS} select id, json_type(body) = 'OBJECT' and json_exists(body, '$.q') as has_q from items")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import dml
 from tessera.operators.scans import by_keys, cursor_pages, since
 from tessera.registry import query
+from tessera.session import shared_folder
 from tessera.sources import sheets
+from tessera.sources.cursor import CursorSource
 from tessera.tables import table
 
 
@@ -104,8 +108,14 @@ def sink_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select c_custkey, c_name, cast((row_number() over (order by c_custkey) - 1) // 100 as integer) as page from customer")
 def scan_rest_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of at most 100 rows after the last id, until a short one; here the remote side is a table."""
-    return cursor_pages(table(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_custkey", 100)
+    """Pages of at most 100 rows after the last id, until a short one; the remote side is a folder of page files, made of a table."""
+    base = f"{shared_folder(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    paged = cursor_pages(table(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_custkey", 100)
+    firsts = paged.withColumn("first", F.min("c_custkey").over(Window.partitionBy("page"))).drop("page")
+    firsts.repartition("first").write.partitionBy("first").json(f"{base}/customers")
+    spark.dataSource.register(CursorSource)
+    read = spark.read.format("cursor_pages").schema("c_custkey long, c_name string, _page int").option("base", base if "://" in base else f"file://{base.removeprefix('file:')}")
+    return read.option("key", "c_custkey").option("forms", "customers").load().withColumnRenamed("_page", "page")
 
 
 @query("select o_orderkey, o_orderdate from orders where o_orderdate > (select max(o_orderdate) from orders where o_orderkey % 10 = 0 and o_orderdate < timestamp '1997-01-01')")
