@@ -1,4 +1,4 @@
-"""Cursor pages from a local server and from page files, in batches and as a stream that is stopped between."""
+"""Cursor pages from a local server and from page files, in batches and as a stream that is stopped between; tables published by manifests."""
 
 import json
 import threading
@@ -6,8 +6,10 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources.cursor import CursorSource, Folder
+from tessera.sources.versions import Conflict, Versioned
 
 SCHEMA = "id long, name string, _page int"
 
@@ -89,3 +91,51 @@ def test_page_files(tmp_path):
     assert f.last("f") == 89 and f.last("none") is None and f.page("none", None, 5) == []
     ids = lambda after, n: [r["id"] for r in f.page("f", after, n)]
     assert ids(None, 40) == list(range(40)) and ids(39, 40) == list(range(40, 80)) and ids(79, 40) == list(range(80, 90)) and ids(89, 9) == [] and ids(-5, 2) == [0, 1]
+
+
+def test_upserts_touch_only_their_buckets(spark, tmp_path):
+    t = Versioned(spark, str(tmp_path / "t"), ["k"], buckets=8)
+    old = {i: f"v{i}" for i in range(200)}
+    t.create(spark.createDataFrame(list(old.items()), "k int, v string"))
+    before = t.manifest()
+    reader = t.read()
+    new = spark.createDataFrame([(3, "new"), (3000, None)], "k int, v string")
+    t.upsert(new)
+    after = t.manifest()
+    touched = {r[0] for r in new.select(t._bucket()).collect()}
+    assert {int(b) for b in after["files"] if after["files"][b] != before["files"].get(b)} == touched and len(touched) <= 2
+    assert dict(map(tuple, t.read().collect())) == old | {3: "new", 3000: None}
+    assert dict(map(tuple, t.read(1).collect())) == dict(map(tuple, reader.collect())) == old
+    t.upsert(spark.createDataFrame([(3, "no"), (4, "yes")], "k int, v string"), guard=lambda: F.col("t.v") != "new")
+    assert dict(map(tuple, t.read().collect())) == old | {3: "new", 3000: None, 4: "yes"}
+    t.upsert(new.limit(0))
+    assert t.version() == 3 and t.vacuum() == []
+
+
+def test_a_write_that_dies_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    t = Versioned(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    t.create(spark.createDataFrame([(i, "a") for i in range(50)], "k int, v string"))
+    rows = sorted(map(tuple, t.read().collect()))
+    with pytest.raises(Exception, match="division by zero"):  # while files are written
+        t.upsert(spark.createDataFrame([(i, "b") for i in range(50)], "k int, v string").withColumn("v", F.udf(lambda k: 1 / 0 and "" if k == 49 else "b")("k")))
+    monkeypatch.setattr(Versioned, "_publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):  # before the manifest
+        t.upsert(spark.createDataFrame([(1, "c")], "k int, v string"))
+    monkeypatch.undo()
+    assert t.version() == 1 and sorted(map(tuple, t.read().collect())) == rows
+    assert len(t.vacuum()) >= 1 and sorted(map(tuple, t.read().collect())) == rows
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    t, u = (Versioned(spark, str(tmp_path / "t"), ["k"], buckets=4) for _ in range(2))
+    t.create(spark.createDataFrame([(1, "a")], "k int, v string"))
+    seen, u.version = t.version(), lambda: 1
+    t.upsert(spark.createDataFrame([(1, "b")], "k int, v string"))
+    with pytest.raises(Conflict):
+        u.upsert(spark.createDataFrame([(1, "c")], "k int, v string"))
+    assert seen == 1 and [tuple(r) for r in t.read().collect()] == [(1, "b")]
+    empty = Versioned(spark, str(tmp_path / "e"), ["k"])
+    empty.create(spark.createDataFrame([], "k int, v string"))
+    assert empty.read().count() == 0
+    empty.upsert(spark.createDataFrame([(None, "x")], "k int, v string"))
+    assert [tuple(r) for r in empty.read().collect()] == [(None, "x")]
