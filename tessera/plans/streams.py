@@ -50,10 +50,19 @@ def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with e as (select event_id, user_id, event_type, epoch_us(ts) as t, lag(event_type) over w as before, lag(epoch_us(ts)) over w as since from events where event_type in ('click', 'view') window w as (partition by user_id order by ts, event_id))
 select event_id, (t - since) as stay from e where event_type = 'view' and before = 'click'""")
 def st_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, feed = _stream(spark, sf_dir)
-    stream = stream.where("event_type in ('click', 'view')")
-    pairs = twins.run(twins.folded(stream, "user_id", "ts", "event_type", ["event_id"], sessions.paired("click", "view"), "entered"), feed)
-    return pairs.where("entered is not null").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("entered")).alias("stay"))
+    """Exits with their entries, though the events come in batches that are not in order of time."""
+    return _stays(spark, sf_dir, ["event_id % 3 = 1", "event_id % 3 = 0", "event_id % 3 = 2"]).select(F.col("exit").alias("event_id"), (F.unix_micros("left") - F.unix_micros("entered")).alias("stay"))
+
+
+def _stays(spark: SparkSession, sf_dir: str, parts: list[str]) -> DataFrame:
+    """Pairs of clicks and views of events that come in ``parts``; at last one event after all others lets the watermark pass them."""
+    path = f"{shared_folder(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events", *MINI.split(", "))
+    end = e.agg(F.max("event_id").alias("event_id"), F.lit(None).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("end").alias("event_type"), (F.max("ts") + F.expr("interval 61 days")).alias("ts"))
+    e.limit(0).write.parquet(path)
+    feed = [lambda df=df: df.write.mode("append").parquet(path) for df in [*(e.where(part) for part in parts), end]]
+    stream = twins.source(spark, path, e.schema).where("event_type in ('click', 'view', 'end')")
+    return twins.run(twins.stays(stream, "user_id", "ts", "event_type", "event_id", "click", "view", "60 days"), feed)
 
 
 @query("""with m as (select unnest([15, 25, 30]) as minutes), x as (select user_id, ts, min(case when event_type = 'click' then ts end) over (partition by user_id order by ts range between interval 1 microsecond following and unbounded following) as back, event_type from events),
@@ -66,12 +75,17 @@ def st_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twins.run(alarms, feed).withColumn("left", F.col("left").cast("timestamp_ntz"))
 
 
-@query("select date_trunc('day', ts) as start, event_type, count(*) as n from events where ts < (select date_trunc('day', max(ts) - interval 1 day) from events) group by 1, 2")
+@query("""with e as (select ts, event_type, lag(event_type) over w as before, epoch_us(ts) - lag(epoch_us(ts)) over w as stay from events where event_type in ('click', 'view') window w as (partition by user_id order by ts, event_id)),
+s as (select date_trunc('day', ts) as start, count(*) as stays, cast(sum(stay) as bigint) as micros from e where event_type = 'view' and before = 'click' group by 1),
+d as (select date_trunc('day', ts) as start, event_type, count(*) as n from events where ts < (select date_trunc('day', max(ts) - interval 1 day) from events) group by 1, 2)
+select start, event_type, n, coalesce(stays, 0) as stays, coalesce(micros, 0) as micros from d left join s using (start)""")
 def st_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the days that the watermark of one day has closed."""
+    """Counts of the days that the watermark of one day has closed, beside the stays that ended on them, whose records came late and twice."""
     stream, feed = _stream(spark, sf_dir)
-    counts = twins.counted(stream, ["event_type"], "ts", "1 day", "1 day")
-    return twins.run(counts, feed).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    counts = twins.run(twins.counted(stream, ["event_type"], "ts", "1 day", "1 day"), feed).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    pairs = _stays(spark, sf_dir, ["ts >= '2024-01-16'", "event_id % 2 = 0", "ts < '2024-01-21'"])
+    ended = pairs.groupBy(F.date_trunc("day", "left").cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("stays"), F.sum(F.unix_micros("left") - F.unix_micros("entered")).alias("micros"))
+    return counts.join(ended, "start", "left").na.fill(0, ["stays", "micros"])
 
 
 @query("select count(*) as n, count(distinct event_id) as ids from events")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType, TimestampType
 
 from tessera.operators.sessions import Fold
@@ -116,6 +117,74 @@ def overdue(stream: DataFrame, key: str, time: str, kind: str, leave: str, enter
     return rows.groupBy(key).applyInPandasWithState(update, schema, "exits string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class Stays(StatefulProcessor):
+    """Entries and exits of one key, paired in order of their times once the watermark has passed these, whatever the order they came in.
+
+    What waits lies in a map by millisecond, each with a timer: timers fire in order of time, so a key's events are read row by row and none is
+    held beside its neighbours.  A record that comes again while it waits counts once.  The open entry is the only other state; with ``longest`` a timer
+    closes it after so many milliseconds, and it is told without an exit.
+    """
+
+    def __init__(self, enter: str, leave: str, longest: int | None):
+        self.enter, self.leave, self.longest = enter, leave, longest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "events string")
+        self.open = handle.getValueState("open", "id long, at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for i, kind, t in zip(batch["record"], batch["kind"], batch["micros"]):
+                at = (int(t) // 1000,)
+                held = json.loads(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
+                if int(i) not in [h[1] for h in held]:
+                    self.waiting.updateValue(at, (json.dumps([*held, [int(t), int(i), kind]]),))
+                    self.handle.registerTimer(at[0] + 1)
+        yield self._told(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        if self.longest is not None and self.open.exists():
+            i, t = self.open.get()
+            if t // 1000 + self.longest < now:
+                out.append((i, t, None, None))
+                self.open.clear()
+        at = (now - 1,)
+        if self.waiting.containsKey(at):
+            for t, i, kind in sorted(json.loads(self.waiting.getValue(at)[0])):
+                if kind == self.enter:
+                    self.open.update((i, t))
+                    if self.longest is not None:
+                        self.handle.registerTimer(t // 1000 + self.longest + 1)
+                elif kind == self.leave and self.open.exists():
+                    out.append((*self.open.get(), i, t))
+                    self.open.clear()
+            self.waiting.removeKey(at)
+        yield self._told(key, out)
+
+    def _told(self, key, out: list[tuple]) -> pd.DataFrame:
+        times = lambda k: pd.to_datetime(pd.Series([x[k] for x in out], dtype="Int64"), unit="us")
+        ids = lambda k: pd.Series([x[k] for x in out], dtype="Int64")
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype=object), "entry": ids(0), "entered": times(1), "exit": ids(2), "left": times(3)})
+
+    def close(self) -> None:
+        pass
+
+
+def stays(stream: DataFrame, key: str, time: str, kind: str, record: str, enter: str, leave: str, delay: str, longest: int | None = None) -> DataFrame:
+    """(key, entry, entered, exit, left): for each exit the open entry of its key, by their record ids (long) and times.
+
+    Events may come in any order within the watermark's ``delay``, and more than once.  A later entry replaces an open one; what the watermark has not
+    passed waits.  Events without a time are left out.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = timed(stream, time, delay).where(F.col(time).isNotNull()).select(F.col(key).alias("stay_of"), F.col(time).alias("at"), F.col(kind).alias("kind"), F.col(record).cast("long").alias("record"), F.unix_micros(time).alias("micros"))
+    schema = StructType([StructField("key", stream.schema[key].dataType), StructField("entry", LongType()), StructField("entered", TimestampType()), StructField("exit", LongType()), StructField("left", TimestampType())])
+    return rows.groupBy("stay_of").transformWithStateInPandas(Stays(enter, leave, longest), schema, "Append", "EventTime").withColumnRenamed("key", key)
+
+
 def in_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], feed: Sequence[Callable[[], None]] = ()) -> None:
     """Hands each micro-batch to a function, one after the other; a batch never overlaps the next."""
     folder = f"{shared_folder(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
