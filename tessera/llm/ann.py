@@ -2,12 +2,14 @@
 
 A table turns vectors by fast Hadamard pseudo-rotations (random signs, then a Hadamard transform, three times) and assigns each to
 the nearest signed axis: the largest component by absolute value, with its sign.  Queries probe the buckets whose axes lie
-nearest in every table; the candidates that any table collects are reranked by their exact inner products.  The share of pairs
-searched is the same for any number of rows, so recall does not fall as tables grow.
-
-Every row is hashed once.  Rows are dealt into blocks of bounded size, each with the keys of its rows in all tables, and queries go with
-their probes to every block: a candidate is shuffled once and met once, however many tables it shares with a query, and a frequent vector or
-bucket does not gather in one task.
+nearest in every table; only the candidates that a table collects are multiplied with the query, and ranked by their exact inner products.
+How many these are depends on the vectors: few where they form clusters, about half of all where they are about equally far apart, as then no
+bucket holds much more of the near ones than of others.  That share is the same for any number of rows, so recall does not fall as tables grow.
+
+Every row is hashed once.  Rows are dealt into blocks of bounded size, each of which sorts its rows by their keys in every table, and queries go with
+their probes to every block: a candidate is shuffled once and multiplied once, however many tables it shares with a query, and a frequent vector or
+bucket does not gather in one task.  A query set that grows with the table meets a number of blocks that does, so work grows with the square, as in an exact search,
+and the tables lower it by the share that they leave out.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import prepare
 from tessera.llm.topk import finite, ranked
 
-#: Rows of a candidate block and of a query block, and queries scored at once.
-CHUNK, QUERY_CHUNK, QUERY_BLOCK = 8192, 4096, 256
+#: Rows of a candidate block and of a query block.
+CHUNK, QUERY_CHUNK = 8192, 4096
+#: Many tables with few probes find more than few with many, for as many products.
+TABLES, PROBES = 20, 6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -89,46 +93,49 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(x * q, axis=1)[:, -1]
 
 
-def collected(keys: np.ndarray, probed: np.ndarray, tables: int) -> np.ndarray:
-    """Which rows (by keys, one a table) the tables collect for which queries (by probes, several a table)."""
-    out = np.zeros((len(probed), len(keys)), bool)
-    several = probed.shape[1] // tables
-    for t in range(tables):
-        mine = probed[:, t * several : (t + 1) * several]
-        hit = np.zeros((len(probed), int(max(mine.max(initial=0), keys[:, t].max(initial=0))) + 1), bool)
-        np.put_along_axis(hit, mine, True, axis=1)
-        out |= hit[:, keys[:, t]]
-    return out
+class Tables:
+    """The buckets of a block: in each table the rows of every key, as places in an order of the rows."""
 
+    def __init__(self, keys: np.ndarray):
+        self.orders = [np.argsort(k, kind="stable") for k in keys.T]
+        self.ends = [np.searchsorted(k[o], np.arange(int(k.max(initial=-1)) + 2)) for k, o in zip(keys.T, self.orders)]
+        self.seen = np.zeros(len(keys), bool)
 
-def rerank(q: np.ndarray, q_ids: np.ndarray, probed: np.ndarray, x: np.ndarray, x_ids: np.ndarray, keys: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of the k best that the tables collect of one block for each query, ties to smaller ids."""
-    out = []
-    for a in range(0, len(q), QUERY_BLOCK):
-        rough = q[a : a + QUERY_BLOCK] @ x.T
-        rough[~collected(keys, probed[a : a + QUERY_BLOCK], keys.shape[1])] = -np.inf
-        for i, scores in enumerate(rough, a):
-            own = np.flatnonzero(x_ids == q_ids[i])
-            scores[own[(x[own] == q[i]).all(axis=1)]] = -np.inf
-            near = np.flatnonzero(scores > -np.inf)
-            if len(near) > k:
-                kth = np.partition(scores, -k)[-k]
-                near = np.flatnonzero(scores >= kth - 1e-9 * max(1.0, abs(kth)))
-            exact = exact_scores(x[near], q[i])
-            keep = np.lexsort((x_ids[near], -exact))[:k]
-            out.append((int(q_ids[i]), x_ids[near][keep], exact[keep]))
-    return out
+    def collected(self, probed: np.ndarray) -> np.ndarray:
+        """The rows in any bucket that a query probes (several keys a table), each once, in order."""
+        several = len(probed) // max(1, len(self.orders))
+        for t, (order, ends) in enumerate(zip(self.orders, self.ends)):
+            for key in probed[t * several : (t + 1) * several]:
+                if key + 1 < len(ends):
+                    self.seen[order[ends[key] : ends[key + 1]]] = True
+        found = np.flatnonzero(self.seen)
+        self.seen[found] = False
+        return found
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probes: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows found with the largest inner product, in double precision, for each query row.
+def rerank(q: np.ndarray, q_ids: np.ndarray, probed: np.ndarray, x: np.ndarray, x_ids: np.ndarray, keys: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(query id, ids, scores, products) of the k best of one block for each query, ties to smaller ids.
 
-    Rows whose vector is null, empty, zero or holds a null or non-finite component take no part, nor do rows without id.  A query's own row, and rows
-    that repeat its id and vector, are no candidates; all other rows are, also where ids repeat; of several query rows with one id the one with the
-    smallest vector asks.  Vectors of another length than the query's are no candidates.  Ties go to the smaller id.
-    Empty tables give no rows.  Every row is indexed; recall depends on ``tables`` and ``probes``.
-    Where lengths differ by more than a thousandth, hashing sees vectors extended to equal length, which keeps the order of inner products.
+    Only rows that a table collects are multiplied; products says how many these were.
     """
+    tables, out = Tables(keys), []
+    for i, id_ in enumerate(q_ids.tolist()):
+        near = tables.collected(probed[i])
+        products = len(near)
+        held = x[near]
+        near = near[~((x_ids[near] == id_) & (held == q[i]).all(axis=1))] if (x_ids[near] == id_).any() else near
+        scores = x[near] @ q[i] if len(near) < products else held @ q[i]
+        if len(near) > k:
+            kth = np.partition(scores, -k)[-k]
+            near = near[scores >= kth - 1e-9 * max(1.0, abs(kth))]
+        exact = exact_scores(x[near], q[i])
+        keep = np.lexsort((x_ids[near], -exact))[:k]
+        out.append((id_, x_ids[near][keep], exact[keep], products))
+    return out
+
+
+def found_by_block(vectors: DataFrame, is_query: Column, k: int, tables: int, probes: int, id_col: str, vector_col: str) -> DataFrame:
+    """(query_id, ids, scores, products, held): for each query and block the k best, how many of its rows were multiplied, and how many it has."""
     spark = vectors.sparkSession
     prepare(spark)
     v = F.col(f"`{vector_col}`")
@@ -151,9 +158,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, p
             xm, qm = (m["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(m.num_rows, -1).astype(float) for m in (x, q))
             keys, probed = (np.frombuffer(b"".join(m["keys"].to_pylist()), np.int32).reshape(m.num_rows, -1) for m in (x, q))
             found = rerank(qm, q["id"].to_numpy(), probed, xm, x["id"].to_numpy(), keys, k)
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-        return pa.table([pa.array([f[i] if i == 0 else f[i].tolist() for f in found], t) for i, t in enumerate(kinds)], names=["query_id", "ids", "scores"])
+        columns = [[f[0] for f in found], [f[1].tolist() for f in found], [f[2].tolist() for f in found], [f[3] for f in found], [x.num_rows] * len(found)]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "ids", "scores", "products", "held"])
 
     keys = ["c", "b", "dim"]
-    found = cands.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(block, "query_id long, ids array<long>, scores array<double>")
-    return ranked(found, k, "double")
+    return cands.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(block, "query_id long, ids array<long>, scores array<double>, products long, held long")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows found with the largest inner product, in double precision, for each query row.
+
+    Rows whose vector is null, empty, zero or holds a null or non-finite component take no part, nor do rows without id.  A query's own row, and rows
+    that repeat its id and vector, are no candidates; all other rows are, also where ids repeat; of several query rows with one id the one with the
+    smallest vector asks.  Vectors of another length than the query's are no candidates.  Ties go to the smaller id.
+    Empty tables give no rows.  Every row is indexed; recall depends on ``tables`` and ``probes``.
+    Where lengths differ by more than a thousandth, hashing sees vectors extended to equal length, which keeps the order of inner products.
+    """
+    return ranked(found_by_block(vectors, is_query, k, tables, probes, id_col, vector_col), k, "double")
+
+
+def evaluated(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(products, held): over all queries, how many rows the tables collected to be multiplied, and how many there were."""
+    return found_by_block(vectors, is_query, k, tables, probes, id_col, vector_col).agg(F.coalesce(F.sum("products"), F.lit(0)).alias("products"), F.coalesce(F.sum("held"), F.lit(0)).alias("held"))

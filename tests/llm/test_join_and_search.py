@@ -386,19 +386,52 @@ def test_recall_does_not_fall_with_small_blocks(spark, monkeypatch):
     assert hits / (75 * 20) >= 0.9
 
 
-def test_blocks_of_queries_score_alike(monkeypatch):
+def test_only_what_the_tables_collect_is_multiplied():
     rng = np.random.default_rng(4)
     x, q = rng.standard_normal((90, 8)), rng.standard_normal((37, 8))
     keys, probed = (np.concatenate([ann.buckets(m, t, p) for t in range(4)], axis=1) for m, p in ((x, 1), (q, 3)))
-    seen = ann.collected(keys, probed, 4)
-    assert (seen == np.array([[any(keys[j, t] in probed[i, 3 * t : 3 * t + 3] for t in range(4)) for j in range(90)] for i in range(37)])).all()
-    whole = ann.rerank(q, np.arange(100, 137), probed, x, np.arange(90), keys, 5)
-    for i, (_, ids, scores) in enumerate(whole):
-        best = [j for j in np.lexsort((np.arange(90), -(x @ q[i]))) if seen[i, j]][:5]
-        assert ids.tolist() == best and np.allclose(scores, x[best] @ q[i])
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
-    for a, b in zip(whole, ann.rerank(q, np.arange(100, 137), probed, x, np.arange(90), keys, 5), strict=True):
-        assert a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all()
+    seen = np.array([[any(keys[j, t] in probed[i, 3 * t : 3 * t + 3] for t in range(4)) for j in range(90)] for i in range(37)])
+    x_ids = np.arange(90)
+    x[5], x_ids[5] = q[2], 102  # a query's own row
+    for i, (_, ids, scores, products) in enumerate(ann.rerank(q, np.arange(100, 137), probed, x, x_ids, keys, 5)):
+        best = [j for j in np.lexsort((x_ids, -(x @ q[i]))) if seen[i, j] and x_ids[j] != 100 + i][:5]
+        assert ids.tolist() == x_ids[best].tolist() and np.allclose(scores, x[best] @ q[i]) and products == seen[i].sum()
+    assert ann.rerank(q, np.arange(100, 137), probed, x[:0], x_ids[:0], keys[:0], 5)[0][3] == 0
+
+
+def test_tables_leave_most_of_clustered_vectors_out(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 64))
+    v = centres[rng.integers(0, 60, 3000)] + 0.2 * rng.standard_normal((3000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(3000)], "vec_id long, embedding array<double>").repartition(3)
+    few = {"tables": 8, "probes": 1}
+    products, held = ann.evaluated(df, F.col("vec_id") % 20 == 0, **few).first()
+    assert held == 150 * 3000 and products < 0.15 * held
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") % 20 == 0, **few).collect()}
+    hits = 0
+    for i in range(0, 3000, 20):
+        s = v @ v[i]
+        s[i] = -9
+        hits += sum((i, j) in got for j in np.lexsort((np.arange(3000), -s))[:20].tolist())
+    assert hits / (150 * 20) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, sf):
+    """All queries against brute force, and the share of pairs that were multiplied."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.orderBy("vec_id").collect() if r.embedding]
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()}
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[i]
+        s[i] = -9
+        best = ids[np.lexsort((ids, -s))[:20]].tolist()
+        hits, total = hits + sum((int(ids[i]), j) in got for j in best), total + len(best)
+    products, held = ann.evaluated(df, F.col("vec_id") % 20 == 0).first()
+    assert hits / total >= 0.93 and products < 0.56 * held
 
 
 def test_rows_of_one_id_are_found_each(spark):
