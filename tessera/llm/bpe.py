@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import prepare
 
-#: Pieces of text that a task remembers in each of two generations.  When the young one is full, it takes the place of the
 #: Pieces of text that a worker remembers in each of two generations, and characters of them, their ids and tokens.  When the young one is full, it
 #: takes the place of the old one, out of which only those seen again come back; this changes no result.
 MEMORY, MEMORY_CHARS = 100_000, 8_000_000

@@ -51,7 +51,7 @@ def prepare(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables, spark.checkpoint.dir: only what driver and executors share can hold them."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local["):  # one machine: its folders are shared
+    if not folder and spark.sparkContext.master.partition("[")[0] == "local":  # one machine: its folders are shared
         folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not folder:

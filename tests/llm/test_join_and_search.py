@@ -118,6 +118,11 @@ def test_one_row_of_each_group_survives(spark):
     assert Counter((r.doc_id, r.text) for r in after if not (r.text or "").strip()) == Counter(x for x in rows if not (x[1] or "").strip())
 
 
+def test_all_rows_without_words_survive(spark):
+    df = spark.createDataFrame([(1, ""), (1, ""), (1, None), (2, " "), (3, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, (r.text or "").strip()) for r in jaccard.survivors(df).collect()) == [(1, ""), (1, ""), (1, ""), (2, ""), (3, "a b c d e f")]
+
+
 def test_null_id_links_two_texts(spark):
     """A chain that passes through a text without id holds together."""
     words = [f"w{i}" for i in range(100)]
