@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame; run() writes each as Parquet in the shared folder and reads it again
 for the next.  All but the last return the columns of documents; other columns of their input are left out, whatever their names.
 
-Null and empty texts: quality scores them as empty texts (and rejects them where the ranking says so), near_duplicates keeps one row each of those that
-share an id, the mixture takes none of them.  A null doc_id is an id like others, but the last choice of a group of copies; repeated
+Null and empty texts: quality scores them as empty texts (and rejects them where the ranking says so), near_duplicates keeps all that come to it,
+as they are linked with nothing, the mixture takes none of them.  A null doc_id is an id like others, but the last choice of a group of copies; repeated
 rows are one group of copies.  Empty tables give no rows.
 """
 

@@ -1,5 +1,6 @@
 """Functions on hand-made cases: expectations are written out, not computed."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -25,7 +26,43 @@ def test_unit_key(spark, raw, unit):
 
 @pytest.mark.parametrize(("raw", "parsed"), [("1900MM", ("single", "1900", None, "MM", None)), ("3000-2000 kg/h", ("range", "3000", "2000", "kg/h", None)), ("x", ("none", None, None, None, None)), ("", ("none", None, None, None, None))])
 def test_numbers_with_units(raw, parsed):
-    assert numbers.parse_number(raw, ["kg/h", "kg", "mm"]) == parsed
+    assert numbers.parse_number(raw, ("kg/h", "kg", "mm")) == parsed
+
+
+def test_values_are_read_as_they_were_put_together():
+    """Random texts made of parts: what must be found is known from the parts."""
+    rng = random.Random(1)
+    number = lambda: str(rng.choice([rng.randint(0, 400), rng.randint(1, 99) / 10]))
+    space = lambda: rng.choice(["", "", " ", "  "])
+    for _ in range(800):
+        v, f, phase = number(), number(), rng.choice("单三13")
+        parts = [(0, v + space() + rng.choice("VvＶ伏")), (1, f + space() + rng.choice(["Hz", "hz", "HZ", "赫兹"])), (2, phase + space() + "相")]
+        said = rng.sample(parts, rng.randint(0, 3))
+        got = numbers.parse_voltage(rng.choice([" ", "，", "/"]).join(t for _, t in said))
+        has = {k for k, t in said if "Ｖ" not in t}
+        assert got == (f"{v}V" if 0 in has else None, f"{f}Hz" if 1 in has else None, numbers.PHASES[phase] if 2 in has else None), said
+        a, b, unit, rest = number(), number(), rng.choice(["kg/h", "KG", "mm", "m³", ""]), rng.choice(["", "左右"])
+        joint = rng.choice(["-", "~", "至", "－", "—"])
+        several = rng.random() < 0.5
+        text_ = space() + a + (space() + joint + space() + b if several else "") + space() + unit + (" " + rest if rest else "")
+        kind, first, second, found, trailing = numbers.parse_number(text_, ("kg/h", "kg", "mm"))
+        assert (kind, first, second) == (("range", a, b) if several else ("single", a, None)), text_
+        assert (found or "") == (unit or rest) and (trailing or "") == (rest if unit else ""), text_
+        sign, meaning = rng.choice([("≤", "<="), ("不小于", ">="), ("低于", "<"), (">", ">")])
+        grade, ra, micro = rng.choice(["", "A级", "c级"]), rng.choice(["", "Ra"]), rng.choice(["", "um", "μm"])
+        bound = numbers.parse_roughness(f"{grade} {sign}{space()}{ra}{space()}{a}{micro}")
+        assert bound == (grade[:1].upper() or None, micro or None, None, None, meaning, float(a))
+        span = numbers.parse_roughness(f"{grade} {ra}{a}{space()}-{space()}{b}{micro}")
+        assert span == (grade[:1].upper() or None, micro or None, float(a), float(b), None, None)
+
+
+def test_selections(spark):
+    cases = [(f"{a}{m}{b}", m, a + b) for m in ("", "[SEL]", "【selected】", "[ S E L ]", "选中", "未选中") for a in ("", "未", "x ") for b in ("", " y")]
+    def fate(mark, rest):
+        if mark == "未选中" or mark and mark != "选中" and "未" in rest or mark == "选中" and rest.startswith("未"):
+            return "unselected"
+        return "selected" if mark else None
+    assert values(spark, [c[0] for c in cases], numbers.selection(F.col("t"))) == [fate(m, r) for _, m, r in cases]
 
 
 def test_chinese_integers():
