@@ -188,9 +188,3 @@ def quoted_big_integers(c: Column) -> Column:
 def levels(*parts: Column) -> Column:
     """Non-empty parts joined by a slash."""
     return F.concat_ws("/", *[F.nullif(p, F.lit("")) for p in parts])
-
-
-def longest_inside(c: Column, values: dict[str, str]) -> Column:
-    """What the longest of some aliases in a text stands for; null without one."""
-    ordered = sorted(values, key=lambda a: (-len(a), a))
-    return F.coalesce(*[F.when(F.contains(c, F.lit(a)), F.lit(values[a])) for a in ordered], F.lit(None))

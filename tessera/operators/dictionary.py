@@ -62,6 +62,35 @@ def route_by_hint(items: DataFrame, types: DataFrame) -> DataFrame:
     return routed.select("item_id", F.coalesce("by_hint", "by_name", F.lit("unknown")).alias("product_type"), (F.col("by_hint").isNull() & F.col("by_name").isNull()).alias("warned"))
 
 
+#: Kinds of qualifiers that end the search of an item's texts.
+QUALIFIER_KINDS = ("position", "area", "layer")
+
+
+def qualifier_rules(rows: DataFrame) -> DataFrame:
+    """(key, kind, alias, sort_order, specificity): the name, the aliases and the key of each qualifier (key, kind, name, aliases, sort_order, specificity), in lower case without white space, each once."""
+    spellings = F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")), F.array("key")))
+    compact = F.array_distinct(F.transform(spellings, lambda x: F.lower(text.no_space(x))))
+    rules = rows.where("key <> '' and kind <> '' and name <> ''").withColumn("alias", F.explode(compact)).where("alias <> ''")
+    return rules.select("key", "kind", "alias", F.coalesce("sort_order", F.lit(100)).alias("sort_order"), F.coalesce("specificity", F.lit(0)).alias("specificity"))
+
+
+def qualifiers(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, place, kind, key, alias): what qualifies items with texts (id, place, text), from qualifiers as in ``qualifier_rules``.
+
+    The first text of an item, by place, that holds a qualifier of QUALIFIER_KINDS decides; in it the longest alias of each kind counts, ties to the more specific
+    rule, the lower order, then key and alias.  Texts are compared in lower case without white space; each different one is searched once.
+    """
+    compact = F.lower(text.no_space(F.col("text")))
+    rules = qualifier_rules(rows)
+    told = texts.select("id", "place", compact.alias("__text")).where("__text <> ''")
+    found = containing(told.select("__text").distinct(), rules.where(F.col("kind").isin(*QUALIFIER_KINDS)), "__text", "alias")
+    order = [F.length("alias").desc(), F.col("specificity").desc(), F.col("sort_order"), F.col("key"), F.col("alias")]
+    best = top_per(found, ["__text", "kind"], order).select("__text", "kind", "key", "alias")
+    hits = told.join(best, "__text")
+    first = hits.groupBy("id").agg(F.min("place").alias("place"))
+    return hits.join(first, ["id", "place"]).select("id", "place", "kind", "key", "alias")
+
+
 def upsert_candidates(pending: DataFrame, new: DataFrame, keys: Sequence[str], rejected: DataFrame) -> DataFrame:
     """Pending candidates after new ones: rejected keys are skipped, the larger confidence stays, counts add up, 'unknown' sources are replaced."""
     grouped = new.join(rejected.select(*keys).distinct(), list(keys), "left_anti").groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.sum("n").alias("n"), F.min(F.nullif("source", F.lit("unknown"))).alias("source"))

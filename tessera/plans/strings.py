@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import documents, text
-from tessera.operators import aliases
+from tessera.operators import aliases, dictionary
 from tessera.registry import query
 from tessera.tables import table
 
@@ -110,15 +110,22 @@ def str_prefix_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.longest_prefixes(p.select("p_partkey", value.alias("v")), known, "v", "a").select("p_partkey", "alias", "suffix", "confidence")
 
 
-@query("""with a(kind, alias, value) as (values ('area', 'STEEL', 'S'), ('area', 'PLATED', 'P'), ('position', 'SMALL', 'top'), ('position', 'LARGE', 'low'), ('layer', 'BRASS', 'b')),
-h as (select p_partkey, kind, value, row_number() over (partition by p_partkey, kind order by length(alias) desc, alias) as r from part join a on contains(p_type, alias))
-select p_partkey, kind, value from h where r = 1""")
+@query("""with a as (select distinct 'position' as kind, split_part(p_name, ' ', 1) as key, length(split_part(p_name, ' ', 1)) * 3 % 7 as sort_order from part where p_size % 2 = 0
+union select distinct 'area', split_part(p_name, ' ', 2), 1 from part union select distinct 'layer', p_type, 1 from part union select 'position', 'inner', 0 union select 'area', 'n o', 0),
+t as (select p_partkey as id, 0 as place, case p_partkey % 3 when 0 then 'no text' else split_part(p_name, ' ', 2) end as text from part where p_partkey % 2 = 0 union all select p_partkey, 1, p_name || ' ' || p_type from part),
+h as (select id, place, kind, key, row_number() over (partition by id, place, kind order by length(replace(key, ' ', '')) desc, sort_order, key) as r from t join a on contains(replace(lower(text), ' ', ''), replace(lower(key), ' ', ''))),
+f as (select id, min(place) as place from h group by id)
+select h.id as p_partkey, cast(h.place as integer) as place, kind, key from h join f on f.id = h.id and f.place = h.place where r = 1""")
 def str_qualifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position, area and layer by the longest alias in a text: a short list is part of the expression, so nothing is joined."""
-    rows = [("area", "STEEL", "S"), ("area", "PLATED", "P"), ("position", "SMALL", "top"), ("position", "LARGE", "low"), ("layer", "BRASS", "b")]
-    kinds = {kind: {alias: value for k, alias, value in rows if k == kind} for kind, *_ in rows}
-    found = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, v in ((k, text.longest_inside(F.col("p_type"), a)) for k, a in kinds.items())]))
-    return table(spark, sf_dir, "part", "p_partkey", "p_type").select("p_partkey", F.explode(found).alias("f")).select("p_partkey", "f.kind", "f.value")
+    """Position, area and layer of parts by the longest alias in the first of two texts that has any; the qualifiers are words of the table."""
+    p = table(spark, sf_dir, "part")
+    word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    of = lambda df, kind, key, order: df.select(F.lit(kind).alias("kind"), key.alias("key"), order.cast("int").alias("sort_order"))
+    rows = of(p.where("p_size % 2 = 0"), "position", word(1), F.length(word(1)) * 3 % 7).union(of(p, "area", word(2), F.lit(1))).union(of(p, "layer", F.col("p_type"), F.lit(1))).union(spark.createDataFrame([("position", "inner", 0), ("area", "n o", 0)], "kind string, key string, sort_order int"))
+    rows = rows.distinct().select("*", F.col("key").alias("name"), F.array("key").alias("aliases"), F.lit(None).cast("int").alias("specificity"))
+    first = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.lit(0).alias("place"), F.when(F.col("p_partkey") % 3 == 0, "no text").otherwise(word(2)).alias("text"))
+    texts = first.union(p.select("p_partkey", F.lit(1), F.concat_ws(" ", "p_name", "p_type")))
+    return dictionary.qualifiers(texts, rows).select(F.col("id").alias("p_partkey"), "place", "kind", "key")
 
 
 _UNSAFE = "[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"

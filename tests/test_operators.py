@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import aliases as alias_operators
-from tessera.operators import normalize, ranges, residues
+from tessera.operators import dictionary, normalize, ranges, residues
 
 
 @pytest.mark.parametrize("shipped", [0, alias_operators.SHIPPED])
@@ -54,6 +54,26 @@ def test_longest_prefixes_match_brute_force(spark):
         assert got[i] == ((best, rest or None, 0.9 if rest else 1.0) if stands else (None, None, None))
 
 
+def test_qualifiers_match_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abC ") for _ in range(rng.randint(0, n)))
+    rows = [(f"k{i}", rng.choice(["position", "area", "layer", "other", None]), word(3), [word(3), None, word(2)] if i % 4 else None, rng.choice([None, 5, 7]), rng.choice([None, 3])) for i in range(30)]
+    texts = [(i, p, rng.choice([word(6), word(6), None])) for i in range(60) for p in range(3)]
+    got = dictionary.qualifiers(spark.createDataFrame(texts, "id int, place int, text string"), spark.createDataFrame(rows, "key string, kind string, name string, aliases array<string>, sort_order int, specificity int"))
+    compact = lambda t: "".join((t or "").split()).lower()
+    rules = [(kind, compact(a), key, order if order is not None else 100, special or 0) for key, kind, name, more, order, special in rows if kind in dictionary.QUALIFIER_KINDS and name for a in (name, *(more or []), key) if compact(a)]
+    want = []
+    for i in range(60):
+        for _, place, t in sorted(x for x in texts if x[0] == i and x[2]):
+            hits = [r for r in rules if r[1] in compact(t)]
+            if hits:
+                for kind in {h[0] for h in hits}:
+                    best = min((h for h in hits if h[0] == kind), key=lambda h: (-len(h[1]), -h[4], h[3], h[2], h[1]))
+                    want.append((i, place, kind, best[2], best[1]))
+                break
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 30
+
+
 def test_votes_match_brute_force(spark):
     rng = random.Random(2)
     value = lambda: rng.choice(("a", "b", "", None))
