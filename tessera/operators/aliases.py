@@ -44,7 +44,8 @@ def found_in(c: Column, shipped, key: int) -> Column:
             found = [sorted({a for _, a in machine.iter(t)}, key=lambda a: (-len(a), a)) if isinstance(t, str) and t and len(machine) else [] for t in texts]
             yield pd.Series(found, dtype=object)
 
-    return run(c)
+    # not to be pushed below the distinct texts that it is asked for, as a filter on what it finds else is
+    return run.asNondeterministic()(c)
 
 
 def _by_automaton(texts: DataFrame, aliases: DataFrame, text_col: str, alias_col: str, by: list[str]) -> DataFrame:

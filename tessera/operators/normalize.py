@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numbers, text
 from tessera.operators import dictionary, residues
 from tessera.operators.aliases import containing
+from tessera.session import written
 
 
 def routed(items: DataFrame, types: DataFrame) -> DataFrame:
@@ -50,10 +51,12 @@ def redirected(fields: DataFrame, route: DataFrame, redirects: DataFrame) -> Dat
     """
     names = fields.select("name").where("name is not null").distinct()
     hints = containing(names, redirects.select("word", "product_type"), "name", "word").groupBy("name").agg(F.max_by("product_type", F.struct(F.length("word"), "word")).alias("__hint"))
-    targets = route.groupBy("doc", F.col("product_type").alias("__hint")).agg(F.min("item").alias("__item"))
-    typed = fields.join(route, ["doc", "item"], "left").join(hints, "name", "left").join(targets, ["doc", "__hint"], "left")
-    moves = F.col("__item").isNotNull() & ~F.col("__hint").eqNullSafe(F.col("product_type"))
-    return typed.select("doc", F.when(moves, F.col("__item")).otherwise(F.col("item")).alias("item"), "name", "value", F.coalesce(F.when(moves, F.col("__hint")).otherwise(F.col("product_type")), F.lit(UNKNOWN)).alias("product_type"))
+    first = route.groupBy("doc", "product_type").agg(F.min("item").alias("item"))
+    firsts = first.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("product_type", "item"))).alias("__firsts"))  # one for each product type
+    typed = fields.join(route.join(firsts, "doc"), ["doc", "item"], "left").join(hints, "name", "left")
+    target = F.try_element_at("__firsts", F.col("__hint"))
+    moves = target.isNotNull() & ~F.col("__hint").eqNullSafe(F.col("product_type"))
+    return typed.select("doc", F.when(moves, target).otherwise(F.col("item")).alias("item"), "name", "value", F.coalesce(F.when(moves, F.col("__hint")).otherwise(F.col("product_type")), F.lit(UNKNOWN)).alias("product_type"))
 
 
 def rewritten(fields: DataFrame, names: DataFrame) -> DataFrame:
@@ -124,20 +127,20 @@ def normalized(fields: DataFrame, items: DataFrame, types: DataFrame, names: Dat
     # the cheap test first: most names hold none of these
     belongs = F.coalesce(reduce(lambda x, y: x | y, [F.contains("name", F.lit(d)) & (text.trim(F.col("name")) == d) for d in document_names], F.lit(False)), F.lit(False))
     info = fields.where(belongs).groupBy("doc").agg(F.min("value").alias("info"))
-    route = routed(items, types)
+    route = written(routed(items, types), "routes")
     own = fields.where(~belongs)
     own = own.join(route, ["doc", "item"], "left").withColumn("product_type", F.coalesce("product_type", F.lit(UNKNOWN))) if redirects is None else redirected(own, route, redirects)
-    # names with their values repeat over documents: each combination is read once, under itself in place of a document and item
+    own = written(own, "fields")
+    # names with their values repeat over documents: each combination is read once, under itself in place of a document and item, and what it says is kept
     pairs = own.select("name", "value", "product_type").distinct().select(F.col("name").alias("doc"), F.col("value").alias("item"), "name", "value", "product_type")
-    read = matched(rewritten(pairs, names), names, aliases).withColumnsRenamed({"doc": "__name", "item": "__value", "product_type": "__type"}).distinct()
+    read = matched(rewritten(written(pairs, "pairs"), names), names, aliases).withColumnsRenamed({"doc": "__name", "item": "__value", "product_type": "__type"}).distinct()
     same = (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__value")) & (F.col("product_type") == F.col("__type"))
-    said = own.select("doc", "item", "name", "value", "product_type").join(read, same).select("doc", "item", "term_type", "index", "kind", "text").distinct()
-    of = lambda kind: F.col("kind") == kind
-    different = lambda when, *c: F.count_distinct(F.when(when, F.struct(*c)))
-    gathered = said.groupBy("doc").agg(
-        different(F.col("term_type").isNotNull(), "item", "term_type", "index").alias("fields"), F.count_if(of("term")).alias("terms"), F.count_if(of("number")).alias("numbers"),
-        different(of("value_candidate"), "text").alias("value_candidates"), different(of("name_candidate"), "text").alias("name_candidates"),
-    )
+    said = own.select("doc", "item", "name", "value", "product_type").join(written(read, "read"), same).select("doc", "item", "term_type", "index", "kind", "text").distinct()
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    merged = said.groupBy("doc", "item", "term_type", "index").agg(of("term").alias("terms"), of("number").alias("numbers"))
+    gathered = merged.groupBy("doc").agg(F.count_if(F.col("term_type").isNotNull()).alias("fields"), F.sum("terms").alias("terms"), F.sum("numbers").alias("numbers"))
+    new = said.where(F.col("kind").isin("value_candidate", "name_candidate")).select("doc", "kind", "text").distinct()
+    gathered = gathered.join(new.groupBy("doc").agg(of("value_candidate").alias("value_candidates"), of("name_candidate").alias("name_candidates")), "doc", "left")
     zero = {k: F.coalesce(k, F.lit(0)).cast("long") for k in ("value_candidates", "name_candidates")}
     by_doc = route.groupBy("doc").agg(F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set("product_type")).alias("product_types"))
     return by_doc.join(gathered, "doc", "left").join(info, "doc", "left").withColumns(zero)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +25,13 @@ def checkpoint_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, read back: what several later steps read is made once and outlives executors.  It stays until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def session(name: str = "tessera", **settings: str) -> SparkSession:
     """A session with UTC and adaptive execution."""
     conf = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"} | settings
