@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from heapq import heappop, heappush
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -117,12 +119,17 @@ def overdue(stream: DataFrame, key: str, time: str, kind: str, leave: str, enter
     return rows.groupBy(key).applyInPandasWithState(update, schema, "exits string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Rows of a key that come at once and are kept as one piece; more are cut by slices of SLICE milliseconds.
+PIECE, SLICE = 256, 60_000
+
+
 class Stays(StatefulProcessor):
     """Entries and exits of one key, paired in order of their times once the watermark has passed these, whatever the order they came in.
 
-    What waits lies in a map by millisecond, each with a timer: timers fire in order of time, so a key's events are read row by row and none is
-    held beside its neighbours.  A record that comes again while it waits counts once.  The open entry is the only other state; with ``longest`` a timer
-    closes it after so many milliseconds, and it is told without an exit.
+    What waits lies in a map of pieces, each a few rows in order of time under its first millisecond, with a timer for that.  When one fires, the pieces that
+    the watermark has reached are merged: a piece is opened when the merge comes to its first row, so a key holds the pieces that overlap at one time and not
+    all of its events, and costs a few calls for a batch, not some for each event.  A record that comes again while it waits counts once.  The open entry is
+    the only other state; with ``longest`` it is told without an exit after so many milliseconds.
     """
 
     def __init__(self, enter: str, leave: str, longest: int | None):
@@ -130,38 +137,71 @@ class Stays(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "events string")
+        self.waiting = handle.getMapState("waiting", "at long, piece string", "events string")
         self.open = handle.getValueState("open", "id long, at long")
 
+    def _keep(self, rows: list[tuple[int, int, str]]) -> None:
+        """Keep rows (micros, id, kind), in order of time, until the watermark has passed them."""
+        pieces = [rows] if len(rows) <= PIECE else (list(x) for _, x in groupby(rows, key=lambda r: r[0] // 1000 // SLICE))
+        for piece in pieces:
+            at = piece[0][0] // 1000
+            self.waiting.updateValue((at, uuid.uuid4().hex), (json.dumps(piece),))
+            self.handle.registerTimer(at + 1)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            for i, kind, t in zip(batch["record"], batch["kind"], batch["micros"]):
-                at = (int(t) // 1000,)
-                held = json.loads(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
-                if int(i) not in [h[1] for h in held]:
-                    self.waiting.updateValue(at, (json.dumps([*held, [int(t), int(i), kind]]),))
-                    self.handle.registerTimer(at[0] + 1)
-        yield self._told(key, [])
+            self._keep(sorted(zip(batch["micros"].tolist(), batch["record"].tolist(), batch["kind"].tolist())))
+        return iter(())
+
+    def _passed(self, now: int) -> Iterator[tuple[int, int, str]]:
+        """The waiting rows of milliseconds before ``now`` in order of time, each once; what is left of their pieces is kept anew."""
+        due = sorted(k for k in self.waiting.keys() if k[0] < now)
+        heap: list[tuple[int, int, str]] = []
+        n, before = 0, None
+        while n < len(due) or heap:
+            while n < len(due) and (not heap or due[n][0] <= heap[0][0] // 1000):
+                for row in json.loads(self.waiting.getValue(due[n])[0]):
+                    heappush(heap, tuple(row))
+                self.waiting.removeKey(due[n])
+                n += 1
+            if heap[0][0] // 1000 >= now:  # so is all that follows, and every piece that is due begins earlier
+                self._keep(sorted(heap))
+                return
+            row = heappop(heap)
+            if row[:2] != before:
+                yield row
+            before = row[:2]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        if self.longest is not None and self.open.exists():
-            i, t = self.open.get()
-            if t // 1000 + self.longest < now:
-                out.append((i, t, None, None))
-                self.open.clear()
-        at = (now - 1,)
-        if self.waiting.containsKey(at):
-            for t, i, kind in sorted(json.loads(self.waiting.getValue(at)[0])):
-                if kind == self.enter:
-                    self.open.update((i, t))
-                    if self.longest is not None:
-                        self.handle.registerTimer(t // 1000 + self.longest + 1)
-                elif kind == self.leave and self.open.exists():
-                    out.append((*self.open.get(), i, t))
-                    self.open.clear()
-            self.waiting.removeKey(at)
-        yield self._told(key, out)
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        held = began = self.open.get() if self.open.exists() else None
+
+        def overdue(t: int) -> bool:
+            return held is not None and self.longest is not None and held[1] // 1000 + self.longest <= t
+
+        for t, i, kind in self._passed(now):
+            if overdue(t // 1000):
+                out.append((*held, None, None))
+                held = None
+            if kind == self.enter:
+                held = (i, t)
+            elif kind == self.leave and held is not None:
+                out.append((*held, i, t))
+                held = None
+            if len(out) >= 10_000:
+                yield self._told(key, out)
+                out = []
+        if overdue(now - 1):
+            out.append((*held, None, None))
+            held = None
+        if held is None and began is not None:
+            self.open.clear()
+        elif held is not None and held != began:
+            self.open.update(held)
+            if self.longest is not None:
+                self.handle.registerTimer(held[1] // 1000 + self.longest + 1)
+        if out:
+            yield self._told(key, out)
 
     def _told(self, key, out: list[tuple]) -> pd.DataFrame:
         times = lambda k: pd.to_datetime(pd.Series([x[k] for x in out], dtype="Int64"), unit="us")
@@ -180,6 +220,7 @@ def stays(stream: DataFrame, key: str, time: str, kind: str, record: str, enter:
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch writes what it changes, not a copy of its store
     rows = timed(stream, time, delay).where(F.col(time).isNotNull()).select(F.col(key).alias("stay_of"), F.col(time).alias("at"), F.col(kind).alias("kind"), F.col(record).cast("long").alias("record"), F.unix_micros(time).alias("micros"))
     schema = StructType([StructField("key", stream.schema[key].dataType), StructField("entry", LongType()), StructField("entered", TimestampType()), StructField("exit", LongType()), StructField("left", TimestampType())])
     return rows.groupBy("stay_of").transformWithStateInPandas(Stays(enter, leave, longest), schema, "Append", "EventTime").withColumnRenamed("key", key)
