@@ -48,3 +48,74 @@ def test_an_entry_that_nothing_ends_is_told_after_a_while(spark, tmp_path):
     rows = [(1, "u", "in", at(0)), (2, "u", "out", at(100)), (3, "u", "in", at(200)), (4, "u", "out", at(205)), (5, "v", "out", at(1))]
     got = run(spark, tmp_path, [rows[2:], rows[:2]], longest=60_000)
     assert sorted(map(tuple, got.collect())) == [("u", 1, at(0), None, None), ("u", 3, at(200), 4, at(205))]
+
+
+class Held:
+    """State of one key in memory, which counts what is asked of it."""
+
+    def __init__(self):
+        self.map, self.value, self.timers, self.calls = {}, None, set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        held = self
+
+        class Value:
+            exists = staticmethod(lambda: held.value is not None)
+            get = staticmethod(lambda: held.value)
+            update = staticmethod(lambda v: setattr(held, "value", v))
+            clear = staticmethod(lambda: setattr(held, "value", None))
+
+        return Value
+
+    def _called(self, x=None):
+        self.calls += 1
+        return x
+
+    def keys(self):
+        return self._called(iter(list(self.map)))
+
+    def containsKey(self, k):
+        return self._called(k in self.map)
+
+    def getValue(self, k):
+        return self._called(self.map[k])
+
+    def updateValue(self, k, v):
+        self._called(self.map.__setitem__(k, v))
+
+    def removeKey(self, k):
+        self._called(self.map.pop(k))
+
+    def registerTimer(self, t):
+        self._called(self.timers.add(t))
+
+
+@pytest.mark.parametrize("spread", [40, 400_000])
+def test_stays_ask_their_state_for_pieces_and_not_for_each_event(spread):
+    import pandas as pd
+
+    rng, state = random.Random(2), Held()
+    rows = [(rng.randint(0, spread) * 1000 + rng.randint(0, 2), i, rng.choice(["in", "out", "x"])) for i in range(900)]
+    stays, got = twins.Stays("in", "out", None), []
+    stays.init(state)
+    for k, now in enumerate((0, spread // 2, spread + 2)):  # rows that the watermark has passed come no more; some come twice
+        part = [r for i, r in enumerate(rows) if r[0] // 1000 >= (0, 0, spread // 2)[k] and (i % 3 <= k if k == 0 else True)]
+        for at in range(0, len(part), 200):
+            list(stays.handleInputRows(("u",), iter([pd.DataFrame(part[at : at + 200], columns=["micros", "record", "kind"])]), None))
+        timer = type("T", (), {"getCurrentWatermarkInMs": lambda self, now=now: now, "getExpiryTimeInMs": lambda self: now})()
+        while due := sorted(t for t in state.timers if t <= now):
+            for told in stays.handleExpiredTimer(("u",), timer, timer):
+                got += list(zip(told["entry"], told["exit"]))
+            state.timers.discard(due[0])
+    expected, entry = [], None
+    for _, i, kind in sorted(rows):
+        if kind == "in":
+            entry = i
+        elif kind == "out" and entry is not None:
+            expected.append((entry, i))
+            entry = None
+    assert got == expected and not state.map
+    assert state.calls < 300  # more than three for each event before
