@@ -70,10 +70,9 @@ def match_term_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 select field_id, term_id from (select *, row_number() over (partition by field_id order by confidence desc, specificity desc, term_id) as r from h) where r = 1""")
 def match_value_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    a = p.select(F.col("p_partkey").alias("field_id"), "p_name", F.col("p_brand").alias("own"))
-    b = p.select(F.col("p_partkey").alias("term_id"), "p_name", "p_brand", F.col("p_size").alias("specificity"))
-    hits = a.join(b, "p_name").withColumn("confidence", F.when(F.col("own") == F.col("p_brand"), F.lit(0.95)).otherwise(F.lit(0.78)))
-    return top_per(hits, ["field_id"], [F.col("confidence").desc(), F.col("specificity").desc(), F.col("term_id")]).select("field_id", "term_id")
+    a = p.select(F.col("p_partkey").alias("field_id"), F.col("p_name").alias("value"), F.col("p_brand").alias("term_type"))
+    b = p.select(F.col("p_partkey").alias("term_id"), F.col("p_name").alias("value"), F.col("p_brand").alias("term_type"), F.col("p_size").alias("specificity"))
+    return dictionary.match_any_type(a, b)
 
 
 @query("""with a as (select lower(word) as alias, min(p_partkey) as term_id from (select p_partkey, unnest(string_split(p_type, ' ')) as word from part where p_partkey % 7 = 0) group by 1),

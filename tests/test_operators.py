@@ -146,3 +146,27 @@ def test_empty_tables(spark):
     assert alias_operators.containing(t, spark.createDataFrame([("k", "")], "kind string, alias string"), "t", "alias", ["kind"]).count() == 0
     assert alias_operators.longest_prefixes(t, a, "t", "alias").count() == 0
     assert ranges.attribute_vote(spark.createDataFrame([], "item int, p string, q string"), spark.createDataFrame([], "m int, p string, q string"), "item", "m", ["p", "q"]).count() == 0
+
+
+def test_best_terms_of_any_type_match_brute_force(spark):
+    rng = random.Random(5)
+    fields = [(i, rng.choice(["a", "b", None]), rng.choice(["x", "y", None])) for i in range(60)]
+    terms = [(i, rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", "z", None]), rng.choice([1, 2, None])) for i in range(40)]
+    got = dictionary.match_any_type(spark.createDataFrame(fields, "field_id int, term_type string, value string"), spark.createDataFrame(terms, "term_id int, term_type string, value string, specificity int"))
+    best = lambda t, v: min((k for k in terms if v is not None and k[2] == v), key=lambda k: (t is None or k[1] != t, -(k[3] or 0), k[0]), default=None)
+    assert sorted(map(tuple, got.collect())) == sorted((i, best(t, v)[0]) for i, t, v in fields if best(t, v))
+
+
+def test_fields_that_say_the_same_are_matched_once(spark):
+    """20,000 fields of one content: its 300 candidates are judged once, not six million times."""
+    judged = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def own(g, h):
+        judged.add(1)
+        return g == h
+
+    f = spark.range(20_000).select(F.col("id").alias("field_id"), F.lit("N").alias("name"), F.lit(1).alias("own"))
+    names = spark.range(300).select(F.lit("n").alias("alias"), F.col("id").cast("string").alias("term_type"), (F.col("id") % 3).cast("int").alias("g"))
+    assert dictionary.match_term_types(f, names, own("g", "own")).count() == 20_000 * 100
+    assert judged.value < 20_000
