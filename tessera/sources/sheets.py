@@ -121,7 +121,7 @@ def workbook(cells: list[tuple[str, int, int, str]], shapes: list[tuple[str, int
     return out.getvalue()
 
 
-#: Rows of a workbook; more go to further files.
+#: Rows of a file; more go to further files of the workbook.
 ROWS = 100_000
 
 
@@ -129,7 +129,8 @@ def write_workbooks(cells: DataFrame, name: str, shapes: DataFrame | None = None
     """Writes (sheet, row, col, text) as xlsx files into a new folder of the shared one and returns it: one for each value of ``name`` and each ROWS rows.
 
     shapes: (``name``, shape, row, col, lines), put on the first sheet of their workbook's file of these rows.  Tasks build the files and write them
-    by Arrow's file systems, so that no content passes the driver; files beyond the first of a workbook have a number in their name.
+    by Arrow's file systems, so that no content passes the driver.  A file lies in the folder of its range of rows under the workbook's name, so all files of
+    a workbook are read under that name.
     """
     spark = cells.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/books-{uuid.uuid4().hex}"
@@ -144,8 +145,9 @@ def write_workbooks(cells: DataFrame, name: str, shapes: DataFrame | None = None
         rows = rows.sort_values(["sheet", "row", "col"])
         content = workbook(list(rows[["sheet", "row", "col", "text"]].itertuples(index=False, name=None)), list(boxes[["shape", "row", "col", "lines"]].itertuples(index=False, name=None)))
         fs, base = pafs.FileSystem.from_uri(target)
+        base = f"{base}/rows={key[1]}"
         fs.create_dir(base, recursive=True)
-        path = f"{base}/{key[0]}{f'-{key[1]}' if key[1] else ''}.xlsx"
+        path = f"{base}/{key[0]}.xlsx"
         draft = f"{path}.{uuid.uuid4().hex}"
         with fs.open_output_stream(draft) as out:
             out.write(content)

@@ -139,3 +139,22 @@ def test_of_two_writers_one_wins(spark, tmp_path):
     assert empty.read().count() == 0
     empty.upsert(spark.createDataFrame([(None, "x")], "k int, v string"))
     assert [tuple(r) for r in empty.read().collect()] == [(None, "x")]
+
+
+def test_rows_beyond_one_file_come_back_under_their_workbook(spark):
+    """Rows of three files; a workbook whose own name ends in a number stays apart."""
+    from tessera.sources import sheets
+
+    rows = [(w, "s", r, 1, f"{w}{r}") for w in ("a", "a-1") for r in (1, sheets.ROWS + 1, 2 * sheets.ROWS + 5)]
+    back = sheets.read_cells(spark, sheets.write_workbooks(spark.createDataFrame(rows, sheets.CELLS), "workbook"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_cursor_pages_count_rows_where_partitions_are_sampled_and_joined(spark):
+    """More rows than a range partition's sample holds, in no order: every page but the last has 100 ids that follow each other."""
+    from tessera.operators.scans import cursor_pages
+
+    n = 120_050
+    df = spark.range(0, n, 1, 6).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), F.when(F.col("id") % 3 == 0, 200).otherwise(1)).alias("t"))
+    pages = cursor_pages(df, "k", 100).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).collect()
+    assert sorted(map(tuple, pages)) == [(p, min(100, n - 100 * p), 100 * p, min(n, 100 * p + 100) - 1) for p in range(n // 100 + 1)]
