@@ -155,6 +155,6 @@ def test_cursor_pages_count_rows_where_partitions_are_sampled_and_joined(spark):
     from tessera.operators.scans import cursor_pages
 
     n = 120_050
-    df = spark.range(0, n, 1, 6).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), F.when(F.col("id") % 3 == 0, 200).otherwise(1)).alias("t"))
-    pages = cursor_pages(df, "k", 100).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).collect()
-    assert sorted(map(tuple, pages)) == [(p, min(100, n - 100 * p), 100 * p, min(n, 100 * p + 100) - 1) for p in range(n // 100 + 1)]
+    df = spark.range(0, n, 1, 6).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 2).alias("t"))
+    pages = cursor_pages(df, "k", 100).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("a"), F.max("k").alias("b"), F.max("t").alias("t")).collect()  # with t, which counts do not need
+    assert sorted(tuple(r)[:4] for r in pages) == [(p, min(100, n - 100 * p), 100 * p, min(n, 100 * p + 100) - 1) for p in range(n // 100 + 1)]
