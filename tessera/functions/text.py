@@ -128,8 +128,9 @@ def slug(c: Column, fallback: str) -> Column:
 
 def tokens(c: Column, delimiters: str = "[,，、;；/|+\\n]") -> Column:
     """Distinct normalized parts between delimiters and white space, in order."""
-    parts = F.split(F.regexp_replace(trim(c), delimiters, " "), f"{SPACE}+")
-    return F.array_distinct(F.filter(F.transform(parts, normalize), lambda x: x != ""))
+    # the normal form of the whole text, whose only white space then is what stood between parts
+    plain = F.translate(F.lower(F.regexp_replace(c, f"(?:{delimiters}|{SPACE})+", " ")), "×" + MARKS + PUNCTUATION, "x")
+    return F.array_distinct(F.array_remove(F.split(plain, " "), ""))
 
 
 def sanitize(c: Column) -> Column:

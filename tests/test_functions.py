@@ -149,3 +149,14 @@ def test_rules_stop_at_a_null_grade(spark):
 def test_cycles_end(spark):
     df = spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, None, "c")], "id int, parent int, name string")
     assert {(r.id, r.cyclic, tuple(r.levels or ())) for r in dictionary.hierarchy(df).collect()} == {(1, True, ()), (2, True, ()), (3, False, ("c",))}
+
+
+def test_tokens_are_the_normal_forms_of_their_parts(spark):
+    """Also where lower case depends on what follows; no function is called for each part."""
+    import re
+
+    given = ["ΑΣ﻿Α Σ", " A×b , a×B(c)　ΟΔΟΣ/ΟΔΟΣ;", "", None, "；、|", "x\n-\nX y"]
+    df = spark.createDataFrame([(t,) for t in given], "t string").select("t", text.tokens(F.col("t")).alias("v"))
+    parts = lambda t: list(dict.fromkeys(x for x in map(text.normal_form, re.split(f"[,，、;；/|+{text.SPACES}]+", t)) if x))
+    assert [r.v for r in df.collect()] == [None if t is None else parts(t) for t in given]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
