@@ -10,14 +10,13 @@ import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
-from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tessera.operators.sessions import Fold
 from tessera.session import shared_folder
@@ -49,28 +48,46 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str, delay: str) -> D
     return timed(stream, time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+#: Buckets of keys whose state lies together: groups, frames and calls to the state store are counted by buckets, not by keys.
+BUCKETS = 4096
+
+
+def _told(key: str) -> Column:
+    """A key as a string that is never null, in which keys of one bucket differ."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+
+
+def _key(stream: DataFrame, key: str) -> Column:
+    """The key that ``_told`` made a string of."""
+    return F.when(F.col("__who") != "", F.expr("substr(__who, 2)")).cast(stream.schema[key].dataType).alias(key)
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(_told(key)), F.lit(BUCKETS)).cast("int")
+
+
 def folded(stream: DataFrame, key: str, time: str, kind: str, order: list[str], fold: Fold, name: str) -> DataFrame:
     """What a fold gives each event of its user; a user's state goes on from batch to batch.
 
     Events of one batch are folded in order of time; an event that comes later than a batch with younger ones is folded as late as it comes.  A task
-    holds one user's events of a micro-batch, which the source's limits bound.
+    holds the events of one bucket of users in a micro-batch, which the source's limits bound.
     """
-    rows = stream.withColumn("__micros", F.unix_micros(F.col(time).cast("timestamp")))
+    rows = stream.withColumns({"__micros": F.unix_micros(F.col(time).cast("timestamp")), "__who": _told(key), "__bucket": _bucket(key)})
     long = not isinstance(fold(None, 0, "")[1], bool)
     schema = StructType([*stream.schema.fields, StructField(name, LongType() if long else BooleanType())])
     columns = stream.columns
 
     def update(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else None
-        events = pd.concat(list(batches)).sort_values(["__micros", *order], kind="stable")
+        now = json.loads(state.get[0]) if state.exists else {}
+        events = pd.concat(list(batches), ignore_index=True).sort_values(["__micros", *order], kind="stable")
         out = []
-        for t, k in zip(events["__micros"], events[kind]):
-            now, got = fold(now, int(t), k)
+        for who, t, k in zip(events["__who"], events["__micros"], events[kind]):
+            now[who], got = fold(now.get(who), int(t), k)
             out.append(got)
         state.update((json.dumps(now),))
         yield events[columns].assign(**{name: pd.Series(out, index=events.index, dtype="object")})
 
-    return rows.groupBy(key).applyInPandasWithState(update, schema, "folded string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("__bucket").applyInPandasWithState(update, schema, "folded string", "append", GroupStateTimeout.NoTimeout)
 
 
 def counted(stream: DataFrame, keys: list[str], time: str, width: str, delay: str) -> DataFrame:
@@ -82,54 +99,56 @@ def counted(stream: DataFrame, keys: list[str], time: str, width: str, delay: st
 def overdue(stream: DataFrame, key: str, time: str, kind: str, leave: str, enter: str, minutes: tuple[int, ...], delay: str) -> DataFrame:
     """(key, left, minutes) of alarms for exits without an entry within so many minutes, by timers in event time.
 
-    A user's open exits are its state.  An entry ends them, with the alarms that were due before it; where none comes, a timer raises each alarm once
-    the watermark has passed its time.
+    The open exits of a bucket of users are its state.  A user's entry ends theirs, with the alarms that were due before it; where none comes, a timer raises each
+    alarm once the watermark has passed its time.
     """
     spans = sorted(m * 60_000_000 for m in minutes)
-    rows = timed(stream, time, delay).select(key, time, kind, F.unix_micros(time).alias("__micros"))
-    schema = StructType([stream.schema[key], StructField("left", TimestampType()), StructField("minutes", IntegerType())])
+    rows = timed(stream, time, delay).select(time, kind, F.unix_micros(time).alias("__micros"), _told(key).alias("__who"), _bucket(key).alias("__bucket"))
 
-    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def update(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs() * 1000
-        exits: list[list[int]] = json.loads(state.get[0]) if state.exists else []  # [time, alarms raised]
-        alarms: list[tuple[int, int]] = []
+        exits: dict[str, list[list[int]]] = json.loads(state.get[0]) if state.exists else {}  # of each user [time, alarms raised]
+        alarms: list[tuple[str, int, int]] = []
 
-        def raise_before(t: int) -> None:
-            for x in exits:
+        def raise_before(who: str, t: int) -> None:
+            for x in exits.get(who, ()):
                 while x[1] < len(spans) and x[0] + spans[x[1]] < t:
-                    alarms.append((x[0], spans[x[1]] // 60_000_000))
+                    alarms.append((who, x[0], spans[x[1]] // 60_000_000))
                     x[1] += 1
 
         if not state.hasTimedOut:
-            for t, k in pd.concat([b[["__micros", kind]] for b in batches]).sort_values("__micros", kind="stable").itertuples(index=False):
+            events = pd.concat([b[["__who", "__micros", kind]] for b in batches]).sort_values("__micros", kind="stable")
+            for who, t, k in zip(events["__who"], events["__micros"], events[kind]):
                 if k == enter:
-                    raise_before(int(t))
-                    exits = [x for x in exits if x[0] >= t]
+                    raise_before(who, int(t))
+                    exits[who] = [x for x in exits.get(who, ()) if x[0] >= t]
                 elif k == leave:
-                    exits.append([int(t), 0])
-        raise_before(now)
-        exits = [x for x in exits if x[1] < len(spans)]
+                    exits.setdefault(who, []).append([int(t), 0])
+        for who in exits:
+            raise_before(who, now)
+        exits = {who: left for who, x in exits.items() if (left := [e for e in x if e[1] < len(spans)])}
         if exits:
             state.update((json.dumps(exits),))
-            state.setTimeoutTimestamp(max(min(x[0] + spans[x[1]] for x in exits) // 1000, now // 1000 + 1))
+            state.setTimeoutTimestamp(max(min(e[0] + spans[e[1]] for x in exits.values() for e in x) // 1000, now // 1000 + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({key: [keys[0]] * len(alarms), "left": pd.to_datetime([t for t, _ in alarms], unit="us"), "minutes": [m for _, m in alarms]})
+        yield pd.DataFrame({"__who": [a[0] for a in alarms], "left": pd.to_datetime([a[1] for a in alarms], unit="us"), "minutes": [a[2] for a in alarms]})
 
-    return rows.groupBy(key).applyInPandasWithState(update, schema, "exits string", "append", GroupStateTimeout.EventTimeTimeout)
+    raised = rows.groupBy("__bucket").applyInPandasWithState(update, "__who string, left timestamp, minutes int", "exits string", "append", GroupStateTimeout.EventTimeTimeout)
+    return raised.select(_key(stream, key), "left", "minutes")
 
 
-#: Rows of a key that come at once and are kept as one piece; more are cut by slices of SLICE milliseconds.
-PIECE, SLICE = 256, 60_000
+#: Rows of a piece.
+PIECE = 256
 
 
 class Stays(StatefulProcessor):
-    """Entries and exits of one key, paired in order of their times once the watermark has passed these, whatever the order they came in.
+    """Entries and exits of the keys of one bucket, paired in order of their times once the watermark has passed these, whatever the order they came in.
 
-    What waits lies in a map of pieces, each a few rows in order of time under its first millisecond, with a timer for that.  When one fires, the pieces that
-    the watermark has reached are merged: a piece is opened when the merge comes to its first row, so a key holds the pieces that overlap at one time and not
-    all of its events, and costs a few calls for a batch, not some for each event.  A record that comes again while it waits counts once.  The open entry is
-    the only other state; with ``longest`` it is told without an exit after so many milliseconds.
+    What waits lies in a map of pieces, each a few rows in order of time under its first millisecond; a timer is set for the first of them.  When it fires, the
+    pieces that the watermark has reached are merged: a piece is opened when the merge comes to its first row, so a bucket holds the pieces that overlap at one time
+    and not all of its events, and costs a few calls for a batch, not some for each event or key.  A record that comes again while it waits counts once.  The open
+    entries of the bucket's keys are the only other state; with ``longest`` one is told without an exit after so many milliseconds.
     """
 
     def __init__(self, enter: str, leave: str, longest: int | None):
@@ -138,25 +157,29 @@ class Stays(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "at long, piece string", "events string")
-        self.open = handle.getValueState("open", "id long, at long")
+        self.open = handle.getValueState("open", "entries string")
 
-    def _keep(self, rows: list[tuple[int, int, str]]) -> None:
-        """Keep rows (micros, id, kind), in order of time, until the watermark has passed them."""
-        pieces = [rows] if len(rows) <= PIECE else (list(x) for _, x in groupby(rows, key=lambda r: r[0] // 1000 // SLICE))
-        for piece in pieces:
-            at = piece[0][0] // 1000
-            self.waiting.updateValue((at, uuid.uuid4().hex), (json.dumps(piece),))
-            self.handle.registerTimer(at + 1)
+    def _keep(self, rows: list[tuple[int, int, str, str]]) -> None:
+        """Keep rows (micros, id, key, kind), in order of time, until the watermark has passed them."""
+        for i in range(0, len(rows), PIECE):
+            piece = rows[i : i + PIECE]
+            self.waiting.updateValue((piece[0][0] // 1000, uuid.uuid4().hex), (json.dumps(piece),))
+        self.handle.registerTimer(rows[0][0] // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            self._keep(sorted(zip(batch["micros"].tolist(), batch["record"].tolist(), batch["kind"].tolist())))
+            who = batch["who"].tolist() if "who" in batch else [key[0]] * len(batch)
+            if who:
+                self._keep(sorted(zip(batch["micros"].tolist(), batch["record"].tolist(), who, batch["kind"].tolist())))
         return iter(())
 
-    def _passed(self, now: int) -> Iterator[tuple[int, int, str]]:
+    def _passed(self, now: int) -> Iterator[tuple[int, int, str, str]]:
         """The waiting rows of milliseconds before ``now`` in order of time, each once; what is left of their pieces is kept anew."""
-        due = sorted(k for k in self.waiting.keys() if k[0] < now)
-        heap: list[tuple[int, int, str]] = []
+        pieces = sorted(self.waiting.keys())
+        due = [k for k in pieces if k[0] < now]
+        if len(due) < len(pieces):
+            self.handle.registerTimer(pieces[len(due)][0] + 1)
+        heap: list[tuple[int, int, str, str]] = []
         n, before = 0, None
         while n < len(due) or heap:
             while n < len(due) and (not heap or due[n][0] <= heap[0][0] // 1000):
@@ -168,45 +191,42 @@ class Stays(StatefulProcessor):
                 self._keep(sorted(heap))
                 return
             row = heappop(heap)
-            if row[:2] != before:
+            if row[:3] != before:
                 yield row
-            before = row[:2]
+            before = row[:3]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = timerValues.getCurrentWatermarkInMs(), []
-        held = began = self.open.get() if self.open.exists() else None
+        began = self.open.get()[0] if self.open.exists() else None
+        held: dict[str, list[int]] = json.loads(began) if began else {}  # of each key the id and time of its open entry
 
-        def overdue(t: int) -> bool:
-            return held is not None and self.longest is not None and held[1] // 1000 + self.longest <= t
+        def overdue(who: str, t: int) -> bool:
+            return self.longest is not None and who in held and held[who][1] // 1000 + self.longest <= t
 
-        for t, i, kind in self._passed(now):
-            if overdue(t // 1000):
-                out.append((*held, None, None))
-                held = None
+        for t, i, who, kind in self._passed(now):
+            if overdue(who, t // 1000):
+                out.append((who, *held.pop(who), None, None))
             if kind == self.enter:
-                held = (i, t)
-            elif kind == self.leave and held is not None:
-                out.append((*held, i, t))
-                held = None
+                held[who] = [i, t]
+            elif kind == self.leave and who in held:
+                out.append((who, *held.pop(who), i, t))
             if len(out) >= 10_000:
-                yield self._told(key, out)
+                yield self._told(out)
                 out = []
-        if overdue(now - 1):
-            out.append((*held, None, None))
-            held = None
-        if held is None and began is not None:
+        out += [(who, *held.pop(who), None, None) for who in list(held) if overdue(who, now - 1)]
+        if not held and began:
             self.open.clear()
-        elif held is not None and held != began:
-            self.open.update(held)
+        elif held and (ends := json.dumps(held)) != began:
+            self.open.update((ends,))
             if self.longest is not None:
-                self.handle.registerTimer(held[1] // 1000 + self.longest + 1)
+                self.handle.registerTimer(min(at for _, at in held.values()) // 1000 + self.longest + 1)
         if out:
-            yield self._told(key, out)
+            yield self._told(out)
 
-    def _told(self, key, out: list[tuple]) -> pd.DataFrame:
+    def _told(self, out: list[tuple]) -> pd.DataFrame:
         times = lambda k: pd.to_datetime(pd.Series([x[k] for x in out], dtype="Int64"), unit="us")
         ids = lambda k: pd.Series([x[k] for x in out], dtype="Int64")
-        return pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype=object), "entry": ids(0), "entered": times(1), "exit": ids(2), "left": times(3)})
+        return pd.DataFrame({"__who": pd.Series([x[0] for x in out], dtype=object), "entry": ids(1), "entered": times(2), "exit": ids(3), "left": times(4)})
 
     def close(self) -> None:
         pass
@@ -221,9 +241,9 @@ def stays(stream: DataFrame, key: str, time: str, kind: str, record: str, enter:
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch writes what it changes, not a copy of its store
-    rows = timed(stream, time, delay).where(F.col(time).isNotNull()).select(F.col(key).alias("stay_of"), F.col(time).alias("at"), F.col(kind).alias("kind"), F.col(record).cast("long").alias("record"), F.unix_micros(time).alias("micros"))
-    schema = StructType([StructField("key", stream.schema[key].dataType), StructField("entry", LongType()), StructField("entered", TimestampType()), StructField("exit", LongType()), StructField("left", TimestampType())])
-    return rows.groupBy("stay_of").transformWithStateInPandas(Stays(enter, leave, longest), schema, "Append", "EventTime").withColumnRenamed("key", key)
+    rows = timed(stream, time, delay).where(F.col(time).isNotNull()).select(_bucket(key).alias("bucket"), F.col(time).alias("at"), F.col(kind).alias("kind"), F.col(record).cast("long").alias("record"), F.unix_micros(time).alias("micros"), _told(key).alias("who"))
+    paired = rows.groupBy("bucket").transformWithStateInPandas(Stays(enter, leave, longest), "__who string, entry long, entered timestamp, exit long, left timestamp", "Append", "EventTime")
+    return paired.select(_key(stream, key), "entry", "entered", "exit", "left")
 
 
 def in_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], feed: Sequence[Callable[[], None]] = ()) -> None:

@@ -119,3 +119,28 @@ def test_stays_ask_their_state_for_pieces_and_not_for_each_event(spread):
             entry = None
     assert got == expected and not state.map
     assert state.calls < 300  # more than three for each event before
+
+
+def test_stays_of_many_keys_ask_their_state_for_few_pieces():
+    import pandas as pd
+
+    rng, state = random.Random(3), Held()
+    rows = [(rng.randint(0, 900_000) * 1000, i, rng.choice(["in", "out"]), f"={i % 300}") for i in range(1200)]
+    stays, got = twins.Stays("in", "out", None), []
+    stays.init(state)
+    for k in range(3):
+        list(stays.handleInputRows((7,), iter([pd.DataFrame(rows[k::3], columns=["micros", "record", "kind", "who"])]), None))
+    for now in (450_000, 900_001):
+        timer = type("T", (), {"getCurrentWatermarkInMs": lambda self, now=now: now})()
+        while due := sorted(t for t in state.timers if t <= now):
+            for told in stays.handleExpiredTimer((7,), timer, timer):
+                got += list(zip(told["__who"], told["entry"], told["exit"]))
+            state.timers.discard(due[0])
+    expected, entries = [], {}
+    for _, i, kind, who in sorted(rows):
+        if kind == "in":
+            entries[who] = i
+        elif who in entries:
+            expected.append((who, entries.pop(who), i))
+    assert got == expected and not state.map
+    assert state.calls < 100  # some for each of 300 keys before
