@@ -144,3 +144,34 @@ def test_stays_of_many_keys_ask_their_state_for_few_pieces():
             expected.append((who, entries.pop(who), i))
     assert got == expected and not state.map
     assert state.calls < 100  # some for each of 300 keys before
+
+
+def batches_of(spark, tmp_path, make, rows):
+    """What a stream of three batches gives, and the most rows that its state had."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([], SCHEMA).write.parquet(path)
+    stream = make(twins.source(spark, path, spark.createDataFrame([], SCHEMA).schema))
+    writer, most = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True), 0
+    for part in (*(rows[k::3] for k in range(3)), [(10**6, "end", "x", DAY0 + timedelta(days=9))]):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(path)
+        q = writer.start()
+        q.awaitTermination()
+        most = max(most, *(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress))
+    return sorted((tuple(r) for r in spark.read.schema(stream.schema).parquet(out).collect()), key=str), most
+
+
+def test_folds_keep_users_by_buckets(spark, tmp_path, monkeypatch):
+    from tessera.operators import sessions
+
+    monkeypatch.setattr(twins, "BUCKETS", 5)
+    rows = [(i, None if i % 50 == 0 else f"u{i % 50}", "x", DAY0 + timedelta(seconds=i // 3)) for i in range(600)]
+    rows = sorted(rows, key=lambda r: r[0] % 3)
+    rows = [r for k in range(200) for r in (rows[k], rows[200 + k], rows[400 + k])]  # each batch holds a third of them, in order of time
+    got, most = batches_of(spark, tmp_path, lambda s: twins.folded(s, "user", "at", "kind", ["id"], sessions.debounce(40, False), "keep").where("user is null or user <> 'end'"), rows)
+    expected, last = [], {}
+    for part in range(3):
+        for i, user, kind, at in sorted(rows[part::3], key=lambda r: (r[3], r[0])):
+            keep = user not in last or not timedelta() <= at - last[user] < timedelta(seconds=40)
+            last |= {user: at} if keep else {}
+            expected.append((i, user, kind, at, keep))
+    assert got == sorted(expected, key=str) and most <= 5  # a row of state for each of 50 users before
