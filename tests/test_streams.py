@@ -175,3 +175,12 @@ def test_folds_keep_users_by_buckets(spark, tmp_path, monkeypatch):
             last |= {user: at} if keep else {}
             expected.append((i, user, kind, at, keep))
     assert got == sorted(expected, key=str) and most <= 5  # a row of state for each of 50 users before
+
+
+def test_alarms_keep_users_by_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(twins, "BUCKETS", 5)
+    at = lambda i: DAY0 + timedelta(minutes=i)
+    rows = [(u, None if u == 0 else f"u{u}", "out", at(u % 7)) for u in range(60)] + [(100 + u, None if u == 0 else f"u{u}", "x" if u % 2 else "in", at(u % 7 + 12)) for u in range(60)]
+    got, most = batches_of(spark, tmp_path, lambda s: twins.overdue(s, "user", "at", "kind", "out", "in", (10, 20), "1 day"), rows)
+    expected = [(None if u == 0 else f"u{u}", at(u % 7), m) for u in range(60) for m in (10, 20) if m == 10 or u % 2]
+    assert got == sorted(expected, key=str) and most <= 5  # a row of state for each of 60 users before
