@@ -15,9 +15,10 @@ what each node of the wrapper is:
 A page's text is its content in page order.  Blocks that a page has and its wrapper lacks stay, unless their own tag or class speaks against it;
 a page without a host, or that no wrapper fits, is judged by the same rules on its own numbers.
 
-The wrapper's skeleton comes from a page of each of a host's most frequent layouts; all pages are counted to find these, and all
+The wrapper's skeleton comes from all layouts of a host: they are merged some at a time, and the results again.  Where layouts differ without end, so that a wrapper
+of all would be large, a host has several wrappers, each of the layouts with one hash, and a page meets the one that its layout is in.  All pages
 are counted again for the statistics, by sums, minima and maxima that tasks add up before any shuffle.  Pages are not grouped by host: a
-host has one row, which joins them.
+wrapper has one row, which joins them.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, prepare, written
 
-#: Layouts of a host that its wrapper is made from, the most frequent ones.
-LAYOUTS = 32
+#: Layouts, or wrappers of them, that are merged at once, and how many blocks a wrapper of wrappers has at most.
+FAN, NODES = 32, 1024
 #: Siblings of one label beyond this number are one slot.
 MANY = 4
 #: Template: the least share of the pages that have a node, and how many different pages, outside the content and inside.
@@ -547,33 +548,69 @@ def host(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
 
+def skeleton(html: str) -> str:
+    """The blocks of a page without their texts: its layout."""
+    return json.dumps(dump(tree([parse(html)])), separators=(",", ":"))
+
+
 def layouts(pages: DataFrame) -> DataFrame:
-    """(host, h): of each host's LAYOUTS most frequent layouts the least page hash.  pages: (host, h, html)."""
+    """(host, layout, skeleton, n): each layout of a host, its hash, and how many pages have it.  pages: (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shapes = [text_hash(json.dumps(dump(tree([parse(html)])))) for html in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shapes, pa.int64())], names=["host", "h", "layout"])
+            found = Counter((h, skeleton(html)) for h, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            columns = [pa.array([h for h, _ in found], pa.string()), pa.array([text_hash(x) for _, x in found], pa.int64()), pa.array([x for _, x in found], pa.string()), pa.array(found.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "layout", "skeleton", "n"])
 
-    found = pages.select("host", "h", "html").mapInArrow(run, "host string, h long, layout long")
-    by_layout = found.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h"))
-    order = Window.partitionBy("host").orderBy(F.col("n").desc(), "layout")
-    return by_layout.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LAYOUTS).select("host", "h", "r")
+    found = pages.select("host", "html").mapInArrow(run, "host string, layout long, skeleton string, n long")
+    return found.groupBy("host", "layout", "skeleton").agg(F.sum("n").alias("n"))
 
 
-def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, wrapper) from pages (host, h, html): skeletons of each host's most frequent layouts."""
-    seeds = scratch.write(layouts(pages), "layouts")
-    chosen = pages.join(seeds, ["host", "h"]).groupBy("host", "h", "r").agg(F.min("html").alias("html"))  # copies count once
+def _merged(rows: DataFrame) -> DataFrame:
+    """(host, parts, part, n, nodes, wrapper): the wrappers of each part (host, parts, part, n, place, wrapper) merged, those of most pages first."""
 
     def build(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["r"].to_pylist(), table["html"].to_pylist()))
-        whole = tree([parse(rows[0][1])])
-        for _, html in rows[1:]:
-            merge(whole, tree([parse(html)]))
-        return pa.table({"host": [table["host"][0].as_py()], "wrapper": [json.dumps(dump(whole), separators=(",", ":"))]})
+        found = sorted(zip(table["n"].to_pylist(), table["place"].to_pylist(), table["wrapper"].to_pylist()), key=lambda x: (-x[0], x[1], x[2]))
+        whole = load(found[0][2])
+        for _, _, wrapper in found[1:]:
+            merge(whole, load(wrapper))
+        first = {c: [table[c][0].as_py()] for c in ("host", "parts", "part")}
+        return pa.table(first | {"n": [sum(x[0] for x in found)], "nodes": [len(numbered(whole))], "wrapper": [json.dumps(dump(whole), separators=(",", ":"))]})
+
+    return rows.groupBy("host", "parts", "part").applyInArrow(build, "host string, parts long, part long, n long, nodes long, wrapper string")
+
+
+def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, parts, part, wrapper) from pages (host, html): a host's wrapper, or several, each of all layouts whose hash leaves ``part`` by ``parts``."""
+    found = scratch.write(layouts(pages), "layouts")
+    n = F.count(F.lit(1))
+    parts = F.when(n <= FAN, 1).when(n <= FAN**2, FAN).when(n <= FAN**3, FAN**2).when(n <= FAN**4, FAN**3).otherwise(FAN**4).cast("long")
+    rows = found.join(found.groupBy("host").agg(parts.alias("parts")), "host")
+    made = _merged(rows.select("host", "parts", (F.col("layout") % F.col("parts")).alias("part"), "n", F.col("layout").alias("place"), F.col("skeleton").alias("wrapper")))
+    made = scratch.write(made.withColumn("done", F.col("parts") == 1), "wrappers")
+    while not made.where("not done").isEmpty():
+        fewer = (F.col("parts") / FAN).cast("long")
+        tried = scratch.write(_merged(made.where("not done").select("host", fewer.alias("parts"), (F.col("part") % fewer).alias("part"), "n", F.col("part").alias("place"), "wrapper")), "tried")
+        fits = tried.groupBy("host").agg((F.max("nodes") <= NODES).alias("fits"))
+        kept = made.join(fits, "host", "left").where("fits is null or not fits").withColumn("done", F.lit(True)).drop("fits")
+        made = scratch.write(kept.unionByName(tried.join(fits, "host").where("fits").withColumn("done", F.col("parts") == 1).drop("fits")), "wrappers")
+    scratch.free("layouts", "tried")
+    return made.select("host", "parts", "part", "wrapper")
+
+
+def dealt(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """Rows (key, url, html, host) with the name of their wrapper as host: of a host with several wrappers, host#part by the page's layout."""
+    if made.where("parts > 1").isEmpty():
+        return rows
+    several = written(made.where("parts > 1").select("host", "parts").distinct(), "parts")  # stays, as what is returned reads it
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [h if parts is None else f"{h}#{text_hash(skeleton(html)) % parts}" for html, h, parts in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.string())], names=["key", "url", "html", "host"])
 
-    return chosen.groupBy("host").applyInArrow(build, "host string, wrapper string")
+    joined = rows.join(several, "host", "left").select("key", "url", "html", "host", "parts")
+    return joined.mapInArrow(run, rows.select("key", "url", "html", "host").schema)
 
 
 def _counted(pages: DataFrame) -> DataFrame:
@@ -604,9 +641,8 @@ def _counted(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "node", "x").agg(*[F.sum(c).alias(c) for c in ("n", "plain", "linked")], F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def models(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, wrapper, nodes, constant) for the hosts of pages (host, h, html): the wrapper, the numbers of its nodes, the texts that may be template."""
-    made = scratch.write(wrappers(pages, scratch), "wrappers")
+def models(pages: DataFrame, made: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, wrapper, nodes, constant) for the hosts of pages (host, h, html): the wrapper (made: host, wrapper), the numbers of its nodes, the texts that may be template."""
     # written tables have a size that Spark knows: it broadcasts them where they are small and does not shuffle pages for them then
     counted = scratch.write(_counted(pages.join(made, "host")), "counted")
     per_node = counted.groupBy("host", "node").agg(F.max(F.when(F.col("x").isNull(), F.col("n"))).alias("pages"), *[F.sum(F.when(F.col("x").isNotNull(), F.col(c))).alias(c) for c in ("n", "plain", "linked")])
@@ -616,7 +652,7 @@ def models(pages: DataFrame, scratch: Scratch) -> DataFrame:
     nodes = per_node.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "n", "plain", "linked"))).alias("nodes"))  # one for each node
     out = made.join(nodes, "host", "left").join(constant, "host", "left")
     out = written(out.select("host", "wrapper", "nodes", "constant"), "models")
-    scratch.free("layouts", "wrappers", "counted", "nodes")
+    scratch.free("wrappers", "counted", "nodes")
     return out
 
 
@@ -652,8 +688,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     prepare(pages.sparkSession)
     rows = pages.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html")).withColumn("host", host(F.col("url")))
+    scratch = Scratch(pages.sparkSession)
+    made = wrappers(rows.where("host <> ''"), scratch)
+    rows = dealt(rows, made)
     known = rows.where("host <> ''").select("host", F.xxhash64("html").alias("h"), "html")
-    by_host = models(known, Scratch(pages.sparkSession))
+    name = F.when(F.col("parts") > 1, F.concat_ws("#", "host", "part")).otherwise(F.col("host")).alias("host")
+    by_host = models(known, made.select(name, "wrapper"), scratch)
     id_type = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,3 +210,17 @@ def test_alignment_of_many_siblings_is_optimal():
                 met = 1 + min(len(x[i].kids), len(y[j].kids)) if x[i].label == y[j].label else 0
                 best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + met)
         assert len(html.simple_tree_match(a, b)) == 1 + best[n][n]
+
+
+@pytest.mark.parametrize("nodes", [html.NODES, 20])
+def test_every_layout_of_a_host_is_in_a_wrapper(spark, monkeypatch, nodes):
+    """Forty layouts of three pages, each with a note of its own below the text, in one wrapper or in several."""
+    monkeypatch.setattr(html, "NODES", nodes)
+    text = lambda k, i: [f"Words of page {k} {i} about things {j} " * 8 for j in range(2)]
+    page = lambda k, i: f'<body><h1>T{k}.{i}</h1><div class="c"><p>{text(k, i)[0]}</p><p>{text(k, i)[1]}</p></div><div class="x{k}"><p>{"The same words again. " * 12}{k}</p></div></body>'
+    rows = [(10 * k + i, f"http://h.org/{k}/{i}", page(k, i)) for k in range(40) for i in range(3)] + [(999, "http://other.org", page(0, 9))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for k in range(40):
+        for i in range(3):
+            assert got[10 * k + i] == "\n".join([f"T{k}.{i}", *(t.strip() for t in text(k, i))])
