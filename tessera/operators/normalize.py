@@ -51,9 +51,9 @@ def redirected(fields: DataFrame, route: DataFrame, redirects: DataFrame) -> Dat
     """
     names = fields.select("name").where("name is not null").distinct()
     hints = containing(names, redirects.select("word", "product_type"), "name", "word").groupBy("name").agg(F.max_by("product_type", F.struct(F.length("word"), "word")).alias("__hint"))
-    first = route.groupBy("doc", "product_type").agg(F.min("item").alias("item"))
-    firsts = first.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("product_type", "item"))).alias("__firsts"))  # one for each product type
-    typed = fields.join(route.join(firsts, "doc"), ["doc", "item"], "left").join(hints, "name", "left")
+    first = route.join(redirects.select("product_type").distinct(), "product_type", "left_semi").groupBy("doc", "product_type").agg(F.min("item").alias("item"))
+    firsts = first.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("product_type", "item"))).alias("__firsts"))  # one for each product type that names point to
+    typed = fields.join(route.join(firsts, "doc", "left"), ["doc", "item"], "left").join(hints, "name", "left")
     target = F.try_element_at("__firsts", F.col("__hint"))
     moves = target.isNotNull() & ~F.col("__hint").eqNullSafe(F.col("product_type"))
     return typed.select("doc", F.when(moves, target).otherwise(F.col("item")).alias("item"), "name", "value", F.coalesce(F.when(moves, F.col("__hint")).otherwise(F.col("product_type")), F.lit(UNKNOWN)).alias("product_type"))
@@ -117,6 +117,35 @@ def matched(fields: DataFrame, names: DataFrame, aliases: DataFrame, prefixes: S
     return unknown.unionByName(number).unionByName(free).unionByName(value).unionByName(moved)
 
 
+#: Kinds that are counted, by number; others are 0.
+COUNTED = ("term", "number", "value_candidate", "name_candidate")
+
+
+def _coded(read: DataFrame) -> DataFrame:
+    """What combinations say with numbers in place of texts: slot for (term_type, index), null without a term type, kind, and what for (kind, text)."""
+
+    def numbered(columns: list[str], name: str) -> tuple[DataFrame, Column]:
+        told = written(read.select(*columns).distinct().withColumn(name, F.monotonically_increasing_id()), name)
+        return told.withColumnsRenamed({c: f"__{name}_{c}" for c in columns}), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{name}_{c}")) for c in columns])
+
+    kind = reduce(lambda found, i: F.when(F.col("kind") == COUNTED[i], F.lit(i + 1)).otherwise(found), range(len(COUNTED)), F.lit(0)).cast("tinyint").alias("kind")
+    coded = read.join(*numbered(["term_type", "index"], "slot")).join(*numbered(["kind", "text"], "what"))
+    return written(coded.select("__name", "__value", "__type", F.when(F.col("term_type").isNotNull(), F.col("slot")).alias("slot"), kind, "what"), "coded")
+
+
+def _gathered(said: DataFrame) -> DataFrame:
+    """(doc, fields, terms, numbers, value_candidates, name_candidates) from what fields say (doc, item, slot, kind, what).
+
+    Rows are shuffled once, by document; counts are of rows that differ from the one before in the order of (item, slot, what), for candidates of what.
+    """
+    before = lambda w, *columns: reduce(lambda x, y: x & y, [F.lag(c).over(w).eqNullSafe(F.col(c)) for c in columns])
+    by_slot, by_what = Window.partitionBy("doc").orderBy("item", "slot", "what"), Window.partitionBy("doc").orderBy("what")
+    told = said.withColumn("__slot", F.col("slot").isNotNull() & ~before(by_slot, "item", "slot")).withColumn("__what", ~before(by_slot, "item", "slot", "what"))
+    told = told.select("doc", "kind", "what", "__slot", "__what").withColumn("__new", ~before(by_what, "what"))
+    of = lambda k, first: F.count_if((F.col("kind") == k) & F.col(first)).alias(f"{COUNTED[k - 1]}s")
+    return told.groupBy("doc").agg(F.count_if("__slot").alias("fields"), of(1, "__what"), of(2, "__what"), of(3, "__new"), of(4, "__new"))
+
+
 def normalized(fields: DataFrame, items: DataFrame, types: DataFrame, names: DataFrame, aliases: DataFrame, document_names: Sequence[str], redirects: DataFrame | None = None) -> DataFrame:
     """(doc, items, fields, terms, numbers, value_candidates, name_candidates, info, product_types) for each document.
 
@@ -135,12 +164,8 @@ def normalized(fields: DataFrame, items: DataFrame, types: DataFrame, names: Dat
     pairs = own.select("name", "value", "product_type").distinct().select(F.col("name").alias("doc"), F.col("value").alias("item"), "name", "value", "product_type")
     read = matched(rewritten(written(pairs, "pairs"), names), names, aliases).withColumnsRenamed({"doc": "__name", "item": "__value", "product_type": "__type"}).distinct()
     same = (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__value")) & (F.col("product_type") == F.col("__type"))
-    said = own.select("doc", "item", "name", "value", "product_type").join(written(read, "read"), same).select("doc", "item", "term_type", "index", "kind", "text").distinct()
-    of = lambda kind: F.count_if(F.col("kind") == kind)
-    merged = said.groupBy("doc", "item", "term_type", "index").agg(of("term").alias("terms"), of("number").alias("numbers"))
-    gathered = merged.groupBy("doc").agg(F.count_if(F.col("term_type").isNotNull()).alias("fields"), F.sum("terms").alias("terms"), F.sum("numbers").alias("numbers"))
-    new = said.where(F.col("kind").isin("value_candidate", "name_candidate")).select("doc", "kind", "text").distinct()
-    gathered = gathered.join(new.groupBy("doc").agg(of("value_candidate").alias("value_candidates"), of("name_candidate").alias("name_candidates")), "doc", "left")
+    said = own.select("doc", "item", "name", "value", "product_type").join(_coded(written(read, "read")), same).select("doc", "item", "slot", "kind", "what")
+    gathered = _gathered(said)
     zero = {k: F.coalesce(k, F.lit(0)).cast("long") for k in ("value_candidates", "name_candidates")}
     by_doc = route.groupBy("doc").agg(F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set("product_type")).alias("product_types"))
     return by_doc.join(gathered, "doc", "left").join(info, "doc", "left").withColumns(zero)

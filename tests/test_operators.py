@@ -181,3 +181,18 @@ def test_fields_are_not_broadcast_to_their_answers(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
     assert got.count() == 50_000 * 2
+
+
+def test_what_fields_say_is_shuffled_once_and_counted_once(spark):
+    rng = random.Random(4)
+    kinds = [rng.choice([0, 1, 2, 3, 4]) for _ in range(12)]
+    rows = [(rng.randrange(6), rng.choice([None, 1, 2]), rng.choice([None, 7, 8]), w) for w in (rng.randrange(12) for _ in range(400))]
+    rows = [(d, i, s, kinds[w], w) for d, i, s, w in rows]
+    got = normalize._gathered(spark.createDataFrame(rows, "doc long, item int, slot long, kind int, what long"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # one for each count before
+    expected = []
+    for doc in {r[0] for r in rows}:
+        of = {r[1:] for r in rows if r[0] == doc}
+        told = [sum(1 for r in of if r[2] == k) for k in (1, 2)] + [len({r[3] for r in of if r[2] == k}) for k in (3, 4)]
+        expected.append((doc, len({r[:2] for r in of if r[1] is not None}), *told))
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
