@@ -20,7 +20,7 @@ from tessera.session import written
 def routed(items: DataFrame, types: DataFrame) -> DataFrame:
     """(doc, item, product_type) of items (doc, item, hint, name): by the hint, else by the longest type alias in the name."""
     keyed = items.select(F.struct("doc", "item").alias("item_id"), "hint", "name")
-    return dictionary.route_by_hint(keyed, types).select("item_id.doc", "item_id.item", "product_type").groupBy("doc", "item").agg(F.min("product_type").alias("product_type"))
+    return dictionary.route_by_hint(keyed, written(types, "types")).select("item_id.doc", "item_id.item", "product_type").groupBy("doc", "item").agg(F.min("product_type").alias("product_type"))
 
 
 #: Product types that say nothing: of a row that applies to all, and of an item that any row applies to.
@@ -43,20 +43,41 @@ def preferred(hits: DataFrame, by: Sequence[str]) -> DataFrame:
     return judged.withColumn("__some", F.max("__applies").over(Window.partitionBy(*by))).where("__applies or not __some").drop("__applies", "__some")
 
 
+def _hints(names: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(name, hint): the product type of the longest of the ``redirects`` (word, product_type) in each different name that holds one."""
+    known = names.select("name").where("name is not null").distinct()
+    return containing(known, redirects.select("word", "product_type"), "name", "word").groupBy("name").agg(F.max_by("product_type", F.struct(F.length("word"), "word")).alias("hint"))
+
+
+#: Rows that one task sorts by document.
+SORTED = 1 << 20
+
+
+def _typed(rows: DataFrame, route: DataFrame, n: int, hints: DataFrame, by: str) -> DataFrame:
+    """About ``n`` rows (doc, item, ...) with the product_type of their item, or of their hint, at the first item of that type in the document, if there is one.
+
+    Rows and items are shuffled together, once, by document, and stay so; more rows make more tasks, so that none sorts more than it holds in memory.  Only
+    then do rows get their ``hints``, which have a hint and perhaps more for each value of the column ``by``.
+    """
+    items = route.select("doc", "item", "product_type").withColumn("__is_item", F.lit(True))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // SORTED))
+    every = rows.withColumn("__is_item", F.lit(False)).unionByName(items, allowMissingColumns=True).repartition(tasks, "doc").join(hints, by, "left")
+    known = F.col("doc").isNotNull() & F.col("item").isNotNull()
+    target = F.min(F.when(F.col("__is_item") & known, F.col("item"))).over(Window.partitionBy("doc", F.coalesce("product_type", "hint")))
+    own = F.when(known, F.max("product_type").over(Window.partitionBy("doc", "item")))
+    told = every.withColumn("__target", F.when(F.col("hint").isNotNull(), target)).withColumn("product_type", own).where("not __is_item")
+    moves = F.col("__target").isNotNull() & ~F.col("hint").eqNullSafe(F.col("product_type"))
+    kind = F.coalesce(F.when(moves, F.col("hint")).otherwise(F.col("product_type")), F.lit(UNKNOWN))
+    return told.withColumns({"item": F.when(moves, F.col("__target")).otherwise(F.col("item")), "product_type": kind}).drop("hint", "__target", "__is_item")
+
+
 def redirected(fields: DataFrame, route: DataFrame, redirects: DataFrame) -> DataFrame:
     """Fields (doc, item, name, value) of routed items with product_type, where names that point to another type have moved.
 
     A name points to the type of the longest of the ``redirects`` (word, product_type) in it.  If that is not its item's type and the document has items of
     it, the field belongs to the first of these; else it stays.  Each different name is searched once.
     """
-    names = fields.select("name").where("name is not null").distinct()
-    hints = containing(names, redirects.select("word", "product_type"), "name", "word").groupBy("name").agg(F.max_by("product_type", F.struct(F.length("word"), "word")).alias("__hint"))
-    first = route.join(redirects.select("product_type").distinct(), "product_type", "left_semi").groupBy("doc", "product_type").agg(F.min("item").alias("item"))
-    firsts = first.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("product_type", "item"))).alias("__firsts"))  # one for each product type that names point to
-    typed = fields.join(route.join(firsts, "doc", "left"), ["doc", "item"], "left").join(hints, "name", "left")
-    target = F.try_element_at("__firsts", F.col("__hint"))
-    moves = target.isNotNull() & ~F.col("__hint").eqNullSafe(F.col("product_type"))
-    return typed.select("doc", F.when(moves, target).otherwise(F.col("item")).alias("item"), "name", "value", F.coalesce(F.when(moves, F.col("__hint")).otherwise(F.col("product_type")), F.lit(UNKNOWN)).alias("product_type"))
+    return _typed(fields, route, fields.count(), _hints(fields, redirects), "name").select("doc", "item", "name", "value", "product_type")
 
 
 def rewritten(fields: DataFrame, names: DataFrame) -> DataFrame:
@@ -121,15 +142,16 @@ def matched(fields: DataFrame, names: DataFrame, aliases: DataFrame, prefixes: S
 COUNTED = ("term", "number", "value_candidate", "name_candidate")
 
 
-def _coded(read: DataFrame) -> DataFrame:
-    """What combinations say with numbers in place of texts: slot for (term_type, index), null without a term type, kind, and what for (kind, text)."""
+def _numbered(df: DataFrame, columns: Sequence[str], name: str) -> tuple[DataFrame, Column]:
+    """Different values of some columns (as __name_column) with a number under ``name``, and the condition that joins them to rows that have them."""
+    told = written(df.select(*columns).distinct().withColumn(name, F.monotonically_increasing_id()), name)
+    return told.withColumnsRenamed({c: f"__{name}_{c}" for c in columns}), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{name}_{c}")) for c in columns])
 
-    def numbered(columns: list[str], name: str) -> tuple[DataFrame, Column]:
-        told = written(read.select(*columns).distinct().withColumn(name, F.monotonically_increasing_id()), name)
-        return told.withColumnsRenamed({c: f"__{name}_{c}" for c in columns}), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{name}_{c}")) for c in columns])
 
+def _coded(read: DataFrame) -> DataFrame:
+    """What combinations say with numbers in place of texts: slot for (term_type, index), null without a term type, kind, and what for (kind, text)."""
     kind = reduce(lambda found, i: F.when(F.col("kind") == COUNTED[i], F.lit(i + 1)).otherwise(found), range(len(COUNTED)), F.lit(0)).cast("tinyint").alias("kind")
-    coded = read.join(*numbered(["term_type", "index"], "slot")).join(*numbered(["kind", "text"], "what"))
+    coded = read.join(*_numbered(read, ["term_type", "index"], "slot")).join(*_numbered(read, ["kind", "text"], "what"))
     return written(coded.select("__name", "__value", "__type", F.when(F.col("term_type").isNotNull(), F.col("slot")).alias("slot"), kind, "what"), "coded")
 
 
@@ -146,6 +168,35 @@ def _gathered(said: DataFrame) -> DataFrame:
     return told.groupBy("doc").agg(F.count_if("__slot").alias("fields"), of(1, "__what"), of(2, "__what"), of(3, "__new"), of(4, "__new"))
 
 
+#: A product type that no row of a dictionary applies to, in place of all of these.
+OTHER = "\0"
+
+#: Names with values, the most frequent ones, that tasks hold with what they say.
+SHIPPED = 4096
+
+
+def _told(pairs: DataFrame, names: DataFrame, aliases: DataFrame, readers: Sequence[str]) -> DataFrame:
+    """(name, value, slot, kind, what, readers): what names with values say, as numbers, to fields of which product types; null to those of all.
+
+    Each is read once by each of the product types ``readers``; what it says to several is one row.
+    """
+    asked = pairs.select(F.col("name").alias("doc"), F.col("value").alias("item"), "name", "value", F.explode(F.array(*[F.lit(r) for r in readers])).alias("product_type"))
+    read = matched(rewritten(written(asked, "pairs"), names), names, aliases).withColumnsRenamed({"doc": "__name", "item": "__value", "product_type": "__type"}).distinct()
+    by = _coded(written(read, "read")).groupBy(F.col("__name").alias("name"), F.col("__value").alias("value"), "slot", "kind", "what").agg(F.array_sort(F.collect_set("__type")).alias("readers"))
+    return by.withColumn("readers", F.when(F.size("readers") < len(readers), F.col("readers")))
+
+
+def _say(fields: DataFrame, told: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Fields (doc, item, name, value) with what they say; the most frequent names with values are met in place, only fields with others may be shuffled for it."""
+    same = lambda a, b: (a["name"] == b["name"]) & a["value"].eqNullSafe(b["value"])
+    rest = [c for c in told.columns if c not in ("name", "value")]
+    met = lambda f, t: f.join(t, same(f, t)).select(f["doc"], f["item"], *[t[c] for c in rest])
+    often = written(pairs.orderBy(F.desc("n"), "name", "value").limit(SHIPPED).select("name", "value"), "often")
+    split = lambda df, how: df.join(F.broadcast(often), same(df, often), how)
+    frequent = met(fields, F.broadcast(written(split(told, "left_semi"), "frequent")))
+    return frequent.unionByName(met(split(fields, "left_anti"), written(split(told, "left_anti"), "rare")))
+
+
 def normalized(fields: DataFrame, items: DataFrame, types: DataFrame, names: DataFrame, aliases: DataFrame, document_names: Sequence[str], redirects: DataFrame | None = None) -> DataFrame:
     """(doc, items, fields, terms, numbers, value_candidates, name_candidates, info, product_types) for each document.
 
@@ -157,15 +208,22 @@ def normalized(fields: DataFrame, items: DataFrame, types: DataFrame, names: Dat
     belongs = F.coalesce(reduce(lambda x, y: x | y, [F.contains("name", F.lit(d)) & (text.trim(F.col("name")) == d) for d in document_names], F.lit(False)), F.lit(False))
     info = fields.where(belongs).groupBy("doc").agg(F.min("value").alias("info"))
     route = written(routed(items, types), "routes")
-    own = fields.where(~belongs)
-    own = own.join(route, ["doc", "item"], "left").withColumn("product_type", F.coalesce("product_type", F.lit(UNKNOWN))) if redirects is None else redirected(own, route, redirects)
-    own = written(own, "fields")
-    # names with their values repeat over documents: each combination is read once, under itself in place of a document and item, and what it says is kept
-    pairs = own.select("name", "value", "product_type").distinct().select(F.col("name").alias("doc"), F.col("value").alias("item"), "name", "value", "product_type")
-    read = matched(rewritten(written(pairs, "pairs"), names), names, aliases).withColumnsRenamed({"doc": "__name", "item": "__value", "product_type": "__type"}).distinct()
-    same = (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__value")) & (F.col("product_type") == F.col("__type"))
-    said = own.select("doc", "item", "name", "value", "product_type").join(_coded(written(read, "read")), same).select("doc", "item", "slot", "kind", "what")
-    gathered = _gathered(said)
+    own = fields.where(~belongs & F.col("name").isNotNull())
+    # names with their values repeat over documents: each is read once, by all product types that decide, before its fields meet their items
+    pairs = written(own.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")), "counted")
+    applied = reduce(DataFrame.unionByName, [_held(df, "products", F.array().cast("array<string>")).select(F.explode("products").alias("p")) for df in (names, aliases)])
+    readers = sorted({r.p for r in applied.distinct().collect() if r.p and r.p != COMMON} | {UNKNOWN, OTHER})  # as many as product types are named in the dictionary
+    told = _told(pairs, names, aliases, readers)
+    told = told.withColumn("hint", F.lit(None).cast("string")) if redirects is None else told.join(_hints(pairs, redirects), "name", "left")
+    told = written(told, "told")
+    # fields are shuffled with two numbers: the first for all that does not differ from value to value
+    common = ["hint", "readers", "slot", "kind"]
+    shapes, same = _numbered(told, common, "shape")
+    told = written(told.join(shapes, same).select("name", "value", "shape", "what"), "numbers")
+    shapes = shapes.withColumnsRenamed({f"__shape_{c}": c for c in common})
+    said = _typed(_say(own, told, pairs), route, pairs.agg(F.sum("n")).first()[0] or 0, shapes, "shape")
+    reader = F.when(F.col("product_type").isin(*readers), F.col("product_type")).otherwise(OTHER)
+    gathered = _gathered(said.where(F.col("readers").isNull() | F.array_contains("readers", reader)).select("doc", "item", "slot", "kind", "what"))
     zero = {k: F.coalesce(k, F.lit(0)).cast("long") for k in ("value_candidates", "name_candidates")}
     by_doc = route.groupBy("doc").agg(F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set("product_type")).alias("product_types"))
     return by_doc.join(gathered, "doc", "left").join(info, "doc", "left").withColumns(zero)

@@ -12,6 +12,7 @@ from tessera.operators import concepts, dictionary, normalize, predicates, resid
 from tessera.operators.latest import top_per
 from tessera.plans.joins import DEPTS, departments
 from tessera.registry import query
+from tessera.session import written
 from tessera.tables import table
 
 NORM = "regexp_replace(lower(trim({})), '[\\s()\\[\\]_:;,-]+', '', 'g')"
@@ -542,6 +543,7 @@ def normalize_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     lines = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("item"), "p_name", "p_type", F.col("p_size").cast("string").alias("size"), "l_suppkey")
+    lines = written(lines, "lines")  # read for items, for fields and for their names
     supplier, k = F.col("l_suppkey").cast("string"), F.col("item") % 3
     model = F.when(k == 0, F.upper("p_name")).when(k == 1, F.col("p_name")).otherwise(F.concat(F.lit("other"), supplier))
     given = [

@@ -196,3 +196,46 @@ def test_what_fields_say_is_shuffled_once_and_counted_once(spark):
         told = [sum(1 for r in of if r[2] == k) for k in (1, 2)] + [len({r[3] for r in of if r[2] == k}) for k in (3, 4)]
         expected.append((doc, len({r[:2] for r in of if r[1] is not None}), *told))
     assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("shipped", [1, 1000])
+def test_counts_of_documents_are_those_of_their_fields_read_one_by_one(spark, monkeypatch, shipped):
+    """Names and values that are shipped and others, types that rows name and others, no type, several items of a type, nulls."""
+    monkeypatch.setattr(normalize, "SHIPPED", shipped)
+    rng = random.Random(6)
+    names = [("规格", "width", "number", ["D"]), ("规格", "size", "enum", ["P", "Q"]), ("泵流量", "flow", "number", None), ("材料", "material", "enum", ["common"]), ("备用", "spare", "text", ["Q"])]
+    aliases = [("size", "5", 1, ["Q"]), ("size", "5", 2, ["P"]), ("size", "7", 3, None), ("material", "pe", 4, ["D"]), ("material", "pe", 5, ["R"])]
+    fields = [(rng.choice([1, 2, 3, 4, None]), rng.choice([1, 2, 3, 4, None]), rng.choice(["规格", "规格2", "泵流量", "材料", "备用", "泵x", "怪", None]), rng.choice(["5", "7", "PE/5", "9mm", None])) for _ in range(300)]
+    items = [(rng.choice([1, 2, 3, 5, None]), rng.choice([1, 2, 3, None]), rng.choice(["d", "p", "q", "r", "s", None]), "n") for _ in range(14)]
+    f = spark.createDataFrame(fields, "doc int, item int, name string, value string")
+    i = spark.createDataFrame(items, "doc int, item int, hint string, name string")
+    types = spark.createDataFrame([(t, t.upper()) for t in "dpqrs"], "alias string, product_type string")
+    n = spark.createDataFrame(names, "alias string, term_type string, value_kind string, products array<string>")
+    a = spark.createDataFrame(aliases, "term_type string, alias string, term_id int, products array<string>")
+    redirects = spark.createDataFrame([("泵", "P")], "word string, product_type string")
+    route = normalize.routed(i, types)
+    said = normalize.matched(normalize.rewritten(normalize.redirected(f.where("name is not null"), route, redirects), n), n, a).collect()
+    got = {r.doc: r for r in normalize.normalized(f, i, types, n, a, ("合同号",), redirects).collect() if r.doc}
+    assert set(got) == {doc for doc, *_ in items if doc}
+    for doc, r in got.items():
+        own = [x for x in said if x.doc == doc]
+        slots = {(x.item, x.term_type, x["index"]) for x in own if x.term_type}
+        of = [{(x.item, x.term_type, x["index"], x.text) for x in own if x.kind == k} for k in ("term", "number")]
+        new = [{x.text for x in own if x.kind == k} for k in ("value_candidate", "name_candidate")]
+        assert (r.fields or 0, r.terms or 0, r.numbers or 0, r.value_candidates, r.name_candidates) == (len(slots), *map(len, of), *map(len, new))
+
+
+def test_fields_are_not_written_or_met_one_by_one(spark, monkeypatch):
+    """3000 fields of two contents: no table that is written has a row for each, and they are shuffled by document without names and values."""
+    rows = {}
+    written = normalize.written
+    monkeypatch.setattr(normalize, "written", lambda df, name: rows.setdefault((name, len(rows)), written(df, name)))
+    f = spark.range(3000).select((F.col("id") % 50).alias("doc"), F.lit(1).alias("item"), F.concat(F.lit("n"), (F.col("id") % 2).cast("string")).alias("name"), F.lit("5").alias("value"))
+    items = spark.range(50).select(F.col("id").alias("doc"), F.lit(1).alias("item"), F.lit("d").alias("hint"), F.lit("x").alias("name"))
+    types = spark.createDataFrame([("d", "D")], "alias string, product_type string")
+    names = spark.createDataFrame([("n0", "t", "number", ["D"]), ("n1", "u", "text", ["E"])], "alias string, term_type string, value_kind string, products array<string>")
+    aliases = spark.createDataFrame([], "term_type string, alias string, term_id int")
+    got = normalize.normalized(f, items, types, names, aliases, ("c",), spark.createDataFrame([("n1", "E")], "word string, product_type string"))
+    assert {(r.fields, r.numbers) for r in got.collect()} == {(1, 1), (1, 0)} and max(df.count() for df in rows.values()) <= 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc" in plan and "Exchange hashpartitioning(name" not in plan and "Exchange hashpartitioning(coalesce(value" not in plan
